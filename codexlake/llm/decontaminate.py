@@ -92,7 +92,8 @@ def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     first = small(stored(first, "item-shingles"))
     text = docs.select("doc_id", text_key(F.col("text")).alias("hash"), words(F.lower("text")).alias("w"))
     text = text.select("doc_id", "hash", shingles(F.col("w")).alias("all"))
-    met = text.select("doc_id", "hash", "all", F.posexplode("all").alias("at", "shingle")).join(first, "shingle")
+    # outer, as Spark would else filter on the array's size first and for that make it again
+    met = text.select("doc_id", "hash", "all", F.posexplode_outer("all").alias("at", "shingle")).join(first, "shingle")
     n = F.greatest(F.lit(1), F.col("n_words") - (SHINGLE - 1))
     start = F.greatest(F.lit(0), F.least(F.col("at"), F.size("all") - n))
     return met.select("doc_id", "hash", "n_words", start.alias("start"), F.slice("all", start + 1, n).alias("window"))

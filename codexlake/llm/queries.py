@@ -105,8 +105,8 @@ b AS (
   SELECT item_id, len(w) AS n_words, CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE [array_to_string(w, ' ')] END AS s
   FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM benchmark) WHERE len(w) > 0),
 bs AS (SELECT DISTINCT item_id, n_words, unnest(s) AS x FROM b),
-hits AS (SELECT doc_id, s, item_id, greatest(1, n_words - 4) AS n, at FROM (SELECT doc_id, s, unnest(s) AS x, generate_subscripts(s, 1) AS at FROM d) JOIN bs USING (x)),
-wins AS (SELECT DISTINCT doc_id, item_id, start, s[start:start + n - 1] AS win FROM (SELECT *, greatest(1, least(at, len(s) - n + 1)) AS start FROM hits)),
+hits AS (SELECT doc_id, s, item_id, greatest(1, n_words - 4) AS n, pos FROM (SELECT doc_id, s, unnest(s) AS x, generate_subscripts(s, 1) AS pos FROM d) JOIN bs USING (x)),
+wins AS (SELECT DISTINCT doc_id, item_id, start, s[start:start + n - 1] AS win FROM (SELECT *, greatest(1, least(pos, len(s) - n + 1)) AS start FROM hits)),
 c AS (SELECT doc_id, item_id, start, win, x, count(*) AS k FROM (SELECT *, unnest(win) AS x FROM wins) GROUP BY ALL),
 i AS (SELECT item_id, x, count(*) AS k FROM (SELECT item_id, unnest(s) AS x FROM b) GROUP BY ALL),
 o AS (SELECT doc_id, item_id, start, win, sum(least(c.k, i.k)) AS shared FROM c JOIN i USING (item_id, x) GROUP BY ALL),
