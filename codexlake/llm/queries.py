@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexlake.llm import decontaminate, quality_rules, simhash_dedup, source_mix, token_output
+from codexlake.llm import chat_format, decontaminate, html_extract, language_id, quality_rules
+from codexlake.llm import secret_scan, simhash_dedup, source_mix, token_output, url_filter
 from codexlake.llm.shared import documents
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -27,6 +28,48 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_groups(documents(spark, sf_dir))
 
 
+#: The added conversation, whose texts hold the template's control strings.
+HARD_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    kinds = dict(rows.dtypes)
+    turns = F.explode(F.array(*[F.struct(F.lit(i).alias("turn"), F.lit(r).alias("role")) for i, r in enumerate(("user", "assistant"))]))
+    hard = spark.range(1).select(turns.alias("t")).select(F.lit(-1).cast(kinds["conv_id"]).alias("conv_id"), F.col("t.turn").cast(kinds["turn"]).alias("turn"), "t.role", F.lit(HARD_TEXT).alias("text"))
+    return chat_format.format_report(rows.unionByName(hard))
+
+
+#: The rules of the query.
+RULES = [
+    url_filter.Rule("block", "com", "/en/"),
+    url_filter.Rule("allow", "example.com", "/en/7"),
+    url_filter.Rule("allow", "net", "/de/"),
+    url_filter.Rule("block", "example.net", "/de/8"),
+    url_filter.Rule("block", "org", "/es/"),
+]
+BLOCKED_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+BLOCKED_HOSTS = [f"{n}.example.{top}" for n in BLOCKED_NAMES for top in ("com", "net", "org")]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return url_filter.filtered(pages, RULES, BLOCKED_HOSTS).select("page_id", "url_filter.*")
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return html_extract.with_main_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_report(documents(spark, sf_dir))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_report(documents(spark, sf_dir))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(documents(spark, sf_dir))
 
@@ -97,6 +140,35 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM j LEFT JOIN t ON j.lang IS NOT DISTINCT FROM t.lang AND j.source IS NOT DISTINCT FROM t.source
 """
 
+OP2_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, regexp_replace(text, '(<)(\\*)(/?s>|</?(?:SYS|ROLE)>>)|(\[)(\\*)(/?INST\])', '\1\4\\\2\5\3\6', 'g') AS escaped FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(escaped) + CASE role WHEN 'user' THEN 18 WHEN 'system' THEN 20 WHEN 'assistant' THEN 6 ELSE 27 + length(role) END)::BIGINT AS formatted_chars,
+  'messages role text' AS layout
+FROM e GROUP BY conv_id
+"""
+
+OP3_SQL = r"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path
+  FROM u),
+r(rh, rp, v) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+f AS (
+  SELECT page_id, rh || rp AS rule, v FROM h JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rh || rp) DESC) = 1)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN regexp_matches(host, '(^|\.)(ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)\.example\.(com|net|org)$') THEN 'block' ELSE 'allow' END) AS verdict
+FROM h LEFT JOIN f USING (page_id)
+"""
+
 OP5_SQL = r"""
 WITH d AS (
   SELECT doc_id, w, CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
@@ -118,12 +190,17 @@ QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_dedup": op1_simhash_dedup,
+        "op2_chat_format": op2_chat_format,
+        "op3_url_filter": op3_url_filter,
         "op4_quality_rules": op4_quality_rules,
         "op5_decontamination": op5_decontamination,
         "op6_token_files": op6_token_files,
+        "op7_html_text": op7_html_text,
+        "op8_language_id": op8_language_id,
         "op9_source_mix": op9_source_mix,
+        "op10_secret_scan": op10_secret_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": OP4_SQL, "op5_decontamination": OP5_SQL}
+    return {"op2_chat_format": OP2_SQL, "op3_url_filter": OP3_SQL, "op4_quality_rules": OP4_SQL, "op5_decontamination": OP5_SQL}
