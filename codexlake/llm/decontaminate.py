@@ -33,6 +33,8 @@ SHINGLE = 5
 #: Similarity of 4/5 as whole numbers.
 SIMILAR = (4, 5)
 RADIUS = 20
+#: Shingles of a text that go on as one row.
+PART = 512
 #: Counters of 16 bits share a long; one bit is needed for comparing, one for the sign.
 MOST_SHINGLES = (1 << 14) - 1
 
@@ -59,7 +61,7 @@ def simhash(hashes: Column) -> Column:
     for k, count in enumerate(counts):
         over = F.shiftright(count + lanes * (F.lit(1 << 14) - past), 14).bitwiseAND(lanes)
         out = out.bitwiseOR(F.shiftleft(over, k))
-    return out
+    return F.coalesce(out, F.lit(0).cast("long"))  # never null, so no filter on it is put below a join
 
 
 def blocks() -> list[int]:
@@ -90,13 +92,20 @@ def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     shingle of that item; n_words is the item's."""
     first = items.select("n_words", F.explode("item_shingles").alias("shingle")).distinct()
     first = small(stored(first, "item-shingles"))
+    reach = items.agg(F.max(F.size("item_shingles"))).first()[0] or 1
     text = docs.select("doc_id", text_key(F.col("text")).alias("hash"), words(F.lower("text")).alias("w"))
     text = text.select("doc_id", "hash", shingles(F.col("w")).alias("all"))
-    # outer, as Spark would else filter on the array's size first and for that make it again
-    met = text.select("doc_id", "hash", "all", F.posexplode_outer("all").alias("at", "shingle")).join(first, "shingle")
+    # a long text goes on in parts, each with a margin of the longest window on both sides
+    base = lambda at: F.greatest(F.lit(0), at - reach)
+    part = lambda at: F.struct(at.alias("first"), base(at).alias("base"), F.size("all").alias("total"), F.slice("all", base(at) + 1, PART + 2 * reach).alias("part"))
+    parts = F.transform(F.when(F.size("all") > 0, F.sequence(F.lit(0), F.size("all") - 1, F.lit(PART))), part)
+    # outer, as Spark would else filter on an array's size first and for that make it again
+    text = text.select("doc_id", "hash", F.explode_outer(parts).alias("p")).select("doc_id", "hash", "p.*")
+    core = F.slice("part", F.col("first") - F.col("base") + 1, PART)
+    met = text.select("*", F.posexplode_outer(core).alias("i", "shingle")).join(first, "shingle")
     n = F.greatest(F.lit(1), F.col("n_words") - (SHINGLE - 1))
-    start = F.greatest(F.lit(0), F.least(F.col("at"), F.size("all") - n))
-    return met.select("doc_id", "hash", "n_words", start.alias("start"), F.slice("all", start + 1, n).alias("window"))
+    start = F.greatest(F.lit(0), F.least(F.col("first") + F.col("i"), F.col("total") - n))
+    return met.select("doc_id", "hash", "n_words", start.alias("start"), F.slice("part", start - F.col("base") + 1, n).alias("window"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
