@@ -1,0 +1 @@
+"""Document retrieval and corpus quality as Spark jobs."""
