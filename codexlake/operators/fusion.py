@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql import types as T
 
 RRF_K, TOP_K, RERANK_TOP_K = 60, 40, 8
 
@@ -156,4 +157,4 @@ def scored(hits: DataFrame, factory: Callable[[], Callable[[list[tuple[str, str]
             pairs = list(zip(x["query"], x["text"], strict=True))
             yield x.assign(model_score=[float(s) for a in range(0, len(pairs), batch) for s in model(pairs[a : a + batch])])
 
-    return hits.mapInPandas(run, hits.schema.add("model_score", "double"))
+    return hits.mapInPandas(run, T.StructType([*hits.schema.fields, T.StructField("model_score", T.DoubleType())]))
