@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codexlake.llm.shared import few_by_hash
+
 #: The base kinds in order, their patterns, the group that has the secret, its least length.
 BASE = (
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 12),
@@ -266,8 +268,8 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = S
     likely = F.lit(False)
     for x in (*ASSIGN_WORDS, "akia"):
         likely = likely | low.contains(x)
-    short = docs.filter(F.length("text") <= sample_chars).select("text", F.xxhash64("doc_id").alias("h"), likely.alias("likely"))
-    take = lambda x: [r.text for r in short.filter(x).orderBy("h", "text").limit(sample_docs).collect()]
+    short = docs.filter(F.length("text") <= sample_chars).select("doc_id", "text", likely.alias("likely"))
+    take = lambda x: [r.text for r in few_by_hash(short.filter(x), "doc_id", sample_docs)]
     return train(take(F.col("likely")) + take(~F.col("likely")))
 
 

@@ -45,6 +45,19 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def few_by_hash(df: DataFrame, key: str, n: int, total: int | None = None) -> list:
+    """The n rows whose key has the least hash, for fitting a model on a bounded sample. Rows
+    far above the n-th are left out before sorting, so tasks send a few times n rows in all. ``total``
+    may be a cheaper count of more rows than these; if that leaves too few, they are counted."""
+    h = F.xxhash64(key)
+    rows = df.count() if total is None else total
+    most, near = 4 * n / max(1, rows), df
+    if most < 0.5:  # hashes are spread evenly over 64 bits
+        near = df.filter(h < F.lit(int(-(1 << 63) + most * (1 << 64))))
+    out = near.withColumn("_h", h).orderBy("_h", key).limit(n).drop("_h").collect()
+    return out if total is None or len(out) == n or near is df else few_by_hash(df, key, n)
+
+
 def text_key(text: Column) -> Column:
     """64-bit hash of a text, which tells rows with equal or null ids apart."""
     return F.xxhash64(text)

@@ -32,6 +32,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from codexlake.llm.shared import new_path, small, stored, text_key
+from codexlake.llm.shared import few_by_hash, new_path, small, stored, text_key
 
 MAGIC = b"TOKZ0001"
 END_ID = 0
@@ -51,7 +52,7 @@ SAMPLE_CHARS = 4096
 DICTIONARY_BYTES = 1 << 16
 FILE_BYTES = 32 << 20
 #: Distinct words whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 INDEX = np.dtype([("id", "<i8"), ("none", "u1"), ("offset", "<u8"), ("bytes", "<u4"), ("ids", "<u4")])
 
 
@@ -60,36 +61,84 @@ class PieceEncoder:
 
     Such a tokenizer first cuts a text before every space that stands between two other
     characters that aren't white space, and around every such line feed, and encodes each piece for
-    itself. So the ids of a text are those of its pieces. A text with any other white space at
-    such a place is encoded whole.
+    itself; so the ids of a text are those of its pieces. It also cuts between a letter and ASCII marks
+    at a word's end (apostrophes aside). A text with any other white space at such a place is encoded
+    whole. New words are encoded in one string: a word's first token is the one that begins
+    with its space.
     """
 
+    MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
     def __init__(self, tokenizer_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        vocabulary = self.tokenizer.get_vocab()
+        self.dtype = np.dtype("<u2" if len(vocabulary) <= 1 << 16 else "<u4")
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True  # how it writes a space
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.feed = self._whole(["\n"])[0]
 
-    def _raw(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _spaced(self, words: list[str]) -> list[bytes]:
+        """Ids of each word with a space before it."""
+        out: list[bytes] = []
+        for a in range(0, len(words), 2000):
+            part = words[a : a + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            at = np.flatnonzero(self.begins[ids])
+            if len(at) != len(part):  # not a tokenizer that keeps words apart
+                out += self._whole([" " + w for w in part])
+                continue
+            data, cuts = ids.tobytes(), [*(at * self.dtype.itemsize).tolist(), ids.nbytes]
+            out += [data[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
+        return out
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Remember all pieces, which are words, or a line feed and a word."""
+        marked = {}
+        words, starts = set(), []
+        for p in pieces:
+            if p[0] == "\n":
+                starts.append(p)
+            elif len(core := p.rstrip(self.MARKS)) < len(p) and core and core[-1].isalpha():
+                marked[p] = core
+                if core not in self.known:
+                    words.add(core)
+            else:
+                words.add(p)
+        words_ = list(words)
+        self.known.update(zip(words_, self._spaced(words_), strict=True))
+        self.known.update((p, self.feed + ids) for p, ids in zip(starts, self._whole([p[1:] for p in starts]), strict=True))
+        tails = {p[len(c) :] for p, c in marked.items()}
+        marks = dict(zip(tails, self._whole([*tails]), strict=True))
+        for p, core in marked.items():
+            self.known[p] = self.known[core] + marks[p[len(core) :]]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        # a piece is a word with the space or the start of the line before it
+            self.known, self.older = {}, self.known
+        # a piece is a word, the first one of a line with the line feed before it
         cut = [("\n" + t.replace("\n", " \n")).split(" ") for t in texts]
-        new = {p for pieces in cut for p in pieces if p not in self.known}
-        odd = {p for p in new if p in ("", "\n") or p[-1].isspace() or p[0] == "\n" and p[1].isspace() or p[0] != "\n" and p[0].isspace()}
-        whole = {i for i, pieces in enumerate(cut) if not odd.isdisjoint(pieces)} if odd else set()
-        new = list(new - odd)
-        # the line's first word stands without a space; line feeds are put in below
-        self.known.update(zip(new, self._raw([p[1:] if p[0] == "\n" else " " + p for p in new]), strict=True))
-        feed = self._raw(["\n"])[0]
-        out = [b"" if i in whole else b"".join([feed + self.known[p] if p[0] == "\n" else self.known[p] for p in pieces])[len(feed) :] for i, pieces in enumerate(cut)]
-        for i, ids in zip(sorted(whole), self._raw([texts[i] for i in sorted(whole)]), strict=True):
+        new = set(chain.from_iterable(cut)).difference(self.known)
+        odd = {p for p in new if p in ("", "\n") or p[-1].isspace() or p[p[0] == "\n"].isspace()}
+        new -= odd
+        if self.older:
+            again = new & self.older.keys()
+            self.known.update((p, self.older[p]) for p in again)
+            new -= again
+        self._learn(new)
+        known, skip = self.known.__getitem__, len(self.feed)
+        plain = [not odd or odd.isdisjoint(pieces) for pieces in cut]
+        out = [b"".join(map(known, pieces))[skip:] if ok else b"" for ok, pieces in zip(plain, cut, strict=True)]
+        whole = [i for i, ok in enumerate(plain) if not ok]
+        for i, ids in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return out
 
@@ -108,8 +157,8 @@ def file_system(uri: str):
 
 def train_dictionary(docs: DataFrame, tokenizer_json: str, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> bytes:
     """Dictionary bytes from a bounded sample of short documents; empty if there is too little."""
-    rows = docs.filter(F.length("text") <= sample_chars).select("text", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(sample_docs)
-    texts = [r.text for r in rows.collect()]
+    rows = few_by_hash(docs.filter(F.length("text") <= sample_chars).select("text", "doc_id"), "doc_id", sample_docs, docs.count())
+    texts = [r.text for r in rows]
     samples = [x for x in PieceEncoder(tokenizer_json).encode(texts) if x] if texts else []
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=256, d=8).as_bytes()
