@@ -142,7 +142,10 @@ def filtered(pages: DataFrame, rules: list[Rule], blocked_hosts: list[str], url:
     spark: SparkSession = pages.sparkSession
     data = build_index(rules, blocked_hosts)
     name = f"url-index-{hashlib.sha256(data).hexdigest()[:20]}.bin"
-    made = os.path.join(tempfile.mkdtemp(prefix="url-index-"), name)
+    # the same content goes by the same path, which Spark takes up once
+    folder = os.path.join(tempfile.gettempdir(), f"url-index-{spark.sparkContext.applicationId}")
+    os.makedirs(folder, exist_ok=True)
+    made = os.path.join(folder, name)
     with open(made, "wb") as f:
         f.write(data)
     spark.sparkContext.addFile(made)
