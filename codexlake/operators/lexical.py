@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from codexlake.functions.text import tokens
+from codexlake.sources.stage import stored
 
 #: Fixed values.
 K1, B, TOP_K = 1.5, 0.75, 30
@@ -41,22 +42,30 @@ def tokenized(docs: DataFrame, key: str, text: str = "text", **options) -> DataF
     return out.withColumn("dl", F.size("tokens"))
 
 
-def _corpus_stats(tok: DataFrame) -> DataFrame:
-    return tok.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
-
-
-def _term_stats(postings: DataFrame, stats: DataFrame) -> DataFrame:
+def _index(docs: DataFrame, key: str, text: str, wanted: DataFrame | None, **options) -> Bm25Index:
+    """One pass over the texts and one shuffle, whose partial aggregate counts a document's words
+    before it. Of each document at least its first token goes on, as the mark that it exists."""
+    tok = tokenized(docs, key, text, **options).select("id", "dl", F.posexplode_outer("tokens").alias("pos", "term"))
+    first = F.coalesce(F.col("pos"), F.lit(0)) == 0
+    if wanted is None:
+        counted = tok.withColumn("hit", F.col("term").isNotNull())
+    else:
+        counted = tok.join(wanted.withColumn("_w", F.lit(True)), "term", "left").withColumn("hit", F.coalesce("_w", F.lit(False)))
+        counted = counted.filter(F.col("hit") | first)
+    rows = counted.groupBy("term", "id", "dl").agg(F.count_if("hit").alias("tf"), F.count_if(first).alias("docs"))
+    rows = stored(rows, "postings")
+    n = F.sum("docs")
+    stats = rows.filter("docs > 0").agg(F.coalesce(n, F.lit(0)).alias("n_docs"), F.coalesce(F.sum(F.col("docs") * F.col("dl")) / n, F.lit(0.0)).alias("avgdl"))
+    postings = rows.filter("tf > 0").select("term", "id", "dl", "tf")
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return df.crossJoin(F.broadcast(stats.select("n_docs"))).select("term", "df", idf.alias("idf"))  # one row
+    terms = df.crossJoin(F.broadcast(stats.select("n_docs"))).select("term", "df", idf.alias("idf"))  # one row
+    return Bm25Index(postings, terms, stats)
 
 
 def build(docs: DataFrame, key: str = "chunk_id", text: str = "text", **options) -> Bm25Index:
-    """The whole index. A document's words are counted before the shuffle, in the partial aggregate."""
-    tok = tokenized(docs, key, text, **options)
-    postings = tok.select("id", "dl", F.explode("tokens").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
-    stats = _corpus_stats(tok)
-    return Bm25Index(postings, _term_stats(postings, stats), stats)
+    """The whole index."""
+    return _index(docs, key, text, None, **options)
 
 
 def query_terms(queries: DataFrame, key: str = "query_id", text: str = "query", **options) -> DataFrame:
@@ -67,13 +76,8 @@ def query_terms(queries: DataFrame, key: str = "query_id", text: str = "query",
 def for_queries(docs: DataFrame, terms: DataFrame, key: str = "chunk_id", text: str = "text", **options) -> Bm25Index:
     """The part of the index that a batch of queries needs, straight from the documents: words that
     no query has go before anything is shuffled."""
-    tok = tokenized(docs, key, text, **options)
     wanted = terms.select("term").distinct()
-    wanted = F.broadcast(wanted) if terms.count() <= BROADCAST_TERMS else wanted
-    met = tok.select("id", "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
-    postings = met.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
-    stats = _corpus_stats(tok)
-    return Bm25Index(postings, _term_stats(postings, stats), stats)
+    return _index(docs, key, text, F.broadcast(wanted) if terms.count() <= BROADCAST_TERMS else wanted, **options)
 
 
 def search(index: Bm25Index, terms: DataFrame, top_k: int = TOP_K, k1: float = K1, b: float = B, digits: int = 9) -> DataFrame:

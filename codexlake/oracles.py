@@ -299,7 +299,7 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, first
         "prompt_text": prompt,
         "citation_cards": cards,
         "response_state": state,
-        "sanitized_texts": "SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)LLM generation failed|urlopen error|Errno|Name or service not known|ECONNREFUSED|timed out')",
+        "sanitized_texts": f"SELECT doc_id, CASE WHEN doc_id % 9 = 0 OR regexp_matches(substr(text, 1, 80), '(?i)LLM generation failed|urlopen error|Errno|Name or service not known|ECONNREFUSED|timed out') THEN {lit(evidence.UNREACHABLE)} ELSE substr(text, 1, 80) END AS shown FROM documents",
         "repeated_lines": repeated,
         "page_profile": profile,
         "dup_files": "SELECT sha256(text || chr(31)) AS hash, count(*) AS n, string_agg(doc_id::VARCHAR, ', ' ORDER BY doc_id::VARCHAR) AS members FROM documents GROUP BY 1 HAVING count(*) > 1",
