@@ -156,8 +156,13 @@ def held_out(key: Column) -> Column:
 def learn(docs: DataFrame, may_learn: Column, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
     """A model from the bounded sample of the rows (doc_id, text, lang) that may be learned from."""
     rows = docs.filter(may_learn & F.col("lang").isNotNull() & (F.length("text") <= sample_chars))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    rows = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample_docs)  # tasks cut groups before the shuffle
+    # hashes far above a language's n-th go first, so that no task gets more than a few times n of them
+    h = F.xxhash64("doc_id")
+    share = F.least(F.lit(1.0), F.lit(4.0 * sample_docs) / F.col("count"))
+    most = rows.groupBy("lang").count().select("lang", (share * 2.0**64 - 2.0**63).alias("most"))  # a row per language
+    near = rows.join(F.broadcast(most), "lang").filter(h.cast("double") <= F.col("most"))
+    order = Window.partitionBy("lang").orderBy(h, "doc_id", F.xxhash64("text"))
+    rows = near.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample_docs)
     got = sorted((r.lang, r.n, r.text) for r in rows.select("lang", "n", "text").collect())
     return train([t for _, _, t in got], [lang for lang, _, _ in got])
 
