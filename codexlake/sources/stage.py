@@ -16,7 +16,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: what follows is planned and run
-    without what came before, also when executors are lost."""
+    without what came before, so a lost executor costs no more than the tasks it ran. The files
+    outlive the call, as the result may be read at any time; whoever owns the folder clears it."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
