@@ -7,12 +7,13 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codexlake.sources.stage import shared_folder, stored
+
+__all__ = ["SPACE", "BROADCAST_ROWS", "documents", "few_by_hash", "new_path", "shared_folder", "small", "stored", "text_key", "words"]
+
 #: Fixed value: what separates words. A word is a run of anything else.
 SPACE = r"[\x20\x09-\x0D]+"
 
-#: Used only where the session names no shared folder, as in tests.
-OWN_FOLDER = "/tmp/checkpoints/codexlake"
-
 #: Side tables of at most so many rows may be broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -22,24 +23,10 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    return spark.conf.get("spark.checkpoint.dir", None) or OWN_FOLDER
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back, which cuts its lineage there:
-    a lost executor costs no more than the tasks it ran. The files outlive the call, as the
-    result may be read at any time; they lie below the shared folder, whose owner clears it."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a stored table for broadcast if its counted rows are within the limit."""
     return F.broadcast(df) if df.count() <= limit else df
