@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: White space as Python's str methods know it: Java's Unicode class lacks the four separators.
 _S = r"[\s\x1c-\x1f]"
+WHITE = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Line ends as Python's splitlines knows them.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 SEPARATOR = "\x1f"
@@ -26,7 +27,7 @@ EMBEDDING_LABELS = (
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)\A{_S}+|{_S}+\z", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def lines(c: Column) -> Column:

@@ -37,7 +37,9 @@ def all_of(*findings: DataFrame) -> DataFrame:
 
 def repeated_lines(pages: DataFrame, text: str = "text") -> DataFrame:
     """(document_id, line, n): lines that stand at the top or bottom of many of a document's pages."""
-    at_edge = pages.select("document_id", F.explode(head_and_tail(filled_lines(F.col(text)), MARGIN)).alias("line"))
+    filled = pages.select("document_id", filled_lines(F.col(text)).alias("l"))
+    # outer, as Spark would else filter on the array's size first and for that make it again
+    at_edge = filled.select("document_id", F.explode_outer(head_and_tail(F.col("l"), MARGIN)).alias("line")).filter("line IS NOT NULL")
     n = at_edge.groupBy("document_id", "line").agg(F.count("*").alias("n"))
     size = pages.groupBy("document_id").agg(F.count("*").alias("pages")).filter(F.col("pages") >= MIN_PAGES)
     often = F.col("n") >= F.greatest(F.lit(MIN_TIMES), F.floor(F.col("pages") * PAGE_SHARE))
