@@ -56,9 +56,9 @@ def hash_flag(c: Column) -> Column:
 
 def normalized(c: Column) -> Column:
     """Line ends and blanks made uniform, words joined that a hyphen splits over lines."""
-    c = F.translate(F.replace(c, F.lit("﻿"), F.lit("")), " ", " ")
+    c = F.replace(F.replace(c, F.lit("\ufeff"), F.lit("")), F.lit("\u00a0"), F.lit(" "))
     c = F.regexp_replace(c, "\r\n|\r", "\n")
-    c = F.regexp_replace(c, "[ \t]+", " ")
+    c = F.regexp_replace(c, "[ \t]{2,}|\t", " ")
     c = F.regexp_replace(c, "([A-Za-z])-\n([a-z])", "$1$2")
     return strip(F.regexp_replace(c, "\n{3,}", "\n\n"))
 
