@@ -120,7 +120,7 @@ a AS (
 x AS (
   SELECT query_id, id, rank, score, round(score + (coalesce(g.gain, 0) + coalesce(a.gain, 0))::DOUBLE, 12) AS b, query_id IN (SELECT query_id FROM refs UNION SELECT query_id FROM acts) AS active
   FROM hits LEFT JOIN g USING (query_id, id) LEFT JOIN a USING (query_id, id))
-SELECT query_id::BIGINT AS query_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN active THEN b END DESC NULLS LAST, rank) AS rank, id AS line_id, round(score, 6) AS hybrid_score, round(b, 6) AS boosted_score
+SELECT query_id::BIGINT AS query_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN active THEN b END DESC NULLS LAST, rank)::INTEGER AS rank, id AS line_id, round(score, 6) AS hybrid_score, round(b, 6) AS boosted_score
 FROM x"""
 
 
@@ -286,13 +286,13 @@ UNION ALL SELECT class_id, document_id, n_pages, 1.0 FROM k WHERE document_id <>
         "rrf_fusion": f"""{BM}, {dense("true")},
 two AS (SELECT 0 AS l, query_id, id, rank FROM bm UNION ALL SELECT 1, query_id, id, rank FROM de),
 f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS s, min(l * 1000000 + rank) AS first, max(rank) FILTER (l = 0) AS bm25_rank, max(rank) FILTER (l = 1) AS dense_rank FROM two GROUP BY ALL)
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, first) AS rank, id AS doc_id, bm25_rank, dense_rank, round(s, 6) AS hybrid_score FROM f QUALIFY rank <= {HYBRID_K}""",
-        "fusion_bm25_only": f"{BM} SELECT query_id, rank, id AS doc_id, rank AS bm25_rank, NULL::INTEGER AS dense_rank, round(score, 6) AS hybrid_score FROM bm",
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY s DESC, first))::INTEGER AS rank, id AS doc_id, bm25_rank::INTEGER AS bm25_rank, dense_rank::INTEGER AS dense_rank, round(s, 6) AS hybrid_score FROM f QUALIFY rank <= {HYBRID_K}""",
+        "fusion_bm25_only": f"{BM} SELECT query_id, rank::INTEGER AS rank, id AS doc_id, rank::INTEGER AS bm25_rank, NULL::INTEGER AS dense_rank, round(score, 6) AS hybrid_score FROM bm",
         "query_analysis": analysis(),
         "metadata_filter": "SELECT doc_id, quality, toxic FROM documents LEFT JOIN labels USING (doc_id) WHERE coalesce(quality = 1, true) AND coalesce(toxic = 0, true)",
         "reference_boost": boosted(),
-        "rerank_overlap": f"{PACK} SELECT query_id, rank, id AS doc_id, round(rerank_score, 6) AS rerank_score FROM pack",
-        "rerank_passthrough": f"{BM} SELECT query_id, rank, id AS doc_id, round(score, 6) AS hybrid_score FROM bm WHERE rank <= {RERANK_K}",
+        "rerank_overlap": f"{PACK} SELECT query_id, rank::INTEGER AS rank, id AS doc_id, round(rerank_score, 6) AS rerank_score FROM pack",
+        "rerank_passthrough": f"{BM} SELECT query_id, rank::INTEGER AS rank, id AS doc_id, round(score, 6) AS hybrid_score FROM bm WHERE rank <= {RERANK_K}",
         "evidence_pack": f"{PACK} SELECT query_id, citation_id, id AS doc_id, round(hybrid_score, 6) AS hybrid_score, round(rerank_score, 6) AS rerank_score FROM pack",
         "grounding_gate": f"{GATE.format(0.9)} SELECT query_id, round(top_score, 6) AS top_score, confidence, confidence NOT IN ('none', 'low') AS grounded FROM gate",
         "extractive_answer": gated,
