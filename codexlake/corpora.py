@@ -76,9 +76,10 @@ def statute_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return files.withColumn("source_sha256", F.sha2("relative_path", 256)), pages
 
 
-def queries(spark: SparkSession, sf_dir: str, words: int = 6) -> DataFrame:
-    """(query_id, query): the first words of every ASCII benchmark item."""
-    x = table(spark, sf_dir, "benchmark").filter(is_ascii(F.col("text")))
+def queries(spark: SparkSession, sf_dir: str, words: int = 6, ascii_only: bool = True) -> DataFrame:
+    """(query_id, query): the first words of every (ASCII) benchmark item."""
+    x = table(spark, sf_dir, "benchmark")
+    x = x.filter(is_ascii(F.col("text"))) if ascii_only else x
     return x.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split(F.regexp_replace("text", "\\s+", " "), " "), 1, words), " ").alias("query"))
 
 

@@ -158,15 +158,15 @@ def described() -> str:
     any_of = lambda c, ps: "(" + " OR ".join(f"regexp_matches({c}, {lit(re2(p[1:]))})" if p[0] == "~" else f"contains({c}, {lit(p)})" for p in ps) + ")"
     rules = [(k, tuple(p.replace(r"\z", "$") for p in ps)) for k, ps in metadata.TYPE_RULES]
     types = " ".join(f"WHEN {any_of('ev', ps)} THEN {lit(k)}" for k, ps in rules)
-    domains = ", ".join(f"CASE WHEN {any_of('ev', ps)} THEN {lit(k)} END" for k, ps in metadata.DOMAIN_RULES)
+    domains = ", ".join(f"CASE WHEN {any_of('ev2', ps)} THEN {lit(k)} END" for k, ps in metadata.DOMAIN_RULES)
     places, phrases = (*metadata.COLLECTIONS, "Other"), PHRASES
     inside = lambda names: ", ".join(map(lit, names))
     return rf"""
 WITH d AS (
-  SELECT doc_id, [{inside(places)}][(doc_id % {len(places)})::INTEGER + 1] AS place, 'x' || chr(10) || [{inside(phrases)}][(doc_id % {len(phrases)})::INTEGER + 1] || chr(10) || substr(text, 1, 400) AS t
+  SELECT doc_id, [{inside(places)}][(doc_id % {len(places)})::INTEGER + 1] AS place, 'x' || chr(10) || [{inside(phrases)}][(doc_id % {len(phrases)})::INTEGER + 1] || chr(10) || text AS t
   FROM documents WHERE {ASCII}),
 e AS (
-  SELECT *, 'file_' || doc_id || '.pdf' AS filename, lower('file_' || doc_id || '.pdf' || chr(10) || t) AS ev, lower(t) AS head,
+  SELECT *, 'file_' || doc_id || '.pdf' AS filename, lower('file_' || doc_id || '.pdf' || chr(10) || substr(t, 1, 5000)) AS ev, lower('file_' || doc_id || '.pdf' || chr(10) || substr(t, 1, 10000)) AS ev2, lower(substr(t, 1, 5000)) AS head,
     list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: length(x) BETWEEN 8 AND 180)[1:40] AS usable FROM d),
 f AS (SELECT *, CASE WHEN place IN ({inside(metadata.INTERNATIONAL)}) THEN 'International' WHEN contains(ev, 'india') OR place IN ({inside(metadata.NATIONAL)}) THEN 'India' END AS jurisdiction FROM e)
 SELECT doc_id, sha256('corpus' || chr(31) || place || chr(31) || place || '/' || filename || chr(31)) AS document_id,
@@ -299,7 +299,7 @@ SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY s DESC, firs
         "prompt_text": prompt,
         "citation_cards": cards,
         "response_state": state,
-        "sanitized_texts": f"SELECT doc_id, CASE WHEN doc_id % 9 = 0 OR regexp_matches(substr(text, 1, 80), '(?i)LLM generation failed|urlopen error|Errno|Name or service not known|ECONNREFUSED|timed out') THEN {lit(evidence.UNREACHABLE)} ELSE substr(text, 1, 80) END AS shown FROM documents",
+        "sanitized_texts": f"SELECT doc_id, CASE WHEN doc_id % 9 = 0 OR regexp_matches(text, '(?i)LLM generation failed|urlopen error|Errno|Name or service not known|ECONNREFUSED|timed out') THEN {lit(evidence.UNREACHABLE)} ELSE text END AS shown FROM documents",
         "repeated_lines": repeated,
         "page_profile": profile,
         "dup_files": "SELECT sha256(text || chr(31)) AS hash, count(*) AS n, string_agg(doc_id::VARCHAR, ', ' ORDER BY doc_id::VARCHAR) AS members FROM documents GROUP BY 1 HAVING count(*) > 1",

@@ -2,6 +2,7 @@
 
 import glob
 import math
+import re
 from collections import Counter
 
 import duckdb
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from codexlake import catalog, oracles
+from codexlake.functions.text import TOKEN
 from codexlake.operators import audit, evidence, fusion, lexical, vectors
 from codexlake.sources import files
 from codexlake.streaming import live
@@ -33,6 +35,24 @@ def test_bm25_by_hand(spark, tmp_path):
     assert lexical.search(lexical.for_queries(docs, lexical.query_terms(qs)), lexical.query_terms(qs)).collect() == got
 
 
+def test_bm25_in_all_alphabets_equals_brute_force(spark):
+    words = lambda t: [m.group(0).lower() for m in re.finditer(TOKEN.replace("(?iuU)", ""), t, re.I)]
+    docs = {r.doc_id: words(r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    asked = {r.query_id: words(r.query) for r in catalog.corpora.queries(spark, SF, ascii_only=False).collect()}
+    counts, n, avg = {d: Counter(w) for d, w in docs.items()}, len(docs), sum(map(len, docs.values())) / len(docs)
+    df = Counter(t for c in counts.values() for t in c)
+    want = set()
+    for q, terms in asked.items():
+        scores = {}
+        for d, c in counts.items():
+            s = sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.5 / (c[t] + 1.5 * (0.25 + 0.75 * len(docs[d]) / avg)) for t in terms if c[t])
+            if round(s, 9) > 0:
+                scores[d] = round(s, 9)
+        want |= {(q, i + 1, d, round(s, 6)) for i, (d, s) in enumerate(sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:10])}
+    got = {(r.query_id, r.rank, r.doc_id, round(r.score, 6)) for r in catalog.bm25_topk_all(spark, SF).collect()}
+    assert sorted(got - want) == sorted(want - got) == []
+
+
 def test_fusion(spark):
     a = spark.createDataFrame([(1, "c1", 1, 9.0), (1, "c2", 2, 8.0)], HITS)
     b = spark.createDataFrame([(1, "c2", 1, 0.9), (1, "c3", 2, 0.8)], HITS)
