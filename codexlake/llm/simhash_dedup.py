@@ -147,6 +147,14 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
 
 
+def rows_named(docs: DataFrame, kept: DataFrame, key: str, text: str) -> DataFrame:
+    """The input's rows that ``least`` of ``kept`` names by id and text hash; of repeated rows one."""
+    name = lambda i, h: F.struct(i.alias("id"), h.alias("hash")).alias("key")  # noqa: E731  structs with null fields are equal
+    kept = kept.select(name(F.col("least.id"), F.col("least.hash")))
+    rows = docs.select(F.struct("*").alias("row"), name(F.col(key), text_key(F.col(text))))
+    return rows.join(kept, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
+
+
 def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The input's rows, columns unchanged, one for each group: that with the smallest id
     (null ids last; among equal ids that with the least text hash; of repeated rows one)."""
@@ -155,7 +163,4 @@ def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "hash")
     least = prints.groupBy("fingerprint").agg(F.min(order).alias("least"))
     kept = least.join(groups(prints), "fingerprint").groupBy("root").agg(F.min("least").alias("least"))
-    name = lambda i, h: F.struct(i.alias("id"), h.alias("hash")).alias("key")  # noqa: E731  structs with null fields are equal
-    kept = kept.select(name(F.col("least.id"), F.col("least.hash")))
-    rows = docs.select(F.struct("*").alias("row"), name(F.col(key), text_key(F.col(text))))
-    return rows.join(kept, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
+    return rows_named(docs, kept, key, text)

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from codexlake.llm import chat_format, decontaminate, html_extract, language_id, quality_rules, queries, secret_scan, shared, simhash_dedup, source_mix, token_output, url_filter
+from codexlake.llm import chat_format, decontaminate, html_extract, language_id, near_dedup, quality_rules, queries, secret_scan, shared, simhash_dedup, source_mix, token_output, url_filter
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long, fingerprint string, kept boolean, row string, `key` string, hash string"
@@ -100,6 +100,58 @@ def test_one_of_each_group_keeps_columns(spark):
     assert 0 in ids and 1 not in ids and ids.count(None) == 2
 
 
+def brute_near(rows):
+    """Ids kept, one of each group of texts whose sets of five-word shingles are 0.8 similar."""
+    sets = []
+    for _, t in rows:
+        w = tokens((t or "").lower())
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)})
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                root[find(i)] = find(j)
+    return sorted({find(i): min(rows[j][0] for j in range(len(rows)) if find(j) == find(i)) for i in range(len(rows))}.values())
+
+
+def near_rows():
+    """Changed words at every distance around 0.8, one large group of near-copies, a passage in most texts."""
+    rng = random.Random(7)
+    make = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    passage, texts = make(30), []
+    for i in range(12):
+        base = make(60 + 10 * i)
+        texts += [base] + [[f"x{k}" if k % (20 * j) == 7 else w for k, w in enumerate(base)] for j in range(1, 6)] + [base[: len(base) * 4 // 5 + 1], base + make(12)]
+    core = make(100)
+    texts += [[*core[:at], f"y{at}", *core[at + 1 :]] for at in range(80)]
+    texts += [make(40) + passage + make(40) for _ in range(60)] + [passage + make(k) for k in range(8)]
+    rows = [" ".join(t) for t in texts]
+    return [(i, t) for i, t in enumerate([*rows, rows[3], rows[3].upper(), None, "", " ", "one two", "One  two", "a b c d e"])]
+
+
+@pytest.mark.parametrize("few", [4, near_dedup.FEW])
+def test_near_duplicates_equal_brute_force_jaccard(spark, few, monkeypatch):
+    monkeypatch.setattr(near_dedup.similar_groups, "__defaults__", (few,))
+    rows = near_rows()
+    table = docs(spark, rows)
+    got = near_dedup.one_of_each_group(table)
+    assert got.columns == table.columns
+    assert sorted(r.doc_id for r in got.collect()) == brute_near(rows)
+
+
+def test_pipeline_drops_texts_that_are_similar_at_0_8(spark):
+    import corpus_pipeline
+
+    rows = near_rows()[:8]
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_copies(spark, docs(spark, rows), SF).collect()) == brute_near(rows)
+
+
 # -- 2
 
 
