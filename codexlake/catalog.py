@@ -63,6 +63,13 @@ def dense_topk(s: SparkSession, d: str) -> DataFrame:
     return _dense(s, d).select("query_id", "rank", F.col("id").alias("vec_id"), _r("score"))
 
 
+def dense_topk_all(s: SparkSession, d: str) -> DataFrame:
+    """Queries that grow with the table: every vector whose id is divisible by 50."""
+    x = table(s, d, "embeddings")
+    asked = x.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vectors.search(x, asked, DENSE_K).select("query_id", "rank", F.col("id").alias("vec_id"), _r("score"))
+
+
 def dense_topk_filtered(s: SparkSession, d: str) -> DataFrame:
     return _dense(s, d, {"label": [1, 3, 5]}).select("query_id", "rank", F.col("id").alias("vec_id"), _r("score"))
 
@@ -420,7 +427,7 @@ def answer_batch(s: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     own = (
-        bm25_topk, bm25_topk_all, bm25_term_stats, content_hash, token_counts, dense_topk, dense_topk_filtered, rrf_fusion, fusion_bm25_only, query_analysis, metadata_filter,
+        bm25_topk, bm25_topk_all, bm25_term_stats, content_hash, token_counts, dense_topk, dense_topk_all, dense_topk_filtered, rrf_fusion, fusion_bm25_only, query_analysis, metadata_filter,
         reference_boost, rerank_overlap, rerank_passthrough, evidence_pack, grounding_gate, extractive_answer, prompt_text, citation_cards, response_state, sanitized_texts,
         repeated_lines, page_profile, page_clean, dup_files, dup_pages_within, dup_pages_across, doc_page_classes, doc_collisions, dup_chunks, document_findings,
         severity_counts, doc_status, manifest_totals, page_counts, page_findings, manifest_hashes, line_classes, structure_context, page_structure, structural_blocks, doc_metadata, chunks, chunk_rollup, ingest_findings, embedding_text,

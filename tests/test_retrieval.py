@@ -199,3 +199,22 @@ def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.columns == ["query_id", "answer", "confidence", "grounded"] and df.count() == 5
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_dense_search_in_blocks_takes_all_queries(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(vectors, "MAX_QUERIES", 2)
+    path = "/root/testdata/sf0.001"
+    from codexlake import catalog
+
+    rows = spark.read.parquet(f"{path}/embeddings.parquet").select("vec_id", "embedding").collect()
+    m = np.array([r.embedding for r in rows], np.float64)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    want = set()
+    for i, r in enumerate(rows):
+        if r.vec_id % 50 == 0:
+            near = sorted((-x, o.vec_id) for x, o in zip(np.round(m @ m[i], 9), rows, strict=True))[:10]
+            want |= {(r.vec_id, k, v) for k, (_, v) in enumerate(near, 1)}
+    got = [(x.query_id, x["rank"], x.vec_id) for x in catalog.dense_topk_all(spark, path).collect()]
+    assert len(got) == len(want) and set(got) == want and len({q for q, *_ in got}) > 2
