@@ -2,9 +2,14 @@
 
 Fixed base rules come first. What passes them is summed up, per language and source, in
 quantile sketches of three measures, and each document is then held against the fences of its own
-group. A sketch is a table of counts by bucket (five leading binary digits of the value, so a
-bucket is within 1/16 of every value in it). Sketches merge by adding counts: groups too small for
-a threshold of their own use the merged sketch of their language, or of all documents.
+group: three times the distance of the quartiles beyond them. Up to a quarter of a group may be
+bad without moving its fences. Where quartiles fall together their distance is one bucket, the
+least that the sketch can tell apart. A sketch is a table of counts by bucket (seven leading binary
+digits of the value, so a bucket is within 1/64 of every value in it). Sketches merge by adding
+counts: groups too small for a threshold of their own use the merged sketch of their language, or of all documents.
+
+A rate of a short text says little: one symbol in fifty words is 20 in a thousand. So ``FREE`` of a
+text's symbols and repeated lines are left out before its rate is held against the fence.
 
 Defined results: null, empty or blank text has zero words and fails the base rules; null
 language or source is a group like any other; repeated rows are judged alike and all kept or all
@@ -25,11 +30,12 @@ MAX_REPEAT_PERCENT = 50
 SYMBOLS = "[#*$%&|<>]"
 #: A group with fewer documents than this uses its language's sketch, or that of all documents.
 MIN_GROUP = 100
-#: A value is too far out beyond its quartile by this many times the quartiles' distance ...
+#: A value is too far out beyond its quartile by more than so many times the quartiles' distance.
 REACH = 3
-#: ... or by this much, whichever is more: symbols per 1000 words, hundredths of a character
-#: per word, repeated lines per 1000 lines.
-SLACK = {"symbol_rate": 100, "word_length": 300, "line_rate": 500}
+#: Leading binary digits of a value that a sketch keeps.
+DIGITS = 7
+#: Symbols and repeated lines of a text that are not counted against it.
+FREE = 2
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -74,19 +80,25 @@ def base_failed() -> Column:
     return (n < MIN_WORDS) | (100 * repeat > MAX_REPEAT_PERCENT * n)
 
 
-def rates() -> dict[str, Column]:
-    """The three measures as whole numbers."""
+def rates(free: int = 0) -> dict[str, Column]:
+    """The three measures as whole numbers: symbols per 1000 words, hundredths of a character per
+    word, repeated lines per 1000 lines; without the first ``free`` symbols and repeated lines."""
     return {
-        "symbol_rate": F.expr("1000 * _q.n_symbols div greatest(_q.n_words, 1)"),
+        "symbol_rate": F.expr(f"1000 * greatest(_q.n_symbols - {free}, 0) div greatest(_q.n_words, 1)"),
         "word_length": F.expr("100 * _q.word_chars div greatest(_q.n_words, 1)"),
-        "line_rate": F.expr("1000 * _q.n_dup_lines div greatest(_q.n_lines, 1)"),
+        "line_rate": F.expr(f"1000 * greatest(_q.n_dup_lines - {free}, 0) div greatest(_q.n_lines, 1)"),
     }
 
 
+def width(value: Column) -> Column:
+    """The width of the value's bucket."""
+    shift = F.greatest(F.length(F.bin(value)) - DIGITS, F.lit(0))
+    return F.call_function("shiftleft", F.lit(1).cast("long"), shift)
+
+
 def bucket(value: Column) -> Column:
-    """The value with all but its five leading binary digits cleared."""
-    shift = F.greatest(F.length(F.bin(value)) - 5, F.lit(0))
-    return F.call_function("shiftleft", F.call_function("shiftright", value, shift), shift)
+    """The value with all but its leading binary digits cleared."""
+    return value - value % width(value)
 
 
 def sketches(measured: DataFrame) -> DataFrame:
@@ -98,7 +110,7 @@ def sketches(measured: DataFrame) -> DataFrame:
 def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, measure, n, q1, q3) from the sketches merged to the keys."""
     merged = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
-    group = Window.partitionBy(*keys, "measure")  # at most a few hundred buckets each
+    group = Window.partitionBy(*keys, "measure")  # at most 64 buckets to each doubling of the value
     ranked = merged.withColumns({"below": F.sum("n").over(group.orderBy("bucket")), "all": F.sum("n").over(group)})
     q = lambda k: F.min(F.when(4 * F.col("below") >= k * F.col("all"), F.col("bucket")))
     return ranked.groupBy(*keys, "measure").agg(F.max("all").alias("n"), q(1).alias("q1"), q(3).alias("q3"))
@@ -115,10 +127,9 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     )
     pick = lambda c: F.when(F.col("o.n") >= MIN_GROUP, F.col(f"o.{c}")).when(F.col("l.n") >= MIN_GROUP, F.col(f"l.{c}")).otherwise(F.col(f"w.{c}"))
     x = x.select(F.col("o.lang").alias("lang"), F.col("o.source").alias("source"), F.col("o.measure").alias("measure"), pick("q1").alias("q1"), pick("q3").alias("q3"))
-    slack = F.element_at(F.create_map(*[F.lit(y) for kv in SLACK.items() for y in kv]), F.col("measure"))
-    reach = F.greatest(REACH * (F.col("q3") - F.col("q1")), slack)
+    reach = REACH * F.greatest(F.col("q3") - F.col("q1"), width(F.col("q3")))
     at = lambda k, v: F.max(F.when(F.col("measure") == k, v))
-    return x.groupBy("lang", "source").agg(*[at(k, F.col("q3") + reach).alias(f"{k}_high") for k in SLACK], at("word_length", F.col("q1") - reach).alias("word_length_low"))
+    return x.groupBy("lang", "source").agg(*[at(k, F.col("q3") + reach).alias(f"{k}_high") for k in rates()], at("word_length", F.col("q1") - reach).alias("word_length_low"))
 
 
 def judged(measured: DataFrame, limits: DataFrame) -> DataFrame:
@@ -128,7 +139,7 @@ def judged(measured: DataFrame, limits: DataFrame) -> DataFrame:
     limits = limits.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.struct(*names).alias("_t"))
     same = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
     fits = F.lit(True)
-    for k, v in rates().items():
+    for k, v in rates(FREE).items():
         fits = fits & (v <= F.col(f"_t.{k}_high"))
     fits = fits & (rates()["word_length"] >= F.col("_t.word_length_low"))
     kept = ~F.col("_base") & F.coalesce(fits, F.lit(False))

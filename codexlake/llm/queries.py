@@ -102,7 +102,8 @@ m AS (
   FROM d LEFT JOIN line_counts USING (r) LEFT JOIN covered USING (r)),
 j AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-    1000 * n_symbols // greatest(n_words, 1) AS symbol_rate, 100 * word_chars // greatest(n_words, 1) AS word_length, 1000 * n_dup_lines // greatest(n_lines, 1) AS line_rate
+    1000 * n_symbols // greatest(n_words, 1) AS symbol_rate, 100 * word_chars // greatest(n_words, 1) AS word_length, 1000 * n_dup_lines // greatest(n_lines, 1) AS line_rate,
+    1000 * greatest(n_symbols - 2, 0) // greatest(n_words, 1) AS symbol_rate_2, 1000 * greatest(n_dup_lines - 2, 0) // greatest(n_lines, 1) AS line_rate_2
   FROM m),
 v AS (
   SELECT lang, source, 'symbol_rate' AS measure, symbol_rate AS x FROM j WHERE NOT base_failed
@@ -110,7 +111,7 @@ v AS (
   UNION ALL SELECT lang, source, 'line_rate', line_rate FROM j WHERE NOT base_failed),
 b AS (
   SELECT lang, source, measure, ((x::BIGINT) >> s) << s AS bucket, count(*) AS n
-  FROM (SELECT *, greatest(length(bin(x::BIGINT)) - 5, 0)::INTEGER AS s FROM v) GROUP BY ALL),
+  FROM (SELECT *, greatest(length(bin(x::BIGINT)) - 7, 0)::INTEGER AS s FROM v) GROUP BY ALL),
 own AS (
   SELECT lang, source, measure, max(a) AS n, min(CASE WHEN 4 * below >= a THEN bucket END) AS q1, min(CASE WHEN 4 * below >= 3 * a THEN bucket END) AS q3
   FROM (SELECT lang, source, measure, bucket, sum(n) OVER (PARTITION BY lang, source, measure ORDER BY bucket) AS below, sum(n) OVER (PARTITION BY lang, source, measure) AS a FROM b) GROUP BY ALL),
@@ -129,14 +130,14 @@ q AS (
   FROM own o JOIN by_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.measure = l.measure JOIN whole w ON o.measure = w.measure),
 f AS (
   SELECT lang, source, measure, q1 - reach AS low, q3 + reach AS high
-  FROM (SELECT *, greatest(3 * (q3 - q1), CASE measure WHEN 'symbol_rate' THEN 100 WHEN 'word_length' THEN 300 ELSE 500 END) AS reach FROM q)),
+  FROM (SELECT *, 3 * greatest(q3 - q1, 1::BIGINT << greatest(length(bin(q3::BIGINT)) - 7, 0)::INTEGER) AS reach FROM q)),
 t AS (
   SELECT lang, source, max(high) FILTER (measure = 'symbol_rate') AS sh, max(high) FILTER (measure = 'word_length') AS wh,
     max(low) FILTER (measure = 'word_length') AS wl, max(high) FILTER (measure = 'line_rate') AS lh
   FROM f GROUP BY ALL)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-  NOT base_failed AND coalesce(symbol_rate <= sh AND word_length <= wh AND word_length >= wl AND line_rate <= lh, false) AS kept
+  NOT base_failed AND coalesce(symbol_rate_2 <= sh AND word_length <= wh AND word_length >= wl AND line_rate_2 <= lh, false) AS kept
 FROM j LEFT JOIN t ON j.lang IS NOT DISTINCT FROM t.lang AND j.source IS NOT DISTINCT FROM t.source
 """
 
