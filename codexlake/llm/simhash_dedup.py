@@ -92,6 +92,8 @@ def links(prints: DataFrame) -> DataFrame:
     tag = lambda k, key: key.bitwiseOR(F.lit(k << 48))
     entries = F.array(*[tag(k, key) for k, key in enumerate(kinds)])
     balls = F.flatten(F.array(*[_raised(tag(k, key), *f) for k, key in enumerate(kinds) for f in flips[k]]))
+    # so few bytes that they would be put together in a few tasks, each row of which makes 50 more
+    prints = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fingerprint")
     table = prints.select(F.explode(entries).alias("key"), x.alias("v"))
     lookups = prints.select(F.explode(F.concat(entries, balls)).alias("key"), x.alias("u"))
     met = lookups.join(table, "key").filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))).between(1, RADIUS))
@@ -99,7 +101,8 @@ def links(prints: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(node, root) for every node of the edges (u, v): root is its component's least node.
+    """(node, root) for the nodes of the edges (u, v): root is their component's least node, which
+    has no row itself.
 
     Alternates large-star and small-star steps, each an aggregate and a join, until the edges
     no longer change. No node's neighbours are ever gathered; every round's edges are stored.
