@@ -4,25 +4,33 @@ A document holds an item if a window of as many words as the item has, is at lea
 similar to it: shingles of five lower-cased words, weighted by how often they occur, least
 weights over greatest. In turn:
 
-1. Windows. A window that is similar to an item shares a shingle with it, and moving it on to
+1. Places. A window that is similar to an item shares a shingle with it, and moving it on to
    its first shared shingle loses none. So the windows that start at a shingle of any item (or
    end with the text, if it is too short from there) are all that is needed. Shingles meet the
-   items' in a broadcast join, row by row and without a shuffle.
-2. Fingerprints. Each window and item gets a 64-bit SimHash of its shingles.
-3. Candidates. Two fingerprints within ``RADIUS`` bits agree in one of ``RADIUS + 1`` blocks of bits;
-   windows meet items of their length on equal blocks, and pairs beyond the radius go.
-   At similarity 0.8 fingerprints differ in 9.7 bits on average, with a deviation of 2.9; the radius
-   is 3.5 deviations further out.
-4. Verification. The weighted similarity itself decides.
+   items' in a broadcast join, row by row and without a shuffle; more shingles than may be
+   broadcast are met in blocks, one after the other.
+2. Windows are cut out of the few documents that have such places.
+3. Fingerprints. Each window and item gets a 128-bit SimHash of its shingles.
+4. Index. Of two fingerprints within ``RADIUS`` = 34 bits, one of the first five of eight segments of 16
+   bits is within three, or one of the last three within four: else they'd differ in 5 x 4 + 3 x 5 = 35. Items
+   enumerate the ball of radius 2 around each segment, windows one of radius 1 or 2, and they meet
+   where balls do; pairs beyond the radius go.
+   At similarity 0.8 fingerprints differ in 19.4 bits on average, with a deviation of 4.1; the radius
+   is 3.6 deviations further out. Of random pairs one in ten meets and one in 10^8 is within the radius.
+5. Verification. The weighted similarity itself decides.
 
 Defined results: null, empty or blank texts and items hold nothing; with fewer than five words
-the whole sequence is the one shingle; repeated rows count once; an empty table gives an empty
-result; other columns are passed on by ``clean_documents`` as they are; null ids are ids.
+the whole sequence is the one shingle, so an item of up to four words is held only by a text that
+consists of it (a window of so few words would be met by chance); repeated rows count once; an empty
+table gives an empty result; other columns are passed on by ``clean_documents`` as they are; null
+ids are ids; texts and items may have any length.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,9 +40,15 @@ from codexlake.llm.shared import small, stored, text_key, words
 SHINGLE = 5
 #: Similarity of 4/5 as whole numbers.
 SIMILAR = (4, 5)
-RADIUS = 20
+RADIUS = 34
+#: Radius of the balls around each of a fingerprint's segments of 16 bits, on both sides.
+ITEM_BALLS, WINDOW_BALLS = (2,) * 8, (1,) * 5 + (2,) * 3
 #: Shingles of a text that go on as one row.
 PART = 512
+#: Shingles of items that are broadcast at once, 24 bytes each.
+BROADCAST_SHINGLES = 1_000_000
+#: Entries of the items' index that may be broadcast, 40 bytes each.
+BROADCAST_ENTRIES = 1_000_000
 #: Counters of 16 bits share a long; one bit is needed for comparing, one for the sign.
 MOST_SHINGLES = (1 << 14) - 1
 
@@ -52,23 +66,45 @@ def _adder(k: int, lanes: Column) -> Callable[[Column, Column], Column]:
 
 
 def simhash(hashes: Column) -> Column:
-    """64-bit majority of an array of hashes, at most ``MOST_SHINGLES``. Bits k, k + 16, k + 32
-    and k + 48 are counted at once, in four counters within one long."""
+    """64-bit majority of an array of hashes. Bits k, k + 16, k + 32 and k + 48 are counted at
+    once, in four counters within one long, if those can count so far."""
     lanes = F.lit(0x0001000100010001)
     past = F.floor(F.size(hashes) / 2) + 1
-    out = F.lit(0).cast("long")
+    few = F.lit(0).cast("long")
     counts = [F.aggregate(hashes, F.lit(0).cast("long"), _adder(k, lanes)) for k in range(16)]
     for k, count in enumerate(counts):
         over = F.shiftright(count + lanes * (F.lit(1 << 14) - past), 14).bitwiseAND(lanes)
-        out = out.bitwiseOR(F.shiftleft(over, k))
+        few = few.bitwiseOR(F.shiftleft(over, k))
+    many = F.lit(0).cast("long")
+    for k in range(64):
+        ones = F.aggregate(hashes, F.lit(0).cast("long"), _adder(k, F.lit(1)))
+        many = many.bitwiseOR(F.when(2 * ones > F.size(hashes), F.shiftleft(F.lit(1).cast("long"), k)).otherwise(F.lit(0)))
+    out = F.when(F.size(hashes) <= MOST_SHINGLES, few).otherwise(many)
     return F.coalesce(out, F.lit(0).cast("long"))  # never null, so no filter on it is put below a join
 
 
-def blocks() -> list[int]:
-    """Masks that split 64 bits into RADIUS + 1 runs."""
-    edges = [64 * i // (RADIUS + 1) for i in range(RADIUS + 2)]
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    return [signed((1 << b) - (1 << a)) for a, b in zip(edges, edges[1:], strict=False)]
+def prints(hashes: Column) -> Column:
+    """A 128-bit SimHash: that of the shingles, and that of their hashes hashed again."""
+    return F.array(simhash(hashes), simhash(F.transform(hashes, lambda h: F.xxhash64(h))))
+
+
+def ball(radius: int) -> Column:
+    """All masks of 16 bits with at most so many bits set."""
+    return F.array(*[F.lit(sum(1 << b for b in bits)) for r in range(radius + 1) for bits in combinations(range(16), r)])
+
+
+def segments(prints_: Column, radii: tuple[int, ...]) -> Column:
+    """Keys (segment and a value in the ball around its own) of a fingerprint."""
+    part = lambda i: F.shiftrightunsigned(F.get(prints_, F.lit(i // 4)), 16 * (i % 4)).bitwiseAND(F.lit(0xFFFF)).cast("int")
+    return F.flatten(F.array(*[F.transform(ball(r), _around(i, part(i))) for i, r in enumerate(radii)]))
+
+
+def _around(segment: int, value: Column) -> Callable[[Column], Column]:
+    return lambda m: value.bitwiseXOR(m).bitwiseOR(F.lit(segment << 16))
+
+
+def distance(a: Column, b: Column) -> Column:
+    return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in (0, 1)), F.lit(0))
 
 
 def shared_weight(a: Column, b: Column) -> Column:
@@ -82,52 +118,66 @@ def shared_weight(a: Column, b: Column) -> Column:
 def item_table(items: DataFrame) -> DataFrame:
     """(item_id, n_words, item_shingles, item_print), stored; items without words are left out."""
     x = items.select("item_id", words(F.lower("text")).alias("w")).withColumns({"n_words": F.size("w"), "item_shingles": shingles(F.col("w"))})
-    x = x.filter("n_words > 0").drop("w")
-    too_long = F.raise_error(F.concat(F.lit("more shingles than can be counted in item "), F.col("item_id").cast("string")))
-    return stored(x.withColumn("item_print", F.when(F.size("item_shingles") <= MOST_SHINGLES, simhash(F.col("item_shingles"))).otherwise(too_long.cast("long"))), "items")
+    return stored(x.filter("n_words > 0").drop("w").withColumn("item_print", prints(F.col("item_shingles"))), "items")
+
+
+def places(text: DataFrame, items: DataFrame) -> DataFrame:
+    """(name, n_words, start), stored: of (name, all), where windows as long as an item start at a
+    shingle of that item. Nothing but one shingle at a time is joined."""
+    first = stored(items.select("n_words", F.explode("item_shingles").alias("shingle")).distinct(), "item-shingles")
+    blocks = max(1, -(-first.count() // BROADCAST_SHINGLES))
+    one = text.select("name", F.size("all").alias("total"), F.posexplode_outer("all").alias("i", "shingle"))
+    n = F.greatest(F.lit(1), F.col("n_words") - (SHINGLE - 1))
+    start = F.greatest(F.lit(0), F.least(F.col("i"), F.col("total") - n))
+    block = F.pmod(F.xxhash64("shingle"), F.lit(blocks))
+    met = [one.join(F.broadcast(first.filter(block == k)), "shingle").select("name", "n_words", start.alias("start")) for k in range(blocks)]
+    parts = [stored(x.distinct(), "places") for x in met]
+    return parts[0] if blocks == 1 else stored(reduce(DataFrame.union, parts).distinct(), "places")
 
 
 def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, hash, n_words, start, window): all windows as long as an item that start at a
-    shingle of that item; n_words is the item's."""
-    first = items.select("n_words", F.explode("item_shingles").alias("shingle")).distinct()
-    first = small(stored(first, "item-shingles"))
-    reach = items.agg(F.max(F.size("item_shingles"))).first()[0] or 1
-    text = docs.select("doc_id", text_key(F.col("text")).alias("hash"), words(F.lower("text")).alias("w"))
-    text = text.select("doc_id", "hash", shingles(F.col("w")).alias("all"))
-    # a long text goes on in parts, each with a margin of the longest window on both sides
-    base = lambda at: F.greatest(F.lit(0), at - reach)
-    part = lambda at: F.struct(at.alias("first"), base(at).alias("base"), F.size("all").alias("total"), F.slice("all", base(at) + 1, PART + 2 * reach).alias("part"))
-    parts = F.transform(F.when(F.size("all") > 0, F.sequence(F.lit(0), F.size("all") - 1, F.lit(PART))), part)
-    # outer, as Spark would else filter on an array's size first and for that make it again
-    text = text.select("doc_id", "hash", F.explode_outer(parts).alias("p")).select("doc_id", "hash", "p.*")
-    core = F.slice("part", F.col("first") - F.col("base") + 1, PART)
-    met = text.select("*", F.posexplode_outer(core).alias("i", "shingle")).join(first, "shingle")
+    """(name, n_words, start, window) of documents named by a struct of id and text hash."""
+    name = F.struct("doc_id", text_key(F.col("text")).alias("hash")).alias("name")
+    # words and shingles are columns of their own: within an expression they'd be made for each place
+    text = docs.select(name, words(F.lower("text")).alias("w"))
+    at = places(text.select("name", shingles(F.col("w")).alias("all")), items)
+    reach = at.groupBy("name").agg(F.greatest(F.lit(1), F.max("n_words") - (SHINGLE - 1)).alias("reach"))
+    # a long text goes on in parts, each with a margin as long as its own longest window
+    base = lambda p: F.greatest(F.lit(0), p - F.col("reach"))
+    part = lambda p: F.struct((p / PART).cast("int").alias("part"), base(p).alias("base"), F.slice("all", base(p) + 1, PART + 2 * F.col("reach")).alias("shingles"))
+    some = text.join(small(stored(reach, "reaches")), "name").select("name", "reach", shingles(F.col("w")).alias("all"))
+    parts = F.transform(F.sequence(F.lit(0), F.size("all") - 1, F.lit(PART)), part)
+    parts = some.select("name", F.explode_outer(parts).alias("p")).select("name", "p.*")
+    at = at.withColumn("part", (F.col("start") / PART).cast("int"))
     n = F.greatest(F.lit(1), F.col("n_words") - (SHINGLE - 1))
-    start = F.greatest(F.lit(0), F.least(F.col("first") + F.col("i"), F.col("total") - n))
-    return met.select("doc_id", "hash", "n_words", start.alias("start"), F.slice("part", start - F.col("base") + 1, n).alias("window"))
+    met = parts.join(small(at), ["name", "part"])
+    return met.select("name", "n_words", "start", F.slice("shingles", F.col("start") - F.col("base") + 1, n).alias("window"))
+
+
+def candidates(found: DataFrame, items: DataFrame) -> DataFrame:
+    """(name, start, item_id): windows (name, n_words, start, print) and items of their length whose
+    fingerprints are within the radius."""
+    table = items.select("item_id", "n_words", "item_print", F.explode(segments(F.col("item_print"), ITEM_BALLS)).alias("key"))
+    table = stored(table, "item-index")
+    met = found.withColumn("key", F.explode(segments(F.col("print"), WINDOW_BALLS))).join(small(table, BROADCAST_ENTRIES), ["n_words", "key"])
+    met = met.filter(distance(F.col("print"), F.col("item_print")) <= RADIUS)
+    return met.select("name", "n_words", "start", "item_id").distinct()
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, hash, item_id, start, similarity): for each document and item that it holds,
     the most similar window, by its first word."""
     items = item_table(items)
-    masks = blocks()
-    keyed = lambda c: F.posexplode(F.array(*[F.col(c).bitwiseAND(F.lit(m)) for m in masks])).alias("block", "value")
-    table = small(stored(items.select("*", keyed("item_print")), "item-blocks"), 50_000 * len(masks))
-    found = windows(docs, items).withColumn("print", simhash(F.col("window")))
-    met = found.select("*", keyed("print")).join(table, ["n_words", "block", "value"])
-    differ = F.col("print").bitwiseXOR(F.col("item_print"))
-    # a pair is taken up at the first of the blocks that agree
-    earlier = F.exists(F.slice(F.array(*map(F.lit, masks)), F.lit(1), F.col("block")), lambda m: differ.bitwiseAND(m) == 0)
-    met = met.filter((F.bit_count(differ) <= RADIUS) & ~earlier)
+    found = stored(windows(docs, items).withColumn("print", prints(F.col("window"))), "windows")
+    met = stored(candidates(found.drop("window"), items), "candidates")
+    met = found.drop("print").join(small(met), ["name", "n_words", "start"]).join(items.select("item_id", "item_shingles"), "item_id")
     size = F.size("window") + F.size("item_shingles")
     met = met.withColumn("shared", shared_weight(F.col("window"), F.col("item_shingles")))
     a, b = SIMILAR
     met = met.filter(F.col("shared") * (a + b) >= a * size)
     best = F.max(F.struct((F.col("shared") / (size - F.col("shared"))).alias("similarity"), (-F.col("start")).alias("back")))
-    out = met.groupBy("doc_id", "hash", "item_id").agg(best.alias("best"))
-    return out.select("doc_id", "hash", "item_id", (-F.col("best.back")).cast("long").alias("start"), F.col("best.similarity").alias("similarity"))
+    out = met.groupBy("name", "item_id").agg(best.alias("best"))
+    return out.select("name.doc_id", "name.hash", "item_id", (-F.col("best.back")).cast("long").alias("start"), F.col("best.similarity").alias("similarity"))
 
 
 def contamination_report(docs: DataFrame, items: DataFrame, key: str = "doc_id") -> DataFrame:
