@@ -1,23 +1,30 @@
 """Main text of web pages by composite text density.
 
-A page is read into a tree by the standard library's tolerant tokenizer. What names itself as no part
-of an article (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
-comments) is cut off. Every other node then gets its density: characters per tag, adjusted by the
-share of link characters and link tags as in the published composite text density, and its density
-sum, that of its children's densities. The node of the greatest sum, and its path up to the body, give
-the threshold: the least density on that path. From the body down, each subtree that reaches the
-threshold gives its node of greatest sum, and the article element around that if there is one; the
-text of all these nodes is the result.
+A page is read into a tree by the standard library's tolerant tokenizer. Elements whose very name says
+that they are no text of an article (menus, footers, asides, scripts, styles, controls) are cut off; a
+header is, unless it is an article's or the main element's own; a form is, unless it holds most of
+the page. Every other node gets its density: characters per tag, adjusted by the share of link characters and link tags
+as in the published composite text density. Class, id and role words that speak of notices, adverts,
+sidebars, comments and the like divide the density of a node and of what is in it by ``PENALTY``; an
+article or main element inside starts afresh. They drop nothing by themselves.
+
+A node's density sum is that of its children's densities. The node of the greatest sum, and its path up
+to the body, give the threshold: the least density on that path. From the body down, each subtree
+that reaches the threshold gives its node of greatest sum, widened to the article or main element
+around it if that one is at least ``AGREES`` times as dense. The text of all these nodes is the result, without
+penalised parts below the threshold or below ``AGREES`` times the density of the node they are in.
 
 Defined results: null or empty html, or a page without text outside of what is cut off, gives an
-empty text; an unclosed or cut off page is read as far as it goes; repeated rows are extracted alike;
-an empty table gives an empty result; other columns are passed on as they are.
+empty text; an unclosed or cut off page is read as far as it goes; elements nested deeper than
+``MAX_DEPTH`` are read as if side by side; repeated rows are extracted alike; an empty table gives an
+empty result; other columns are passed on as they are.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -29,14 +36,22 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that are no part of a text.
 DROPPED = frozenset(
-    "script style noscript template head title nav footer aside form button select option textarea iframe object svg canvas video audio dialog menu".split()
+    "script style noscript template head title nav footer aside button input select option textarea iframe object svg canvas video audio dialog menu".split()
 )
-#: Words of a class, id or role that say the same.
-DROPPED_WORDS = frozenset(
+#: Words of a class, id or role that make an article's text less likely.
+UNLIKELY = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer "
     "header masthead cookie cookies consent gdpr notice banner popup modal overlay newsletter subscribe signup share sharing social comment comments "
     "disqus respond reply replies related recommended widget login search pagination pager toolbar contentinfo complementary".split()
 )
+#: A name with one of these words says that something is not there.
+DENIED = frozenset("no not without has hide hidden".split())
+PENALTY = 10
+#: Densities of at least this share of another agree with it.
+AGREES = 0.25
+#: A form with more than this share of a page's characters is the page.
+MOST = 0.5
+MAX_DEPTH = 512
 #: Elements that start and end a block of text.
 BLOCKS = frozenset(
     "address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main "
@@ -52,30 +67,34 @@ WORDS = re.compile(r"[a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "dropped", "unlikely", "depth", "chars", "tags", "link_chars", "link_tags", "density", "total", "best")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, dropped: bool, unlikely: bool):
+        self.tag, self.parent, self.dropped, self.unlikely = tag, parent, dropped, unlikely
+        self.depth: int = parent.depth + 1 if parent else 0
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.best = self
 
+    def inner(self) -> Iterator[Node]:
+        return (c for c in self.children if type(c) is not str and not c.dropped)
+
+    def up(self) -> Iterator[Node]:
+        """The node and all around it but the page."""
+        n = self
+        while n.parent is not None:
+            yield n
+            n = n.parent
 
-def _unwanted(tag: str, attrs: list[tuple[str, str | None]], parent: Node) -> bool:
-    if tag in DROPPED:
-        return True
-    if tag in ("body", "html", "main", "article"):
-        return any(k == "class" and v and not DROPPED_WORDS.isdisjoint({"comment", "comments"} & set(WORDS.findall(v.lower()))) for k, v in attrs)
-    if tag == "header":
-        while parent and parent.tag != "article":
-            parent = parent.parent
-        return parent is None  # an article's own header has its title
-    for k, v in attrs:
-        if k in ("class", "id", "role") and v and not DROPPED_WORDS.isdisjoint(WORDS.findall(v.lower())):
-            return True
-        if k == "hidden" or k == "aria-hidden" and v == "true":
-            return True
-    return False
+
+def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
+    return any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
+
+
+def _unlikely(attrs: list[tuple[str, str | None]]) -> bool:
+    names = [set(WORDS.findall(name)) for k, v in attrs if k in ("class", "id", "role") and v for name in v.lower().split()]
+    return any(not UNLIKELY.isdisjoint(n) and DENIED.isdisjoint(n) for n in names)
 
 
 class Page(HTMLParser):
@@ -83,27 +102,37 @@ class Page(HTMLParser):
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("#page", None, False)
+        self.root = self.at = Node("#page", None, False, False)
         self.nodes = [self.root]
+        self.open: Counter[str] = Counter()
+        self.flat: Counter[str] = Counter()  # open elements that were too deep to be nested
         self.feed(html)
         self.close()
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("html", "body") and any(n.tag == tag for n in self._open()):
+        if tag in ("html", "body") and self.open[tag]:
             return
-        ends = CLOSES.get(tag)
-        if ends:
-            for n in self._open():
+        ends = CLOSES.get(tag, ())
+        if any(self.open[e] for e in ends):
+            for n in self.at.up():
                 if n.tag in ends:
-                    self.at = n.parent
+                    self._leave(n)
                     break
                 if n.tag in SCOPE:
                     break
-        node = Node(tag, self.at, self.at.dropped or _unwanted(tag, attrs, self.at))
-        self.at.children.append(node)
+        at = self.at
+        afresh = tag in ("article", "main") and not _unlikely(attrs)
+        own_header = tag == "header" and any(n.tag in ("article", "main") for n in at.up())
+        node = Node(tag, at, at.dropped or tag in DROPPED or (tag == "header" and not own_header) or _hidden(attrs), not afresh and (at.unlikely or _unlikely(attrs)))
+        at.children.append(node)
         self.nodes.append(node)
-        if tag not in VOID:
-            self.at = node
+        if tag in VOID:
+            return
+        if node.depth >= MAX_DEPTH:
+            self.flat[tag] += 1
+            return
+        self.open[tag] += 1
+        self.at = node
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -111,9 +140,14 @@ class Page(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        for n in self._open():
+        if self.flat[tag]:
+            self.flat[tag] -= 1
+            return
+        if not self.open[tag]:
+            return
+        for n in self.at.up():
             if n.tag == tag:
-                self.at = n.parent
+                self._leave(n)
                 return
             if n.tag in SCOPE and tag not in BLOCKS:
                 return
@@ -122,14 +156,18 @@ class Page(HTMLParser):
         if not self.at.dropped:
             self.at.children.append(data)
 
-    def _open(self) -> Iterator[Node]:
-        n = self.at
-        while n.parent is not None:
-            yield n
-            n = n.parent
+    def _leave(self, node: Node) -> None:
+        for n in self.at.up():
+            self.open[n.tag] -= 1
+            if n is node:
+                break
+        self.at = node.parent
 
 
-def _densities(page: Page) -> None:
+def _count(page: Page) -> Node:
+    """Sums of characters and tags from the leaves up; the body."""
+    for n in page.nodes:
+        n.chars = n.tags = n.link_chars = n.link_tags = 0
     for n in reversed(page.nodes):
         if n.dropped:
             continue
@@ -140,42 +178,52 @@ def _densities(page: Page) -> None:
             up = n.parent
             up.chars, up.tags = up.chars + n.chars, up.tags + n.tags + 1
             up.link_chars, up.link_tags = up.link_chars + n.link_chars, up.link_tags + n.link_tags
-    body = next((n for n in page.nodes if n.tag == "body"), page.root)
+    return next((n for n in page.nodes if n.tag == "body"), page.root)
+
+
+def _cut_forms(page: Page, body: Node) -> bool:
+    """Cut off forms that do not hold most of the page; whether there were any."""
+    cut = False
+    for n in page.nodes:  # parents first
+        form = n.tag == "form" and n.chars <= MOST * body.chars
+        if not n.dropped and (form or (n.parent is not None and n.parent.dropped)):
+            n.dropped = cut = True
+    return cut
+
+
+def _densities(page: Page) -> Node:
+    """Densities, their sums and each subtree's node of the greatest sum; the body."""
+    body = _count(page)
+    if _cut_forms(page, body):
+        body = _count(page)
     ratio = body.link_chars / max(1, body.chars)
-    for n in page.nodes:
+    for n in reversed(page.nodes):
         if n.dropped or not n.chars:
             continue
         c, t, lc, lt = n.chars, max(1, n.tags), max(1, n.link_chars), max(1, n.link_tags)
         base = math.log(c / max(1, c - n.link_chars) * lc + ratio * c + math.e)
         n.density = c / t * math.log(max(1.0, c / lc * t / lt)) / math.log(base)
-        if n.parent is not None:
-            n.parent.total += n.density
-
-
-def _best(node: Node) -> Node:
-    """The node of the greatest density sum in a subtree; the first one of equals."""
-    best, stack = node, [node]
-    while stack:
-        n = stack.pop()
-        if n.total > best.total:
-            best = n
-        stack.extend(c for c in reversed(n.children) if type(c) is not str and not c.dropped)
-    return best
-
-
-def _container(node: Node) -> Node:
-    """The article, or else the main element, that a node lies in: it belongs to the text whole."""
-    up, main = node, None
-    while up is not None:
-        if up.tag == "article":
-            return up
-        main = up if up.tag == "main" else main
-        up = up.parent
-    return main or node
-
-
-def _blocks(node: Node) -> Iterator[str]:
-    """The subtree's text, block by block, white space in a block as one space."""
+        if n.unlikely:
+            n.density /= PENALTY
+        up = n.parent
+        if n.total >= n.best.total:  # of equals the outer one
+            n.best = n
+        if up is not None:
+            up.total += n.density
+            if n.best.total >= up.best.total or up.best is up:  # of equals the first: nodes come last to first
+                up.best = n.best
+    return body
+
+
+def _widened(node: Node) -> Node:
+    """The nearest article or main element around a node that is about as dense, else the node."""
+    around = next((n for n in node.up() if n.tag in ("article", "main")), node)
+    return around if around.density >= AGREES * node.density else node
+
+
+def _blocks(node: Node, threshold: float) -> Iterator[str]:
+    """The subtree's text, block by block, white space in a block as one space; without
+    penalised parts that are less dense than the threshold or than what they are in."""
     parts: list[str] = []
     stack: list = [node]
     while stack:
@@ -190,10 +238,11 @@ def _blocks(node: Node) -> Iterator[str]:
                 yield text
         elif x.tag == "br":
             parts.append(" ")
-        if x is not None and not x.dropped:
-            if x.tag in BLOCKS:
-                stack.append(None)
-            stack.extend(reversed(x.children))
+        if x is None or x.dropped or (x is not node and x.unlikely and not node.unlikely and x.density < max(threshold, AGREES * node.density)):
+            continue
+        if x.tag in BLOCKS:
+            stack.append(None)
+        stack.extend(reversed(x.children))
     text = " ".join("".join(parts).split())
     if text:
         yield text
@@ -203,29 +252,25 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     page = Page(html)
-    _densities(page)
-    body = next((n for n in page.nodes if n.tag == "body"), page.root)
+    body = _densities(page)
     if not body.chars:
         return ""
-    best = _best(body)
-    threshold, n = best.density, best
-    while n is not body and n.parent is not None:
-        n = n.parent
-        threshold = min(threshold, n.density)
+    best = body.best
+    threshold = min((n.density for n in best.up() if n.depth >= body.depth), default=0.0)
     chosen: set[int] = set()
     stack = [body]
     while stack:
         n = stack.pop()
         if n.chars and n.density >= threshold:
-            chosen.add(id(_container(_best(n))))
-        stack.extend(c for c in n.children if type(c) is not str and not c.dropped)
+            chosen.add(id(_widened(n.best)))
+        stack.extend(n.inner())
     out, stack = [], [body]
     while stack:  # in page order; a chosen node covers what is chosen below it
         n = stack.pop()
         if id(n) in chosen:
-            out.extend(_blocks(n))
+            out.extend(_blocks(n, threshold))
         else:
-            stack.extend(c for c in reversed(n.children) if type(c) is not str and not c.dropped)
+            stack.extend(reversed(list(n.inner())))
     return "\n\n".join(out)
 
 
