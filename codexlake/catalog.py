@@ -28,7 +28,7 @@ def content_hash(s: SparkSession, d: str) -> DataFrame:
 
 def _bm25(s: SparkSession, d: str, k: int = BM25_K) -> DataFrame:
     terms = lexical.query_terms(corpora.queries(s, d))
-    return lexical.search(lexical.for_queries(corpora.ascii_documents(s, d), terms, "doc_id"), terms, k)
+    return lexical.search(lexical.for_queries(table(s, d, "documents"), terms, "doc_id"), terms, k)
 
 
 def bm25_topk(s: SparkSession, d: str) -> DataFrame:
@@ -36,23 +36,22 @@ def bm25_topk(s: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_topk_all(s: SparkSession, d: str) -> DataFrame:
-    """Over documents and items in all alphabets, whose word boundaries SQL engines see differently."""
-    terms = lexical.query_terms(corpora.queries(s, d, ascii_only=False))
-    hits = lexical.search(lexical.for_queries(table(s, d, "documents"), terms, "doc_id"), terms, BM25_K)
-    return hits.select("query_id", "rank", F.col("id").alias("doc_id"), _r("score"))
+    """The same under its former name."""
+    return bm25_topk(s, d)
 
 
 def bm25_term_stats(s: SparkSession, d: str) -> DataFrame:
-    return lexical.build(corpora.ascii_documents(s, d), "doc_id").term_stats.select("term", "df", _r("idf"))
+    return lexical.build(table(s, d, "documents"), "doc_id").term_stats.select("term", "df", _r("idf"))
 
 
 def token_counts(s: SparkSession, d: str) -> DataFrame:
-    x = lexical.tokenized(corpora.ascii_documents(s, d), "doc_id", drop_stop_words=True)
+    x = lexical.tokenized(table(s, d, "documents"), "doc_id", drop_stop_words=True)
     return x.select(F.col("id").alias("doc_id"), F.col("dl").cast("long").alias("n_tokens"), F.size(F.array_distinct("tokens")).cast("long").alias("n_distinct"))
 
 
 def _query_vectors(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "embeddings").filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding")
+    """Queries that grow with the table: every vector whose id is divisible by 50."""
+    return table(s, d, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 def _dense(s: SparkSession, d: str, filters: dict | None = None) -> DataFrame:
@@ -64,10 +63,8 @@ def dense_topk(s: SparkSession, d: str) -> DataFrame:
 
 
 def dense_topk_all(s: SparkSession, d: str) -> DataFrame:
-    """Queries that grow with the table: every vector whose id is divisible by 50."""
-    x = table(s, d, "embeddings")
-    asked = x.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return vectors.search(x, asked, DENSE_K).select("query_id", "rank", F.col("id").alias("vec_id"), _r("score"))
+    """The same under its former name."""
+    return dense_topk(s, d)
 
 
 def dense_topk_filtered(s: SparkSession, d: str) -> DataFrame:
@@ -86,7 +83,7 @@ def fusion_bm25_only(s: SparkSession, d: str) -> DataFrame:
 
 
 def _all_queries(s: SparkSession, d: str) -> DataFrame:
-    x = table(s, d, "conversations").filter("role = 'user'").filter(corpora.is_ascii(F.col("text")))
+    x = table(s, d, "conversations").filter("role = 'user'")
     x = x.select((F.col("conv_id") * 100 + F.col("turn")).cast("long").alias("query_id"), F.col("text").alias("query")).distinct()
     return corpora.literal_queries(s).unionByName(x.withColumn("query_id", F.col("query_id") + 100_000))
 
@@ -181,12 +178,12 @@ def _prose(s: SparkSession, d: str) -> DataFrame:
 
 
 def repeated_lines(s: SparkSession, d: str) -> DataFrame:
-    return quality.repeated_lines(corpora.prose(s, d).filter(corpora.is_ascii(F.col("text"))))
+    return quality.repeated_lines(corpora.prose(s, d))
 
 
 def page_profile(s: SparkSession, d: str) -> DataFrame:
     c = F.col("text")
-    x = corpora.prose(s, d).filter(corpora.is_ascii(c))
+    x = corpora.prose(s, d)
     return x.select("document_id", "page_index", F.length(c).cast("long").alias("n_chars"), text.word_count(c).cast("long").alias("n_words"), text.is_low_text(c).alias("low_text"), text.printed_page_number(c).alias("printed"))
 
 
@@ -277,11 +274,11 @@ def page_structure(s: SparkSession, d: str) -> DataFrame:
 
 
 def page_counts(s: SparkSession, d: str) -> DataFrame:
-    return quality.page_counts(quality.with_duplicate_flags(_prose(s, d).filter(corpora.is_ascii(F.col("text")))))
+    return quality.page_counts(quality.with_duplicate_flags(_prose(s, d)))
 
 
 def page_findings(s: SparkSession, d: str) -> DataFrame:
-    x = corpora.prose(s, d).filter(corpora.is_ascii(F.col("text")))
+    x = corpora.prose(s, d)
     return quality.page_findings(x.withColumns({"raw_text": F.col("text"), "extraction_failed": F.lit(False), "failure_reason": F.lit(None).cast("string")})).select("severity", "code", "document_id", "page_index")
 
 
@@ -300,7 +297,7 @@ def structural_blocks(s: SparkSession, d: str) -> DataFrame:
 
 def doc_metadata(s: SparkSession, d: str) -> DataFrame:
     """Metadata of prose documents, each with a phrase of its own added by doc_id."""
-    x = table(s, d, "documents").filter(corpora.is_ascii(F.col("text")))
+    x = table(s, d, "documents")
     phrase = F.element_at(F.array(*map(F.lit, PHRASES)), (F.col("doc_id") % len(PHRASES)).cast("int") + 1)
     place = F.element_at(F.array(*map(F.lit, (*metadata.COLLECTIONS, "Other"))), (F.col("doc_id") % (len(metadata.COLLECTIONS) + 1)).cast("int") + 1)
     files = x.select("doc_id", F.concat(place, F.lit("/file_"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("relative_path"), F.concat(F.lit("x\n"), phrase, F.lit("\n"), "text").alias("first_pages_text"))
@@ -367,9 +364,9 @@ def point_ids(s: SparkSession, d: str) -> DataFrame:
 
 def _judged(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     x = table(s, d, "documents").select("doc_id", F.col("source").alias("document_id"), F.col("doc_id").cast("string").alias("chunk_id"), F.struct(F.concat(F.lit("p"), (F.col("doc_id") % 97).cast("string")).alias("relative_path")).alias("provenance"), F.when(F.col("doc_id") % 23 == 0, " ").otherwise(F.col("text")).alias("text"), F.col("text").alias("embedding_text"))
-    x = x.filter("document_id != 'src1'").withColumn("text", F.when(F.col("document_id") == "src2", "").otherwise(F.col("text")))
+    x = x.withColumn("text", F.when(F.col("document_id") == "src2", "").otherwise(F.col("text")))
     pairs = s.range(1).select(F.explode(F.array(*[F.struct(F.lit(a).alias("left_path"), F.lit(b).alias("right_path")) for a, b in (("p3", "p5"), ("p7", "p5"))])).alias("p")).select("p.*")
-    docs = table(s, d, "documents").select(F.col("source").alias("document_id")).distinct()
+    docs = table(s, d, "documents").select(F.col("source").alias("document_id")).distinct().union(s.range(1).select(F.lit("no chunks")))
     return docs, audit.with_eligibility(x, audit.collision_groups(pairs))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -23,15 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def is_ascii(c: Column) -> Column:
-    return ~c.rlike(r"[^\x00-\x7F]")
-
-
-def ascii_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose word boundaries mean the same to every engine."""
-    return table(spark, sf_dir, "documents").filter(is_ascii(F.col("text")))
-
-
 def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as pages of four lines: document_id, relative_path, page_index, text, hash."""
     x = table(spark, sf_dir, "documents").select("doc_id", "source", lines(F.col("text")).alias("l"))
@@ -76,11 +67,9 @@ def statute_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return files.withColumn("source_sha256", F.sha2("relative_path", 256)), pages
 
 
-def queries(spark: SparkSession, sf_dir: str, words: int = 6, ascii_only: bool = True) -> DataFrame:
-    """(query_id, query): the first words of every (ASCII) benchmark item."""
-    x = table(spark, sf_dir, "benchmark")
-    x = x.filter(is_ascii(F.col("text"))) if ascii_only else x
-    return x.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split(F.regexp_replace("text", "\\s+", " "), " "), 1, words), " ").alias("query"))
+def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, query): the whole text of every benchmark item."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def literal_queries(spark: SparkSession) -> DataFrame:

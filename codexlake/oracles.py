@@ -19,11 +19,23 @@ def re2(pattern: str) -> str:
     return pattern.replace("(?iuU)", "(?i)").replace("(?iU)", "(?i)").replace("(?U)", "")
 
 
-ASCII = r"NOT regexp_matches(text, '[^\x00-\x7F]')"
+#: Letters beyond ASCII, which are parts of words to Java and not to RE2.
+LETTER = r"\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}"
+
+
+def plain(text: str) -> str:
+    """A text whose words with such letters are one mark each, so that they are no words to RE2 either."""
+    return f"regexp_replace({text}, '[0-9A-Za-z_]*[{LETTER}][0-9A-Za-z_{LETTER}]*', '·', 'g')"
+
+
+def tokens(text: str) -> str:
+    """The search tokens of a text."""
+    return f"list_transform(regexp_extract_all(coalesce({plain(text)}, ''), {lit(re2(TOKEN))}, 0), lambda x: lower(x))"
+
+
 HASH = "sha256({} || chr(31))"
-TOKENS = f"list_transform(regexp_extract_all({{}}, {lit(re2(TOKEN))}, 0), lambda x: lower(x))"
-DOCS = f"docs AS (SELECT doc_id AS id, text FROM documents WHERE {ASCII})"
-QUERIES = r"queries AS (SELECT item_id AS query_id, array_to_string((string_split(regexp_replace(text, '\s+', ' ', 'g'), ' '))[1:6], ' ') AS query FROM benchmark WHERE NOT regexp_matches(text, '[^\x00-\x7F]'))"
+DOCS = "docs AS (SELECT doc_id AS id, text FROM documents)"
+QUERIES = "queries AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 LITERALS = f"literals(query_id, query) AS (VALUES {', '.join(f'({i}, {lit(q)})' for i, q in LITERAL)})"
 STATUTE = (
     f"statute AS (SELECT 'statute ' || (p_partkey // {DOCUMENT_PARTS}) AS document_id, row_number() OVER (PARTITION BY p_partkey // {DOCUMENT_PARTS} ORDER BY p_partkey) AS line_no, "
@@ -34,11 +46,11 @@ STATUTE = (
 def bm25(docs: str, queries: str, k: int) -> str:
     """CTEs up to bm(query_id, rank, id, score) over tables of (id, text) and (query_id, query)."""
     return f"""
-tok AS (SELECT id, {TOKENS.format("text")} AS t FROM {docs}),
+tok AS (SELECT id, {tokens("text")} AS t FROM {docs}),
 st AS (SELECT count(*) AS n, avg(len(t)) AS a FROM tok),
 post AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(t) AS dl, unnest(t) AS term FROM tok) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
-qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({TOKENS.format("query")}) AS term FROM {queries}) GROUP BY ALL),
+qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({tokens("query")}) AS term FROM {queries}) GROUP BY ALL),
 sc AS (
   SELECT query_id, id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / a)))), 9) AS score
   FROM post JOIN df USING (term) JOIN qt USING (term), st GROUP BY ALL),
@@ -52,14 +64,14 @@ def dense(where: str) -> str:
     return f"""de AS (
   SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, id, score FROM (
     SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS score
-    FROM embeddings v, embeddings q WHERE q.vec_id < 10 AND {where}) QUALIFY rank <= {DENSE_K})"""
+    FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0 AND {where}) QUALIFY rank <= {DENSE_K})"""
 
 
 PACK = f"""{BM},
 info AS (SELECT doc_id AS id, text, source || '.txt' AS document_name, lang AS section, (doc_id % 7)::INTEGER AS page_start, (doc_id % 7 + doc_id % 2)::INTEGER AS page_end FROM documents),
 ov AS (
   SELECT bm.query_id, bm.rank AS before, bm.id, bm.score AS hybrid_score, info.* EXCLUDE (id),
-    round(len(list_intersect(list_distinct({TOKENS.format("query")}), list_distinct({TOKENS.format("info.text")}))) / greatest(len(list_distinct({TOKENS.format("query")})), 1), 9) AS rerank_score
+    round(len(list_intersect(list_distinct({tokens("query")}), list_distinct({tokens("info.text")}))) / greatest(len(list_distinct({tokens("query")})), 1), 9) AS rerank_score
   FROM bm JOIN info USING (id) JOIN queries USING (query_id)),
 pack AS (SELECT *, '[' || rank || ']' AS citation_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, before) AS rank FROM ov) WHERE rank <= {RERANK_K}),
 {LITERALS},
@@ -68,7 +80,7 @@ asked AS (SELECT query_id::BIGINT AS query_id, query FROM queries UNION ALL SELE
 GATE = f"""{PACK},
 best AS (SELECT query_id, max(rerank_score) AS top_score FROM pack GROUP BY query_id),
 gate AS (
-  SELECT asked.query_id, top_score, CASE WHEN best.query_id IS NULL THEN 'none' WHEN top_score < {{}} THEN 'low' WHEN top_score > 0.5 THEN 'high' ELSE 'medium' END AS confidence
+  SELECT asked.query_id, top_score, CASE WHEN best.query_id IS NULL THEN 'none' WHEN top_score < LEAST_SCORE THEN 'low' WHEN top_score > 0.5 THEN 'high' ELSE 'medium' END AS confidence
   FROM asked LEFT JOIN best ON asked.query_id = best.query_id)"""
 
 PROSE = rf"""lines AS (
@@ -82,12 +94,12 @@ real AS (SELECT * FROM prose WHERE trim(text) <> '')"""
 
 
 def analysis() -> str:
-    found = ", ".join(f"regexp_extract_all(q, {lit(re2(p))}, 0)" for p in query_text.REFERENCES)
-    kind = " ".join(rf"WHEN regexp_matches(lower(q), {lit(chr(92) + 'b' + k + chr(92) + 'b')}) THEN {lit(v)}" for k, v in query_text.DOCUMENT_TYPES)
+    found = ", ".join(f"regexp_extract_all({plain('q')}, {lit(re2(p))}, 0)" for p in query_text.REFERENCES)
+    kind = " ".join(rf"WHEN regexp_matches(lower({plain('q')}), {lit(chr(92) + 'b' + k + chr(92) + 'b')}) THEN {lit(v)}" for k, v in query_text.DOCUMENT_TYPES)
     domain = " ".join(f"WHEN contains(lower(q), {lit(k)}) THEN {lit(v)}" for k, v in query_text.DOMAINS)
     return rf"""
 WITH {LITERALS},
-u AS (SELECT DISTINCT (conv_id * 100 + turn)::BIGINT + 100000 AS query_id, text AS query FROM conversations WHERE role = 'user' AND {ASCII}),
+u AS (SELECT DISTINCT (conv_id * 100 + turn)::BIGINT + 100000 AS query_id, text AS query FROM conversations WHERE role = 'user'),
 n AS (SELECT query_id, trim(regexp_replace(query, '\s+', ' ', 'g')) AS q FROM (SELECT query_id::BIGINT AS query_id, query FROM literals UNION ALL SELECT * FROM u)),
 f AS (SELECT *, list_transform(flatten([{found}]), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))) AS r FROM n)
 SELECT query_id, q AS normalized_query, array_to_string(list_filter(r, lambda x, i: list_position(r, x) = i), '|') AS refs,
@@ -155,7 +167,7 @@ FROM numbered GROUP BY document_id, block_no"""
 
 
 def described() -> str:
-    any_of = lambda c, ps: "(" + " OR ".join(f"regexp_matches({c}, {lit(re2(p[1:]))})" if p[0] == "~" else f"contains({c}, {lit(p)})" for p in ps) + ")"
+    any_of = lambda c, ps: "(" + " OR ".join(f"regexp_matches({plain(c)}, {lit(re2(p[1:]))})" if p[0] == "~" else f"contains({c}, {lit(p)})" for p in ps) + ")"
     rules = [(k, tuple(p.replace(r"\z", "$") for p in ps)) for k, ps in metadata.TYPE_RULES]
     types = " ".join(f"WHEN {any_of('ev', ps)} THEN {lit(k)}" for k, ps in rules)
     domains = ", ".join(f"CASE WHEN {any_of('ev2', ps)} THEN {lit(k)} END" for k, ps in metadata.DOMAIN_RULES)
@@ -164,13 +176,13 @@ def described() -> str:
     return rf"""
 WITH d AS (
   SELECT doc_id, [{inside(places)}][(doc_id % {len(places)})::INTEGER + 1] AS place, 'x' || chr(10) || [{inside(phrases)}][(doc_id % {len(phrases)})::INTEGER + 1] || chr(10) || text AS t
-  FROM documents WHERE {ASCII}),
+  FROM documents),
 e AS (
   SELECT *, 'file_' || doc_id || '.pdf' AS filename, lower('file_' || doc_id || '.pdf' || chr(10) || substr(t, 1, 5000)) AS ev, lower('file_' || doc_id || '.pdf' || chr(10) || substr(t, 1, 10000)) AS ev2, lower(substr(t, 1, 5000)) AS head,
     list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: length(x) BETWEEN 8 AND 180)[1:40] AS usable FROM d),
 f AS (SELECT *, CASE WHEN place IN ({inside(metadata.INTERNATIONAL)}) THEN 'International' WHEN contains(ev, 'india') OR place IN ({inside(metadata.NATIONAL)}) THEN 'India' END AS jurisdiction FROM e)
 SELECT doc_id, sha256('corpus' || chr(31) || place || chr(31) || place || '/' || filename || chr(31)) AS document_id,
-  coalesce(regexp_replace(list_filter(usable, lambda x: regexp_matches(x, {lit(re2(metadata.TITLE_WORDS))}))[1], '\s+', ' ', 'g'), 'file ' || doc_id) AS title,
+  coalesce(regexp_replace(list_filter(usable, lambda x: regexp_matches({plain('x')}, {lit(re2(metadata.TITLE_WORDS))}))[1], '\s+', ' ', 'g'), 'file ' || doc_id) AS title,
   CASE {types} WHEN place IN ({inside(metadata.INTERNATIONAL)}) THEN 'Treaty' ELSE 'Other' END AS document_type, jurisdiction,
   CASE WHEN jurisdiction = 'India' AND (contains(head, 'government of india') OR contains(head, 'ministry') OR contains(head, 'gazette of india')) THEN 'Government of India'
     WHEN contains(head, 'world intellectual property organization') OR contains(head, 'wipo') THEN 'WIPO'
@@ -206,7 +218,7 @@ old AS (SELECT document_id, CASE WHEN doc_id % 7 = 0 THEN 'changed' ELSE h END A
 JUDGED = """
 WITH x AS (
   SELECT doc_id::VARCHAR AS chunk_id, source AS document_id, 'p' || (doc_id % 97) AS path, CASE WHEN source = 'src2' THEN '' WHEN doc_id % 23 = 0 THEN ' ' ELSE text END AS t, text
-  FROM documents WHERE source <> 'src1'),
+  FROM documents),
 g(path, collision_group_id) AS (
   SELECT 'p3', sha256('collision' || chr(31) || 'p3' || chr(31) || 'p5' || chr(31)) UNION ALL SELECT 'p5', sha256('collision' || chr(31) || 'p5' || chr(31) || 'p7' || chr(31))
   UNION ALL SELECT 'p7', sha256('collision' || chr(31) || 'p5' || chr(31) || 'p7' || chr(31))),
@@ -238,7 +250,7 @@ def _labels() -> str:
 def oracle_sql() -> dict[str, str]:
     stop = ", ".join(map(lit, STOP_WORDS))
     tier = "CASE WHEN confidence IN ('none', 'low') THEN 'Insufficient' WHEN confidence = 'high' THEN 'High' ELSE 'Medium' END"
-    gated = f"""{GATE.format(0.15)},
+    gated = f"""{GATE.replace("LEAST_SCORE", "0.15")},
 said AS (SELECT query_id, string_agg('Based on ' || document_name || ' ' || citation_id || ': ' || substr(text, 1, 200) || '...', chr(10) ORDER BY rank) AS a FROM pack GROUP BY query_id)
 SELECT query_id, CASE WHEN confidence IN ('none', 'low') THEN {lit(evidence.ABSTENTION)} ELSE a END AS answer, CASE WHEN confidence IN ('none', 'low') THEN confidence ELSE 'dummy' END AS confidence,
   confidence NOT IN ('none', 'low') AS grounded FROM gate LEFT JOIN said USING (query_id)"""
@@ -252,19 +264,19 @@ SELECT query_id, citation_id, document_name AS title, CASE WHEN page_end <> page
   CASE WHEN l <> '' THEN l ELSE '—' END AS section_label, CASE WHEN sn <> '' THEN sn ELSE 'See indexed chunk in corpus.' END AS snippet
 FROM (SELECT *, concat_ws(' · ', nullif(section, ''), CASE WHEN id % 3 = 0 THEN 'CHAPTER I' END) AS l,
   CASE WHEN id % 5 = 0 THEN '' WHEN length(text) > 280 THEN trim(substr(text, 1, 277)) || '…' ELSE trim(text) END AS sn FROM pack)"""
-    state = f"""{GATE.format(0.9)},
+    state = f"""{GATE.replace("LEAST_SCORE", "0.9")},
 names AS (SELECT query_id, list(document_name ORDER BY rank) AS l FROM pack GROUP BY query_id)
 SELECT query_id, {tier} AS tier, CASE WHEN confidence IN ('none', 'low') THEN '—' WHEN confidence = 'high' THEN 'High' ELSE 'Medium' END AS score_label,
   coalesce(array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:3], '|'), 'Query processed against indexed corpus') AS documents
 FROM gate LEFT JOIN names USING (query_id)"""
     repeated = rf"""WITH {PROSE},
-a AS (SELECT document_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM prose WHERE {ASCII}),
+a AS (SELECT document_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM prose),
 e AS (SELECT document_id, unnest(list_concat(l[1:3], l[greatest(len(l) - 2, 1):])) AS line FROM a),
 s AS (SELECT document_id, count(*) AS pages FROM a GROUP BY 1 HAVING count(*) >= 4)
 SELECT document_id, line, count(*) AS n FROM e JOIN s USING (document_id) GROUP BY document_id, line, pages
 HAVING count(*) >= greatest(3, floor(pages * 0.45)) AND length(line) <= 140 AND NOT regexp_matches(line, '(?i)\b(section|article|rule|chapter)\b')"""
     profile = rf"""WITH {PROSE},
-a AS (SELECT *, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM prose WHERE {ASCII})
+a AS (SELECT *, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM prose)
 SELECT document_id, page_index, length(text)::BIGINT AS n_chars, len(regexp_extract_all(text, '\S+'))::BIGINT AS n_words, length(trim(text)) < 40 OR len(regexp_extract_all(text, '[A-Za-z]{{2,}}')) < 8 AS low_text,
   regexp_replace(list_filter(list_concat(l[1:5], l[greatest(len(l) - 4, 1):]), lambda x: regexp_matches(x, '(?i)^(?:Page\s*)?\d{{1,4}}$'))[1], '\D', '', 'g')::INTEGER AS printed FROM a"""
     sets = f"""WITH {PROSE},
@@ -279,8 +291,10 @@ UNION ALL SELECT class_id, document_id, n_pages, 1.0 FROM k WHERE document_id <>
     return {
         "content_hash": "SELECT doc_id, sha256(text || chr(31)) AS text_sha256 FROM documents",
         "bm25_topk": f"{BM} SELECT query_id, rank::INTEGER AS rank, id AS doc_id, round(score, 6) AS score FROM bm",
+        "bm25_topk_all": f"{BM} SELECT query_id, rank::INTEGER AS rank, id AS doc_id, round(score, 6) AS score FROM bm",
+        "dense_topk_all": f"WITH {dense('true')} SELECT query_id, rank::INTEGER AS rank, id AS vec_id, round(score, 6) AS score FROM de",
         "bm25_term_stats": f"{BM} SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM df, st",
-        "token_counts": f"WITH {DOCS}, t AS (SELECT id, list_filter({TOKENS.format('text')}, lambda x: x NOT IN ({stop})) AS t FROM docs) SELECT id AS doc_id, len(t)::BIGINT AS n_tokens, len(list_distinct(t))::BIGINT AS n_distinct FROM t",
+        "token_counts": f"WITH {DOCS}, t AS (SELECT id, list_filter({tokens('text')}, lambda x: x NOT IN ({stop})) AS t FROM docs) SELECT id AS doc_id, len(t)::BIGINT AS n_tokens, len(list_distinct(t))::BIGINT AS n_distinct FROM t",
         "dense_topk": f"WITH {dense('true')} SELECT query_id, rank::INTEGER AS rank, id AS vec_id, round(score, 6) AS score FROM de",
         "dense_topk_filtered": f"WITH {dense('v.label IN (1, 3, 5)')} SELECT query_id, rank::INTEGER AS rank, id AS vec_id, round(score, 6) AS score FROM de",
         "rrf_fusion": f"""{BM}, {dense("true")},
@@ -294,7 +308,7 @@ SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY s DESC, firs
         "rerank_overlap": f"{PACK} SELECT query_id, rank::INTEGER AS rank, id AS doc_id, round(rerank_score, 6) AS rerank_score FROM pack",
         "rerank_passthrough": f"{BM} SELECT query_id, rank::INTEGER AS rank, id AS doc_id, round(score, 6) AS hybrid_score FROM bm WHERE rank <= {RERANK_K}",
         "evidence_pack": f"{PACK} SELECT query_id, citation_id, id AS doc_id, round(hybrid_score, 6) AS hybrid_score, round(rerank_score, 6) AS rerank_score FROM pack",
-        "grounding_gate": f"{GATE.format(0.9)} SELECT query_id, round(top_score, 6) AS top_score, confidence, confidence NOT IN ('none', 'low') AS grounded FROM gate",
+        "grounding_gate": f"{GATE.replace("LEAST_SCORE", "0.9")} SELECT query_id, round(top_score, 6) AS top_score, confidence, confidence NOT IN ('none', 'low') AS grounded FROM gate",
         "extractive_answer": gated,
         "prompt_text": prompt,
         "citation_cards": cards,
@@ -317,11 +331,11 @@ SELECT count(*) AS documents_total, count(*) FILTER (status <> 'FAILED') AS docu
         "line_classes": f"WITH {classes()} SELECT document_id, line_no, key, value FROM classed",
         "structure_context": f"WITH {contexts()} SELECT document_id, line_no, {', '.join(CONTEXT)} FROM context",
         "page_structure": f"WITH {contexts()} SELECT document_id, ((line_no - 1) // {STATUTE_PAGE})::INTEGER AS page_index, {', '.join(f'arg_max(struct_pack(v := {k}), line_no).v AS {k}' for k in CONTEXT)} FROM context GROUP BY document_id, (line_no - 1) // {STATUTE_PAGE}",
-        "page_counts": rf"""WITH {PROSE}, a AS (SELECT * FROM prose WHERE {ASCII}), r AS (SELECT * FROM a WHERE trim(text) <> ''),
+        "page_counts": rf"""WITH {PROSE}, a AS (SELECT * FROM prose), r AS (SELECT * FROM a WHERE trim(text) <> ''),
 w AS (SELECT document_id, h FROM r GROUP BY ALL HAVING count(*) > 1), x AS (SELECT h FROM r GROUP BY h HAVING count(DISTINCT document_id) > 1)
 SELECT document_id, count(*) FILTER (trim(text) <> '' AND ((document_id, h) IN (SELECT (document_id, h) FROM w) OR h IN (SELECT h FROM x))) AS duplicate_pages, count(*) FILTER (trim(text) = '') AS empty_pages,
   count(*) FILTER (length(trim(text)) < 40 OR len(regexp_extract_all(text, '[A-Za-z]{{2,}}')) < 8) AS suspicious_pages FROM a GROUP BY 1""",
-        "page_findings": rf"""WITH {PROSE}, a AS (SELECT * FROM prose WHERE {ASCII})
+        "page_findings": rf"""WITH {PROSE}, a AS (SELECT * FROM prose)
 SELECT 'WARNING' AS severity, 'OCR_NEEDED_BUT_DISABLED' AS code, document_id, page_index FROM a WHERE length(trim(text)) < 40 OR len(regexp_extract_all(text, '[A-Za-z]{{2,}}')) < 8
 UNION ALL SELECT 'WARNING', 'EMPTY_PAGE_TEXT', document_id, page_index FROM a WHERE trim(text) = ''""",
         "manifest_hashes": "SELECT source, sha256(CASE WHEN length(source) % 3 <> 0 THEN source || ':' || count(*) ELSE 'missing-corpus-manifest' END || chr(31)) AS manifest_hash FROM documents GROUP BY source",
@@ -334,6 +348,6 @@ UNION ALL SELECT 'WARNING', 'EMPTY_PAGE_TEXT', document_id, page_index FROM a WH
         "eligible_chunks": f"{JUDGED} SELECT chunk_id, collision_group_id IS NOT NULL AS content_collision, collision_group_id, reason FROM j",
         "skipped_documents": f"""{JUDGED}
 SELECT d.document_id, CASE WHEN count(j.chunk_id) = 0 THEN 'zero_chunks' ELSE string_agg(DISTINCT reason, ',' ORDER BY reason) END AS reason
-FROM (SELECT DISTINCT source AS document_id FROM documents) d LEFT JOIN j USING (document_id) GROUP BY 1 HAVING count(*) FILTER (j.chunk_id IS NOT NULL AND reason IS NULL) = 0""",
+FROM (SELECT DISTINCT source AS document_id FROM documents UNION ALL SELECT 'no chunks') d LEFT JOIN j USING (document_id) GROUP BY 1 HAVING count(*) FILTER (j.chunk_id IS NOT NULL AND reason IS NULL) = 0""",
         "index_validation": VALIDATION,
     }
