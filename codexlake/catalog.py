@@ -194,7 +194,8 @@ def page_clean(s: SparkSession, d: str) -> DataFrame:
 
 def dup_files(s: SparkSession, d: str) -> DataFrame:
     docs = table(s, d, "documents").select(text.hash_parts(F.col("text")).alias("source_sha256"), F.col("doc_id").cast("string").alias("relative_path"))
-    return quality.duplicate_files(docs).select(F.col("source_sha256").alias("hash"), "n", "members")
+    x = quality.duplicate_file_members(docs)
+    return x.select(F.col("source_sha256").alias("hash"), "n", "first_path", "relative_path")
 
 
 def _flagged(s: SparkSession, d: str, flag: str) -> DataFrame:

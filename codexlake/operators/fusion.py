@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark.sql import types as T
@@ -41,9 +41,10 @@ def ranked(hits: DataFrame, score: str, ties: list, top_k: int | None = None, ou
 
 def reciprocal_rank_fusion(lists: dict[str, DataFrame], k: int = RRF_K, top_k: int = TOP_K, digits: int = 12) -> DataFrame:
     """Fuse any number of lists (query_id, id, rank, score), named by method: the sum of 1 / (k + rank).
-    Ties go by first appearance: by list, then by rank. Each method's rank and score is kept."""
+    Ties go by first appearance: by list, then by rank. Each method's rank and score is kept. No lists
+    give no rows."""
     if not lists:
-        raise ValueError("no lists to fuse")
+        return SparkSession.active().createDataFrame([], "query_id long, id string, hybrid_score double, rank int")
     parts = None
     for i, (name, x) in enumerate(lists.items()):
         x = x.select("query_id", "id", "rank", "score", F.lit(i).alias("list_no"), F.lit(name).alias("method"))

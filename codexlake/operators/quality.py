@@ -52,9 +52,9 @@ def page_findings(pages: DataFrame) -> DataFrame:
     say = lambda a, b="": F.concat(F.lit(f"{a} "), number, F.lit(b))
     ok = ~F.coalesce(F.col("extraction_failed"), F.lit(False))
     return all_of(
-        pages.filter(ok & is_low_text(F.coalesce("raw_text", F.lit("")))).select(*finding(WARNING, "OCR_NEEDED_BUT_DISABLED", say("Page", " has inadequate extracted text and OCR is disabled."), page="page_index")),
-        pages.filter(~ok).select(*finding(CRITICAL, "PAGE_EXTRACTION_FAILED", F.concat(say("Failed to extract page", ": "), F.coalesce("failure_reason", F.lit(""))), page="page_index")),
-        pages.filter(is_blank(F.col("text"))).select(*finding(WARNING, "EMPTY_PAGE_TEXT", say("Page", " has no extracted text."), page="page_index")),
+        pages.filter(ok & is_low_text(F.coalesce("raw_text", F.lit("")))).select(*finding(WARNING, "OCR_NEEDED_BUT_DISABLED", say("Too little text was read from page", ", and no OCR is set up"), page="page_index")),
+        pages.filter(~ok).select(*finding(CRITICAL, "PAGE_EXTRACTION_FAILED", F.concat(say("No text could be read from page", ": "), F.coalesce("failure_reason", F.lit(""))), page="page_index")),
+        pages.filter(is_blank(F.col("text"))).select(*finding(WARNING, "EMPTY_PAGE_TEXT", say("Nothing but blanks on page"), page="page_index")),
     )
 
 
@@ -73,19 +73,24 @@ def document_findings(documents: DataFrame, pages: DataFrame, chunks: DataFrame)
     long = chunks.filter(F.col("token_count") > MAX_CHUNK_TOKENS).join(documents.select("document_id", "relative_path"), "document_id")
     count = lambda c: F.col(c).cast("string")
     return all_of(
-        x.filter("page_count != n").select(*finding(CRITICAL, "PAGE_COUNT_MISMATCH", say("PDF page count differs from extracted page count."))),
-        x.filter(gap).select(*finding(CRITICAL, "PAGE_SEQUENCE_GAP", say("extracted page sequence is not contiguous."))),
-        x.filter("empty > 0").select(*finding(WARNING, "EMPTY_PAGES", say(count("empty"), " pages have empty extracted text."))),
-        x.filter("failed > 0").select(*finding(CRITICAL, "FAILED_PAGES", say(count("failed"), " pages failed extraction."))),
-        x.filter("chunks = 0 AND n > 0").select(*finding(CRITICAL, "NO_CHUNKS", say("no chunks generated."))),
-        long.select(*finding(WARNING, "OVERSIZE_CHUNK", say("chunk ", count("chunk_index"), " has ", count("token_count"), " tokens."))),
+        x.filter("page_count != n").select(*finding(CRITICAL, "PAGE_COUNT_MISMATCH", say("the file's number of pages is not that of the pages read"))),
+        x.filter(gap).select(*finding(CRITICAL, "PAGE_SEQUENCE_GAP", say("pages are missing or out of order"))),
+        x.filter("empty > 0").select(*finding(WARNING, "EMPTY_PAGES", say(count("empty"), " blank pages"))),
+        x.filter("failed > 0").select(*finding(CRITICAL, "FAILED_PAGES", say(count("failed"), " pages could not be read"))),
+        x.filter("chunks = 0 AND n > 0").select(*finding(CRITICAL, "NO_CHUNKS", say("nothing was cut into chunks"))),
+        long.select(*finding(WARNING, "OVERSIZE_CHUNK", say(count("token_count"), " words in chunk ", count("chunk_index")))),
     )
 
 
 def duplicate_files(documents: DataFrame) -> DataFrame:
-    """(source_sha256, n, members): files of one content."""
-    members = F.array_join(F.array_sort(F.collect_list("relative_path")), ", ")
-    return documents.groupBy("source_sha256").agg(F.count("*").alias("n"), members.alias("members")).filter("n > 1")
+    """(source_sha256, n, first_path): contents that several files have. A content may have any number
+    of files, so they are counted and not gathered; ``duplicate_file_members`` lists them."""
+    return documents.groupBy("source_sha256").agg(F.count("*").alias("n"), F.min("relative_path").alias("first_path")).filter("n > 1")
+
+
+def duplicate_file_members(documents: DataFrame) -> DataFrame:
+    """(source_sha256, n, first_path, relative_path): a row for each file whose content others have too."""
+    return documents.select("source_sha256", "relative_path").join(duplicate_files(documents), "source_sha256")
 
 
 def with_duplicate_flags(pages: DataFrame, hash_: str = "page_text_sha256") -> DataFrame:
@@ -155,10 +160,10 @@ def duplicate_findings(documents: DataFrame, pages: DataFrame, chunks: DataFrame
         pairs = pairs.join(paths.select(F.col("document_id").alias(f"{side}_id"), F.col("relative_path").alias(f"{side}_path")), f"{side}_id")
     percent = F.concat(F.round(F.col("overlap") * 100).cast("int").cast("string"), F.lit("%"))
     return all_of(
-        duplicate_files(documents).select(*finding(WARNING, "DUPLICATE_PDF_FILE", F.concat(F.lit("Duplicate PDF file hash shared by: "), F.col("members")), None, None)),
-        real.select(*finding(WARNING, "DUPLICATE_PAGE_WITHIN_DOCUMENT", F.concat(F.col("relative_path"), F.lit(": "), F.col("n").cast("string"), F.lit(" pages share identical text.")))),
-        pairs.select(*finding(CRITICAL, "CRITICAL_DOCUMENT_CONTENT_COLLISION", F.concat("left_path", F.lit(" and "), "right_path", F.lit(" share "), percent, F.lit(" identical extracted pages.")), None, None)),
-        duplicated_chunks(chunks.select("hashes.chunk_text_sha256")).filter("n_duplicated_hashes > 0").select(*finding(WARNING, "DUPLICATE_CHUNKS", F.concat(F.col("n_duplicated_hashes").cast("string"), F.lit(" chunk text hashes are duplicated.")), None, None)),
+        duplicate_files(documents).select(*finding(WARNING, "DUPLICATE_PDF_FILE", F.concat(F.col("n").cast("string"), F.lit(" files have the content of "), F.col("first_path")), None, None)),
+        real.select(*finding(WARNING, "DUPLICATE_PAGE_WITHIN_DOCUMENT", F.concat(F.col("relative_path"), F.lit(": "), F.col("n").cast("string"), F.lit(" pages of one text")))),
+        pairs.select(*finding(CRITICAL, "CRITICAL_DOCUMENT_CONTENT_COLLISION", F.concat(percent, F.lit(" of the pages are the same in "), "left_path", F.lit(" and "), "right_path"), None, None)),
+        duplicated_chunks(chunks.select("hashes.chunk_text_sha256")).filter("n_duplicated_hashes > 0").select(*finding(WARNING, "DUPLICATE_CHUNKS", F.concat(F.col("n_duplicated_hashes").cast("string"), F.lit(" texts are those of several chunks")), None, None)),
     )
 
 

@@ -42,7 +42,7 @@ STICKY = {
     "case_number": r"(?iU)\b((?:Civil|Criminal|Writ|Appeal|Petition|Suit|Application)[A-Za-z .]*No\.?\s*[\w./ -]+)",
     "court": r"(?iU)\b(Supreme Court of India|High Court of [A-Za-z ]+|Court of [A-Za-z ]+)\b",
 }
-#: What clears a key: a line of one of these kinds after it.
+#: What clears a key: a line of one of these kinds after it.
 MAJOR = ("part", "chapter", "article", "section", "rule", "regulation", "schedule")
 CLEARED_BY = {
     "subsection": MAJOR,
@@ -51,7 +51,7 @@ CLEARED_BY = {
     "proviso": (*MAJOR, "subsection", "clause"),
     "explanation": (*MAJOR, "subsection", "clause"),
 }
-#: A paragraph that sets one of these anew begins a block.
+#: A paragraph that sets one of these anew begins a block.
 BOUNDARIES = ("part", "chapter", "schedule", "section", "article", "rule", "regulation", "judgment", "order")
 
 

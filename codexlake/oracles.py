@@ -200,12 +200,12 @@ p AS (SELECT document_id, count(*) AS n, count(DISTINCT page_index) AS d, min(pa
 c AS (SELECT document_id, count(*) AS chunks FROM chunks GROUP BY 1),
 x AS (SELECT docs.*, coalesce(n, 0) AS n, d, lo, hi, coalesce(empty, 0) AS empty, coalesce(failed, 0) AS failed, coalesce(chunks, 0) AS chunks FROM docs LEFT JOIN p USING (document_id) LEFT JOIN c USING (document_id)),
 found AS (
-  SELECT 'CRITICAL' AS severity, 'PAGE_COUNT_MISMATCH' AS code, relative_path || ': PDF page count differs from extracted page count.' AS message, document_id FROM x WHERE page_count <> n
-  UNION ALL SELECT 'CRITICAL', 'PAGE_SEQUENCE_GAP', relative_path || ': extracted page sequence is not contiguous.', document_id FROM x WHERE n > 0 AND (lo <> 0 OR hi <> n - 1 OR d <> n)
-  UNION ALL SELECT 'WARNING', 'EMPTY_PAGES', relative_path || ': ' || empty || ' pages have empty extracted text.', document_id FROM x WHERE empty > 0
-  UNION ALL SELECT 'CRITICAL', 'FAILED_PAGES', relative_path || ': ' || failed || ' pages failed extraction.', document_id FROM x WHERE failed > 0
-  UNION ALL SELECT 'CRITICAL', 'NO_CHUNKS', relative_path || ': no chunks generated.', document_id FROM x WHERE chunks = 0 AND n > 0
-  UNION ALL SELECT 'WARNING', 'OVERSIZE_CHUNK', relative_path || ': chunk ' || page_index || ' has ' || tokens || ' tokens.', document_id FROM chunks JOIN docs USING (document_id) WHERE tokens > 900),
+  SELECT 'CRITICAL' AS severity, 'PAGE_COUNT_MISMATCH' AS code, relative_path || ': the file''s number of pages is not that of the pages read' AS message, document_id FROM x WHERE page_count <> n
+  UNION ALL SELECT 'CRITICAL', 'PAGE_SEQUENCE_GAP', relative_path || ': pages are missing or out of order', document_id FROM x WHERE n > 0 AND (lo <> 0 OR hi <> n - 1 OR d <> n)
+  UNION ALL SELECT 'WARNING', 'EMPTY_PAGES', relative_path || ': ' || empty || ' blank pages', document_id FROM x WHERE empty > 0
+  UNION ALL SELECT 'CRITICAL', 'FAILED_PAGES', relative_path || ': ' || failed || ' pages could not be read', document_id FROM x WHERE failed > 0
+  UNION ALL SELECT 'CRITICAL', 'NO_CHUNKS', relative_path || ': nothing was cut into chunks', document_id FROM x WHERE chunks = 0 AND n > 0
+  UNION ALL SELECT 'WARNING', 'OVERSIZE_CHUNK', relative_path || ': ' || tokens || ' words in chunk ' || page_index, document_id FROM chunks JOIN docs USING (document_id) WHERE tokens > 900),
 statuses AS (
   SELECT docs.document_id, CASE WHEN bool_or(severity = 'CRITICAL') THEN 'FAILED' WHEN bool_or(severity = 'WARNING') THEN 'PASS_WITH_WARNINGS' ELSE 'PASS' END AS status
   FROM docs LEFT JOIN found USING (document_id) GROUP BY 1)""".replace("\\\\S", "\\S")
@@ -316,7 +316,7 @@ SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY s DESC, firs
         "sanitized_texts": f"SELECT doc_id, CASE WHEN doc_id % 9 = 0 OR regexp_matches(text, '(?i)LLM generation failed|urlopen error|Errno|Name or service not known|ECONNREFUSED|timed out') THEN {lit(evidence.UNREACHABLE)} ELSE text END AS shown FROM documents",
         "repeated_lines": repeated,
         "page_profile": profile,
-        "dup_files": "SELECT sha256(text || chr(31)) AS hash, count(*) AS n, string_agg(doc_id::VARCHAR, ', ' ORDER BY doc_id::VARCHAR) AS members FROM documents GROUP BY 1 HAVING count(*) > 1",
+        "dup_files": "SELECT sha256(text || chr(31)) AS hash, count(*) OVER (PARTITION BY text) AS n, min(doc_id::VARCHAR) OVER (PARTITION BY text) AS first_path, doc_id::VARCHAR AS relative_path FROM documents QUALIFY count(*) OVER (PARTITION BY text) > 1",
         "dup_pages_within": flagged("(document_id, h)", "count(*)").replace("SELECT (document_id, h) FROM real GROUP BY ALL", "SELECT (document_id, h) FROM real GROUP BY document_id, h"),
         "dup_pages_across": flagged("h", "count(DISTINCT document_id)"),
         "doc_page_classes": f"{sets} SELECT document_id, class_id, n_pages FROM k",

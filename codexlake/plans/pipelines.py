@@ -78,7 +78,7 @@ def retrieve(
 ) -> DataFrame:
     """Final hits of every query (query_id, query), with all scores.
 
-    ``texts``: (id, text, document_name, section, page_start, page_end). ``scorer``: an expression of
+    ``texts``: (id, text, document_name, section, page_start, page_end); a hit that it lacks stays, with nulls. ``scorer``: an expression of
     query and text; None passes the shortlist through, without a rerank score. The boost counts
     twice, before and after reranking, and where the query names a reference or act it decides
     the final order."""
@@ -88,7 +88,7 @@ def retrieve(
     if mode != "bm25_only":
         lists["dense"] = vectors.search(points, query_vectors, dense_k, filters, key="id")
     hits = fusion.hybrid(lists.get("bm25"), lists.get("dense"), mode, hybrid_k)
-    hits = hits.join(texts, "id").join(queries.select("query_id", "query"), "query_id")
+    hits = hits.join(texts, "id", "left").join(queries.select("query_id", "query"), "query_id")
     first = fusion.reference_boost(hits, queries)
     if scorer is None:
         short = fusion.passthrough(first, rerank_k)

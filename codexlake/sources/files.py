@@ -41,9 +41,11 @@ EMBEDDING = _struct(
 
 def inventory(spark: SparkSession, root: str, suffix: str = ".pdf", corpus_id: str = "corpus") -> DataFrame:
     """Files below a folder whose name ends so, in any case: path, collection, id, content hash."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    path = F.split_part("path", F.lit(root.rstrip("/").split("://")[-1].lstrip("/") + "/"), F.lit(-1))
-    x = files.filter(F.lower("path").endswith(suffix.lower())).select(path.alias("relative_path"), F.sha2("content", 256).alias("source_sha256"))
+    glob = "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix)  # contents of other files are not read
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    top = "/" + root.split("://")[-1].strip("/") + "/"
+    path = F.substring("path", F.instr("path", top) + len(top), F.length("path"))  # only the first time that it occurs
+    x = files.select(path.alias("relative_path"), F.sha2("content", 256).alias("source_sha256"))
     x = x.withColumn("dataset_id", collection(F.col("relative_path")))
     return x.withColumn("document_id", hash_parts(F.lit(corpus_id), F.col("dataset_id"), F.col("relative_path")))
 

@@ -6,12 +6,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only where the session names no shared folder and has one machine, as in tests.
 OWN_FOLDER = "/tmp/checkpoints/codexlake"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or OWN_FOLDER
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+    return given or OWN_FOLDER
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
