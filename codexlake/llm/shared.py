@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codexlake.sources.stage import shared_folder, stored
 
-__all__ = ["SPACE", "BROADCAST_ROWS", "documents", "few_by_hash", "new_path", "shared_folder", "small", "stored", "text_key", "words"]
+__all__ = ["SPACE", "BROADCAST_ROWS", "documents", "few_by_hash", "file_order", "new_path", "shared_folder", "small", "stored", "text_key", "words"]
 
 #: Fixed value: what separates words. A word is a run of anything else.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -50,5 +51,15 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
+def file_order(docs: DataFrame) -> tuple[Column, ...]:
+    """Columns that give the rows of a sorted and stored table their order again: the names of its
+    files, and the rows' places in them. None for a table that is not read straight from files."""
+    try:
+        place = docs.metadataColumn("_metadata")
+    except AnalysisException:
+        return ()
+    return place["file_name"], place["row_index"]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -19,7 +19,8 @@ one batch of rows and writes on; a file ends at ``FILE_BYTES``.
 
 Defined results: null text is empty and has the end id alone; null ids come first; rows of equal
 id are ordered by text hash; repeated rows are written each; an empty table gives no files and an
-empty result; other columns are not looked at.
+empty result; other columns are not looked at. With ``order`` given, files follow these columns
+and not the ids.
 """
 
 from __future__ import annotations
@@ -36,9 +37,10 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -51,8 +53,12 @@ SAMPLE_DOCS = 1000
 SAMPLE_CHARS = 4096
 DICTIONARY_BYTES = 1 << 16
 FILE_BYTES = 32 << 20
-#: Distinct words whose ids a worker remembers.
-REMEMBERED = 600_000
+#: Documents that are encoded at once.
+BATCH_DOCS = 256
+#: Bytes of words and ids that a worker remembers, by a rough count; as much again is held for a while.
+REMEMBERED_BYTES = 32 << 20
+#: What a remembered word takes beside its characters and ids.
+ENTRY_BYTES = 200
 INDEX = np.dtype([("id", "<i8"), ("none", "u1"), ("offset", "<u8"), ("bytes", "<u4"), ("ids", "<u4")])
 
 
@@ -79,9 +85,13 @@ class PieceEncoder:
         self.dtype = np.dtype("<u2" if len(vocabulary) <= 1 << 16 else "<u4")
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
         self.begins[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True  # how it writes a space
+        self.forget()
+        self.feed = self._whole(["\n"])[0]
+
+    def forget(self) -> None:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.feed = self._whole(["\n"])[0]
+        self.taken = 0
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -102,6 +112,7 @@ class PieceEncoder:
 
     def _learn(self, pieces: set[str]) -> None:
         """Remember all pieces, which are words, or a line feed and a word."""
+        self.taken += sum(map(len, pieces)) * 2 + ENTRY_BYTES * len(pieces)
         marked = {}
         words, starts = set(), []
         for p in pieces:
@@ -122,8 +133,8 @@ class PieceEncoder:
             self.known[p] = self.known[core] + marks[p[len(core) :]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
+        if self.taken > REMEMBERED_BYTES:
+            self.known, self.older, self.taken = {}, self.known, 0
         # a piece is a word, the first one of a line with the line feed before it
         cut = [("\n" + t.replace("\n", " \n")).split(" ") for t in texts]
         new = set(chain.from_iterable(cut)).difference(self.known)
@@ -132,6 +143,7 @@ class PieceEncoder:
         if self.older:
             again = new & self.older.keys()
             self.known.update((p, self.older[p]) for p in again)
+            self.taken += sum(map(len, again)) * 2 + ENTRY_BYTES * len(again)
             new -= again
         self._learn(new)
         known, skip = self.known.__getitem__, len(self.feed)
@@ -203,8 +215,9 @@ class _FileWriter:
 FILES = "file string, n_docs long, n_ids long, bytes long"
 
 
-def write_files(docs: DataFrame, folder: str, tokenizer_json: str, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Write all texts (columns doc_id, text); the stored list of files, in order of name."""
+def write_files(docs: DataFrame, folder: str, tokenizer_json: str, file_bytes: int = FILE_BYTES, order: tuple[Column, ...] = ()) -> DataFrame:
+    """Write all texts (columns doc_id, text) by ``order`` (by default by id, then by text hash);
+    the stored list of files, in order of name."""
     spark = docs.sparkSession
     dictionary = train_dictionary(docs, tokenizer_json)
     fs, at = file_system(folder)
@@ -213,27 +226,30 @@ def write_files(docs: DataFrame, folder: str, tokenizer_json: str, file_bytes: i
         f.write(dictionary)
     given = spark.sparkContext.broadcast((tokenizer_json, dictionary))
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, words = given.value
         encoder, pack = _encoder(tokenizer), _frames(zstandard.ZstdCompressor, words, level=LEVEL)
         part, done, file = TaskContext.get().partitionId(), [], None
         width, end = encoder.dtype.itemsize, np.array([END_ID], encoder.dtype).tobytes()
         for rows in batches:
-            keys = rows["doc_id"].tolist()
-            texts = [t or "" for t in rows["text"]]
-            for a in range(0, len(texts), 256):
-                for key, ids in zip(keys[a : a + 256], encoder.encode(texts[a : a + 256]), strict=True):
+            for a in range(0, rows.num_rows, BATCH_DOCS):
+                some = rows.slice(a, BATCH_DOCS).to_pydict()  # ids as whole numbers, null or not
+                for key, ids in zip(some["doc_id"], encoder.encode([t or "" for t in some["text"]]), strict=True):
                     if file is None:
                         file = _FileWriter(folder, f"{part:07d}-{len(done):05d}.tokz", words, width)
-                    file.add(None if pd.isna(key) else int(key), pack.compress(ids + end), len(ids) // width + 1)
+                    file.add(key, pack.compress(ids + end), len(ids) // width + 1)
                     if file.at >= file_bytes:
                         done, file = [*done, file.close()], None
         if file is not None:
             done.append(file.close())
-        yield pd.DataFrame(done, columns=["file", "n_docs", "n_ids", "bytes"])
+        encoder.forget()  # the worker may live on through other stages
+        columns = list(zip(*done, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["file", "n_docs", "n_ids", "bytes"])
 
-    rows = docs.select("doc_id", "text", text_key(F.col("text")).alias("h")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
-    return stored(rows.select("doc_id", "text").mapInPandas(write, FILES), "files")
+    order = [c.alias(f"order_{i}") for i, c in enumerate(order or (F.col("doc_id"), text_key(F.col("text"))))]
+    names = [f"order_{i}" for i in range(len(order))]
+    rows = docs.select("doc_id", "text", *order).repartitionByRange(*names).sortWithinPartitions(*names)
+    return stored(rows.select("doc_id", "text").mapInArrow(write, FILES), "files")
 
 
 def _index(f, size: int) -> tuple[np.ndarray, int, bytes]:
@@ -300,10 +316,11 @@ def read_files(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
     return there.mapInPandas(_read, READ).join(small(base), "file").select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def tokenized(docs: DataFrame, tokenizer_path: str, folder: str | None = None) -> DataFrame:
-    """Write the documents' ids to ``folder`` (by default a new shared one), read them back."""
+def tokenized(docs: DataFrame, tokenizer_path: str, folder: str | None = None, order: tuple[Column, ...] = ()) -> DataFrame:
+    """Write the documents' ids to ``folder`` (by default a new shared one), read them back.
+    ``order``: columns of ``docs`` that the files follow; by default the ids."""
     spark = docs.sparkSession
     folder = folder or new_path(spark, "token-ids")
     with open(tokenizer_path, encoding="utf-8") as f:
         tokenizer_json = f.read()
-    return read_files(spark, folder, write_files(docs.select("doc_id", "text"), folder, tokenizer_json))
+    return read_files(spark, folder, write_files(docs, folder, tokenizer_json, order=order))
