@@ -24,7 +24,9 @@ class Ingested:
 
 
 def cleaned_pages(raw: DataFrame) -> DataFrame:
-    """Raw pages (document_id, page_index, raw_text) with clean text, printed number, id and hash."""
+    """Raw pages (document_id, page_index, raw_text) with clean text, printed number, id and hash. They are
+    dealt out page by page first, so that neither a few large files nor one long document keep them in few tasks."""
+    raw = raw.repartition("document_id", "page_index")
     marks = quality.repeated_lines(raw, "raw_text").groupBy("document_id").agg(F.collect_set("line").alias("_marks"))  # a few lines a document
     x = raw.join(marks, "document_id", "left").withColumn("text", cleaned(F.col("raw_text"), F.col("_marks"))).drop("_marks")
     return x.withColumns({"printed_page_number": printed_page_number(F.col("raw_text")), "page_id": hash_parts(F.col("document_id"), F.col("page_index")), "page_text_sha256": hash_parts(F.col("text"))})

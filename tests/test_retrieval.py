@@ -38,7 +38,7 @@ def test_bm25_by_hand(spark, tmp_path):
 def test_bm25_in_all_alphabets_equals_brute_force(spark):
     words = lambda t: [m.group(0).lower() for m in re.finditer(TOKEN.replace("(?iuU)", ""), t, re.I)]
     docs = {r.doc_id: words(r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    asked = {r.query_id: words(r.query) for r in catalog.corpora.queries(spark, SF, ascii_only=False).collect()}
+    asked = {r.query_id: words(r.query) for r in catalog.corpora.queries(spark, SF).collect()}
     counts, n, avg = {d: Counter(w) for d, w in docs.items()}, len(docs), sum(map(len, docs.values())) / len(docs)
     df = Counter(t for c in counts.values() for t in c)
     want = set()
