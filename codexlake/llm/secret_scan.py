@@ -374,7 +374,8 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = S
     short = docs.filter(F.length("text") <= sample_chars).select("doc_id", "text", likely.alias("likely"))
     n = short.agg(F.count_if("likely").alias("yes"), F.count_if(~F.col("likely")).alias("no")).first()
     h = F.xxhash64("doc_id")
-    most = lambda k: F.lit(int(-(1 << 63) + min(1.0, (2 * sample_docs + 100) / max(1, k)) * ((1 << 64) - 1)))  # noqa: E731  hashes are spread evenly
+    share = lambda k: min(1.0, (2 * sample_docs + 100) / max(1, k))
+    most = lambda k: F.lit(min((1 << 63) - 1, int(-(1 << 63) + share(k) * (1 << 64))))  # noqa: E731  hashes are spread evenly
     near = short.filter(F.when(F.col("likely"), h <= most(n.yes)).otherwise(h <= most(n.no)))
     rank = F.row_number().over(Window.partitionBy("likely").orderBy(h, "doc_id", F.xxhash64("text")))
     rows = near.withColumn("n", rank).filter(F.col("n") <= sample_docs).collect()
