@@ -3,8 +3,8 @@
 Fixed base rules come first. What passes them is summed up, per language and source, in
 quantile sketches of three measures, and each document is then held against the fences of its own
 group: three times the distance of the quartiles beyond them. Up to a quarter of a group may be
-bad without moving its fences. Where quartiles fall together their distance is one bucket, the
-least that the sketch can tell apart. A sketch is a table of counts by bucket (seven leading binary
+bad without moving its fences. It is taken between the
+outer edges of their buckets, so it is one bucket at least. A sketch is a table of counts by bucket (seven leading binary
 digits of the value, so a bucket is within 1/64 of every value in it). Sketches merge by adding
 counts: groups too small for a threshold of their own use the merged sketch of their language, or of all documents.
 
@@ -127,7 +127,7 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     )
     pick = lambda c: F.when(F.col("o.n") >= MIN_GROUP, F.col(f"o.{c}")).when(F.col("l.n") >= MIN_GROUP, F.col(f"l.{c}")).otherwise(F.col(f"w.{c}"))
     x = x.select(F.col("o.lang").alias("lang"), F.col("o.source").alias("source"), F.col("o.measure").alias("measure"), pick("q1").alias("q1"), pick("q3").alias("q3"))
-    reach = REACH * F.greatest(F.col("q3") - F.col("q1"), width(F.col("q3")))
+    reach = REACH * (F.col("q3") + width(F.col("q3")) - F.col("q1"))
     at = lambda k, v: F.max(F.when(F.col("measure") == k, v))
     return x.groupBy("lang", "source").agg(*[at(k, F.col("q3") + reach).alias(f"{k}_high") for k in rates()], at("word_length", F.col("q1") - reach).alias("word_length_low"))
 

@@ -130,7 +130,7 @@ q AS (
   FROM own o JOIN by_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.measure = l.measure JOIN whole w ON o.measure = w.measure),
 f AS (
   SELECT lang, source, measure, q1 - reach AS low, q3 + reach AS high
-  FROM (SELECT *, 3 * greatest(q3 - q1, 1::BIGINT << greatest(length(bin(q3::BIGINT)) - 7, 0)::INTEGER) AS reach FROM q)),
+  FROM (SELECT *, 3 * (q3 - q1 + (1::BIGINT << greatest(length(bin(q3::BIGINT)) - 7, 0)::INTEGER)) AS reach FROM q)),
 t AS (
   SELECT lang, source, max(high) FILTER (measure = 'symbol_rate') AS sh, max(high) FILTER (measure = 'word_length') AS wh,
     max(low) FILTER (measure = 'word_length') AS wl, max(high) FILTER (measure = 'line_rate') AS lh

@@ -249,7 +249,7 @@ def brute_kept(rows):
             own, of_lang = [[x[2][m] for x in rates.values() if f(x)] for f in (lambda x: x[:2] == (lang, source), lambda x: x[0] == lang)]  # noqa: B023
             values = sorted(map(bucket, own if len(own) >= 100 else of_lang if len(of_lang) >= 100 else [x[2][m] for x in rates.values()]))
             q1, q3 = (next(v for i, v in enumerate(values) if 4 * (i + 1) >= k * len(values)) for k in (1, 3))
-            reach = 3 * max(q3 - q1, 1 << max(0, q3.bit_length() - 7))
+            reach = 3 * (q3 - q1 + (1 << max(0, q3.bit_length() - 7)))
             ok &= have[m] <= q3 + reach and (m != 1 or have[m] >= q1 - reach)
         if ok:
             kept.add(d)
