@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,7 @@ from codexlake.corpora import table
 from codexlake.functions import metadata, query_text, text
 from codexlake.operators import audit, chunking, evidence, fusion, lexical, quality, structure, vectors
 from codexlake.plans import pipelines
-from codexlake.sources.stage import stored
+from codexlake.sources.stage import shared_folder, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 BM25_K, DENSE_K, HYBRID_K, RERANK_K = 10, 10, 20, 5
@@ -397,6 +398,32 @@ def index_validation(s: SparkSession, d: str) -> DataFrame:
     return audit.with_verdict(found).select("severity", "code", F.coalesce("chunk_id", F.lit("")).alias("key"))
 
 
+INDEX_CONFIG = {"corpus_id": "corpus", "source_corpus_manifest_hash": "a", "embedding_provider": "hash", "embedding_model": "hash-16", "embedding_model_revision": "deterministic", "embedding_normalize": True}
+
+
+def _stored_indexes(s: SparkSession, d: str) -> tuple[str, DataFrame, DataFrame]:
+    """Where the indexes of all ingested chunks are stored, the chunks, and the pairs: one document is another's copy."""
+    x = _ingested(s, d)
+    pairs = s.range(1).select(F.lit("Dataset_1/statute_1_act_.pdf").alias("left_path"), F.lit("elsewhere.pdf").alias("right_path"))
+    c = INDEX_CONFIG
+    built = pipelines.build_indexes(x.chunks, pairs, vectors.make_embedder("hash", c["embedding_model"]), "hash", c["embedding_model"], c["embedding_model_revision"])
+    path = f"{shared_folder(s).rstrip('/')}/indexes-{uuid.uuid4().hex}"
+    pipelines.write_indexes(built, x.documents, path, c)
+    return path, x.chunks, pairs
+
+
+def index_manifest(s: SparkSession, d: str) -> DataFrame:
+    return s.read.json(f"{_stored_indexes(s, d)[0]}/manifest")
+
+
+def index_revalidation(s: SparkSession, d: str) -> DataFrame:
+    """Findings on stored indexes after chunks of every other document have changed, and with them the corpus."""
+    path, chunks, pairs = _stored_indexes(s, d)
+    changed = F.when(F.xxhash64("document_id") % 2 == 0, F.concat("embedding_text", F.lit(" anew"))).otherwise(F.col("embedding_text"))
+    found = pipelines.revalidate(s, path, chunks.withColumn("embedding_text", changed), pairs, {"corpus_id": "corpus", "manifest_hash": "b"})
+    return found.select("severity", "code", F.coalesce("chunk_id", F.lit("")).alias("key"))
+
+
 def hash_embeddings(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("embedding_text"))
     return vectors.embedded(rows, vectors.make_embedder("hash", "hash-8")).select(F.col("chunk_id").alias("doc_id"), "embedding")
@@ -429,6 +456,6 @@ def queries() -> dict[str, Query]:
         reference_boost, rerank_overlap, rerank_passthrough, evidence_pack, grounding_gate, extractive_answer, prompt_text, citation_cards, response_state, sanitized_texts,
         repeated_lines, page_profile, page_clean, dup_files, dup_pages_within, dup_pages_across, doc_page_classes, doc_collisions, dup_chunks, document_findings,
         severity_counts, doc_status, manifest_totals, page_counts, page_findings, manifest_hashes, line_classes, structure_context, page_structure, structural_blocks, doc_metadata, chunks, chunk_rollup, ingest_findings, embedding_text,
-        incremental_plan, embed_cache_plan, vector_sync_plan, point_ids, eligible_chunks, skipped_documents, index_validation, hash_embeddings, retrieve_bundle, answer_batch,
+        incremental_plan, embed_cache_plan, vector_sync_plan, point_ids, eligible_chunks, skipped_documents, index_validation, index_manifest, index_revalidation, hash_embeddings, retrieve_bundle, answer_batch,
     )
     return {f.__name__: f for f in own}

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codexlake.functions import metadata, query_text
 from codexlake.functions.text import cleaned, hash_parts, printed_page_number
 from codexlake.operators import audit, chunking, evidence, fusion, lexical, quality, structure, vectors
+from codexlake.sources import files as sinks
 from codexlake.sources.stage import stored
 
 
@@ -68,12 +70,55 @@ def build_indexes(
         raise ValueError("points need embeddings")
     judged = audit.with_eligibility(chunks, audit.collision_groups(pairs), index_collisions)
     eligible = judged.filter("reason IS NULL")
-    embeddings = None if skip_embeddings else vectors.generate(eligible, factory, provider, model, revision, normalize, cache)
+    embeddings = None if skip_embeddings else stored(vectors.generate(eligible, factory, provider, model, revision, normalize, cache), "embeddings")
     bm25 = None if skip_bm25 else lexical.build(eligible)
     points = None if skip_vectors else vectors.payload(eligible).join(embeddings.select("chunk_id", "embedding"), "chunk_id")
     return Indexes(judged, embeddings, bm25, points)
 
 
+def write_indexes(indexes: Indexes, documents: DataFrame, path: str, config: dict) -> None:
+    """Store what was built below a new folder, and with it the manifest (``config`` and the counts), what was
+    skipped, and the place of every chunk in the word index."""
+    x = indexes
+    tables = {"skipped_chunks": audit.skipped_chunks(x.judged), "skipped_documents": audit.skipped_documents(documents, x.judged), "collision_documents": audit.collision_documents(x.judged)}
+    if x.bm25 is not None:
+        x.bm25.write(f"{path}/bm25")
+        tables["bm25_chunks"] = audit.placed(x.judged.filter("reason IS NULL")).select("chunk_id", "position")
+    if x.points is not None:
+        tables["points"] = x.points
+    for name, table in tables.items():
+        table.write.mode("errorifexists").parquet(f"{path}/{name}")
+    if x.embeddings is not None:
+        sinks.write_embeddings(x.embeddings, f"{path}/embeddings")
+    lexical_stats = None if x.bm25 is None else x.bm25.corpus_stats
+    sinks.write_json(audit.index_manifest(x.judged, x.embeddings, lexical_stats, x.points, config), f"{path}/manifest")
+
+
+def _table(spark: SparkSession, path: str) -> DataFrame | None:
+    """A stored table, or None if there is none."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def revalidate(spark: SparkSession, path: str, chunks: DataFrame, pairs: DataFrame, source: dict | None = None, index_collisions: bool = False) -> DataFrame:
+    """Findings, verdict included, on indexes that ``write_indexes`` stored, held against the chunks as they are
+    now. Nothing is built again; a table that is gone counts as empty, and a word index that is gone is a finding."""
+    judged = audit.with_eligibility(chunks, audit.collision_groups(pairs), index_collisions)
+    manifest = sinks.read_json(spark, f"{path}/manifest").first().asDict()
+    embeddings, lexical_rows, points = (_table(spark, f"{path}/{t}") for t in ("embeddings", "bm25_chunks", "points"))
+    if embeddings is None:
+        embeddings = spark.createDataFrame([], sinks.EMBEDDING)
+    if points is None and manifest["vector_store_enabled"]:
+        points = spark.createDataFrame([], "chunk_id string")
+    meta = {"indexed_chunks": manifest.get("bm25_indexed_chunks")} if manifest["bm25_enabled"] else None
+    eligible = audit.placed(judged.filter("reason IS NULL"))
+    return audit.with_verdict(audit.index_findings(eligible, embeddings, manifest, lexical_rows, meta, points, source))
+
+
 def retrieve(
     queries: DataFrame, texts: DataFrame, bm25: lexical.Bm25Index | None, points: DataFrame | None = None, query_vectors: DataFrame | None = None, mode: str = "both",
     bm25_k: int = lexical.TOP_K, dense_k: int = vectors.TOP_K, hybrid_k: int = fusion.TOP_K, rerank_k: int = fusion.RERANK_TOP_K, scorer=fusion.overlap_score, filters: dict | None = None,

@@ -13,6 +13,7 @@ import __spark_entry__
 from codexlake import catalog, oracles
 from codexlake.functions.text import TOKEN
 from codexlake.operators import audit, evidence, fusion, lexical, vectors
+from codexlake.plans import pipelines
 from codexlake.sources import files
 from codexlake.streaming import live
 
@@ -147,6 +148,43 @@ def test_index_audit_of_a_sound_index(spark):
     assert {r.code for r in audit.index_findings(chunks, made, manifest, None, {"indexed_chunks": 1}).collect()} == {"BM25_INDEX_MISSING"}
 
 
+def test_stored_indexes_and_their_validation_later(spark, tmp_path):
+    raw = spark.createDataFrame(
+        [(f"Dataset_1/{n}.pdf", i, f"Head\n{i}. Title of {n}. " + f"some words of {n} " * 6, False, None) for n in "abc" for i in range(1, 4)],
+        "relative_path string, page_index int, raw_text string, extraction_failed boolean, failure_reason string",
+    )
+    given = raw.groupBy("relative_path").agg(F.count("*").cast("int").alias("page_count"), F.max("relative_path").alias("source_sha256"))
+    x = pipelines.ingest(given, raw, size=30, overlap=5)
+    pairs = spark.createDataFrame([("Dataset_1/a.pdf", "elsewhere.pdf")], "left_path string, right_path string")
+    config, path, now = catalog.INDEX_CONFIG, str(tmp_path / "indexes"), {"corpus_id": "corpus", "manifest_hash": "a"}
+    build = lambda chunks, **kw: pipelines.build_indexes(chunks, pairs, vectors.make_embedder("hash", "hash-16"), "hash", "hash-16", "deterministic", **kw)
+    pipelines.write_indexes(build(x.chunks), x.documents, path, config)
+    n = x.chunks.count()
+    left = x.chunks.filter("provenance.relative_path = 'Dataset_1/a.pdf'").count()
+    m = spark.read.json(f"{path}/manifest").first()
+    assert (m.total_source_chunks, m.skipped_chunks, m.collision_chunks) == (n, left, left) and left > 0
+    assert m.indexed_chunks == m.embedded_chunks == m.bm25_indexed_chunks == m.vector_points == n - left and m.embedding_dimension == 16
+    read = lambda t: spark.read.parquet(f"{path}/{t}").collect()
+    assert {r.reason for r in read("skipped_chunks")} == {"content_collision"} == {r.reason for r in read("skipped_documents")}
+    assert [r.relative_path for r in read("collision_documents")] == ["Dataset_1/a.pdf"]
+    codes = lambda *a, **kw: {r.code for r in pipelines.revalidate(spark, *a, **kw).collect()}
+    assert codes(path, x.chunks, pairs, now) == {"INDEX_VALIDATION_PASS"}
+
+    changed = x.chunks.withColumn("embedding_text", F.concat("embedding_text", F.lit(" anew")))
+    assert codes(path, changed, pairs, now | {"manifest_hash": "b"}) == {"EMBEDDING_INPUT_HASH_MISMATCH", "SOURCE_CORPUS_MANIFEST_HASH_MISMATCH"}
+    fewer = x.chunks.filter("provenance.relative_path != 'Dataset_1/c.pdf'")
+    gone = {"EMBEDDING_CHUNK_ID_MISMATCH", "BM25_COUNT_MISMATCH", "BM25_INDEX_CHUNK_ORDER_MISMATCH", "BM25_INDEX_COUNT_MISMATCH", "VECTOR_COUNT_MISMATCH", "VECTOR_UNKNOWN_CHUNK_ID", "VECTOR_PAYLOAD_CHUNK_ID_MISMATCH"}
+    assert codes(path, fewer, pairs, now) == gone
+
+    (tmp_path / "indexes/bm25_chunks").rename(tmp_path / "taken")
+    assert codes(path, x.chunks, pairs, now) == {"BM25_INDEX_MISSING"}
+    part = str(tmp_path / "part")
+    pipelines.write_indexes(build(x.chunks, skip_bm25=True, skip_vectors=True), x.documents, part, config)
+    assert codes(part, x.chunks, pairs, now) == {"INDEX_VALIDATION_PASS"}
+    with pytest.raises(ValueError, match="embeddings"):
+        build(x.chunks, skip_embeddings=True)
+
+
 def test_files_round_trip(spark, tmp_path):
     (tmp_path / "in" / "Dataset_1").mkdir(parents=True)
     (tmp_path / "in" / "Dataset_1" / "a.PDF").write_bytes(b"x")
