@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexlake.llm import chat_format, decontaminate, html_extract, language_id, quality_rules
-from codexlake.llm import secret_scan, simhash_dedup, source_mix, token_output, url_filter
+from codexlake.llm import chat_format, decontaminate, html_extract, language_id, minhash, prefix_trie, quality_rules
+from codexlake.llm import secret_scan, simhash_dedup, source_mix, token_output, url_filter, vector_codes
 from codexlake.llm.shared import documents
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -87,6 +87,18 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_report(documents(spark, sf_dir))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.fingerprint_report(documents(spark, sf_dir))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie_report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP4_SQL = rf"""
@@ -188,6 +200,69 @@ SELECT doc_id, item_id, start::BIGINT AS start, round(similarity, 6) AS similari
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
 """
 
+OP12_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k, n) AS i, k, n
+  FROM (SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, length(coalesce(text, '')) AS n FROM conversations WHERE conv_id IS NOT NULL)),
+b AS (SELECT conv_id, generate_subscripts(s, 1) AS i, ascii(unnest(s)) AS b FROM (SELECT DISTINCT conv_id, string_split(conv_id::VARCHAR, '') AS s FROM t)),
+-- CRC-32 byte by byte, in the usual reversed form
+c AS (
+  SELECT conv_id, 0::BIGINT AS i, 4294967295 AS c FROM (SELECT DISTINCT conv_id FROM t)
+  UNION ALL SELECT c.conv_id, c.i + 1, list_reduce(list_concat([xor(c.c, b.b::BIGINT)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))
+  FROM c JOIN b ON b.conv_id = c.conv_id AND b.i = c.i + 1),
+h AS (SELECT conv_id, conv_id - conv_id % 100 AS head, xor(max_by(c, i), 4294967295) % 6 AS h FROM c GROUP BY conv_id),
+p AS (
+  SELECT h.conv_id, list(k ORDER BY i) FILTER (k IS NOT NULL) AS k, list(n ORDER BY i) FILTER (k IS NOT NULL) AS n
+  FROM h LEFT JOIN LATERAL (
+    SELECT i, k, n FROM t WHERE t.conv_id = h.head AND t.i <= h.h UNION ALL SELECT i, k, n FROM t WHERE t.conv_id = h.conv_id AND t.i > h.h) x ON true
+  GROUP BY h.conv_id),
+m AS (
+  SELECT conv_id, d, coalesce(len(k), 0) = d AS ends, md5(coalesce(array_to_string(k[:d], ' '), '')) AS node, CASE WHEN d > 0 THEN md5(coalesce(array_to_string(k[:d - 1], ' '), '')) END AS parent, CASE WHEN d > 0 THEN n[d] ELSE 0 END AS chars
+  FROM (SELECT *, unnest(range(0, coalesce(len(k), 0) + 1)) AS d FROM p)),
+nodes AS (
+  SELECT node, d AS depth, any_value(parent) AS parent, any_value(chars) AS chars, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM m GROUP BY node, d),
+kids AS (SELECT parent AS node, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+under AS (SELECT DISTINCT a.node AS top, d.node FROM m a JOIN m d ON a.conv_id = d.conv_id AND a.d <= d.d),
+sums AS (
+  SELECT top, count(*) FILTER (kids.node IS NULL) AS n_leaves, sum((n_convs - 1) * chars) AS saved_tokens
+  FROM under JOIN nodes USING (node) LEFT JOIN kids ON kids.node = nodes.node GROUP BY top)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0)::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n LEFT JOIN nodes p ON n.parent = p.node LEFT JOIN kids ON kids.node = n.node JOIN sums ON sums.top = n.node
+"""
+
+
+def _op13_sql() -> str:
+    """The rounds written out one after the other; x has a row for each vector, part and place."""
+    steps = ["""
+v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e
+  FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+x AS MATERIALIZED (SELECT r, p, e[p * len(e) // 4 + 1 : (p + 1) * len(e) // 4] AS w FROM v, range(4) AS g(p)),
+book0 AS MATERIALIZED (SELECT p, r - 1 AS j, w FROM x WHERE r <= 256)"""]
+    for k in range(5):
+        steps.append(f"""
+near{k} AS MATERIALIZED (
+  SELECT r, x.p, min({{'d': list_sum(list_transform(list_zip(x.w, b.w), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'j': b.j}}) AS a
+  FROM x JOIN book{k} b USING (p) GROUP BY r, x.p)""")
+        if k < 4:
+            steps.append(f"""
+book{k + 1} AS MATERIALIZED (
+  SELECT p, j, coalesce(m, b.w) AS w FROM book{k} b LEFT JOIN (
+    SELECT p, j, list(floor_mean ORDER BY i) AS m FROM (
+      SELECT p, a.j AS j, i, (sum(w[i]) - ((sum(w[i]) % count(*)) + count(*)) % count(*)) // count(*) AS floor_mean
+      FROM near{k} JOIN x USING (r, p), range(1, 1000) AS g(i) WHERE i <= len(w) GROUP BY ALL) GROUP BY p, j) USING (p, j))""")
+    return f"""WITH {','.join(steps)},
+codes AS (SELECT r, string_agg(printf('%02x', a.j), '' ORDER BY p) AS code, sum(a.d)::BIGINT AS error FROM near4 GROUP BY r),
+sha AS (SELECT sha256(string_agg(array_to_string(w, ','), ',' ORDER BY p, j)) AS s FROM book4)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, (SELECT s FROM sha) AS codebooks_sha256 FROM v JOIN codes USING (r)
+"""
+
+
+OP13_SQL = _op13_sql()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_dedup": op1_simhash_dedup,
@@ -200,8 +275,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_source_mix": op9_source_mix,
         "op10_secret_scan": op10_secret_scan,
+        "op11_minhash": op11_minhash,
+        "op12_prefix_trie": op12_prefix_trie,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": OP2_SQL, "op3_url_filter": OP3_SQL, "op4_quality_rules": OP4_SQL, "op5_decontamination": OP5_SQL}
+    return {"op2_chat_format": OP2_SQL, "op3_url_filter": OP3_SQL, "op4_quality_rules": OP4_SQL, "op5_decontamination": OP5_SQL, "op12_prefix_trie": OP12_SQL, "op13_vector_codes": OP13_SQL}
