@@ -1,7 +1,8 @@
 """Main text of web pages by composite text density.
 
-A page is read into a tree by the standard library's tolerant tokenizer. Elements whose very name says
-that they are no text of an article (menus, footers, asides, scripts, styles, controls) are cut off; a
+A page is read into a tree in one pass. Elements whose very name says
+that they are no text of an article (menus, footers, asides, scripts, styles, controls), and elements that are hidden
+(``hidden``, ``aria-hidden="true"``), are cut off; a
 header is, unless it is an article's or the main element's own; a form is, unless it holds most of
 the page. Every other node gets its density: characters per tag, adjusted by the share of link characters and link tags
 as in the published composite text density. Class, id and role words that speak of notices, adverts,
@@ -10,9 +11,11 @@ article or main element inside starts afresh. They drop nothing by themselves.
 
 A node's density sum is that of its children's densities. The node of the greatest sum, and its path up
 to the body, give the threshold: the least density on that path. From the body down, each subtree
-that reaches the threshold gives its node of greatest sum, widened to the article or main element
-around it if that one is at least ``AGREES`` times as dense. The text of all these nodes is the result, without
-penalised parts below the threshold or below ``AGREES`` times the density of the node they are in.
+that reaches the threshold, and whose greatest sum (or own density) agrees with the page's, gives its node of greatest sum, widened to
+the article or main element, or else the container, around it if that one is at least ``AGREES`` times as dense or holds most of the text. The
+text of all these nodes is the result, without penalised parts below the threshold or below ``AGREES`` times the density of the node
+they are in, without containers less dense than one beside them that holds most of what both are in, and without those of links
+in a node that is not. So short lines around a text (menus, imprints, notices) go on pages without telling names too.
 
 Defined results: null or empty html, or a page without text outside of what is cut off, gives an
 empty text; an unclosed or cut off page is read as far as it goes; elements nested deeper than
@@ -22,11 +25,11 @@ empty result; other columns are passed on as they are.
 
 from __future__ import annotations
 
+import html
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -57,6 +60,9 @@ BLOCKS = frozenset(
     "address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main "
     "ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Elements that group others, whatever they are used for.
+CONTAINERS = frozenset("article aside div fieldset figure footer form header main nav ol section table ul".split())
+LISTS = frozenset("ol table ul".split())
 #: An open element of the second kind ends where one of the first begins.
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
@@ -64,10 +70,32 @@ CLOSES = {
 #: Such ends are not looked for beyond these.
 SCOPE = frozenset("html body table ul ol dl article section main div".split())
 WORDS = re.compile(r"[a-z0-9]+")
+#: Elements whose content is no markup, up to their end tag.
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+NAME = re.compile(r"[a-zA-Z][^\t\n\r\f />]*")
+#: An attribute's name and what leads to its value; each match goes on where the last one ended.
+ATTRIBUTE = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(\s*=\s*)?")
+COMMENT_END = re.compile(r"--!?>")
+UNQUOTED = re.compile(r"[^\s>]*")
+#: Numeric references of so many digits that only leading zeros can make them one of a character.
+LONG_NUMBER = re.compile(r"&#(?:(?P<ten>[0-9]{8,})|[xX](?P<hex>[0-9a-fA-F]{8,}));?")
+
+
+def unescaped(text: str) -> str:
+    """Character references decoded, those of any length."""
+    if "&" not in text:
+        return text
+
+    def number(m: re.Match) -> str:
+        kind = "x" if m["hex"] else ""
+        digits = (m["hex"] or m["ten"]).lstrip("0") or "0"
+        return f"&#{kind}{digits};" if len(digits) < 8 else "\ufffd"
+
+    return html.unescape(LONG_NUMBER.sub(number, text))
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "unlikely", "depth", "chars", "tags", "link_chars", "link_tags", "density", "total", "best")
+    __slots__ = ("tag", "parent", "children", "dropped", "unlikely", "depth", "chars", "tags", "link_chars", "link_tags", "density", "total", "best", "main")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool, unlikely: bool):
         self.tag, self.parent, self.dropped, self.unlikely = tag, parent, dropped, unlikely
@@ -76,6 +104,7 @@ class Node:
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
         self.best = self
+        self.main: Node | None = None  # the child that holds most of the text, if it is a container
 
     def inner(self) -> Iterator[Node]:
         return (c for c in self.children if type(c) is not str and not c.dropped)
@@ -97,17 +126,85 @@ def _unlikely(attrs: list[tuple[str, str | None]]) -> bool:
     return any(not UNLIKELY.isdisjoint(n) and DENIED.isdisjoint(n) for n in names)
 
 
-class Page(HTMLParser):
-    """Builds the tree; nodes are listed parents first."""
+class Page:
+    """Builds the tree; nodes are listed parents first.
 
-    def __init__(self, html: str):
-        super().__init__(convert_charrefs=True)
+    Markup is read in one pass, as browsers do: no step goes back, and what is not found ahead
+    once is not looked for again. A tag, comment or quoted value without an end takes the rest of the page,
+    except that a quote nowhere closed is part of an unquoted value."""
+
+    def __init__(self, source: str):
         self.root = self.at = Node("#page", None, False, False)
         self.nodes = [self.root]
         self.open: Counter[str] = Counter()
         self.flat: Counter[str] = Counter()  # open elements that were too deep to be nested
-        self.feed(html)
-        self.close()
+        self.source = source
+        self.missing: set[str] = set()  # quotes that do not come any more
+        self._read()
+
+    def _read(self) -> None:
+        source, at, size = self.source, 0, len(self.source)
+        while at < size:
+            tag = source.find("<", at)
+            if tag < 0:
+                tag = size
+            if tag > at:
+                self.handle_data(unescaped(source[at:tag]))
+            at = tag + 1
+            if at >= size:
+                if tag < size:
+                    self.handle_data("<")
+                return
+            if name := NAME.match(source, at):
+                at = self._start(name[0].lower(), name.end())
+            elif source[at] == "/" and at + 1 < size:
+                name = NAME.match(source, at + 1)
+                at = self._past(">", at + 1)
+                if name and at <= size:
+                    self.handle_endtag(name[0].lower())
+            elif source.startswith("!--", at):
+                if source.startswith((">", "->"), at + 3):
+                    at = self._past(">", at + 3)
+                else:
+                    end = COMMENT_END.search(source, at + 3)
+                    if not end:
+                        return
+                    at = end.end()
+            elif source[at] in "!?":
+                at = self._past(">", at)
+            else:
+                self.handle_data("<")
+
+    def _past(self, what: str, at: int) -> int:
+        end = self.source.find(what, at)
+        return end + len(what) if end >= 0 else len(self.source) + 1
+
+    def _start(self, tag: str, at: int) -> int:
+        """Reads a start tag's attributes; where it ends."""
+        source, attrs = self.source, []
+        while m := ATTRIBUTE.match(source, at):
+            name, at, value = m[1].lower(), m.end(), None
+            if m[2]:
+                quote = source[at : at + 1]
+                end = source.find(quote, at + 1) if quote in ("'", '"') and quote not in self.missing else -1
+                if end >= 0:
+                    value, at = source[at + 1 : end], end + 1
+                else:
+                    if quote in ("'", '"'):
+                        self.missing.add(quote)
+                    value = UNQUOTED.match(source, at)[0]
+                    at += len(value)
+            if name in ("class", "id", "role", "hidden", "aria-hidden"):
+                attrs.append((name, unescaped(value) if value else value))
+        at = self._past(">", at)
+        if at > len(source):
+            return at
+        self.handle_starttag(tag, attrs)
+        if tag in RAW:
+            end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, at)
+            at = self._past(">", end.end()) if end else len(source)
+            self.handle_endtag(tag)
+        return at
 
     def handle_starttag(self, tag, attrs):
         if tag in ("html", "body") and self.open[tag]:
@@ -134,11 +231,6 @@ class Page(HTMLParser):
         self.open[tag] += 1
         self.at = node
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.handle_endtag(tag)
-
     def handle_endtag(self, tag):
         if self.flat[tag]:
             self.flat[tag] -= 1
@@ -206,6 +298,8 @@ def _densities(page: Page) -> Node:
         if n.unlikely:
             n.density /= PENALTY
         up = n.parent
+        if up is not None and n.tag in CONTAINERS and not n.unlikely and n.chars > MOST * up.chars:
+            up.main = n
         if n.total >= n.best.total:  # of equals the outer one
             n.best = n
         if up is not None:
@@ -215,10 +309,22 @@ def _densities(page: Page) -> Node:
     return body
 
 
-def _widened(node: Node) -> Node:
-    """The nearest article or main element around a node that is about as dense, else the node."""
-    around = next((n for n in node.up() if n.tag in ("article", "main")), node)
-    return around if around.density >= AGREES * node.density else node
+def _widened(node: Node, body: Node) -> Node:
+    """The nearest article or main element around a node, or if there is none the nearest container of one
+    that is none, if that is about as dense or holds most of the page's text; else the node."""
+    around = next((n for n in node.up() if n.tag in ("article", "main")), None)
+    around = around or next((n for n in node.up() if n.tag in CONTAINERS and n.tag not in LISTS), node)
+    return around if around.density >= AGREES * node.density or around.chars > MOST * body.chars else node
+
+
+def _beside(n: Node) -> bool:
+    """Whether a container is less dense than one beside it that holds most of what both are in: a
+    menu, an imprint, a notice around the text; or whether it is mostly links in a node that is not."""
+    main, around = n.parent.main, n.parent
+    if n.tag not in CONTAINERS or n.tag in ("article", "main") or main is n:
+        return False
+    links = n.tag not in LISTS and n.link_chars > MOST * n.chars and around.link_chars <= MOST * around.chars
+    return links or (main is not None and n.density < main.density)
 
 
 def _blocks(node: Node, threshold: float) -> Iterator[str]:
@@ -240,6 +346,8 @@ def _blocks(node: Node, threshold: float) -> Iterator[str]:
             parts.append(" ")
         if x is None or x.dropped or (x is not node and x.unlikely and not node.unlikely and x.density < max(threshold, AGREES * node.density)):
             continue
+        if x is not node and _beside(x):
+            continue
         if x.tag in BLOCKS:
             stack.append(None)
         stack.extend(reversed(x.children))
@@ -257,12 +365,12 @@ def main_text(html: str | None) -> str:
         return ""
     best = body.best
     threshold = min((n.density for n in best.up() if n.depth >= body.depth), default=0.0)
-    chosen: set[int] = set()
+    path, chosen = {*best.up()}, set()
     stack = [body]
     while stack:
         n = stack.pop()
-        if n.chars and n.density >= threshold:
-            chosen.add(id(_widened(n.best)))
+        if n.chars and n.density >= threshold and (n in path or n.best.total >= AGREES * best.total or n.density >= best.density):
+            chosen.add(id(_widened(n.best, body)))
         stack.extend(n.inner())
     out, stack = [], [body]
     while stack:  # in page order; a chosen node covers what is chosen below it

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -173,6 +174,13 @@ def test_chat_round_trip(spark):
     assert chat_format.format_report(chat(spark, [])).count() == 0
 
 
+def test_roles_of_rows_stay_as_they_are(spark):
+    rows = [(1, 0, "human", "a"), (1, 1, "gpt", "b"), (1, 2, "assistant", "c"), (2, 0, "prompter", "x"), (2, 1, "bot", None), (2, 2, "model", "")]
+    got = {r.conv_id: (r.turns_sha256, r.loss_chars) for r in chat_format.format_report(chat(spark, rows)).collect()}
+    sha = lambda *turns: hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+    assert got == {1: (sha(("human", "a"), ("gpt", "b"), ("assistant", "c")), 1), 2: (sha(("prompter", "x"), ("bot", ""), ("model", "")), 0)}
+
+
 def test_chat_layouts(spark):
     cases = {
         '{"messages":[{"role":"user","content":"a"},{"role":"assistant","content":"b"}]}': ("messages role content", [("user", "a"), ("assistant", "b")]),
@@ -390,7 +398,6 @@ def test_token_files_round_trip(spark):
     folder = shared.new_path(spark, "tokens-test")
     got = token_output.tokenized(docs(spark, rows), queries.tokenizer_path(), folder).collect()
     tok = Tokenizer.from_file(queries.tokenizer_path())
-    tok.encode_special_tokens = True
     ids = [[*tok.encode(t or "", add_special_tokens=False).ids, 0] for _, t, *_ in rows]
     crc = lambda x: zlib.crc32(b"".join(i.to_bytes(4, "little") for i in x))
     assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == Counter((r[0], len(x), crc(x)) for r, x in zip(rows, ids, strict=True))
@@ -404,6 +411,19 @@ def test_token_files_round_trip(spark):
     assert token_output.read_document(folder, first.rsplit("/", 1)[1], 2) in [x for r, x in zip(rows, ids, strict=True) if r[0] == 0]
 
 
+def test_any_text_is_encoded_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    with open(queries.tokenizer_path(), encoding="utf-8") as f:
+        encoder = token_output.PieceEncoder(f.read())
+    tok, rng = Tokenizer.from_file(queries.tokenizer_path()), random.Random(6)
+    bits = ["<|endoftext|>", "<|endoftext", "|>", " ", "  ", "\n", "\t", "word", "Wort's", "é", "12", "!?", "\u00a0", "x" * 40, "<", "don't"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(12))) for _ in range(1500)]
+    assert sum("<|endoftext|>" in t for t in texts) > 300
+    got = [ids for a in range(0, len(texts), 100) for ids in encoder.encode(texts[a : a + 100])]
+    assert [np.frombuffer(x, encoder.dtype).tolist() for x in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_token_files_of_an_empty_table(spark):
     assert token_output.tokenized(docs(spark, [(1, "x")]).limit(0), queries.tokenizer_path()).count() == 0
 
@@ -452,13 +472,38 @@ def test_density_decides(page):
     assert text.count("\n\n") == 6 and "Bad" not in text
 
 
-@pytest.mark.parametrize("page", ["<div>" * 20_000 + "x", "<b>" * 4000 + "</i>" * 4000 + "x", "<div>" * 4000 + "some text" + "</div>" * 4000, "<p><span>" * 20_000 + "x", "<li><b>" * 20_000 + "x"])
+HOSTILE = [
+    "<div>" * 20_000 + "x", "<b>" * 4000 + "</i>" * 4000 + "x", "<div>" * 4000 + "some text" + "</div>" * 4000, "<p><span>" * 20_000 + "x", "<li><b>" * 20_000 + "x",
+    "x" + "<a " * 100_000, "x" + "<!--" * 100_000, "x" + '<a b="' * 100_001, "x" + "<a b='\"" * 50_000, "x" + "<!-- -->" * 50_000, "x" + "<![if y]>" * 50_000, "x" + "</" * 100_000,
+    "x" + "<script>" * 50_000, "x<a" + " " * 200_000 + ">", "x" + "<a/" * 100_000 + ">", "&" * 200_000, "x &#" + "9" * 100_000 + ";", "x" + "<title></title" * 50_000,
+]
+
+
+@pytest.mark.parametrize("page", HOSTILE, ids=range(len(HOSTILE)))
 def test_hostile_pages_take_linear_time(page):
     import time
 
     began = time.process_time()
     assert html_extract.main_text(page)
-    assert time.process_time() - began < 4
+    assert time.process_time() - began < 2
+
+
+def test_markup_is_read_as_browsers_do():
+    read = html_extract.main_text
+    assert read("<p>a</p><![foo[x]]><p>b") == "a\n\nb" and read("a<![CDATA[b]]>c") == "ac" and read("<p>a<?x y?>b<!>c</>d") == "abcd"
+    assert read("a<!--x--!>b<!-->c<!--->d<!-- -- > -->e") == "abcde" and read("1 < 2 <3 &lt; &#0000000065;&#x0000041; &#xFFFFFFFFF;") == "1 < 2 <3 < AA \ufffd"
+    assert read('<p title="a>b" data-x=\'<i>\'>c<br/>d<P CLASS=x>e') == "c d\n\ne" and read("<p>a<script>'<p>b</p>'</scripty></SCRIPT >c") == "ac"
+    assert read('<p>a <b title="never closed>b</b> c') == "a b c"  # a quote that nothing closes
+
+
+def test_density_finds_the_article_without_semantic_tags(spark):
+    """Renamed to div, all that tells the parts of these pages apart is their density."""
+    kept = total = gained = pages = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        renamed = re.sub(r"<(/?)(?:nav|aside|header|footer|article|main|section)>", r"<\1div>", r.html).replace('<div class="ad">', "<div>")
+        want, got = (Counter(html_extract.main_text(h).split("\n\n")) for h in (r.html, renamed))
+        kept, total, gained, pages = kept + sum((want & got).values()), total + sum(want.values()), gained + bool(got - want), pages + 1
+    assert kept >= 0.99 * total and gained <= 0.15 * pages
 
 
 def test_main_text_of_an_empty_table(spark):
