@@ -68,8 +68,8 @@ class PieceEncoder:
     Such a tokenizer first cuts a text before every space that stands between two other
     characters that aren't white space, and around every such line feed, and encodes each piece for
     itself; so the ids of a text are those of its pieces. It also cuts between a letter and ASCII marks
-    at a word's end (apostrophes aside). A text with any other white space at such a place is encoded
-    whole. New words are encoded in one string: a word's first token is the one that begins
+    at a word's end (apostrophes aside). A text with any other white space at such a place, or with
+    the string of an added token such as the end of a text, is encoded whole. New words are encoded in one string: a word's first token is the one that begins
     with its space.
     """
 
@@ -80,7 +80,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.dtype = np.dtype("<u2" if len(vocabulary) <= 1 << 16 else "<u4")
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -137,6 +137,9 @@ class PieceEncoder:
             self.known, self.older, self.taken = {}, self.known, 0
         # a piece is a word, the first one of a line with the line feed before it
         cut = [("\n" + t.replace("\n", " \n")).split(" ") for t in texts]
+        special = {i for i, t in enumerate(texts) if any(a in t for a in self.added)}
+        for i in special:
+            cut[i] = []
         new = set(chain.from_iterable(cut)).difference(self.known)
         odd = {p for p in new if p in ("", "\n") or p[-1].isspace() or p[p[0] == "\n"].isspace()}
         new -= odd
@@ -147,7 +150,7 @@ class PieceEncoder:
             new -= again
         self._learn(new)
         known, skip = self.known.__getitem__, len(self.feed)
-        plain = [not odd or odd.isdisjoint(pieces) for pieces in cut]
+        plain = [i not in special and (not odd or odd.isdisjoint(pieces)) for i, pieces in enumerate(cut)]
         out = [b"".join(map(known, pieces))[skip:] if ok else b"" for ok, pieces in zip(plain, cut, strict=True)]
         whole = [i for i, ok in enumerate(plain) if not ok]
         for i, ids in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
