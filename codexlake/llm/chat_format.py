@@ -13,6 +13,8 @@ Control strings within a text or role get a backslash after their first characte
 some already gets one more, so taking one away gives the text back. The loss mask is a list of spans
 of code points of the formatted string: the assistants' texts, without the space and the marker.
 
+Roles keep their names, but for layouts whose names for them are others (``ROLES``).
+
 Defined results: null text or role is empty; a record whose layout no mapping declares
 has a null layout and null turns and nothing formatted; an empty list of turns formats to an empty
 string; texts may have any length and content; repeated turns stay.
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 #: A control string: its first character, backslashes, the rest.
 CONTROL = r"(<)(\\*)(/?s>|</?(?:SYS|ROLE)>>)|(\[)(\\*)(/?INST\])"
-#: Other names that layouts use for the roles.
+#: Other names of the roles, in layouts that do not use these.
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 #: One turn in formatted text; just one alternative fits where a turn begins.
 TURN = (
@@ -43,14 +45,16 @@ def fingerprint(record: Column) -> Column:
 
 
 def turn(role: Column, text: Column) -> Column:
-    role = F.coalesce(role, F.lit(""))
-    known = F.element_at(F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv]), role)
-    return F.struct(F.coalesce(known, role).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+    return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+
+
+def renamed(role: Column) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv]), role), role)
 
 
-def listed(path: str, role: str, text: str) -> Callable[[Column], Column]:
+def listed(path: str, role: str, text: str, name: Callable[[Column], Column] = lambda role: role) -> Callable[[Column], Column]:
     kind = f"array<struct<{role} string, {text} string>>"
-    return lambda r: F.transform(F.try_variant_get(r, path, kind), lambda m: turn(m[role], m[text]))
+    return lambda r: F.transform(F.try_variant_get(r, path, kind), lambda m: turn(name(m[role]), m[text]))
 
 
 def paired(system: str | None, question: tuple[str, ...], answer: str) -> Callable[[Column], Column]:
@@ -80,7 +84,7 @@ LAYOUTS = (
     Layout("messages role text", ('{"messages":[{"role":"","text":""}]}', '{"messages":[]}'), listed("$.messages", "role", "text")),
     Layout("messages role content", ('{"messages":[{"role":"","content":""}]}',), listed("$.messages", "role", "content")),
     Layout("list role content", ('[{"role":"","content":""}]', "[]"), listed("$", "role", "content")),
-    Layout("conversations from value", ('{"conversations":[{"from":"","value":""}]}', '{"conversations":[]}'), listed("$.conversations", "from", "value")),
+    Layout("conversations from value", ('{"conversations":[{"from":"","value":""}]}', '{"conversations":[]}'), listed("$.conversations", "from", "value", renamed)),
     Layout("prompt response", ('{"prompt":"","response":""}', '{"system":"","prompt":"","response":""}'), paired("system", ("prompt",), "response")),
     Layout("prompt completion", ('{"prompt":"","completion":""}',), paired(None, ("prompt",), "completion")),
     Layout("instruction input output", ('{"instruction":"","input":"","output":""}', '{"instruction":"","output":""}'), paired(None, ("instruction", "input"), "output")),
