@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no shared folder and has one machine, as in tests.
 OWN_FOLDER = "/tmp/checkpoints/codexlake"
 
+#: Paths of the tables stored within the innermost ``scratch``.
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
 
 def shared_folder(spark: SparkSession) -> str:
     given = spark.conf.get("spark.checkpoint.dir", None)
@@ -17,10 +23,33 @@ def shared_folder(spark: SparkSession) -> str:
     return given or OWN_FOLDER
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """Write a table to the shared folder and read it back: what follows is planned and run
     without what came before, so a lost executor costs no more than the tasks it ran. The files
-    outlive the call, as the result may be read at any time; whoever owns the folder clears it."""
+    outlive the call, as the result may be read at any time; whoever owns the folder clears it. Only
+    within ``scratch`` they go at its end, unless they are ``lasting``."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not lasting and (paths := _passing.get()) is not None:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a stored table, wherever it is."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are stored within are deleted at the end, whether it went well or not. What is used later must have been
+    stored as ``lasting``, so that nothing refers to the others any more."""
+    paths: list[str] = []
+    token = _passing.set(paths)
+    try:
+        yield
+    finally:
+        _passing.reset(token)
+        for path in paths:
+            removed(spark, path)

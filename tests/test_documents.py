@@ -1,8 +1,10 @@
 """Structure, chunks and findings."""
 
+import os
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from codexlake.operators import chunking, quality, structure
@@ -128,3 +130,20 @@ def test_ingest_and_its_findings(spark):
     assert [r.line[:10] for r in quality.report_lines(x.findings).collect()][0] == "[CRITICAL]"
     m = quality.manifest(x.documents, x.pages, x.chunks, x.findings).first()
     assert m.documents_total == 3 and m.pages_total == 6 and m.validation_status == "FAILED"
+
+
+def test_scratch_tables_go_and_lasting_ones_stay(spark):
+    from codexlake.sources import stage
+
+    def there(df):
+        return [f for f in df.inputFiles() if os.path.exists(f.removeprefix("file://"))]
+
+    with pytest.raises(RuntimeError), stage.scratch(spark):
+        a = stage.stored(spark.range(5), "a")
+        with stage.scratch(spark):
+            inner = stage.stored(a.withColumn("x", F.lit(1)), "inner")
+            b = stage.stored(inner, "b", lasting=True)
+            assert there(inner)
+        assert there(a) and not there(inner)
+        raise RuntimeError
+    assert not there(a) and b.count() == 5
