@@ -37,7 +37,7 @@ from pyspark.sql.types import StructType
 
 from codexlake.llm import near_dedup
 from codexlake.llm.near_dedup import FEW, parity, shingle_set
-from codexlake.llm.shared import few_by_hash, small, stored, text_key
+from codexlake.llm.shared import few_by_hash, scratch, small, stored, text_key
 from codexlake.llm.simhash_dedup import components
 
 PERMUTATIONS = 128
@@ -217,8 +217,9 @@ def near_classes(prints: DataFrame, docs: DataFrame, key: str = "doc_id", text:
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("id"), text_key(body).alias("node"), body.alias("text")).join(copied, "node", "left")
     rows = rows.filter(F.col("copied").isNull() | F.col("id").eqNullSafe(F.col("first"))).select("node", "text")
-    groups = stored(similar_groups(nodes.select("node", "fingerprint", "n", "parity"), rows), "groups")
-    groups = stored(groups.union(groups.select("root", "root").distinct()), "groups")
+    with scratch(docs.sparkSession):
+        groups = similar_groups(nodes.select("node", "fingerprint", "n", "parity"), rows)
+        groups = stored(groups.union(groups.select("root", "root").distinct()), "groups", lasting=True)
     grouped = groups.join(nodes.select("node", "least"), "node")
     named = grouped.join(small(stored(grouped.groupBy("root").agg(F.min("least").alias("class_id")), "class-ids")), "root").select("node", "class_id")
     return named.union(copied.join(groups, "node", "left_anti").select("node", "first"))

@@ -8,9 +8,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codexlake.sources.stage import shared_folder, stored
+from codexlake.sources.stage import scratch, shared_folder, stored
 
-__all__ = ["SPACE", "BROADCAST_ROWS", "documents", "few_by_hash", "file_order", "new_path", "shared_folder", "small", "stored", "text_key", "words"]
+__all__ = ["SPACE", "BROADCAST_ROWS", "documents", "few_by_hash", "file_order", "new_path", "scratch", "shared_folder", "small", "stored", "text_key", "words"]
 
 #: Fixed value: what separates words. A word is a run of anything else.
 SPACE = r"[\x20\x09-\x0D]+"
