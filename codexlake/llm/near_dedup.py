@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codexlake.llm.shared import small, stored, text_key
+from codexlake.llm.shared import scratch, small, stored, text_key
 from codexlake.llm.simhash_dedup import components
 
 #: Similarity of 4/5 as whole numbers.
@@ -244,8 +244,9 @@ def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text")
     is_first = F.col("first").eqNullSafe(F.col("id"))
     marked = lambda x: x.join(copied.withColumn("copied", F.lit(True)), "node", "left")
     rows = marked(rows).filter(F.col("copied").isNull() | is_first).select("node", "text")
-    groups = similar_groups(rows)
-    groups = stored(groups.union(groups.select("root", "root").distinct()), "groups")
+    with scratch(docs.sparkSession):
+        groups = similar_groups(rows)
+        groups = stored(groups.union(groups.select("root", "root").distinct()), "groups", lasting=True)
 
     # texts that are in a group or copied: the id that stays, if any
     grouped = groups.join(texts.select("node", "least"), "node")
