@@ -37,8 +37,11 @@ def bm25_topk(s: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_topk_all(s: SparkSession, d: str) -> DataFrame:
-    """The same under its former name."""
-    return bm25_topk(s, d)
+    """The library's own number of hits for each query, from the whole index as it was stored and loaded again."""
+    path = f"{shared_folder(s).rstrip('/')}/bm25-{uuid.uuid4().hex}"
+    lexical.build(table(s, d, "documents"), "doc_id").write(path)
+    hits = lexical.search(lexical.Bm25Index.read(s, path), lexical.query_terms(corpora.queries(s, d)))
+    return hits.select("query_id", "rank", F.col("id").alias("doc_id"), _r("score"))
 
 
 def bm25_term_stats(s: SparkSession, d: str) -> DataFrame:

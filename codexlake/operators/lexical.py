@@ -1,10 +1,24 @@
-"""BM25: building an inverted index as tables, and searching it for a whole table of queries."""
+"""BM25: building an inverted index as tables, and searching it for a whole table of queries.
+
+Documents lie in blocks of about ``BLOCK_DOCS`` of like length, the same blocks for all terms. The index has
+for each term and block the most times the term occurs there and the least length, which bound what the
+term can add to a score there. A search does not score every document that shares a word with a query:
+
+1. The postings of each query's rarest terms, its first ``LOOKED``, name documents whose whole scores are taken; the k-th
+   greatest of these is the query's threshold.
+2. Terms that all together reach ``LEFT`` of the threshold at most start no candidates ("the" and its like). The others meet the
+   blocks' bounds, and only blocks that can pass are opened: their postings are joined by term and block.
+3. The documents found there that can still pass get the rest of their score by term, block and document.
+
+All bounds are exact, so the result is that of scoring every pair. No join is on a term alone but
+those with one row for each term; a term of more than ``HOT`` documents has its blocks' bounds in as many parts as that needs.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -15,25 +29,42 @@ from codexlake.sources.stage import stored
 K1, B, TOP_K = 1.5, 0.75, 30
 #: Queries are broadcast up to so many (query, term) rows; beyond, they are joined by shuffle.
 BROADCAST_TERMS = 200_000
+#: Documents in a block; documents of one term whose blocks are one part of a join.
+BLOCK_DOCS, HOT = 64, 1 << 16
+#: Postings that a query's threshold is taken from.
+LOOKED = 1000
+#: Terms start no candidates that together can bring this share of the threshold at most. More of them open fewer postings,
+#: but leave more documents whose score has to be completed.
+LEFT = 0.5
+#: Bounds are held against a threshold with this allowance, as sums of floats depend on their order.
+ALLOWED = 1e-6
 
 
 @dataclass(frozen=True)
 class Bm25Index:
-    """postings(term, id, tf, dl), term_stats(term, df, idf), corpus_stats(n_docs, avgdl): one row."""
+    """postings(term, block, id, tf, dl), blocks(term, part, block, most, least): the greatest tf and the least dl;
+    term_stats(term, df, idf), corpus_stats(n_docs, avgdl): one row."""
 
     postings: DataFrame
+    blocks: DataFrame
     term_stats: DataFrame
     corpus_stats: DataFrame
 
     def write(self, path: str) -> None:
-        """Postings lie sorted by term, so that a search for some terms skips most row groups."""
-        self.postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+        """Postings lie sorted by term and block, so that a search for some terms skips most row groups."""
+        self.postings.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/postings")
+        self.blocks.repartitionByRange("term", "part").sortWithinPartitions("term", "part").write.mode("overwrite").parquet(f"{path}/blocks")
         self.term_stats.write.mode("overwrite").parquet(f"{path}/term_stats")
         self.corpus_stats.write.mode("overwrite").parquet(f"{path}/corpus_stats")
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> Bm25Index:
-        return Bm25Index(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "term_stats", "corpus_stats")])
+        return Bm25Index(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "blocks", "term_stats", "corpus_stats")])
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """A stored table, marked for broadcast if it has few rows."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_TERMS else rows
 
 
 def tokenized(docs: DataFrame, key: str, text: str = "text", **options) -> DataFrame:
@@ -56,11 +87,24 @@ def _index(docs: DataFrame, key: str, text: str, wanted: DataFrame | None, **opt
     rows = stored(rows, "postings")
     n = F.sum("docs")
     stats = rows.filter("docs > 0").agg(F.coalesce(n, F.lit(0)).alias("n_docs"), F.coalesce(F.sum(F.col("docs") * F.col("dl")) / n, F.lit(0.0)).alias("avgdl"))
-    postings = rows.filter("tf > 0").select("term", "id", "dl", "tf")
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    # blocks of documents of like length: an eighth of a doubling, cut into as many as its documents fill
+    like = F.floor(8 * F.log2(F.col("dl") + 1)).cast("int").alias("like")
+    sizes = rows.filter("docs > 0").groupBy(like).agg(F.ceil(F.count("*") / BLOCK_DOCS).alias("cut"))  # a few hundred rows at most
+    found = rows.filter("tf > 0").select("term", "id", "dl", "tf", like).join(F.broadcast(sizes), "like")
+    block = F.shiftleft(F.col("like").cast("long"), 40) + F.pmod(F.xxhash64("id"), F.col("cut"))
+    postings = found.select("term", block.alias("block"), "id", "dl", "tf")
+    bounds = postings.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("dl").alias("least"))
+    bounds = stored(bounds, "blocks")
+    df = bounds.groupBy("term").agg(F.sum("n").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     terms = df.crossJoin(F.broadcast(stats.select("n_docs"))).select("term", "df", idf.alias("idf"))  # one row
-    return Bm25Index(postings, terms, stats)
+    hot = _few(stored(df.filter(F.col("df") > HOT).select("term", _parts(F.col("df")).alias("parts")), "hot-terms"))
+    part = F.pmod(F.xxhash64("block"), F.coalesce("parts", F.lit(1))).cast("int")
+    return Bm25Index(postings, bounds.join(hot, "term", "left").select("term", part.alias("part"), "block", "most", "least"), terms, stats)
+
+
+def _parts(df: Column) -> Column:
+    return F.ceil(df / HOT).cast("int")
 
 
 def build(docs: DataFrame, key: str = "chunk_id", text: str = "text", **options) -> Bm25Index:
@@ -80,14 +124,93 @@ def for_queries(docs: DataFrame, terms: DataFrame, key: str = "chunk_id", text:
     return _index(docs, key, text, F.broadcast(wanted) if terms.count() <= BROADCAST_TERMS else wanted, **options)
 
 
+@dataclass(frozen=True)
+class _Scorer:
+    """What a term of weight 1 adds to a score."""
+
+    k1: float
+    b: float
+    avgdl: float
+
+    def __call__(self, tf: str, dl: str) -> Column:
+        return F.col(tf) * (self.k1 + 1) / (F.col(tf) + self.k1 * (1 - self.b + self.b * F.col(dl) / self.avgdl))
+
+
+def _weighted(index: Bm25Index, terms: DataFrame, share: _Scorer) -> DataFrame:
+    """(query_id, term, w, df, parts, bound), stored: the queries' terms with the most that each can add."""
+    q = terms.join(index.term_stats, "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("w"), "df", _parts(F.col("df")).alias("parts"))
+    q = stored(q, "query-terms")
+    top = index.blocks.join(_few(stored(q.select("term").distinct(), "asked-terms")), "term", "left_semi").groupBy("term").agg(F.max(share("most", "least")).alias("top"))
+    return stored(q.join(top, "term").withColumn("bound", F.col("w") * F.col("top")).drop("top"), "query-terms")
+
+
+def _met_blocks(index: Bm25Index, q: DataFrame, share: _Scorer) -> DataFrame:
+    """The rows of q with each of their terms' blocks, and the most that the term can add there."""
+    asked = _few(stored(q.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), "asked-blocks"))
+    return index.blocks.join(asked, ["term", "part"]).withColumn("here", F.col("w") * share("most", "least")).drop("most", "least", "part")
+
+
+def _opened(index: Bm25Index, rows: DataFrame, share: _Scorer) -> DataFrame:
+    """(query_id, id, block, gain): the postings of rows (query_id, term, block, w)."""
+    asked = _few(stored(rows.select("query_id", "term", "block", "w"), "opened-blocks"))
+    return index.postings.join(asked, ["term", "block"]).select("query_id", "id", "block", (F.col("w") * share("tf", "dl")).alias("gain"))
+
+
+def _kth(scores: DataFrame, score: str, top_k: int) -> DataFrame:
+    """(query_id, bar): the k-th greatest score of each query that has so many."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(score)))
+    return scores.select("query_id", score, rank.alias("n")).filter(F.col("n") == top_k).select("query_id", F.col(score).alias("bar"))
+
+
+def _completed(index: Bm25Index, found: DataFrame, q: DataFrame, share: _Scorer) -> DataFrame:
+    """(query_id, id, part): what each of the terms adds to the scores of found (query_id, id, block)."""
+    terms = _few(stored(q.select("query_id", "term", "w"), "other-terms"))
+    asked = _few(stored(found.select("query_id", "id", "block").join(terms, "query_id"), "completed"))
+    return index.postings.join(asked, ["term", "block", "id"]).select("query_id", "id", (F.col("w") * share("tf", "dl")).alias("part"))
+
+
+def _thresholds(index: Bm25Index, q: DataFrame, share: _Scorer, top_k: int) -> DataFrame:
+    """(query_id, bar) by whole scores of documents that the rarest terms' postings favour; of a term that has too many the
+    best blocks' are looked at."""
+    rare = Window.partitionBy("query_id").orderBy("df", "term")
+    before = F.sum("df").over(rare.rowsBetween(Window.unboundedPreceding, -1))
+    seeds = _met_blocks(index, q.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < LOOKED), share)
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy("before", F.desc("here"), "block"))
+    seeds = seeds.withColumn("n", best).filter(F.col("n") <= LOOKED)
+    found = _opened(index, seeds, share).groupBy("query_id", "id").agg(F.sum("gain").alias("gain"), F.first("block").alias("block"))
+    first = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("gain"), "id"))
+    found = found.withColumn("n", first).filter(F.col("n") <= 2 * top_k).select("query_id", "id", "block")
+    return _kth(_completed(index, found, q, share).groupBy("query_id", "id").agg(F.sum("part").alias("part")), "part", top_k)
+
+
+def candidates(index: Bm25Index, q: DataFrame, share: _Scorer, top_k: int) -> tuple[DataFrame, DataFrame]:
+    """((query_id, id, block, part): what documents that can pass have of their score, the terms that the rest comes from)."""
+    bars = _few(stored(_thresholds(index, q, share, top_k), "thresholds"))
+    upto = F.sum("bound").over(Window.partitionBy("query_id").orderBy("bound", "term"))
+    q = q.join(bars, "query_id", "left").withColumn("bar", F.coalesce("bar", F.lit(0.0)) - ALLOWED)
+    q = stored(q.withColumn("upto", upto).withColumn("starts", F.col("upto") >= LEFT * F.col("bar")), "judged-terms")
+    rest = _few(stored(q.filter("NOT starts").groupBy("query_id").agg(F.max("upto").alias("rest")), "rests"))
+    with_rest = lambda rows: rows.join(rest, "query_id", "left").withColumn("rest", F.coalesce("rest", F.lit(0.0)))
+    blocks = _met_blocks(index, with_rest(q.filter("starts")), share)
+    # a group has as many rows at most as its query has terms
+    blocks = blocks.groupBy("query_id", "block").agg(F.sum("here").alias("here"), F.collect_list(F.struct("term", "w")).alias("t"), F.first("bar").alias("bar"), F.first("rest").alias("rest"))
+    passing = blocks.filter(F.col("here") + F.col("rest") >= F.col("bar")).select("query_id", "block", F.explode("t").alias("t"))
+    part = _opened(index, passing.select("query_id", "block", "t.*"), share).groupBy("query_id", "id").agg(F.sum("gain").alias("part"), F.first("block").alias("block"))
+    part = stored(part, "partial-scores")
+    # the k-th of these parts is a bar too
+    better = _few(stored(_kth(part, "part", top_k), "thresholds")).withColumnRenamed("bar", "better")
+    part = with_rest(part.join(better, "query_id", "left").join(bars, "query_id", "left"))
+    least = F.greatest(F.coalesce("better", F.lit(0.0)), F.coalesce("bar", F.lit(0.0))) - ALLOWED
+    return stored(part.filter(F.col("part") + F.col("rest") >= least).select("query_id", "id", "block", "part"), "candidates"), q.filter("NOT starts")
+
+
 def search(index: Bm25Index, terms: DataFrame, top_k: int = TOP_K, k1: float = K1, b: float = B, digits: int = 9) -> DataFrame:
     """(query_id, rank, id, score) of the top k of each query with a score above zero; a query's
     repeated words count as often. Scores are ranked to so many digits, as sums of floats depend on
     their order; ties go by id."""
-    q = terms.join(index.term_stats, "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("w"))
-    q = F.broadcast(q) if terms.count() <= BROADCAST_TERMS else q
-    x = index.postings.join(q, "term").crossJoin(F.broadcast(index.corpus_stats.select("avgdl")))  # one row
-    share = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scores = x.groupBy("query_id", "id").agg(F.round(F.sum(F.col("w") * share), digits).alias("score")).filter("score > 0")
+    known = index.corpus_stats.first()  # one row
+    share = _Scorer(k1, b, max(known.avgdl if known else 0.0, 1e-9))
+    found, others = candidates(index, _weighted(index, terms, share), share, top_k)
+    scores = found.select("query_id", "id", "part").union(_completed(index, found, others, share)).groupBy("query_id", "id").agg(F.round(F.sum("part"), digits).alias("score")).filter("score > 0")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return scores.withColumn("rank", rank).filter(F.col("rank") <= top_k).select("query_id", "rank", "id", "score")

@@ -6,7 +6,7 @@ from codexlake.catalog import BM25_K, CONTEXT, DENSE_K, HYBRID_K, PHRASES, RERAN
 from codexlake.corpora import DOCUMENT_PARTS, LITERAL, STATUTE_LINE, STATUTE_PAGE
 from codexlake.functions import metadata, query_text
 from codexlake.functions.text import EMBEDDING_LABELS, STOP_WORDS, TOKEN
-from codexlake.operators import evidence, fusion
+from codexlake.operators import evidence, fusion, lexical
 from codexlake.operators.structure import BOUNDARIES, CLEARED_BY, PATTERNS
 
 
@@ -291,7 +291,7 @@ UNION ALL SELECT class_id, document_id, n_pages, 1.0 FROM k WHERE document_id <>
     return {
         "content_hash": "SELECT doc_id, sha256(text || chr(31)) AS text_sha256 FROM documents",
         "bm25_topk": f"{BM} SELECT query_id, rank::INTEGER AS rank, id AS doc_id, round(score, 6) AS score FROM bm",
-        "bm25_topk_all": f"{BM} SELECT query_id, rank::INTEGER AS rank, id AS doc_id, round(score, 6) AS score FROM bm",
+        "bm25_topk_all": f"WITH {DOCS}, {QUERIES}, {bm25('docs', 'queries', lexical.TOP_K)} SELECT query_id, rank::INTEGER AS rank, id AS doc_id, round(score, 6) AS score FROM bm",
         "dense_topk_all": f"WITH {dense('true')} SELECT query_id, rank::INTEGER AS rank, id AS vec_id, round(score, 6) AS score FROM de",
         "bm25_term_stats": f"{BM} SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM df, st",
         "token_counts": f"WITH {DOCS}, t AS (SELECT id, list_filter({tokens('text')}, lambda x: x NOT IN ({stop})) AS t FROM docs) SELECT id AS doc_id, len(t)::BIGINT AS n_tokens, len(list_distinct(t))::BIGINT AS n_distinct FROM t",

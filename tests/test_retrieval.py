@@ -2,6 +2,7 @@
 
 import glob
 import math
+import random
 import re
 from collections import Counter
 
@@ -21,6 +22,46 @@ SF = "/root/testdata/sf0.001"
 HITS = "query_id long, id string, rank int, score double"
 
 
+def brute_bm25(docs, queries, k):
+    """(query_id, rank, id, score) of all pairs."""
+    tok = lambda t: re.findall(r"[a-z][a-z0-9]*", t)
+    bags = {i: Counter(tok(t)) for i, t in docs}
+    avg = sum(sum(b.values()) for b in bags.values()) / len(bags)
+    df = Counter(w for b in bags.values() for w in b)
+    out = []
+    for q, t in queries:
+        s = {}
+        for i, b in bags.items():
+            n = sum(b.values())
+            s[i] = round(sum(c * math.log(1 + (len(bags) - df[w] + 0.5) / (df[w] + 0.5)) * b[w] * 2.5 / (b[w] + 1.5 * (0.25 + 0.75 * n / avg)) for w, c in Counter(tok(t)).items() if b[w]), 9)
+        best = sorted((-x, i) for i, x in s.items() if x > 0)[:k]
+        out += [(q, r + 1, i, -x) for r, (x, i) in enumerate(best)]
+    return out
+
+
+@pytest.mark.parametrize("hot, block, looked, left", [(lexical.HOT, lexical.BLOCK_DOCS, lexical.LOOKED, lexical.LEFT), (40, 4, 20, 1.0), (7, 1, 3, 0.0)])
+def test_pruned_search_equals_all_pairs(spark, monkeypatch, hot, block, looked, left):
+    """Words by Zipf's law, so that nearly all pairs share some; ties by copies; queries of common words only."""
+    for name, x in (("HOT", hot), ("BLOCK_DOCS", block), ("LOOKED", looked), ("LEFT", left)):
+        monkeypatch.setattr(lexical, name, x)
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(600)]
+    draw = lambda n: " ".join(rng.choices(words, [1 / (i + 1) for i in range(600)], k=n))
+    docs = [(i, draw(rng.randrange(1, 60))) for i in range(700)]
+    docs += [(1000 + i, docs[i][1]) for i in range(30)] + [(2000, ""), (2001, None)]
+    asked = [(q, draw(12)) for q in range(25)] + [(30, "w0"), (31, "w0 w0 w1"), (32, "w599 w598"), (33, "unknown"), (34, "")]
+    index = lexical.build(spark.createDataFrame(docs, "chunk_id long, text string"))
+    terms = lexical.query_terms(spark.createDataFrame(asked, "query_id long, query string"))
+    got = [tuple(r) for r in lexical.search(index, terms, 5).collect()]
+    want = brute_bm25([(i, t or "") for i, t in docs], asked, 5)
+    assert sorted(r[:3] for r in got) == sorted(r[:3] for r in want)
+    assert [r[3] for r in sorted(got)] == pytest.approx([r[3] for r in sorted(want)])
+    share = lexical._Scorer(lexical.K1, lexical.B, index.corpus_stats.first().avgdl)
+    found, others = lexical.candidates(index, lexical._weighted(index, terms, share), share, 5)
+    pairs = index.postings.join(terms, "term").select("query_id", "id").distinct().count()
+    assert 5 * 25 <= found.count() < pairs / 5 or left == 1.0
+
+
 def test_bm25_by_hand(spark, tmp_path):
     docs = spark.createDataFrame([("c1", "red red fish"), ("c2", "blue fish and more words"), ("c3", ""), ("c4", None)], "chunk_id string, text string")
     qs = spark.createDataFrame([(1, "red fish fish"), (2, "nothing")], "query_id long, query string")
@@ -50,7 +91,7 @@ def test_bm25_in_all_alphabets_equals_brute_force(spark):
             if round(s, 9) > 0:
                 scores[d] = round(s, 9)
         want |= {(q, i + 1, d, round(s, 6)) for i, (d, s) in enumerate(sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:10])}
-    got = {(r.query_id, r.rank, r.doc_id, round(r.score, 6)) for r in catalog.bm25_topk_all(spark, SF).collect()}
+    got = {(r.query_id, r.rank, r.doc_id, round(r.score, 6)) for r in catalog.bm25_topk(spark, SF).collect()}
     assert sorted(got - want) == sorted(want - got) == []
 
 
