@@ -1,16 +1,25 @@
 """Structure of a document carried from line to line: parts, chapters, sections, clauses.
 
-Reading a line depends on all lines of its document before it, so a document is one window partition;
-its context columns share one window specification and so one sort.
+Reading a line depends on all lines of its document before it, and a document may be of any length. So it
+is cut into spans, and what a span of lines does to a context is put in one row: for each key its last
+value, and whether it was cleared. Such rows are an associative summary: spans are read each for itself,
+their rows are scanned per document, and what is carried into a span completes its lines. No task holds a
+document, but one row for each of its spans.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from codexlake.functions.text import collapsed, lines, strip
+from codexlake.sources.stage import stored
+
+#: Pages (or lines, where they are numbered through) in a span.
+SPAN = 256
 
 #: The keys of a context.
 KEYS = (
@@ -66,21 +75,41 @@ def classified(rows: DataFrame, text: str = "text") -> DataFrame:
     return rows.withColumn("key", key).withColumn("value", F.coalesce(named, value))
 
 
-def with_context(rows: DataFrame, order: list[str], document: str = "document_id", text: str = "text") -> DataFrame:
-    """The classified lines with ``structure``, the context after each line."""
-    window = Window.partitionBy(document).orderBy(*order)
+def _carried(ends: DataFrame, document: str) -> DataFrame:
+    """(document, _span, _carried): the context before each span, of the summaries (document, _span, _end)."""
+    before = Window.partitionBy(document).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    out = []
+    for k in KEYS:
+        v, cleared = F.col(f"_end.{k}.v"), F.col(f"_end.{k}.cleared")
+        told = F.first(v, ignorenulls=True).over(before) if k in STICKY else F.last(F.when(v.isNotNull() | cleared, F.struct(v.alias("v"))), ignorenulls=True).over(before)["v"]
+        out.append(told.alias(k))
+    return ends.select(document, "_span", F.struct(*out).alias("_carried"))
+
+
+def with_context(rows: DataFrame, order: list[str], document: str = "document_id", text: str = "text", span: int = SPAN) -> DataFrame:
+    """The classified lines with ``structure``, the context after each line. Spans are of so many values of the first
+    column of the order."""
+    rows = classified(rows, text).withColumn("_span", F.floor(F.col(order[0]) / span))
+    window = Window.partitionBy(document, "_span").orderBy(*order)
     w = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = classified(rows, text).withColumn("_n", F.row_number().over(window))
-    at = lambda keys: F.max(F.when(F.col("key").isin(*keys), F.col("_n"))).over(w)
-    out: dict[str, Column] = {}
+    rows = rows.withColumn("_n", F.row_number().over(window))
+    at = lambda keys: F.coalesce(F.max(F.when(F.col("key").isin(*keys), F.col("_n"))).over(w), F.lit(0))
+    own = []
+    for k in KEYS:
+        v, cleared = F.first(collapsed(F.nullif(F.regexp_extract(F.col(text), STICKY[k], 1), F.lit(""))), ignorenulls=True).over(w) if k in STICKY else None, F.lit(False)
+        if k not in STICKY:
+            last = F.last(F.when(F.col("key") == k, F.struct(F.col("_n").alias("n"), F.col("value").alias("v"))), ignorenulls=True).over(w)
+            v = F.when(last["n"] > at(CLEARED_BY[k]), last["v"]) if k in CLEARED_BY else last["v"]
+            cleared = at(CLEARED_BY[k]) > 0 if k in CLEARED_BY else cleared
+        own.append(F.struct(v.alias("v"), cleared.alias("cleared")).alias(k))
+    rows = rows.withColumn("_own", F.struct(*own))
+    ends = rows.groupBy(document, "_span").agg(F.max_by("_own", "_n").alias("_end"))
+    rows = rows.join(_carried(ends, document), [document, "_span"], "left")
+    out = []
     for k in KEYS:
-        if k in STICKY:
-            hit = collapsed(F.nullif(F.regexp_extract(F.col(text), STICKY[k], 1), F.lit("")))
-            out[k] = F.first(hit, ignorenulls=True).over(w)
-            continue
-        last = F.last(F.when(F.col("key") == k, F.struct(F.col("_n").alias("n"), F.col("value").alias("v"))), ignorenulls=True).over(w)
-        out[k] = F.when(last["n"] > F.coalesce(at(CLEARED_BY[k]), F.lit(0)), last["v"]) if k in CLEARED_BY else last["v"]
-    return rows.withColumn("structure", F.struct(*[out[k].alias(k) for k in KEYS])).drop("_n")
+        v, told = F.col(f"_own.{k}.v"), F.col(f"_carried.{k}")
+        out.append((F.coalesce(told, v) if k in STICKY else F.coalesce(v, F.when(~F.col(f"_own.{k}.cleared"), told))).alias(k))
+    return rows.withColumn("structure", F.struct(*out)).drop("_n", "_span", "_own", "_carried")
 
 
 def page_structure(pages: DataFrame) -> DataFrame:
@@ -97,25 +126,16 @@ def paragraphs(c: Column) -> Column:
     return F.when(F.size(parts) <= 1, filled(lines(c))).otherwise(parts)
 
 
-def structural_blocks(pages: DataFrame) -> DataFrame:
+def structural_blocks(pages: DataFrame, span: int = SPAN) -> DataFrame:
     """Blocks of the pages (document_id, page_index, printed_page_number, text): document_id,
     block_no, n_paras, text, pages from and to, and the structure at the last paragraph."""
     paras = pages.select("document_id", "page_index", "printed_page_number", F.posexplode(paragraphs(F.col("text"))).alias("para_no", "para"))
     rows = paras.select("*", F.posexplode(lines(F.col("para"))).alias("line_no", "text"))
     keys = ["document_id", "page_index", "para_no"]
-    rows = with_context(rows, ["page_index", "para_no", "line_no"])
+    rows = with_context(rows, ["page_index", "para_no", "line_no"], span=span)
     paras = rows.groupBy(*keys).agg(F.max_by("structure", "line_no").alias("structure"), F.first("para").alias("para"), F.first("printed_page_number").alias("printed"))
-    w = Window.partitionBy("document_id").orderBy("page_index", "para_no")
-    before = F.lag("structure").over(w)
-    new = [F.col(f"structure.{k}").isNotNull() & ~F.col(f"structure.{k}").eqNullSafe(F.col(f"_b.{k}")) for k in BOUNDARIES]
-    begins = F.col("_b").isNull()
-    for x in new:
-        begins = begins | x
-    paras = paras.withColumn("_b", before).withColumn("_new", begins)
-    running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    paras = paras.withColumn("block_no", F.sum(F.col("_new").cast("int")).over(running))
     place = F.struct("page_index", "para_no")
-    blocks = paras.groupBy("document_id", "block_no").agg(
+    blocks = _numbered(stored(paras, "paragraphs"), span).groupBy("document_id", "block_no").agg(
         F.count("*").alias("n_paras"),
         F.array_sort(F.collect_list(F.struct("page_index", "para_no", "para"))).alias("p"),
         (F.min("page_index") + 1).alias("page_start"), (F.max("page_index") + 1).alias("page_end"),
@@ -123,3 +143,24 @@ def structural_blocks(pages: DataFrame) -> DataFrame:
         F.max_by("structure", place).alias("structure"),
     )
     return blocks.withColumn("text", F.array_join(F.transform("p", lambda x: x["para"]), "\n\n")).drop("p")
+
+
+def _numbered(paras: DataFrame, span: int) -> DataFrame:
+    """Stored paragraphs with ``block_no``: how many of their document up to there begin a block. Counted by
+    spans, as contexts are: the last structure and the count of each span go to those after it."""
+    paras = paras.withColumn("_span", F.floor(F.col("page_index") / span))
+    spans = Window.partitionBy("document_id").orderBy("_span")
+    inside = Window.partitionBy("document_id", "_span").orderBy("page_index", "para_no")
+    running = lambda w, end: w.rowsBetween(Window.unboundedPreceding, end)
+    of_span = lambda rows, x: rows.groupBy("document_id", "_span").agg(x)
+    last = of_span(paras, F.max_by("structure", F.struct("page_index", "para_no")).alias("_end")).select("document_id", "_span", F.lag("_end").over(spans).alias("_before"))
+
+    def flagged(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("_b", F.lag("structure").over(inside)).join(last, ["document_id", "_span"], "left").withColumn("_b", F.coalesce("_b", "_before"))
+        new = [F.col(f"structure.{k}").isNotNull() & ~F.col(f"structure.{k}").eqNullSafe(F.col(f"_b.{k}")) for k in BOUNDARIES]
+        return rows.withColumn("_new", reduce(Column.__or__, new, F.col("_b").isNull()).cast("int")).drop("_b", "_before")
+
+    counts = of_span(flagged(paras.drop("para", "printed")), F.sum("_new").alias("_news"))
+    counts = counts.select("document_id", "_span", F.coalesce(F.sum("_news").over(running(spans, -1)), F.lit(0)).alias("_ahead"))
+    rows = flagged(paras).withColumn("_at", F.sum("_new").over(running(inside, Window.currentRow)))
+    return rows.join(counts, ["document_id", "_span"]).withColumn("block_no", F.col("_ahead") + F.col("_at")).drop("_span", "_new", "_at", "_ahead")

@@ -147,3 +147,64 @@ def test_scratch_tables_go_and_lasting_ones_stay(spark):
         assert there(a) and not there(inner)
         raise RuntimeError
     assert not there(a) and b.count() == 5
+
+
+def plain_contexts(lines):
+    """The context after each (key, value) line, by a walk."""
+    now, out = {}, []
+    for key, value, text in lines:
+        for k, pattern in structure.STICKY.items():
+            m = re.search(pattern.replace("(?iU)", "(?i)"), text)
+            if m and k not in now:
+                now[k] = " ".join(m[1].split())
+        if key:
+            for k, by in structure.CLEARED_BY.items():
+                if key in by:
+                    now.pop(k, None)
+            now[key] = value
+        out.append(dict(now))
+    return out
+
+
+def statute_lines(n, seed=4):
+    rng = random.Random(seed)
+    kinds = ["CHAPTER {r}", "{i}. Of things", "({i}) a subsection", "({c}) a clause", "Provided that it is so", "Explanation {i}", "Article {i}", "plain words", "", "Asha v. State", "PART {r}", "Supreme Court of India", "THE FIRST SCHEDULE", "JUDGMENT"]
+    return [rng.choices(kinds, [1, 2, 5, 6, 2, 1, 1, 12, 4, 1, 1, 1, 1, 1])[0].format(r="IVX"[rng.randrange(3)], i=rng.randrange(1, 9), c="abc"[rng.randrange(3)]) for _ in range(n)]
+
+
+@pytest.mark.parametrize("span", [1, 7, 10**9])
+def test_contexts_and_blocks_of_any_span_equal_a_walk(spark, span):
+    texts = {d: statute_lines(n, n) for d, n in (("long", 400), ("short", 5), ("one", 1))}
+    df = spark.createDataFrame([(d, i, t) for d, x in texts.items() for i, t in enumerate(x)], "document_id string, line_no int, text string")
+    for d, x in texts.items():
+        rows = structure.with_context(df.filter(F.col("document_id") == d), ["line_no"], span=span).orderBy("line_no").collect()
+        want = plain_contexts([(r.key, r.value, r.text) for r in rows])
+        assert [r.text for r in rows] == x
+        assert [{k: v for k, v in r.structure.asDict().items() if v is not None} for r in rows] == want
+    pages = df.select("document_id", F.floor(F.col("line_no") / 3).cast("int").alias("page_index"), "line_no", "text").groupBy("document_id", "page_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda r: r["text"]), "\n\n").alias("text"))
+    got = structure.structural_blocks(pages.withColumn("printed_page_number", F.lit(None).cast("int")), span=span)
+    blocks = {(r.document_id, r.block_no): r for r in got.collect()}
+    for d, x in texts.items():
+        filled = [t for t in x if t]
+        at = {i: c for i, c in zip([i for i, t in enumerate(x) if t], plain_contexts([(r.key, r.value, r.text) for r in structure.classified(spark.createDataFrame(list(enumerate(filled)), "i int, text string")).orderBy("i").collect()]), strict=True)}
+        want, before = [], None
+        for (i, now), t in zip(at.items(), filled, strict=True):
+            if before is None or any(k in now and now[k] != before.get(k) for k in structure.BOUNDARIES):
+                want.append([])
+            want[-1].append(t)
+            before = now
+            assert i >= 0
+        assert ["\n\n".join(b) for b in want] == [blocks[d, n].text for n in range(1, len(want) + 1)]
+    assert len(blocks) == len({(d, n) for d, n in blocks})
+
+
+def test_no_task_sorts_a_whole_document(spark):
+    """One document of many lines: what is sorted together is a span, not the document."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        lines_ = spark.range(40_000).select(F.lit("d").alias("document_id"), F.col("id").alias("line_no"), F.when(F.col("id") % 1000 == 0, F.concat(F.lit("Article "), F.col("id").cast("string"))).otherwise("words").alias("text"))
+        x = structure.with_context(lines_, ["line_no"]).select("line_no", "structure.article", F.spark_partition_id().alias("p"))
+        assert x.filter("article != concat('Article ', line_no - line_no % 1000)").count() == 0 and x.filter("article IS NULL").count() == 0
+        assert max(r["count"] for r in x.groupBy("p").count().collect()) < 20_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
