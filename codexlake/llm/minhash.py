@@ -170,10 +170,10 @@ def _maybe(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def similar_groups(nodes: DataFrame, rows: DataFrame, few: int = FEW) -> DataFrame:
-    """(node, root): of stored nodes (node, fingerprint, n, parity), one row each, those whose shingle set is similar to another's,
+    """(node, root): of nodes (node, fingerprint, n, parity) those whose shingle set is similar to another's,
     and the least node of their group, which has no row itself. ``rows`` (node, text) has a text for each node."""
     side = lambda s: [F.col(c).alias(c + s) for c in ("node", "n", "parity")]
-    about = lambda s: small(nodes.select(*side(s)))
+    about = lambda s: small(nodes.select(*side(s)).dropDuplicates([f"node{s}"]))
     keyed = nodes.select("node", F.explode(band_keys(F.col("fingerprint"))).alias("key"))
     keys = keyed.groupBy("key").agg(F.count("*").alias("k"), F.min("node").alias("u"), F.max("node").alias("v")).filter("u < v")
     keys = stored(keys, "band-keys")
@@ -202,7 +202,7 @@ def similar_groups(nodes: DataFrame, rows: DataFrame, few: int = FEW) -> DataFra
     x = other.join(blocks, "key").select("key", F.col("node").alias("node_x"), F.col("root").alias("root_x"), "main", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     y = near.join(blocks, "key").select("key", "node", "root", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     x = x.join(about("_x"), "node_x")
-    y = y.join(small(nodes.select("node", "n", "parity")), "node").withColumnsRenamed({"node": "node_y", "n": "n_y", "parity": "parity_y"})
+    y = y.withColumnRenamed("node", "node_y").join(about("_y"), "node_y")
     far = x.join(y, ["key", "block"]).filter("root_x != root AND (root = main OR node_x < node_y)")
     far = stored(_maybe(far, "_x", "_y").distinct(), "maybe-similar")
     return components(links.union(near_dedup.verified(far, rows)))
@@ -211,16 +211,18 @@ def similar_groups(nodes: DataFrame, rows: DataFrame, few: int = FEW) -> DataFra
 def near_classes(prints: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(node, class_id) for the nodes of ``prints`` (the stored rows of ``with_edited`` of ``docs``) that several rows or a group
     of near-duplicates have: the group's smallest id."""
-    once = prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"), F.any_value(F.struct("fingerprint", "n", "parity")).alias("x"))
-    nodes = stored(once.select("node", "least", "rows", "x.*"), "nodes")
-    copied = small(stored(nodes.filter("rows > 1").select("node", F.col("least").alias("first"), F.lit(True).alias("copied")), "copied-texts"))
+    once = stored(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "nodes")
+    copied = small(stored(once.filter("rows > 1").select("node", F.col("least").alias("first"), F.lit(True).alias("copied")), "copied-texts"))
+    one = F.col("copied").isNull() | F.col("id").eqNullSafe(F.col("first"))
+    # a row for each node, and one more for a row that is repeated, which changes nothing
+    nodes = prints.select(F.col("doc_id").alias("id"), "node", "fingerprint", "n", "parity").join(copied, "node", "left").filter(one)
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("id"), text_key(body).alias("node"), body.alias("text")).join(copied, "node", "left")
-    rows = rows.filter(F.col("copied").isNull() | F.col("id").eqNullSafe(F.col("first"))).select("node", "text")
+    rows = rows.filter(one).select("node", "text")
     with scratch(docs.sparkSession):
         groups = similar_groups(nodes.select("node", "fingerprint", "n", "parity"), rows)
         groups = stored(groups.union(groups.select("root", "root").distinct()), "groups", lasting=True)
-    grouped = groups.join(nodes.select("node", "least"), "node")
+    grouped = groups.join(once.select("node", "least"), "node")
     named = grouped.join(small(stored(grouped.groupBy("root").agg(F.min("least").alias("class_id")), "class-ids")), "root").select("node", "class_id")
     return named.union(copied.join(groups, "node", "left_anti").select("node", "first"))
 
