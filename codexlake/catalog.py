@@ -13,6 +13,7 @@ from codexlake.corpora import table
 from codexlake.functions import metadata, query_text, text
 from codexlake.operators import audit, chunking, evidence, fusion, lexical, quality, structure, vectors
 from codexlake.plans import pipelines
+from codexlake.sources.snapshots import Snapshots
 from codexlake.sources.stage import shared_folder, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,6 +137,32 @@ def rerank_passthrough(s: SparkSession, d: str) -> DataFrame:
     return fusion.passthrough(hits, RERANK_K).select("query_id", "rank", F.col("id").alias("doc_id"), _r("hybrid_score"))
 
 
+def _chunk_rows(s: SparkSession, d: str) -> DataFrame:
+    """Documents as chunk rows, with sections here and there."""
+    n = F.col("doc_id")
+    none = F.lit(None).cast("string")
+    page = lambda k: (n % 7 + k).cast("int")
+    where = F.struct(
+        F.concat(F.lit("p"), (n % 97).cast("string")).alias("relative_path"), page(0).alias("pdf_page_start"), page(1).alias("pdf_page_end"), none.cast("int").alias("printed_page_start"), page(3).alias("printed_page_end"),
+        F.when(n % 3 == 0, "").when(n % 3 == 1, F.concat(F.lit("Section "), (n % 20).cast("string"))).alias("section"), none.alias("subsection"), F.when(n % 4 == 0, "Article 3").alias("article"), none.alias("chapter"),
+        F.when(n % 9 == 0, "Rule 2").alias("rule"), none.alias("regulation"),
+    )
+    about = F.struct(F.lit("Act").alias("document_type"), none.alias("jurisdiction"), F.array(F.col("lang")).alias("legal_domains"), F.lit("of the metadata").alias("section"), none.alias("article"), F.col("source").alias("chapter"))
+    return table(s, d, "documents").select(n.cast("string").alias("chunk_id"), F.col("source").alias("document_id"), F.lit("set").alias("dataset_id"), F.concat("source", F.lit(".txt")).alias("document_name"), "text", F.col("text").alias("embedding_text"), where.alias("provenance"), about.alias("metadata"), (n % 5 == 0).alias("content_collision"), F.when(n % 5 == 0, "g").alias("collision_group_id"))
+
+
+def provenance(s: SparkSession, d: str) -> DataFrame:
+    """The hits of the benchmark queries as retrieved chunks."""
+    hits = _bm25(s, d).withColumn("id", F.col("id").cast("string"))
+    x = fusion.projected(hits, _chunk_rows(s, d)).drop("text", "score")
+    return x.withColumn("legal_domains", F.array_join("legal_domains", "|"))
+
+
+def payloads(s: SparkSession, d: str) -> DataFrame:
+    """What is stored with the vectors of all documents."""
+    return vectors.payload(_chunk_rows(s, d)).drop("provenance").withColumns({"legal_domains": F.array_join("legal_domains", "|"), "text": text.hash_parts(F.col("text"))})
+
+
 def evidence_pack(s: SparkSession, d: str) -> DataFrame:
     return _pack(s, d).select("query_id", "citation_id", F.col("id").alias("doc_id"), _r("hybrid_score"), _r("rerank_score"))
 
@@ -234,6 +261,8 @@ def _checked(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame,
     pages = _prose(s, d).withColumn("doc_id", F.regexp_extract("relative_path", r"(\d+)\.txt$", 1).cast("long"))
     docs = pages.groupBy("document_id", "relative_path", "doc_id").agg(F.count("*").alias("n"))
     docs = docs.withColumn("page_count", F.when(F.col("doc_id") % 11 == 0, F.col("n") + 1).otherwise(F.col("n")))
+    docs = docs.withColumns({"filename": F.concat(F.col("doc_id").cast("string"), F.lit(".txt")), "dataset_id": metadata.collection(F.col("relative_path")), "source_sha256": F.sha2("relative_path", 256)})
+    pages = pages.withColumn("ocr_used", F.col("doc_id") % 6 == 0)
     failed = (F.col("doc_id") % 13 == 0) & (F.col("page_index") == 0)
     pages = pages.filter("NOT (doc_id % 17 = 0 AND page_index = 0)").withColumn("extraction_failed", failed).withColumn("text", F.when(failed, "").otherwise(F.col("text")))
     chunks = pages.filter("doc_id % 19 != 0").select("document_id", F.col("page_index").alias("chunk_index"), (text.word_count(F.col("text")) * 5).alias("token_count"))
@@ -258,6 +287,11 @@ def manifest_totals(s: SparkSession, d: str) -> DataFrame:
     return quality.manifest(docs, pages, chunks, found)
 
 
+def manifest_documents(s: SparkSession, d: str) -> DataFrame:
+    docs, _, chunks, found = _checked(s, d)
+    return quality.manifest_documents(docs, chunks, found)
+
+
 def line_classes(s: SparkSession, d: str) -> DataFrame:
     return structure.classified(corpora.statute(s, d)).select("document_id", F.col("line_no").cast("long").alias("line_no"), "key", "value")
 
@@ -270,6 +304,24 @@ def structure_context(s: SparkSession, d: str) -> DataFrame:
     return x.select("document_id", F.col("line_no").cast("long").alias("line_no"), *[F.col(f"structure.{k}").alias(k) for k in CONTEXT])
 
 
+#: What the first lines of a case may say; a document has one of each of these, by its number.
+CASE_HEADS = (
+    ("Asha Devi v. State of Kerala", "Ram & Sons vs. Union", "no parties here", "In re a petition"),
+    ("Civil Appeal No. 12 of 1999", "heard in Writ Petition No. 7/2001", "no number", "Suit No 3"),
+    ("Supreme Court of India", "in the High Court of Madras", "a tribunal", "Court of Appeal"),
+)
+
+
+def case_heads(s: SparkSession, d: str) -> DataFrame:
+    """The context at the end of every document, whose first lines are a case's head and whose last is another's."""
+    x = table(s, d, "documents").select("doc_id", text.lines(F.col("text")).alias("l"))
+    pick = lambda k, of: F.element_at(F.array(*map(F.lit, of)), (F.floor(F.col("doc_id") / 4**k) % 4).cast("int") + 1)
+    head = F.array(*[pick(k, of) for k, of in enumerate(CASE_HEADS)])
+    rows = x.select(F.col("doc_id").alias("document_id"), F.posexplode(F.concat(head, F.slice("l", 1, 3), F.array(F.lit("Other v. Another"), F.lit("Suit No. 99"), F.lit("Court of Late")))).alias("line_no", "text"))
+    last = structure.with_context(rows, ["line_no"]).groupBy("document_id").agg(F.max_by("structure", "line_no").alias("s"))
+    return last.select(F.col("document_id").alias("doc_id"), *[F.col(f"s.{k}").alias(k) for k in structure.STICKY])
+
+
 def page_structure(s: SparkSession, d: str) -> DataFrame:
     """The context at the end of each page of statute lines."""
     x = corpora.statute(s, d).withColumn("page_index", F.floor((F.col("line_no") - 1) / corpora.STATUTE_PAGE).cast("int"))
@@ -335,6 +387,23 @@ def ingest_findings(s: SparkSession, d: str) -> DataFrame:
     return _ingested(s, d).findings
 
 
+def ingest_reuse(s: SparkSession, d: str) -> DataFrame:
+    """What a second run on stored statutes does, and how each document stands after it: some files changed, some of these cannot be
+    read, some are gone, some are new."""
+    files, raw = corpora.statute_files(s, d)
+    n = F.regexp_extract("relative_path", r"_(\d+)_act_", 1).cast("int")
+    changed, broken = n % 3 == 0, n % 6 == 3
+    store = Snapshots(s, f"{shared_folder(s).rstrip('/')}/corpus-{uuid.uuid4().hex}", "document_id", 8)
+    pipelines.ingest_again(files.filter(n % 5 != 1), raw.filter(n % 5 != 1), store, size=60, overlap=12)
+    files = files.filter(n % 5 != 4).withColumn("source_sha256", F.when(changed, F.sha2(F.concat("source_sha256", F.lit("+")), 256)).otherwise(F.col("source_sha256")))
+    raw = raw.filter(n % 5 != 4).withColumn("raw_text", F.when(changed, F.concat("raw_text", F.lit(" anew"))).otherwise(F.col("raw_text")))
+    raw = raw.withColumn("error", F.when(broken & (F.col("page_index") == 0), "not readable"))
+    x = pipelines.ingest_again(files, raw, store, size=60, overlap=12)
+    told = x.corpus.findings.filter("document_id IS NOT NULL").groupBy("document_id").agg(F.array_join(F.array_sort(F.collect_set("code")), "|").alias("codes"))
+    listed = quality.manifest_documents(x.corpus.documents, x.corpus.chunks, x.corpus.findings).select("document_id", F.col("page_count").cast("long").alias("page_count"), "validation_status")
+    return x.actions.join(listed, "document_id", "left").join(told, "document_id", "left")
+
+
 def embedding_text(s: SparkSession, d: str) -> DataFrame:
     x = structure.with_context(corpora.statute(s, d), ["line_no"])
     fields = {"title": F.col("document_id"), "document_type": F.lit("Statute"), "jurisdiction": F.lit("")} | {k: F.col(f"structure.{k}") for k in ("chapter", "section", "article")}
@@ -358,6 +427,32 @@ def embed_cache_plan(s: SparkSession, d: str) -> DataFrame:
     return vectors.cache_plan(new, old).select(F.col("chunk_id").alias("key"), "action")
 
 
+def embedding_reuse(s: SparkSession, d: str) -> DataFrame:
+    """Embeddings of the documents, with a cache of an earlier version's: of other models, lengths and texts, and records written twice."""
+    new, _ = _versions(s, d)
+    rows = table(s, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("embedding_text"), "doc_id").join(new.select("doc_id"), "doc_id")
+    made = vectors.generate(rows, vectors.make_embedder("hash", "hash-8"), "hash", "hash-8", "deterministic", True)
+    old = made.filter("CAST(chunk_id AS LONG) % 5 != 0").withColumns({"doc_id": F.col("chunk_id").cast("long"), "written": F.lit(1)})
+    spoilt = lambda k, name, value: F.when(F.col("doc_id") % k == 0, value).otherwise(F.col(name))
+    old = old.withColumns({
+        "embedding_model": spoilt(7, "embedding_model", F.lit("other")), "embedding": spoilt(11, "embedding", F.slice("embedding", 1, 7)), "normalized": spoilt(13, "normalized", F.lit(False)),
+        "embedding_input_sha256": spoilt(17, "embedding_input_sha256", F.lit("stale")), "indexing_version": spoilt(19, "indexing_version", F.lit("0")),
+    })
+    again = old.filter("doc_id % 3 = 0").withColumns({"written": F.lit(2), "model_revision": F.when(F.col("doc_id") % 2 == 0, "late").otherwise(F.col("model_revision"))})
+    x = vectors.generate(rows, vectors.make_embedder("hash", "hash-8"), "hash", "hash-8", "deterministic", True, old.unionByName(again), order="written")
+    return x.select(F.col("chunk_id").alias("key"), "cached", "embedding_input_sha256", F.size("embedding").alias("n"))
+
+
+def vector_sync(s: SparkSession, d: str) -> DataFrame:
+    """The stored points after two runs, and what the second did."""
+    new, old = _versions(s, d)
+    points = lambda x: x.select(F.col("document_id").alias("point_id"), F.col("source_sha256").alias("content_hash"), "doc_id")
+    store = Snapshots(s, f"{shared_folder(s).rstrip('/')}/points-{uuid.uuid4().hex}", "point_id", 32)
+    vectors.sync(points(old), store)
+    plan = vectors.sync(points(new), store)
+    return plan.join(store.current()["points"], "point_id", "full_outer").select(F.col("point_id").alias("key"), "action", "content_hash")
+
+
 def vector_sync_plan(s: SparkSession, d: str) -> DataFrame:
     new, old = (x.select(F.col("document_id").alias("point_id"), F.col("source_sha256").alias("content_hash")) for x in _versions(s, d))
     return vectors.sync_plan(old, new).select(F.col("point_id").alias("key"), "action")
@@ -459,6 +554,7 @@ def queries() -> dict[str, Query]:
         reference_boost, rerank_overlap, rerank_passthrough, evidence_pack, grounding_gate, extractive_answer, prompt_text, citation_cards, response_state, sanitized_texts,
         repeated_lines, page_profile, page_clean, dup_files, dup_pages_within, dup_pages_across, doc_page_classes, doc_collisions, dup_chunks, document_findings,
         severity_counts, doc_status, manifest_totals, page_counts, page_findings, manifest_hashes, line_classes, structure_context, page_structure, structural_blocks, doc_metadata, chunks, chunk_rollup, ingest_findings, embedding_text,
+        ingest_reuse, manifest_documents, case_heads, provenance, payloads, embedding_reuse, vector_sync,
         incremental_plan, embed_cache_plan, vector_sync_plan, point_ids, eligible_chunks, skipped_documents, index_validation, index_manifest, index_revalidation, hash_embeddings, retrieve_bundle, answer_batch,
     )
     return {f.__name__: f for f in own}

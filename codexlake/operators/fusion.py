@@ -159,3 +159,19 @@ def scored(hits: DataFrame, factory: Callable[[], Callable[[list[tuple[str, str]
             yield x.assign(model_score=[float(s) for a in range(0, len(pairs), batch) for s in model(pairs[a : a + batch])])
 
     return hits.mapInPandas(run, T.StructType([*hits.schema.fields, T.StructField("model_score", T.DoubleType())]))
+
+
+def projected(hits: DataFrame, chunks: DataFrame, score: str = "score", method: str = "bm25") -> DataFrame:
+    """The hits (query_id, rank, id, score) as retrieved chunks, flat: text, names, and where each comes from. Section, article and
+    chapter are the provenance's, or where that has none the metadata's; a hit that ``chunks`` lacks stays, with nulls."""
+    p, m = (lambda n: F.nullif(F.col(f"provenance.{n}"), F.lit(""))), (lambda n: F.col(f"metadata.{n}"))
+    collision = "content_collision" in chunks.columns
+    x = hits.select("query_id", "rank", "id", F.col(score).alias("score")).join(chunks.withColumnRenamed("chunk_id", "id"), "id", "left")
+    return x.select(
+        "query_id", "rank", F.col("id").alias("chunk_id"), "document_id", "document_name", "dataset_id", "text", "score", F.lit(method).alias("retrieval_method"),
+        F.col("provenance.relative_path").alias("source_path"), *[F.col(f"provenance.{n}").alias(n) for n in ("pdf_page_start", "pdf_page_end", "printed_page_start", "printed_page_end")],
+        *[F.coalesce(p(n), m(n)).alias(n) for n in ("section", "article", "chapter")], *[F.col(f"provenance.{n}").alias(n) for n in ("subsection", "rule", "regulation")],
+        m("document_type").alias("document_type"), m("jurisdiction").alias("jurisdiction"), m("legal_domains").alias("legal_domains"),
+        (F.coalesce("content_collision", F.lit(False)) if collision else F.lit(False)).alias("content_collision"),
+        (F.col("collision_group_id") if collision else F.lit(None).cast("string")).alias("collision_group_id"),
+    )

@@ -191,14 +191,29 @@ def report_lines(findings: DataFrame) -> DataFrame:
 
 
 def manifest(documents: DataFrame, pages: DataFrame, chunks: DataFrame, findings: DataFrame) -> DataFrame:
-    """One row of totals."""
+    """One row of totals. Pages without the mark ``ocr_used`` were read without it."""
     s = document_status(documents, findings)
     d = s.agg(F.count("*").alias("documents_total"), F.count_if(F.col("status") != "FAILED").alias("documents_successful"), F.count_if(F.col("status") == "FAILED").alias("documents_failed"))
     m = findings.agg(F.count_if(F.col("severity") == WARNING).alias("warnings"), F.count_if(F.col("severity") == CRITICAL).alias("critical_errors"), status(F.col("severity")).alias("validation_status"))
-    p, c = pages.agg(F.count("*").alias("pages_total")), chunks.agg(F.count("*").alias("chunks_total"))
+    p, c = pages.agg(F.count("*").alias("pages_total"), F.count_if(_ocr(pages)).alias("ocr_pages")), chunks.agg(F.count("*").alias("chunks_total"))
     return d.crossJoin(p).crossJoin(c).crossJoin(m)  # four single rows
 
 
+def _ocr(pages: DataFrame) -> Column:
+    return F.coalesce(F.col("ocr_used"), F.lit(False)) if "ocr_used" in pages.columns else F.lit(False)
+
+
+#: What a manifest says of each document, beside its counts and status.
+LISTED = ("document_id", "filename", "relative_path", "dataset_id", "page_count", "source_sha256")
+
+
+def manifest_documents(documents: DataFrame, chunks: DataFrame, findings: DataFrame) -> DataFrame:
+    """The manifest's table of documents: a row for each, as a corpus may have any number of them."""
+    n = chunks.groupBy("document_id").agg(F.count("*").alias("chunk_count"))
+    x = documents.select(*LISTED).join(n, "document_id", "left").join(document_status(documents, findings), "document_id")
+    return x.select(*LISTED, F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.col("status").alias("validation_status"))
+
+
 def incremental_plan(inventory: DataFrame, previous: DataFrame, keys: tuple[str, ...] = ("processor_version", "source_sha256", "chunk_size", "chunk_overlap"), force: bool = False) -> DataFrame:
     """(document_id, action): reuse if all keys equal the previous run's, else process; remove what is gone."""
     old = previous.select("document_id", F.struct(*keys).alias("_old"))
@@ -215,11 +230,23 @@ def with_page_path(findings: DataFrame, documents: DataFrame) -> DataFrame:
     return findings.join(known, "document_id", "left").withColumn("relative_path", F.coalesce("relative_path", "_path")).drop("_path")
 
 
+def failed_findings(failed: DataFrame) -> DataFrame:
+    """Of (document_id, relative_path, error) rows."""
+    return failed.select(*finding(CRITICAL, "DOCUMENT_PROCESSING_FAILED", F.concat(F.col("relative_path"), F.lit(": "), F.col("error"))))
+
+
 def split_failed(results: DataFrame, error: str = "error") -> tuple[DataFrame, DataFrame]:
     """Rows that went well, and findings for those that did not, so one failure stops nothing else."""
     bad = results.filter(F.col(error).isNotNull())
-    say = F.concat(F.col("relative_path"), F.lit(": "), F.col(error))
-    return results.filter(F.col(error).isNull()).drop(error), bad.select(*finding(CRITICAL, "DOCUMENT_PROCESSING_FAILED", say))
+    return results.filter(F.col(error).isNull()).drop(error), failed_findings(bad.withColumnRenamed(error, "error"))
+
+
+def processed_findings(documents: DataFrame, pages: DataFrame) -> DataFrame:
+    """How many pages were read of each document (document_id, relative_path)."""
+    n = pages.groupBy("document_id").agg(F.count("*").alias("n"))
+    x = documents.select("document_id", "relative_path").join(n, "document_id", "left")
+    say = F.concat("relative_path", F.lit(": "), F.coalesce("n", F.lit(0)).cast("string"), F.lit(" pages were read"))
+    return x.select(*finding(INFO, "DOCUMENT_PROCESSED", say))
 
 
 def page_counts(pages: DataFrame) -> DataFrame:

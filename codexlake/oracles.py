@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from codexlake.catalog import BM25_K, CONTEXT, DENSE_K, HYBRID_K, PHRASES, RERANK_K
+from codexlake.catalog import BM25_K, CASE_HEADS, CONTEXT, DENSE_K, HYBRID_K, PHRASES, RERANK_K
 from codexlake.corpora import DOCUMENT_PARTS, LITERAL, STATUTE_LINE, STATUTE_PAGE
 from codexlake.functions import metadata, query_text
 from codexlake.functions.text import EMBEDDING_LABELS, STOP_WORDS, TOKEN
 from codexlake.operators import evidence, fusion, lexical
-from codexlake.operators.structure import BOUNDARIES, CLEARED_BY, PATTERNS
+from codexlake.operators.structure import BOUNDARIES, CLEARED_BY, PATTERNS, STICKY
 
 
 def lit(s: str) -> str:
@@ -136,6 +136,15 @@ SELECT query_id::BIGINT AS query_id, row_number() OVER (PARTITION BY query_id OR
 FROM x"""
 
 
+def case_heads() -> str:
+    picks = [f"[{', '.join(map(lit, of))}][((doc_id // {4**k}) % 4 + 1)::INTEGER]" for k, of in enumerate(CASE_HEADS)]
+    lines = rf"list_concat([{', '.join(picks)}], string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e]')[1:3], ['Other v. Another', 'Suit No. 99', 'Court of Late'])"
+    first = ", ".join(
+        rf"trim(regexp_replace(list_filter(list_transform(l, lambda x: regexp_extract(x, {lit(re2(p))}, 1)), lambda x: x <> '')[1], '\s+', ' ', 'g')) AS {k}" for k, p in STICKY.items()
+    )
+    return f"SELECT doc_id, {first} FROM (SELECT doc_id, {lines} AS l FROM documents)"
+
+
 def classes() -> str:
     key = " ".join(f"WHEN regexp_matches(text, {lit(re2(p))}) THEN {lit(k)}" for k, p, _ in PATTERNS)
     value = " ".join(
@@ -326,8 +335,38 @@ SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY s DESC, firs
         "severity_counts": f"{CHECKED} SELECT severity, count(*) AS n FROM found GROUP BY 1",
         "doc_status": f"{CHECKED} SELECT * FROM statuses",
         "manifest_totals": f"""{CHECKED}
-SELECT count(*) AS documents_total, count(*) FILTER (status <> 'FAILED') AS documents_successful, count(*) FILTER (status = 'FAILED') AS documents_failed, (SELECT count(*) FROM pages) AS pages_total,
+SELECT count(*) AS documents_total, count(*) FILTER (status <> 'FAILED') AS documents_successful, count(*) FILTER (status = 'FAILED') AS documents_failed, (SELECT count(*) FROM pages) AS pages_total, (SELECT count(*) FROM pages WHERE doc_id % 6 = 0) AS ocr_pages,
   (SELECT count(*) FROM chunks) AS chunks_total, (SELECT count(*) FROM found WHERE severity = 'WARNING') AS warnings, (SELECT count(*) FROM found WHERE severity = 'CRITICAL') AS critical_errors, 'FAILED' AS validation_status FROM statuses""",
+        "manifest_documents": f"""{CHECKED}
+SELECT docs.document_id, doc_id || '.txt' AS filename, relative_path, split_part(relative_path, '/', 1) AS dataset_id, page_count, sha256(relative_path) AS source_sha256, coalesce(chunks, 0)::BIGINT AS chunk_count, status AS validation_status
+FROM docs JOIN statuses USING (document_id) LEFT JOIN c USING (document_id)""",
+        "case_heads": case_heads(),
+        "ingest_reuse": f"""WITH {STATUTE},
+files AS (SELECT regexp_extract(document_id, '[0-9]+')::INTEGER AS n, 'Dataset_1/' || replace(document_id, ' ', '_') || '_act_.pdf' AS path, (count(*) + {STATUTE_PAGE - 1}) // {STATUTE_PAGE} AS pages FROM statute GROUP BY document_id),
+acts AS (
+  SELECT *, sha256('corpus' || chr(31) || 'Dataset_1' || chr(31) || path || chr(31)) AS document_id, n % 6 = 3 AND n % 5 <> 4 AS bad,
+    CASE WHEN n % 5 = 4 THEN 'remove' WHEN n % 5 = 1 OR n % 3 = 0 THEN 'process' ELSE 'reuse' END AS action FROM files)
+SELECT document_id, action, CASE WHEN action <> 'remove' THEN CASE WHEN bad THEN 0 ELSE pages END END::BIGINT AS page_count, CASE WHEN action <> 'remove' THEN CASE WHEN bad THEN 'FAILED' ELSE 'PASS' END END AS validation_status,
+  CASE WHEN action <> 'remove' THEN CASE WHEN bad THEN 'DOCUMENT_PROCESSING_FAILED' ELSE 'DOCUMENT_PROCESSED' END END AS codes
+FROM acts""",
+        "ingest_findings": f"""WITH {STATUTE},
+files AS (SELECT 'Dataset_1/' || replace(document_id, ' ', '_') || '_act_.pdf' AS path, (count(*) + {STATUTE_PAGE - 1}) // {STATUTE_PAGE} AS pages FROM statute GROUP BY document_id)
+SELECT 'INFO' AS severity, 'DOCUMENT_PROCESSED' AS code, path || ': ' || pages || ' pages were read' AS message, sha256('corpus' || chr(31) || 'Dataset_1' || chr(31) || path || chr(31)) AS document_id, path AS relative_path, NULL::INTEGER AS page_index FROM files""",
+        "embedding_reuse": """WITH x AS (SELECT doc_id, sha256(text || chr(31)) AS h FROM documents WHERE doc_id % 29 <> 0)
+SELECT doc_id::VARCHAR AS key, doc_id % 5 <> 0 AND doc_id % 7 <> 0 AND doc_id % 11 <> 0 AND doc_id % 13 <> 0 AND doc_id % 17 <> 0 AND doc_id % 19 <> 0 AND doc_id % 6 <> 0 AS cached, h AS embedding_input_sha256, 8 AS n FROM x""",
+        "vector_sync": f"{VERSIONS} SELECT document_id AS key, CASE WHEN new.h IS NULL THEN 'delete' WHEN old.h IS NULL THEN 'insert' WHEN new.h = old.h THEN 'keep' ELSE 'update' END AS action, new.h AS content_hash FROM new FULL JOIN old USING (document_id)",
+        "provenance": f"""{BM}
+SELECT query_id, rank::INTEGER AS rank, id::VARCHAR AS chunk_id, source AS document_id, source || '.txt' AS document_name, 'set' AS dataset_id, 'bm25' AS retrieval_method, 'p' || (id % 97) AS source_path,
+  (id % 7)::INTEGER AS pdf_page_start, (id % 7 + 1)::INTEGER AS pdf_page_end, NULL::INTEGER AS printed_page_start, (id % 7 + 3)::INTEGER AS printed_page_end, CASE WHEN id % 3 = 1 THEN 'Section ' || (id % 20) ELSE 'of the metadata' END AS section,
+  CASE WHEN id % 4 = 0 THEN 'Article 3' END AS article, source AS chapter, NULL::VARCHAR AS subsection, CASE WHEN id % 9 = 0 THEN 'Rule 2' END AS rule, NULL::VARCHAR AS regulation, 'Act' AS document_type, NULL::VARCHAR AS jurisdiction,
+  lang AS legal_domains, id % 5 = 0 AS content_collision, CASE WHEN id % 5 = 0 THEN 'g' END AS collision_group_id
+FROM bm JOIN documents ON doc_id = id""",
+        "payloads": """
+SELECT '1.0.0' AS indexing_version, doc_id::VARCHAR AS chunk_id, source AS document_id, 'set' AS dataset_id, source || '.txt' AS document_name, sha256(text || chr(31)) AS text, sha256(text || chr(31)) AS embedding_text_hash, 'Act' AS document_type,
+  NULL::VARCHAR AS jurisdiction, lang AS legal_domains, 'p' || (doc_id % 97) AS source_path, (doc_id % 7)::INTEGER AS page_start, (doc_id % 7 + 1)::INTEGER AS page_end, NULL::INTEGER AS printed_page_start, (doc_id % 7 + 3)::INTEGER AS printed_page_end,
+  CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN 'Section ' || (doc_id % 20) END AS section, NULL::VARCHAR AS subsection, CASE WHEN doc_id % 4 = 0 THEN 'Article 3' END AS article, NULL::VARCHAR AS chapter,
+  doc_id % 5 = 0 AS content_collision, CASE WHEN doc_id % 5 = 0 THEN 'g' END AS collision_group_id
+FROM documents""",
         "line_classes": f"WITH {classes()} SELECT document_id, line_no, key, value FROM classed",
         "structure_context": f"WITH {contexts()} SELECT document_id, line_no, {', '.join(CONTEXT)} FROM context",
         "page_structure": f"WITH {contexts()} SELECT document_id, ((line_no - 1) // {STATUTE_PAGE})::INTEGER AS page_index, {', '.join(f'arg_max(struct_pack(v := {k}), line_no).v AS {k}' for k in CONTEXT)} FROM context GROUP BY document_id, (line_no - 1) // {STATUTE_PAGE}",

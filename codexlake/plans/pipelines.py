@@ -13,6 +13,7 @@ from codexlake.functions import metadata, query_text
 from codexlake.functions.text import cleaned, hash_parts, printed_page_number
 from codexlake.operators import audit, chunking, evidence, fusion, lexical, quality, structure, vectors
 from codexlake.sources import files as sinks
+from codexlake.sources.snapshots import Snapshots
 from codexlake.sources.stage import stored
 
 
@@ -34,23 +35,103 @@ def cleaned_pages(raw: DataFrame) -> DataFrame:
     return x.withColumns({"printed_page_number": printed_page_number(F.col("raw_text")), "page_id": hash_parts(F.col("document_id"), F.col("page_index")), "page_text_sha256": hash_parts(F.col("text"))})
 
 
-def ingest(files: DataFrame, raw: DataFrame, size: int = chunking.SIZE, overlap: int = chunking.OVERLAP, corpus_id: str = "corpus", with_chunks: bool = True) -> Ingested:
-    """Files (relative_path, source_sha256, page_count) and raw pages (relative_path, page_index, raw_text,
-    extraction_failed, failure_reason) to chunks and findings. With ``with_chunks`` off, only validates.
+#: Documents that another version processed are not taken over.
+PROCESSOR_VERSION = "1"
+
+
+@dataclass(frozen=True)
+class Processed:
+    """What is made of each document by itself. ``failed``: (document_id, relative_path, error); such documents have a row in
+    ``documents`` and nothing else."""
+
+    documents: DataFrame
+    pages: DataFrame
+    blocks: DataFrame
+    chunks: DataFrame
+    failed: DataFrame
+
 
-    Documents, pages and blocks are stored as they are made, for all that reads them."""
+def inventoried(files: DataFrame, size: int, overlap: int, corpus_id: str) -> DataFrame:
+    """The files with the keys by which an earlier result fits."""
+    keys = {"document_id": hash_parts(F.lit(corpus_id), metadata.collection(F.col("relative_path")), F.col("relative_path"))}
+    return files.withColumns(keys | {"processor_version": F.lit(PROCESSOR_VERSION), "chunk_size": F.lit(size), "chunk_overlap": F.lit(overlap)})
+
+
+def process(files: DataFrame, raw: DataFrame, size: int = chunking.SIZE, overlap: int = chunking.OVERLAP, corpus_id: str = "corpus", with_chunks: bool = True, cut: Callable = chunking.split_large) -> Processed:
+    """``ingest`` up to the chunks, each document by itself: one that cannot be read (a row of ``raw`` with an ``error``) or
+    packed fails alone. All tables are stored as they are made, for all that reads them."""
+    errors = raw.filter("error IS NOT NULL").groupBy("relative_path").agg(F.min("error").alias("error")) if "error" in raw.columns else raw.limit(0).select("relative_path", F.lit("").alias("error"))
+    unread = stored(errors, "unread")
+    raw = raw.join(unread, "relative_path", "left_anti").drop("error")
     head = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("page_index") < 3, F.struct("page_index", "raw_text")))), lambda x: x["raw_text"]), "\n")
     first = raw.groupBy("relative_path").agg(head.alias("first_pages_text"))
-    documents = stored(metadata.described(files.join(first, "relative_path", "left"), corpus_id), "documents")
-    pages = cleaned_pages(raw.join(documents.select("relative_path", "document_id", "dataset_id"), "relative_path"))
-    pages = stored(quality.with_duplicate_flags(stored(pages, "clean-pages")), "pages")
+    known = inventoried(files, size, overlap, corpus_id).drop("document_id")
+    documents = stored(metadata.described(known.join(first, "relative_path", "left"), corpus_id), "documents")
+    named = documents.select("relative_path", "document_id", "dataset_id")
+    pages = stored(cleaned_pages(raw.join(named, "relative_path")), "clean-pages")
     blocks = stored(structure.structural_blocks(pages), "blocks")
-    chunks = chunking.chunks(documents, blocks, size, overlap, corpus_id)
-    used = stored(chunks, "chunks") if with_chunks else chunks.limit(0)
-    found = quality.all_of(quality.page_findings(pages), quality.document_findings(documents, pages, used), quality.duplicate_findings(documents, pages, used))
+    packed = stored(chunking.pack_each(blocks, size, overlap, cut), "packed") if with_chunks else blocks.sparkSession.createDataFrame([], f"{chunking.PACKED}, error string")
+    unpacked = packed.filter("error IS NOT NULL").select("document_id", "error").join(named.select("document_id", "relative_path"), "document_id")
+    failed = stored(unread.join(named, "relative_path").select("document_id", "relative_path", "error").unionByName(unpacked), "failed")
+    good = lambda rows: rows.join(failed, "document_id", "left_anti")
+    chunks = stored(chunking.chunk_rows(documents, blocks, good(packed).drop("error"), corpus_id), "chunks")
+    why = failed.select("document_id", F.col("error").alias("failure_reason"))
+    lost = F.col("failure_reason").isNotNull()
+    documents = documents.join(why, "document_id", "left").withColumns({
+        "page_count": F.when(lost, 0).otherwise(F.col("page_count")), "document_type": F.when(lost, "Other").otherwise(F.col("document_type")),
+        **{c: F.when(~lost, F.col(c)) for c in ("title", "jurisdiction", "authority", "language")},
+        "legal_domains": F.when(lost, F.array().cast("array<string>")).otherwise(F.col("legal_domains")),
+    })
+    return Processed(documents, good(pages), good(blocks), chunks, failed)
+
+
+def finished(x: Processed, with_chunks: bool = True) -> Ingested:
+    """What depends on all documents: duplicate flags and findings."""
+    pages = stored(quality.with_duplicate_flags(x.pages), "pages")
+    good = x.documents.filter("failure_reason IS NULL")
+    found = quality.all_of(
+        quality.page_findings(pages), quality.document_findings(good, pages, x.chunks), quality.duplicate_findings(x.documents, pages, x.chunks),
+        quality.processed_findings(good, pages), quality.failed_findings(x.failed),
+    )
     if not with_chunks:
         found = found.filter("code != 'NO_CHUNKS'")
-    return Ingested(documents, pages, blocks, used, found)
+    return Ingested(x.documents, pages, x.blocks, x.chunks, quality.with_page_path(found, x.documents))
+
+
+def ingest(files: DataFrame, raw: DataFrame, size: int = chunking.SIZE, overlap: int = chunking.OVERLAP, corpus_id: str = "corpus", with_chunks: bool = True, cut: Callable = chunking.split_large) -> Ingested:
+    """Files (relative_path, source_sha256, page_count) and raw pages (relative_path, page_index, raw_text,
+    extraction_failed, failure_reason; and perhaps error, why a file could not be read) to chunks and findings. With
+    ``with_chunks`` off, only validates."""
+    return finished(process(files, raw, size, overlap, corpus_id, with_chunks, cut), with_chunks)
+
+
+@dataclass(frozen=True)
+class Update:
+    """What a run on a stored corpus did: (document_id, action) of every document, and the corpus as it is now."""
+
+    actions: DataFrame
+    corpus: Ingested
+
+
+def ingest_again(files: DataFrame, raw: DataFrame, store: Snapshots, size: int = chunking.SIZE, overlap: int = chunking.OVERLAP, corpus_id: str = "corpus", force: bool = False, cut: Callable = chunking.split_large) -> Update:
+    """``ingest`` into a store of snapshots, whose key is document_id. Documents whose file, sizes and processor are those of the last snapshot
+    are not touched, the others processed, those that are gone left out; failed ones are tried again. Only buckets with a
+    changed document are written, and the new snapshot becomes the current one by its last step."""
+    old = store.current()
+    now = inventoried(files, size, overlap, corpus_id)
+    if old is None:
+        actions = now.select("document_id", F.lit("process").alias("action"))
+        x = process(files, raw, size, overlap, corpus_id, cut=cut)
+    else:
+        known = old["documents"]
+        plan = quality.incremental_plan(now, known.filter("failure_reason IS NULL"), force=force)
+        gone = known.filter("failure_reason IS NOT NULL").join(now, "document_id", "left_anti").select("document_id", F.lit("remove").alias("action"))
+        actions = stored(plan.union(gone), "actions")
+        todo = now.join(actions.filter("action = 'process'"), "document_id", "left_semi").select(*files.columns)
+        x = process(todo, raw.join(todo, "relative_path", "left_semi"), size, overlap, corpus_id, cut=cut)
+    tables = {t: getattr(x, t) for t in ("documents", "pages", "blocks", "chunks", "failed")}
+    changed = None if old is None else actions.filter("action != 'reuse'").select("document_id")
+    return Update(actions, finished(Processed(**store.update(tables, changed))))
 
 
 @dataclass(frozen=True)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,7 +38,7 @@ CHUNK = _struct(
 )
 EMBEDDING = _struct(
     chunk_id=_S, cache_key=_S, embedding_model=_S, embedding_provider=_S, embedding_dimension=_I, embedding=T.ArrayType(T.DoubleType()), embedding_input_sha256=_S,
-    normalized=T.BooleanType(), model_revision=_S,
+    normalized=T.BooleanType(), model_revision=_S, indexing_version=_S,
 )
 
 
@@ -50,6 +53,34 @@ def inventory(spark: SparkSession, root: str, suffix: str = ".pdf", corpus_id: s
     return x.withColumn("document_id", hash_parts(F.lit(corpus_id), F.col("dataset_id"), F.col("relative_path")))
 
 
+RAW = "relative_path string, page_index int, raw_text string, extraction_failed boolean, failure_reason string, error string"
+
+
+def extracted(files: DataFrame, factory: Callable[[], Callable[[str, bytes], Iterable[str | None]]]) -> DataFrame:
+    """The pages of files (relative_path, content), read by a user's reader, which is made once a task: it gives the pages' texts, one
+    after the other, None for a page that cannot be read. A file whose reader fails has one more row, with the error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = factory()
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n = 0
+                try:
+                    for text in reader(path, content):
+                        lost = text is None
+                        yield _raw([(path, n, text or "", lost, "no text" if lost else None, None)])
+                        n += 1
+                except Exception as e:  # whatever a file holds, others go on
+                    yield _raw([(path, None, None, None, None, f"{type(e).__name__}: {e}")])
+
+    return files.select("relative_path", "content").repartition("relative_path").mapInArrow(run, RAW)
+
+
+def _raw(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.string(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [f.split()[0] for f in RAW.split(", ")])
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType = CHUNK) -> DataFrame:
     """Rows of a declared schema; blank lines are none."""
     return spark.read.schema(schema).json(path)
