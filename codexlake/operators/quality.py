@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from codexlake.functions.text import filled_lines, head_and_tail, is_blank, is_low_text
+from codexlake.operators.joins import split_join
+from codexlake.sources.stage import stored
 
 CRITICAL, WARNING, INFO = "CRITICAL", "WARNING", "INFO"
 #: Repeated marginal lines.
@@ -127,14 +129,16 @@ def document_collisions(pages: DataFrame, percent: int = COLLISION_PERCENT, hash
     member = page_classes(pages, hash_)
     own = member.filter("document_id = class_id").select("document_id", "n_pages")
     sets = pages.filter(~is_blank(F.col("text"))).join(own, "document_id").select(F.col("document_id").alias("id"), F.col("n_pages").alias("n"), F.col(hash_).alias("h")).distinct()
+    sets = stored(sets, "page-sets")
     often = sets.groupBy("h").agg(F.count("*").alias("f"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("f", "h"))
     need = F.ceil(F.col("n") * percent / 100)
     rare = sets.join(often, "h").withColumn("k", rank).filter(F.col("k") <= F.col("n") - need + 1)
     first = rare.select("h", F.col("id").alias("a"), F.col("n").alias("an"))
     other = sets.select("h", F.col("id").alias("b"), F.col("n").alias("bn"))
-    pairs = first.join(other, "h").filter((F.col("a") != F.col("b")) & (F.col("an") <= F.col("bn"))).select("a", "an", "b").distinct()
-    both = pairs.join(sets.select(F.col("id").alias("a"), "h"), "a").join(sets.select(F.col("id").alias("b"), "h"), ["b", "h"])
+    # a page may be in very many documents, and a document similar to very many
+    pairs = split_join(other, first, "h", "b").filter((F.col("a") != F.col("b")) & (F.col("an") <= F.col("bn"))).select("a", "an", "b").distinct()
+    both = split_join(stored(pairs, "page-pairs"), sets.select(F.col("id").alias("a"), "h"), "a", "b").join(sets.select(F.col("id").alias("b"), "h"), ["b", "h"])
     shared = both.groupBy("a", "an", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") * 100 >= percent * F.col("an"))
     out = shared.select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id"), "shared", (F.col("shared") / F.col("an")).alias("overlap"))
     return out.distinct()

@@ -6,7 +6,7 @@ from codexlake.catalog import BM25_K, CASE_HEADS, CONTEXT, DENSE_K, HYBRID_K, PH
 from codexlake.corpora import DOCUMENT_PARTS, LITERAL, STATUTE_LINE, STATUTE_PAGE
 from codexlake.functions import metadata, query_text
 from codexlake.functions.text import EMBEDDING_LABELS, STOP_WORDS, TOKEN
-from codexlake.operators import evidence, fusion, lexical
+from codexlake.operators import evidence, fusion, lexical, vectors
 from codexlake.operators.structure import BOUNDARIES, CLEARED_BY, PATTERNS, STICKY
 
 
@@ -60,11 +60,11 @@ bm AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score
 BM = f"WITH {DOCS}, {QUERIES}, {bm25('docs', 'queries', BM25_K)}"
 
 
-def dense(where: str) -> str:
+def dense(where: str, k: int = DENSE_K) -> str:
     return f"""de AS (
   SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, id, score FROM (
     SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS score
-    FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0 AND {where}) QUALIFY rank <= {DENSE_K})"""
+    FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0 AND {where}) QUALIFY rank <= {k})"""
 
 
 PACK = f"""{BM},
@@ -301,7 +301,7 @@ UNION ALL SELECT class_id, document_id, n_pages, 1.0 FROM k WHERE document_id <>
         "content_hash": "SELECT doc_id, sha256(text || chr(31)) AS text_sha256 FROM documents",
         "bm25_topk": f"{BM} SELECT query_id, rank::INTEGER AS rank, id AS doc_id, round(score, 6) AS score FROM bm",
         "bm25_topk_all": f"WITH {DOCS}, {QUERIES}, {bm25('docs', 'queries', lexical.TOP_K)} SELECT query_id, rank::INTEGER AS rank, id AS doc_id, round(score, 6) AS score FROM bm",
-        "dense_topk_all": f"WITH {dense('true')} SELECT query_id, rank::INTEGER AS rank, id AS vec_id, round(score, 6) AS score FROM de",
+        "dense_topk_all": f"WITH {dense('true', vectors.TOP_K)} SELECT query_id, rank::INTEGER AS rank, id AS vec_id, round(score, 6) AS score FROM de",
         "bm25_term_stats": f"{BM} SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM df, st",
         "token_counts": f"WITH {DOCS}, t AS (SELECT id, list_filter({tokens('text')}, lambda x: x NOT IN ({stop})) AS t FROM docs) SELECT id AS doc_id, len(t)::BIGINT AS n_tokens, len(list_distinct(t))::BIGINT AS n_distinct FROM t",
         "dense_topk": f"WITH {dense('true')} SELECT query_id, rank::INTEGER AS rank, id AS vec_id, round(score, 6) AS score FROM de",

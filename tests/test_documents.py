@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from codexlake.operators import chunking, quality, structure
+from codexlake.operators import chunking, joins, quality, structure
 from codexlake.plans import pipelines
 
 PAGES = "document_id string, page_index int, printed_page_number int, text string"
@@ -95,6 +95,34 @@ def test_collisions_and_flags(spark):
     assert f["d", 1] == (True, False) and f["d", 0] == (False, True) and f["e", 0] == (False, False) and f["c", 9] == (False, False)
 
 
+def test_collisions_with_a_page_in_half_of_all_documents(spark, monkeypatch):
+    """A form that is in half of all documents, and fills some: no task gets all of its rows."""
+    monkeypatch.setattr(joins, "SPLIT_ROWS", 50)
+    rows = [(f"d{d:04}", i, t) for d in range(600) for i, t in enumerate([f"own {d}", *(["form", "second form"] if d % 2 else [f"more {d}"])])]
+    rows += [(f"e{d}", i, t) for d in range(30) for i, t in enumerate(["form", "second form", f"e {d % 9}", f"f {d // 9}", f"g {d % 2}"])]
+    rows += [("only", 0, "form"), ("only", 1, "second form")]
+    sets = {}
+    for d, _, t in rows:
+        sets.setdefault(d, set()).add(t)
+    least = {}
+    for d in sorted(sets):
+        least.setdefault(frozenset(sets[d]), d)
+    names = sorted(least.values())
+    want = {(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if 100 * len(sets[a] & sets[b]) >= 80 * min(len(sets[a]), len(sets[b]))}
+    assert {(r.left_id, r.right_id) for r in quality.document_collisions(pages_of(spark, rows)).collect()} == want and len(want) > 300
+    many = spark.range(20_000).select((F.col("id") % 2).alias("h"), F.col("id").alias("b"))
+    few = spark.createDataFrame([(0, 7), (0, 8), (3, 9)], "h long, a int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = joins.split_join(many, few, "h", "b", 500).withColumn("p", F.spark_partition_id())
+        assert sorted((r.h, r.a, r["count"]) for r in out.groupBy("h", "a").count().collect()) == [(0, 7, 10_000), (0, 8, 10_000)]
+        assert max(r["count"] for r in out.groupBy("p").count().collect()) < 12_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_collisions_equal_all_pairs(spark):
     rng = random.Random(7)
     rows = [(f"d{d:02}", i, f"p{rng.randrange(12)}" if d % 3 else f"p{i}") for d in range(40) for i in range(rng.randint(1, 7))] + [(f"h{i}", 0, "hot") for i in range(60)]

@@ -294,5 +294,41 @@ def test_dense_search_in_blocks_takes_all_queries(spark, monkeypatch):
         if r.vec_id % 50 == 0:
             near = sorted((-x, o.vec_id) for x, o in zip(np.round(m @ m[i], 9), rows, strict=True))[:10]
             want |= {(r.vec_id, k, v) for k, (_, v) in enumerate(near, 1)}
-    got = [(x.query_id, x["rank"], x.vec_id) for x in catalog.dense_topk_all(spark, path).collect()]
+    got = [(x.query_id, x["rank"], x.vec_id) for x in catalog.dense_topk(spark, path).collect()]
     assert len(got) == len(want) and set(got) == want and len({q for q, *_ in got}) > 2
+
+
+@pytest.mark.parametrize("kind", ["clusters", "noise"])
+def test_index_search_is_exact_and_leaves_batches_out(spark, monkeypatch, kind):
+    """Ties by copies, a null and equal query ids; of clustered vectors most batches are never opened."""
+    import numpy as np
+
+    monkeypatch.setattr(vectors, "BATCH_VECTORS", 16)
+    monkeypatch.setattr(vectors, "BATCH_QUERIES", 5)
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(12, 24)) * (3 if kind == "clusters" else 0)
+    v = (centers[rng.integers(0, 12, 900)] + rng.normal(size=(900, 24)) * 0.3).round(4)
+    v[500:540] = v[7]  # ties
+    q = np.concatenate([v[::60], (centers[:5] + rng.normal(size=(5, 24))).round(4), np.zeros((1, 24))])
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(5000, None)], "vec_id long, embedding array<double>").repartition(5)
+    asked = spark.createDataFrame([(min(i, 18), x.tolist()) for i, x in enumerate(q)], "query_id long, embedding array<double>")
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    pooled = {}
+    for i, s in enumerate(np.round(unit(q) @ unit(v).T, 9)):
+        pooled.setdefault(min(i, 18), []).extend(sorted((-x, j) for j, x in enumerate(s))[:6])
+    want = sorted((i, k, j, -x) for i, p in pooled.items() for k, (x, j) in enumerate(sorted(p)[:6], 1))
+    index = vectors.build_index(table, clusters=16)
+    assert max(r.n for r in index.batches.select(F.size("v").alias("n")).collect()) < 60
+    seen = []
+    scored = vectors._scored
+    monkeypatch.setattr(vectors, "_scored", lambda i, q, pairs, *a: seen.append(pairs) or scored(i, q, pairs, *a))
+    got = sorted((r.query_id, r["rank"], r.id, r.score) for r in vectors.search_index(index, asked, 6).collect())
+    assert [g[:2] for g in got] == [w[:2] for w in want] and [g[3] for g in got] == pytest.approx([w[3] for w in want], abs=2e-9)
+    assert [g[2] for g in got if g[0] < 18] == [w[2] for w in want if w[0] < 18]
+    opened, pairs = sum(p.count() for p in seen), index.batches.count() * len(q)
+    print(f"{kind}: {opened} of {pairs} pairs of query and batch opened")
+    assert opened < pairs / 3 if kind == "clusters" else opened <= pairs
+    assert vectors.build_index(table.filter("vec_id = 5000")) is None
+    assert vectors.search(table.limit(0), asked, 6).count() == 0
+    monkeypatch.setattr(vectors, "MAX_QUERIES", 0)
+    assert vectors.search(table.limit(0), asked, 6).count() == 0 and vectors.search(table, asked.limit(0), 6).count() == 0
