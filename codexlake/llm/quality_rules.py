@@ -6,10 +6,11 @@ group: three times the distance of the quartiles beyond them. Up to a quarter of
 bad without moving its fences. It is taken between the
 outer edges of their buckets, so it is one bucket at least. A sketch is a table of counts by bucket (seven leading binary
 digits of the value, so a bucket is within 1/64 of every value in it). Sketches merge by adding
-counts: groups too small for a threshold of their own use the merged sketch of their language, or of all documents.
+counts, and so small groups lean on larger ones: each group's sketch has ``PRIOR`` documents' worth of its language's added, and
+``PRIOR_ALL`` of that of all documents. They decide for a group of a few and fade as it grows; no size is a switch.
 
-A rate of a short text says little: one symbol in fifty words is 20 in a thousand. So ``FREE`` of a
-text's symbols and repeated lines are left out before its rate is held against the fence.
+A rate of a short text says little: one symbol in fifty words is 20 in a thousand. So a count of k is held against a fence as what is sure of
+it, two standard deviations of a Poisson count below: k - 2 sqrt(k).
 
 Defined results: null, empty or blank text has zero words and fails the base rules; null
 language or source is a group like any other; repeated rows are judged alike and all kept or all
@@ -28,14 +29,12 @@ from codexlake.llm.shared import BROADCAST_ROWS, small, stored, words
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = "[#*$%&|<>]"
-#: A group with fewer documents than this uses its language's sketch, or that of all documents.
-MIN_GROUP = 100
+#: Documents' worth of its language's sketch, and of that of all documents, in each group's, in thousandths of a document.
+PRIOR, PRIOR_ALL, WHOLE = 100, 10, 1000
 #: A value is too far out beyond its quartile by more than so many times the quartiles' distance.
 REACH = 3
 #: Leading binary digits of a value that a sketch keeps.
 DIGITS = 7
-#: Symbols and repeated lines of a text that are not counted against it.
-FREE = 2
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -80,13 +79,22 @@ def base_failed() -> Column:
     return (n < MIN_WORDS) | (100 * repeat > MAX_REPEAT_PERCENT * n)
 
 
-def rates(free: int = 0) -> dict[str, Column]:
+def rates() -> dict[str, Column]:
     """The three measures as whole numbers: symbols per 1000 words, hundredths of a character per
-    word, repeated lines per 1000 lines; without the first ``free`` symbols and repeated lines."""
+    word, repeated lines per 1000 lines."""
     return {
-        "symbol_rate": F.expr(f"1000 * greatest(_q.n_symbols - {free}, 0) div greatest(_q.n_words, 1)"),
+        "symbol_rate": F.expr("1000 * _q.n_symbols div greatest(_q.n_words, 1)"),
         "word_length": F.expr("100 * _q.word_chars div greatest(_q.n_words, 1)"),
-        "line_rate": F.expr(f"1000 * greatest(_q.n_dup_lines - {free}, 0) div greatest(_q.n_lines, 1)"),
+        "line_rate": F.expr("1000 * _q.n_dup_lines div greatest(_q.n_lines, 1)"),
+    }
+
+
+def sure_rates() -> dict[str, Column]:
+    """What is held against the high fences: of counts only what is sure of them."""
+    sure = lambda k: f"greatest({k} - 2 * sqrt({k}), 0)"
+    return rates() | {
+        "symbol_rate": F.expr(f"1000 * {sure('_q.n_symbols')} / greatest(_q.n_words, 1)"),
+        "line_rate": F.expr(f"1000 * {sure('_q.n_dup_lines')} / greatest(_q.n_lines, 1)"),
     }
 
 
@@ -107,26 +115,31 @@ def sketches(measured: DataFrame) -> DataFrame:
     return measured.filter(~base_failed()).select("lang", "source", pairs.alias("m")).select("lang", "source", "m.*").groupBy("lang", "source", "measure", "bucket").agg(F.count("*").alias("n"))
 
 
+def blended(sketch: DataFrame) -> DataFrame:
+    """(lang, source, measure, bucket, n): each group's sketch with its share of the larger ones', in thousandths."""
+    key = lambda *names: F.struct(*names).alias("_".join(["k", *names]))  # noqa: E731  structs with null fields are equal
+    merged = lambda *names: sketch.groupBy(*names, "measure", "bucket").agg(F.sum("n").alias("n"))
+    total = lambda *names: F.sum("n").over(Window.partitionBy(*names, "measure"))
+    whole = merged().select("measure", "bucket", F.expr(f"{PRIOR_ALL * WHOLE} * n").alias("w"), total().alias("wa"))  # at most 64 buckets to each doubling of a value
+    of_lang = merged("lang").withColumn("la", total("lang")).select(key("lang", "measure", "bucket"), F.expr(f"{PRIOR * WHOLE} * n div la").alias("l"))
+    own = sketch.select(key("lang", "source", "measure", "bucket"), (F.col("n") * WHOLE).alias("o"))
+    grid = sketch.select("lang", "source", "measure").distinct().join(F.broadcast(whole), "measure").select("*", key("lang", "measure", "bucket"), key("lang", "source", "measure", "bucket"))
+    x = grid.join(of_lang, "k_lang_measure_bucket", "left").join(own, "k_lang_source_measure_bucket", "left")
+    n = F.coalesce("o", F.lit(0)) + F.coalesce("l", F.lit(0)) + F.expr("w div wa")
+    return x.select("lang", "source", "measure", "bucket", n.alias("n"))
+
+
 def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, measure, n, q1, q3) from the sketches merged to the keys."""
-    merged = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
-    group = Window.partitionBy(*keys, "measure")  # at most 64 buckets to each doubling of the value
-    ranked = merged.withColumns({"below": F.sum("n").over(group.orderBy("bucket")), "all": F.sum("n").over(group)})
+    """(keys, measure, q1, q3) of sketches."""
+    group = Window.partitionBy(*keys, "measure")
+    ranked = sketch.withColumns({"below": F.sum("n").over(group.orderBy("bucket")), "all": F.sum("n").over(group)})
     q = lambda k: F.min(F.when(4 * F.col("below") >= k * F.col("all"), F.col("bucket")))
-    return ranked.groupBy(*keys, "measure").agg(F.max("all").alias("n"), q(1).alias("q1"), q(3).alias("q3"))
+    return ranked.groupBy(*keys, "measure").agg(q(1).alias("q1"), q(3).alias("q3"))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
     """(lang, source, low and high fence of each measure), one row per language and source."""
-    own = _quartiles(sketch, ["lang", "source"])
-    lang, whole = _quartiles(sketch, ["lang"]), _quartiles(sketch, [])
-    x = (
-        own.alias("o")
-        .join(lang.alias("l"), F.col("o.lang").eqNullSafe(F.col("l.lang")) & (F.col("o.measure") == F.col("l.measure")))
-        .join(F.broadcast(whole.alias("w")), F.col("o.measure") == F.col("w.measure"))  # three rows
-    )
-    pick = lambda c: F.when(F.col("o.n") >= MIN_GROUP, F.col(f"o.{c}")).when(F.col("l.n") >= MIN_GROUP, F.col(f"l.{c}")).otherwise(F.col(f"w.{c}"))
-    x = x.select(F.col("o.lang").alias("lang"), F.col("o.source").alias("source"), F.col("o.measure").alias("measure"), pick("q1").alias("q1"), pick("q3").alias("q3"))
+    x = _quartiles(blended(stored(sketch, "sketches")), ["lang", "source"])
     reach = REACH * (F.col("q3") + width(F.col("q3")) - F.col("q1"))
     at = lambda k, v: F.max(F.when(F.col("measure") == k, v))
     return x.groupBy("lang", "source").agg(*[at(k, F.col("q3") + reach).alias(f"{k}_high") for k in rates()], at("word_length", F.col("q1") - reach).alias("word_length_low"))
@@ -139,7 +152,7 @@ def judged(measured: DataFrame, limits: DataFrame) -> DataFrame:
     limits = limits.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.struct(*names).alias("_t"))
     same = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source"))
     fits = F.lit(True)
-    for k, v in rates(FREE).items():
+    for k, v in sure_rates().items():
         fits = fits & (v <= F.col(f"_t.{k}_high"))
     fits = fits & (rates()["word_length"] >= F.col("_t.word_length_low"))
     kept = ~F.col("_base") & F.coalesce(fits, F.lit(False))

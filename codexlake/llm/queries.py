@@ -115,7 +115,7 @@ m AS (
 j AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
     1000 * n_symbols // greatest(n_words, 1) AS symbol_rate, 100 * word_chars // greatest(n_words, 1) AS word_length, 1000 * n_dup_lines // greatest(n_lines, 1) AS line_rate,
-    1000 * greatest(n_symbols - 2, 0) // greatest(n_words, 1) AS symbol_rate_2, 1000 * greatest(n_dup_lines - 2, 0) // greatest(n_lines, 1) AS line_rate_2
+    1000 * greatest(n_symbols - 2 * sqrt(n_symbols), 0) / greatest(n_words, 1) AS sure_symbols, 1000 * greatest(n_dup_lines - 2 * sqrt(n_dup_lines), 0) / greatest(n_lines, 1) AS sure_lines
   FROM m),
 v AS (
   SELECT lang, source, 'symbol_rate' AS measure, symbol_rate AS x FROM j WHERE NOT base_failed
@@ -124,22 +124,16 @@ v AS (
 b AS (
   SELECT lang, source, measure, ((x::BIGINT) >> s) << s AS bucket, count(*) AS n
   FROM (SELECT *, greatest(length(bin(x::BIGINT)) - 7, 0)::INTEGER AS s FROM v) GROUP BY ALL),
-own AS (
-  SELECT lang, source, measure, max(a) AS n, min(CASE WHEN 4 * below >= a THEN bucket END) AS q1, min(CASE WHEN 4 * below >= 3 * a THEN bucket END) AS q3
-  FROM (SELECT lang, source, measure, bucket, sum(n) OVER (PARTITION BY lang, source, measure ORDER BY bucket) AS below, sum(n) OVER (PARTITION BY lang, source, measure) AS a FROM b) GROUP BY ALL),
-bl AS (SELECT lang, measure, bucket, sum(n) AS n FROM b GROUP BY ALL),
-by_lang AS (
-  SELECT lang, measure, max(a) AS n, min(CASE WHEN 4 * below >= a THEN bucket END) AS q1, min(CASE WHEN 4 * below >= 3 * a THEN bucket END) AS q3
-  FROM (SELECT lang, measure, bucket, sum(n) OVER (PARTITION BY lang, measure ORDER BY bucket) AS below, sum(n) OVER (PARTITION BY lang, measure) AS a FROM bl) GROUP BY ALL),
-bw AS (SELECT measure, bucket, sum(n) AS n FROM b GROUP BY ALL),
-whole AS (
-  SELECT measure, min(CASE WHEN 4 * below >= a THEN bucket END) AS q1, min(CASE WHEN 4 * below >= 3 * a THEN bucket END) AS q3
-  FROM (SELECT measure, bucket, sum(n) OVER (PARTITION BY measure ORDER BY bucket) AS below, sum(n) OVER (PARTITION BY measure) AS a FROM bw) GROUP BY ALL),
+bl AS (SELECT lang, measure, bucket, sum(n)::BIGINT AS n, sum(sum(n)) OVER (PARTITION BY lang, measure)::BIGINT AS a FROM b GROUP BY lang, measure, bucket),
+bw AS (SELECT measure, bucket, sum(n)::BIGINT AS n, sum(sum(n)) OVER (PARTITION BY measure)::BIGINT AS a FROM b GROUP BY measure, bucket),
+blend AS (
+  SELECT g.lang, g.source, g.measure, bw.bucket, 1000 * coalesce(b.n, 0) + coalesce(100000 * bl.n // bl.a, 0) + 10000 * bw.n // bw.a AS n
+  FROM (SELECT DISTINCT lang, source, measure FROM b) g JOIN bw ON g.measure = bw.measure
+  LEFT JOIN bl ON bl.lang IS NOT DISTINCT FROM g.lang AND bl.measure = g.measure AND bl.bucket = bw.bucket
+  LEFT JOIN b ON b.lang IS NOT DISTINCT FROM g.lang AND b.source IS NOT DISTINCT FROM g.source AND b.measure = g.measure AND b.bucket = bw.bucket),
 q AS (
-  SELECT o.lang, o.source, o.measure,
-    CASE WHEN o.n >= 100 THEN o.q1 WHEN l.n >= 100 THEN l.q1 ELSE w.q1 END AS q1,
-    CASE WHEN o.n >= 100 THEN o.q3 WHEN l.n >= 100 THEN l.q3 ELSE w.q3 END AS q3
-  FROM own o JOIN by_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.measure = l.measure JOIN whole w ON o.measure = w.measure),
+  SELECT lang, source, measure, min(CASE WHEN 4 * below >= a THEN bucket END) AS q1, min(CASE WHEN 4 * below >= 3 * a THEN bucket END) AS q3
+  FROM (SELECT *, sum(n) OVER (PARTITION BY lang, source, measure ORDER BY bucket) AS below, sum(n) OVER (PARTITION BY lang, source, measure) AS a FROM blend) GROUP BY ALL),
 f AS (
   SELECT lang, source, measure, q1 - reach AS low, q3 + reach AS high
   FROM (SELECT *, 3 * (q3 - q1 + (1::BIGINT << greatest(length(bin(q3::BIGINT)) - 7, 0)::INTEGER)) AS reach FROM q)),
@@ -149,7 +143,7 @@ t AS (
   FROM f GROUP BY ALL)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-  NOT base_failed AND coalesce(symbol_rate_2 <= sh AND word_length <= wh AND word_length >= wl AND line_rate_2 <= lh, false) AS kept
+  NOT base_failed AND coalesce(sure_symbols <= sh AND word_length <= wh AND word_length >= wl AND sure_lines <= lh, false) AS kept
 FROM j LEFT JOIN t ON j.lang IS NOT DISTINCT FROM t.lang AND j.source IS NOT DISTINCT FROM t.source
 """
 

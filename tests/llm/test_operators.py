@@ -1,6 +1,7 @@
 """The training-data operators against brute force, and on odd input."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -241,29 +242,50 @@ def test_base_measures_equal_brute_force(spark):
 
 
 def brute_kept(rows):
-    """Ids of documents within the fences of their language and source, or of a larger group if that is small."""
+    """Ids of documents within the fences of their language and source, with their share of the larger groups' values."""
     bucket = lambda x: x >> max(0, x.bit_length() - 7) << max(0, x.bit_length() - 7)
     rates = {}
     for r in rows:
         n, chars, symbols, dup, repeat = brute_measures(r[1])
         n_lines = len([x for x in (r[1] or "").split("\n") if tokens(x)])
         if n >= 50 and 100 * repeat <= 50 * n:
-            rate = lambda free: (1000 * max(symbols - free, 0) // n, 100 * chars // n, 1000 * max(dup - free, 0) // max(1, n_lines))  # noqa: E731, B023
-            rates[r[0]] = (r[2], r[3], rate(0), rate(2))
-    kept = set()
+            sure = lambda k: max(k - 2 * math.sqrt(k), 0)
+            rates[r[0]] = (r[2], r[3], (1000 * symbols // n, 100 * chars // n, 1000 * dup // max(1, n_lines)), (1000 * sure(symbols) / n, 100 * chars // n, 1000 * sure(dup) / max(1, n_lines)))
+    kept, fences = set(), {}
     for d, (lang, source, _, have) in rates.items():
         ok = True
         for m in range(3):
-            own, of_lang = [[x[2][m] for x in rates.values() if f(x)] for f in (lambda x: x[:2] == (lang, source), lambda x: x[0] == lang)]  # noqa: B023
-            values = sorted(map(bucket, own if len(own) >= 100 else of_lang if len(of_lang) >= 100 else [x[2][m] for x in rates.values()]))
-            q1, q3 = (next(v for i, v in enumerate(values) if 4 * (i + 1) >= k * len(values)) for k in (1, 3))
-            reach = 3 * (q3 - q1 + (1 << max(0, q3.bit_length() - 7)))
-            ok &= have[m] <= q3 + reach and (m != 1 or have[m] >= q1 - reach)
+            if (lang, source, m) not in fences:
+                whole, of_lang, own = (Counter(bucket(x[2][m]) for x in rates.values() if f(x)) for f in (lambda x: True, lambda x: x[0] == lang, lambda x: x[:2] == (lang, source)))  # noqa: B023
+                blend = {b: 1000 * own[b] + 100_000 * of_lang[b] // sum(of_lang.values()) + 10_000 * whole[b] // sum(whole.values()) for b in sorted(whole)}
+                upto = list(itertools.accumulate(blend.values()))
+                q1, q3 = (next(b for b, n in zip(blend, upto, strict=True) if 4 * n >= k * upto[-1]) for k in (1, 3))
+                reach = 3 * (q3 - q1 + (1 << max(0, q3.bit_length() - 7)))
+                fences[lang, source, m] = q1 - reach, q3 + reach
+            low, high = fences[lang, source, m]
+            ok &= have[m] <= high and (m != 1 or have[m] >= low)
         if ok:
             kept.add(d)
     return kept
 
 
+def test_small_groups_lean_on_their_language(spark):
+    """Four documents of a source with marks everywhere are not enough for fences of their own; four hundred are."""
+    rng = random.Random(9)
+    plain = lambda: " ".join(rng.choice("abcdefgh") * rng.randint(3, 7) + str(rng.randrange(999)) for _ in range(80))
+    marked = lambda: plain().replace(" ", " # ", 40)
+    calm = [(i, plain(), "en", "calm") for i in range(400)]
+    kept = lambda rows: {r.doc_id for r in quality_rules.keep_good(docs(spark, rows)).collect()}
+    few = [(1000 + i, marked(), "en", "few") for i in range(4)]
+    many = [(2000 + i, marked(), "en", "many") for i in range(400)]
+    got = kept(calm + few)
+    assert not {r[0] for r in few} & got and {r[0] for r in calm} <= got
+    assert {r[0] for r in calm + many} <= kept(calm + many)
+    # one, two or four symbols in a short text say nothing, a dozen do
+    some = [(3000 + k, plain().replace(" ", " # ", k), "en", "calm") for k in (1, 2, 4, 12, 30)]
+    assert {d for d in kept(calm + some) if d >= 3000} == {3001, 3002, 3004}
+
+
 def test_fences_decide_and_differ_by_group(spark):
     rows = [(r.doc_id, r.text, r.lang, r.source) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
