@@ -56,7 +56,7 @@ FILE_BYTES = 32 << 20
 #: Documents that are encoded at once.
 BATCH_DOCS = 256
 #: Bytes of words and ids that a worker remembers, by a rough count; as much again is held for a while.
-REMEMBERED_BYTES = 32 << 20
+REMEMBERED_BYTES = 64 << 20
 #: What a remembered word takes beside its characters and ids.
 ENTRY_BYTES = 200
 INDEX = np.dtype([("id", "<i8"), ("none", "u1"), ("offset", "<u8"), ("bytes", "<u4"), ("ids", "<u4")])
