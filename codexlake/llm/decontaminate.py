@@ -8,7 +8,8 @@ weights over greatest. In turn:
    its first shared shingle loses none. So the windows that start at a shingle of any item (or
    end with the text, if it is too short from there) are all that is needed. Shingles meet the
    items' in a broadcast join, row by row and without a shuffle; more shingles than may be
-   broadcast are met in blocks, one after the other.
+   broadcast are met in blocks, one after the other. A window that is similar to an item has 8/9 of its shingles
+   in common with it; so windows with fewer shingles of any items of their length go, which is exact.
 2. Windows are cut out of the few documents that have such places.
 3. Fingerprints. Each window and item gets a 128-bit SimHash of its shingles.
 4. Index. Of two fingerprints within ``RADIUS`` = 34 bits, one of the first five of eight segments of 16
@@ -36,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codexlake.llm.shared import small, stored, text_key, words
+from codexlake.operators.joins import split_join
 
 SHINGLE = 5
 #: Similarity of 4/5 as whole numbers.
@@ -123,16 +125,32 @@ def item_table(items: DataFrame) -> DataFrame:
 
 def places(text: DataFrame, items: DataFrame) -> DataFrame:
     """(name, n_words, start), stored: of (name, all), where windows as long as an item start at a
-    shingle of that item. Nothing but one shingle at a time is joined."""
+    shingle of such an item and have enough of their shingles. Nothing but one shingle at a time is joined."""
     first = stored(items.select("n_words", F.explode("item_shingles").alias("shingle")).distinct(), "item-shingles")
     blocks = max(1, -(-first.count() // BROADCAST_SHINGLES))
     one = text.select("name", F.size("all").alias("total"), F.posexplode_outer("all").alias("i", "shingle"))
-    n = F.greatest(F.lit(1), F.col("n_words") - (SHINGLE - 1))
-    start = F.greatest(F.lit(0), F.least(F.col("i"), F.col("total") - n))
     block = F.pmod(F.xxhash64("shingle"), F.lit(blocks))
-    met = [one.join(F.broadcast(first.filter(block == k)), "shingle").select("name", "n_words", start.alias("start")) for k in range(blocks)]
-    parts = [stored(x.distinct(), "places") for x in met]
-    return parts[0] if blocks == 1 else stored(reduce(DataFrame.union, parts).distinct(), "places")
+    met = [one.join(F.broadcast(first.filter(block == k)), "shingle").select("name", "n_words", "total", "i") for k in range(blocks)]
+    met = met[0] if blocks == 1 else reduce(DataFrame.union, [stored(x, "places") for x in met])
+    # as many positions as the text has words at most; equal rows have the same
+    met = met.groupBy("name", "n_words").agg(F.first("total").alias("total"), F.array_sort(F.collect_set("i")).alias("at"))
+    return stored(met.select("name", "n_words", F.explode(_starts()).alias("start")), "places")
+
+
+def _starts() -> Column:
+    """Of the places ``at`` of shingles that items of this length have, those where a window may start: it is no more
+    similar to an item than the share of its shingles that are such. Sorted places make that one look ahead."""
+    a, b = SIMILAR
+    n = F.greatest(F.lit(1), F.col("n_words") - (SHINGLE - 1))
+    least = lambda size: F.ceil(a * (size + n) / (a + b)).cast("int")
+    last = F.greatest(F.lit(0), F.col("total") - n)  # windows do not go beyond the text
+    inside = F.filter("at", lambda i, k: (i <= last) & (F.get("at", k + least(n) - 1) < i + n))
+    behind = F.filter("at", lambda i: i >= last)
+    ends = (F.element_at("at", -1) > last) & (F.size(behind) >= least(F.least(n, F.col("total"))))
+    # a text shorter than the item is one window
+    inside = F.when(F.col("total") >= n, inside).otherwise(F.array().cast("array<int>"))
+    ends = ends | ((F.col("total") < n) & (F.size("at") >= least(F.col("total"))))
+    return F.array_distinct(F.concat(inside, F.when(ends, F.array(last)).otherwise(F.array().cast("array<int>"))))
 
 
 def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -170,7 +188,9 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     items = item_table(items)
     found = stored(windows(docs, items).withColumn("print", prints(F.col("window"))), "windows")
     met = stored(candidates(found.drop("window"), items), "candidates")
-    met = found.drop("print").join(small(met), ["name", "n_words", "start"]).join(items.select("item_id", "item_shingles"), "item_id")
+    # an item may be in very many documents
+    met = split_join(met, items.select("item_id", "item_shingles"), "item_id", "name")
+    met = found.drop("print").join(met, ["name", "n_words", "start"])
     size = F.size("window") + F.size("item_shingles")
     met = met.withColumn("shared", shared_weight(F.col("window"), F.col("item_shingles")))
     a, b = SIMILAR
