@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 SAMPLE_DOCS = 1000
+#: Languages that are learned at most, and documents of all of them together.
+SAMPLE_LANGS, SAMPLE_ALL = 256, 16_000
 SAMPLE_CHARS = 4000
 BUCKETS = 1 << 16
 DIMENSIONS = 16
@@ -153,13 +155,19 @@ def held_out(key: Column) -> Column:
     return F.crc32(key.cast("string")) % 5 == 0
 
 
-def learn(docs: DataFrame, may_learn: Column, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """A model from the bounded sample of the rows (doc_id, text, lang) that may be learned from."""
+def learn(docs: DataFrame, may_learn: Column, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, sample_langs: int = SAMPLE_LANGS, sample_all: int = SAMPLE_ALL) -> Model:
+    """A model from the bounded sample of the rows (doc_id, text, lang) that may be learned from: of the most frequent
+    languages (ties by name) equally many documents, if they have so many."""
     rows = docs.filter(may_learn & F.col("lang").isNotNull() & (F.length("text") <= sample_chars))
+    known = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample_langs).collect()
+    if not known:
+        return train([], [])
+    sample_docs = min(sample_docs, max(1, sample_all // len(known)))
+    counts = docs.sparkSession.createDataFrame([tuple(r) for r in known], "lang string, count long")
     # hashes far above a language's n-th go first, so that no task gets more than a few times n of them
     h = F.xxhash64("doc_id")
     share = F.least(F.lit(1.0), F.lit(4.0 * sample_docs) / F.col("count"))
-    most = rows.groupBy("lang").count().select("lang", (share * 2.0**64 - 2.0**63).alias("most"))  # a row per language
+    most = counts.select("lang", (share * 2.0**64 - 2.0**63).alias("most"))  # ``sample_langs`` rows at most
     near = rows.join(F.broadcast(most), "lang").filter(h.cast("double") <= F.col("most"))
     order = Window.partitionBy("lang").orderBy(h, "doc_id", F.xxhash64("text"))
     rows = near.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample_docs)
