@@ -1,15 +1,16 @@
 """Secret scan: fixed patterns, and spans that a linear-chain conditional random field adds.
 
 The field tags a text's tokens as O (outside), B (secret begins) or I (inside). A tag's score comes
-from the token's shape, the shapes and words of two tokens before and one after, and features of the
-whole text; neighbouring tags have transition scores. It is trained in numpy, by gradient ascent on the
+from the token's shape, the shapes of two tokens before and one after and the words that they are, hashed to
+``WORDS`` buckets, and features of the whole text; neighbouring tags have transition scores. It is trained in numpy, by gradient ascent on the
 likelihood of token windows, from a bounded sample: ``SAMPLE_DOCS`` documents with a word that goes with
 secrets and as many without, of at most ``SAMPLE_CHARS`` characters, those whose id has the least hash.
 
 The fixed patterns say what is a secret in these texts; runs of digits alone, which the hex pattern
 takes, teach nothing. A field so taught would know the patterns only. So each text is also given a
 made-up secret of another kind, with or without a word that names it, and a made-up identifier,
-number, path, address or date that is none. A penalty on the other tags is raised until
+number, path, address, date or image data that is none. What could be a word is a secret only after a word that
+names one, so there the neighbours decide. A penalty on the other tags is raised until
 ``PRECISION`` of the tokens are right that the field tags in texts that training has not seen.
 
 Decoding is Viterbi's, over whole texts. A token whose O score is ahead of the others by more than two
@@ -23,10 +24,12 @@ field adds no spans; other columns are passed on as they are.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import random
 import re
 import string
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -52,7 +55,9 @@ WINDOW = 6
 ROUNDS = 120
 PRECISION = 0.98
 RATE = 0.1
-PENALTY = 1e-4
+PENALTY, WORD_PENALTY = 1e-4, 1e-3
+#: Buckets of words; the first is for tokens that are none.
+WORDS = 1 << 14
 #: A span that the field adds has at least so many characters, as the shortest base kind has.
 LEAST_CHARS = 12
 TOKEN = re.compile(r"[\w+/.\-]+|[^\w\s]")
@@ -113,9 +118,17 @@ def shape(token: str) -> tuple[str, ...]:
     if len(core) >= 12 and any(map(str.isdigit, inner)) and len(core) / len(inner) < 3.5:
         out.append(f"random part {min(40, len(core)) // 8}")
     out.append("both cases" if re.search("[A-Z]", token) and re.search("[a-z]", token) else "capitals" if re.search("[A-Z]", token) else "small")
+    if re.search(r"(.)\1\1", token):
+        out.append("repeats")
     return tuple(out)
 
 
+def word(token: str) -> int:
+    """The bucket of a token that may be a word, in any case; 0 for any other."""
+    token = token.strip(ENDS)
+    return 1 + zlib.crc32(token.lower().encode()) % (WORDS - 1) if len(token) <= 20 and token[:1].isalpha() else 0
+
+
 def file_features(text: str) -> tuple[str, ...]:
     lines = text.count("\n") + 1
     return (f"assigned {min(3, text.count('=') * 10 // lines)}", "braces" if "{" in text else "no braces", f"size {min(6, len(text).bit_length() // 2)}")
@@ -123,43 +136,52 @@ def file_features(text: str) -> tuple[str, ...]:
 
 #: Where a feature may be, and how far from the token.
 PLACES = {"own": 0, "before": -1, "before 2": -2, "after": 1}
+#: The places whose words count.
+NEAR = ("before", "before 2", "after")
 
 
 @dataclass
 class Field:
-    """Weights by (place, feature); places: own, before, before 2, after, file. ``caution`` is added
-    to the score of O."""
+    """Weights by (place, feature); places: own, before, before 2, after, file; and of words by place and bucket.
+    ``caution`` is added to the score of O."""
 
     weights: dict[tuple[str, str], np.ndarray] = field(default_factory=dict)
+    words: dict[str, np.ndarray] = field(default_factory=dict)
     transitions: np.ndarray = field(default_factory=lambda: np.zeros((3, 3)))
     caution: float = 0.0
 
-    def score(self, place: str, features: tuple[str, ...]) -> np.ndarray:
-        return sum((self.weights[place, f] for f in features if (place, f) in self.weights), np.zeros(3))
+    def score(self, place: str, features: tuple[str, ...], word: int = 0) -> np.ndarray:
+        plain = sum((self.weights[place, f] for f in features if (place, f) in self.weights), np.zeros(3))
+        return plain + self.words[place][word] if word and place in self.words else plain
 
 
 class Tagger:
-    """Tags texts with a field; remembers the kinds of tokens."""
+    """Tags texts with a field; remembers the kinds of tokens, a kind being a shape and a word's bucket."""
 
     def __init__(self, model: Field):
         self.model, self.kinds, self.known = model, {}, {}
-        self.tables: dict[str, list[np.ndarray]] = {p: [] for p in PLACES}
+        self.tables = {p: np.zeros((1024, 3)) for p in PLACES}
+        self.shapes: dict[tuple, dict[str, np.ndarray]] = {}
         self.margin = 2 * float(model.transitions.max() - model.transitions.min())
-        self.edge = self._kind(("edge",))
+        self.edge = self._kind(("edge",), 0)
 
-    def _kind(self, features: tuple[str, ...]) -> int:
-        k = self.kinds.get(features)
+    def _kind(self, features: tuple[str, ...], bucket: int) -> int:
+        k = self.kinds.get((features, bucket))
         if k is None:
-            k = self.kinds[features] = len(self.kinds)
+            k = self.kinds[features, bucket] = len(self.kinds)
+            plain = self.shapes.get(features)
+            if plain is None:
+                plain = self.shapes[features] = {p: self.model.score(p, features) for p in PLACES}
             for place, rows in self.tables.items():
-                rows.append(self.model.score(place, features))
-            self.arrays = None
+                if k == len(rows):
+                    rows = self.tables[place] = np.concatenate([rows, np.zeros_like(rows)])
+                rows[k] = plain[place] + (self.model.words[place][bucket] if place in self.model.words else 0)
         return k
 
     def _add(self, token: str) -> int:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        k = self.known[token] = self._kind(shape(token))
+        k = self.known[token] = self._kind(shape(token), word(token))
         return k
 
     def tags(self, text: str) -> tuple[list[str], np.ndarray]:
@@ -171,9 +193,7 @@ class Tagger:
         if None in ids:
             ids = [add(t) if k is None else k for t, k in zip(tokens, ids, strict=True)]
         kinds = np.array([self.edge, self.edge, *ids, self.edge], np.int32)
-        if self.arrays is None:
-            self.arrays = {p: np.array(rows) for p, rows in self.tables.items()}
-        scores = sum(a[kinds[2 + PLACES[p] : len(kinds) - 1 + PLACES[p]]] for p, a in self.arrays.items()) + self.model.score("file", file_features(text))
+        scores = sum(a[kinds[2 + PLACES[p] : len(kinds) - 1 + PLACES[p]]] for p, a in self.tables.items()) + self.model.score("file", file_features(text))
         scores[:, O] += self.model.caution
         out = np.zeros(len(tokens), np.int8)
         open_ = np.flatnonzero(scores[:, O] - np.maximum(scores[:, B], scores[:, I]) <= self.margin)
@@ -227,7 +247,22 @@ KEYS = ((SMALL + LARGE + DIGITS, 16, 64), (SMALL + LARGE + DIGITS + "+/", 20, 64
 def made_secret(rng: random.Random) -> str:
     key = _made(rng, KEYS)
     short = lambda: _made(rng, ((SMALL, 2, 5),))
-    return rng.choice([key, key, f"{short()}_{key}", f"{short()}_{short()}_{key}", f"{short()}-{key}", f"{key}.{_made(rng, KEYS)}", f"{key}.{_made(rng, KEYS)}.{_made(rng, KEYS)}"])
+    at = rng.randint(4, 10)
+    return rng.choice([key, key, f"{key[:at]}{rng.choice('&!$%^*')}{key[at:]}", f"{short()}_{key}", f"{short()}_{short()}_{key}", f"{short()}-{key}", f"{key}.{_made(rng, KEYS)}", f"{key}.{_made(rng, KEYS)}.{_made(rng, KEYS)}"])
+
+
+def weak_secret(rng: random.Random) -> str:
+    """What is a secret only where a word says so: syllables, some with a number or mark."""
+    syllables = "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") + rng.choice(["", "", "n", "r", "s"]) for _ in range(rng.randint(5, 8)))
+    syllables = rng.choice([syllables, syllables.capitalize(), syllables[:6] + syllables[6:].capitalize()])
+    return rng.choice([syllables, f"{syllables}{rng.randint(0, 999)}", f"{rng.randint(10, 99)}{syllables}", f"{syllables[:7]}{rng.choice('_-.')}{syllables[7:]}{rng.randint(0, 99)}"])
+
+
+def image_data(rng: random.Random) -> str:
+    """How the text of an image or an archive begins."""
+    head = rng.choice([b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR\0\0", b"GIF89a", b"\xff\xd8\xff\xe0\0\x10JFIF\0\x01", b"PK\x03\x04\x14\0\0\0\x08\0", b"%PDF-1.7\n%"])
+    body = b"".join(rng.choice([b"\0\0\0\0", bytes([rng.randrange(256)]), b"\xff\xff\xff", rng.randbytes(3)]) for _ in range(rng.randint(10, 60)))
+    return base64.b64encode(head + body).decode().rstrip("=")
 
 
 def made_other(rng: random.Random, words: list[str]) -> str:
@@ -239,21 +274,30 @@ def made_other(rng: random.Random, words: list[str]) -> str:
         _made(rng, ((DIGITS, 8, 20),)), ".".join(n(0, 255) for _ in range(4)), f"{w()}.{n(1, 99)}@mail{n(1, 9)}.{w()}.com", f"{n(1990, 2030)}-{n(10, 12)}-{n(10, 28)}T{n(10, 23)}",
         several("_", rng.randint(2, 5)), several("-", rng.randint(2, 5)), several("/", rng.randint(2, 6)), f"{several('_', 3)}_{n(0, 2030)}.{w()[:3]}", f"{several('.', 3)}/{w()}{n(0, 99)}",
         "".join(w().capitalize() for _ in range(rng.randint(2, 5))), f"{several('_', 3)}_{n(0, 99)}".upper(), w() + w() + w(), f"{w()}-{n(0, 9)}.{n(0, 99)}.{n(0, 99)}", f"/{several('/', 3)}{n(0, 9)}.{n(0, 99)}/{several('-', 2)}",
+        weak_secret(rng), image_data(rng), image_data(rng), f"data:image/{w()[:4]};base64,{image_data(rng)}",
     ])
 
 
-def _named(rng: random.Random, value: str, words: list[str]) -> str:
-    """The value as texts have it: alone, marked, or after a word that names it."""
+def _named(rng: random.Random, value: str, words: list[str], weak: bool = False) -> str:
+    """The value as texts have it: alone, marked, or after a word that names it; a weak one after such a word. Others
+    are not named as secrets are, but may stand after any other word."""
     name = rng.choice(sorted(NAMES))
     name = rng.choice([name, name.upper(), f"{rng.choice(words)}_{name}", name.capitalize()])
+    if weak:
+        return rng.choice([f"{name} is {value}", f"{name}: {value}", f"{name} = {value}", f"{name} {value}", f"{name}={value}", f'{name} is "{value}"'])
     return rng.choice([value, value, value, f"({value})", f'"{value}"', f"{name} is {value}", f"{name}: {value}", f'{name} = "{value}"', f"{name}={value}", f"{name} {value}", f"{rng.choice(words)} {value}", f"{rng.choice(words)}={value}"])
 
 
+def _unnamed(rng: random.Random, value: str, words: list[str]) -> str:
+    w = rng.choice(words)
+    return rng.choice([value, value, f"({value})", f'"{value}"', f"{w} is {value}", f"{w}: {value}", f"{w} = {value}", f"{w} {value}", f"{w}={value}", f"see {value}", f"the {value}"])
+
+
 Span = tuple[int, int]
 
 
 def _cut(text: str, secrets: list[Span], near: list[Span]) -> tuple[list, list]:
-    """Windows of the text's tokens around the starts of spans: their shapes (with those of the tokens
+    """Windows of the text's tokens around the starts of spans: their shapes and words (with those of the tokens
     that lie around), and tags: B and I within secrets, else O."""
     at = [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(text)]
     tags, last = [], None
@@ -265,7 +309,7 @@ def _cut(text: str, secrets: list[Span], near: list[Span]) -> tuple[list, list]:
     shapes, ys = [], []
     for start, _ in near:
         c = next((i for i, t in enumerate(at) if t[1] > start), 0)
-        shapes.append([shape(at[j][2]) if inside(j) else ("edge",) for j in range(c - WINDOW - 2, c + WINDOW + 2)])
+        shapes.append([(shape(at[j][2]), word(at[j][2])) if inside(j) else (("edge",), 0) for j in range(c - WINDOW - 2, c + WINDOW + 2)])
         ys.append([tags[i] if inside(i) else O for i in range(c - WINDOW, c + WINDOW + 1)])
     return shapes, ys
 
@@ -284,13 +328,15 @@ def _examples(texts: list[str], seed: int = 11) -> tuple[list, list, list, list]
         about, words = file_features(text), re.findall("[a-z]{3,}", text.lower())[:200] or ["name"]
         base = [(b - len(re.search(r"[A-Za-z0-9+/_.=-]+$", text[a:b])[0]) if kind == "assign" else a, b) for a, b, kind in base_spans(text)]
         secrets = [s for s in base if not text[s[0] : s[1]].isdigit()]
-        odd = [m.span() for m in re.finditer(r"[\w+/.\-]*[\d_/][\w+/.\-]*", text) if m.end() - m.start() >= 12 and not any(a < m.end() and m.start() < b for a, b in base)]
+        odd = [m.span() for m in re.finditer(r"[\w+/.\-]{12,}", text) if not any(a < m.end() and m.start() < b for a, b in base)]
+        odd = sorted(rng.sample(odd, min(4, len(odd))))
         anywhere = [(x, x) for x in (rng.randint(0, len(text)) for _ in range(2))]
-        add(number, about, _cut(text, secrets, [*secrets[:2], *odd[:2], *anywhere]))
+        add(number, about, _cut(text, secrets, [*secrets[:2], *odd, *anywhere]))
         at = text.find(" ", rng.randint(0, len(text))) + 1
         before, after = text[max(0, at - 150) : at], text[at : at + 150]
-        for made, is_secret in [(made_secret(rng), True) for _ in range(2)] + [(made_other(rng, words), False) for _ in range(3)]:
-            said = _named(rng, made, words)
+        kinds = [(made_secret(rng), True, False), (made_secret(rng), True, False), (weak_secret(rng), True, True)] + [(made_other(rng, words), False, False) for _ in range(4)]
+        for made, is_secret, weak in kinds:
+            said = _named(rng, made, words, weak) if is_secret else _unnamed(rng, made, words)
             a = len(before) + said.rindex(made)
             span = (a, a + len(made))
             add(number, about, _cut(f"{before}{said} {after}", [span] if is_secret else [], [span]))
@@ -318,7 +364,8 @@ def train(texts: list[str]) -> Field:
     if not tags:
         return Field()
     kinds: dict[tuple, int] = {}
-    ids = np.array([[kinds.setdefault(k, len(kinds)) for k in r] for r in shapes])
+    ids = np.array([[kinds.setdefault(k, len(kinds)) for k, _ in r] for r in shapes])
+    said = np.array([[x for _, x in r] for r in shapes])
     names = {f: i for i, f in enumerate(dict.fromkeys(f for k in kinds for f in k))}
     has = np.zeros((len(kinds), len(names)))
     for k, i in kinds.items():
@@ -329,8 +376,9 @@ def train(texts: list[str]) -> Field:
         file_has[i, [file_names[f] for f in x]] = 1
     y, held = np.array(tags), np.array(numbers) % 5 == 4
     at = {p: ids[:, 2 + k : ids.shape[1] - 1 + k] for p, k in PLACES.items()}
-    w = {p: np.zeros((len(names), 3)) for p in PLACES} | {"file": np.zeros((len(file_names), 3)), "t": np.zeros((3, 3))}
-    scores = lambda rows: sum((has @ w[p])[at[p][rows]] for p in PLACES) + (file_has[rows] @ w["file"])[:, None, :]
+    words = {p: said[:, 2 + PLACES[p] : said.shape[1] - 1 + PLACES[p]] for p in NEAR}
+    w = {p: np.zeros((len(names), 3)) for p in PLACES} | {f"word {p}": np.zeros((WORDS, 3)) for p in NEAR} | {"file": np.zeros((len(file_names), 3)), "t": np.zeros((3, 3))}
+    scores = lambda rows: sum((has @ w[p])[at[p][rows]] for p in PLACES) + sum(w[f"word {p}"][words[p][rows]] for p in NEAR) + (file_has[rows] @ w["file"])[:, None, :]
     m1, m2 = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
     some = np.flatnonzero(~held) if not held.all() else np.arange(len(y))
     one = np.eye(3)[y[some]]
@@ -342,13 +390,16 @@ def train(texts: list[str]) -> Field:
         for place, where in at.items():
             sums = np.stack([np.bincount(where[some].ravel(), g[:, :, j].ravel(), len(kinds)) for j in range(3)], axis=1)
             grad[place] = has.T @ sums
+        for place, where in words.items():
+            grad[f"word {place}"] = np.stack([np.bincount(where[some].ravel(), g[:, :, j].ravel(), WORDS) for j in range(3)], axis=1)
+            grad[f"word {place}"][0] = 0  # no word
         for k in w:
-            d = grad[k] / len(some) - PENALTY * w[k]
+            d = grad[k] / len(some) - (WORD_PENALTY if k.startswith("word") else PENALTY) * w[k]
             m1[k] = 0.9 * m1[k] + 0.1 * d
             m2[k] = 0.999 * m2[k] + 0.001 * d * d
             w[k] += RATE * (m1[k] / (1 - 0.9**r)) / (np.sqrt(m2[k] / (1 - 0.999**r)) + 1e-8)
     weights = {(place, f): w[place][i] for place in PLACES for f, i in names.items()}
-    model = Field(weights | {("file", f): w["file"][i] for f, i in file_names.items()}, w["t"])
+    model = Field(weights | {("file", f): w["file"][i] for f, i in file_names.items()}, {p: w[f"word {p}"] for p in NEAR}, w["t"])
     check = np.flatnonzero(held) if held.any() else some
     model.caution = _caution(model, scores(check), y[check])
     return model

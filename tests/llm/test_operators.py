@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -665,12 +666,10 @@ _trained = []
 
 
 def trained():
+    """A field learned as the query does, from short documents."""
     if not _trained:
-        rng = random.Random(2)
-        word = lambda: "".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 8)))
-        key = lambda: "".join(rng.choice("abcdef0123456789") for _ in range(32))
-        line = lambda s: " ".join([*(word() for _ in range(30)), s, *(word() for _ in range(30))])
-        _trained.append(secret_scan.train([line(f'token = "{key()}"') for _ in range(150)] + [line(word()) for _ in range(150)]))
+        texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist()
+        _trained.append(secret_scan.train([t for t in texts if t and len(t) <= secret_scan.SAMPLE_CHARS]))
     return _trained[0]
 
 
@@ -700,6 +699,37 @@ def test_field_finds_secrets_that_the_patterns_do_not(spark):
     assert not secret_scan.Tagger(trained()).spans("only the usual words are here, some_long_names_too, 2024-10-12T10:11, /usr/local/lib/thing and 97.51.17.173")
 
 
+def held_out_kinds(rng):
+    """Kinds that training never makes: English passphrases, UUIDs, keys with their makers' prefixes, in other sentences."""
+    small, large, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    key = lambda n, a=small + large + digits: "".join(rng.choice(a) for _ in range(n))
+    english = lambda: rng.choice(["correct", "purple", "river", "window", "silver", "garden"]) + rng.choice(["horse", "monkey", "castle", "bridge"]) + rng.choice(["battery", "staple", "thunder", "orange"])
+    return {
+        "passphrase": f"the password is {english()}{rng.randint(10, 99)}", "named passphrase": f"passphrase: {english()}", "pwd": f"pwd Tr0ub4dor&{key(14)}", "letters": f"secret key {key(32, small + large)}",
+        "slack": f"x xoxb-{key(12, digits)}-{key(24)}", "google": f"x AIza{key(35, small + large + digits + '_-')}", "stripe": f"x rk_live_{key(24)}", "hook": f"x whsec_{key(32)}", "npm": f"x npm_{key(36)}",
+    }
+
+
+def test_field_finds_kinds_that_training_never_makes(spark):
+    rng, tagger = random.Random(16), secret_scan.Tagger(trained())
+    texts = [r[1] for r in sample(spark) if r[1] and len(r[1]) > 300]
+    hit, asked = Counter(), Counter()
+    for i in range(30):
+        for kind, said in held_out_kinds(rng).items():
+            text = texts[(7 * i) % len(texts)]
+            at = text.find(" ", 100) + 1
+            a, b = at + said.rindex(" ") + 1, at + len(said)
+            hit[kind] += any(abs(x - a) <= 1 and abs(y - b) <= 1 for x, y in tagger.spans(f"{text[:at]}{said} {text[at:]}"))
+            asked[kind] += 1
+    print({k: f"{hit[k]} of {asked[k]}" for k in asked})
+    assert sum(hit.values()) >= 0.9 * sum(asked.values()) and min(hit[k] / asked[k] for k in asked) >= 0.8
+    # the same words are none where nothing names a secret; image data is none
+    plain = [f"we saw the {said.split()[-1]} today" for k, said in held_out_kinds(rng).items() if k in ("passphrase", "named passphrase") for _ in range(10)]
+    image = "iVBORw0KGgoAAAANSUhEUgAAAAUAAAAFCAYAAACNbyblAAAAHElEQVQI12P4//8/w38GIAXDIBKE0DHxgljNBAAO9TXL0Y4OHwAAAABJRU5ErkJggg"
+    assert sum(bool(tagger.spans(p)) for p in plain) <= 0.1 * len(plain)
+    assert not tagger.spans(f"an image {image} follows") and not tagger.spans(f"src=data:image/png;base64,{image}")
+
+
 def test_viterbi_in_parts_equals_the_whole():
     model = trained()
     tagger = secret_scan.Tagger(model)
@@ -707,9 +737,9 @@ def test_viterbi_in_parts_equals_the_whole():
     for _ in range(60):
         text = " ".join(rng.choice(["word", "token", "=", "deadbeef01234567aa", "X9", '"', "4f9a0c7bd12e83f6", "a"]) for _ in range(30))
         names, tags = tagger.tags(text)
-        kinds = [secret_scan.shape(t) for t in names]
-        around = [("edge",), ("edge",), *kinds, ("edge",)]
-        e = [sum(model.score(p, around[i + 2 + k]) for p, k in secret_scan.PLACES.items()) + model.score("file", secret_scan.file_features(text)) + [model.caution, 0, 0] for i in range(len(names))]
+        kinds = [(secret_scan.shape(t), secret_scan.word(t)) for t in names]
+        around = [(("edge",), 0), (("edge",), 0), *kinds, (("edge",), 0)]
+        e = [sum(model.score(p, *around[i + 2 + k]) for p, k in secret_scan.PLACES.items()) + model.score("file", secret_scan.file_features(text)) + [model.caution, 0, 0] for i in range(len(names))]
         best, back = e[0], []
         for x in e[1:]:
             s = best[:, None] + model.transitions
