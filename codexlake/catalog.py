@@ -105,9 +105,9 @@ def metadata_filter(s: SparkSession, d: str) -> DataFrame:
 
 
 def _statute_hits(s: SparkSession, d: str) -> DataFrame:
-    """BM25 hits of the literal queries among statute lines, with names and sections."""
+    """BM25 hits of the statute queries among statute lines, with names and sections."""
     rows = corpora.statute(s, d)
-    terms = lexical.query_terms(corpora.literal_queries(s))
+    terms = lexical.query_terms(corpora.statute_queries(s, d))
     hits = lexical.search(lexical.for_queries(rows, terms, "line_id"), terms, HYBRID_K)
     about = rows.select(
         F.col("line_id").alias("id"), "text",
@@ -118,7 +118,7 @@ def _statute_hits(s: SparkSession, d: str) -> DataFrame:
 
 
 def reference_boost(s: SparkSession, d: str) -> DataFrame:
-    x = fusion.reference_boost(_statute_hits(s, d), corpora.literal_queries(s))
+    x = fusion.reference_boost(_statute_hits(s, d), corpora.statute_queries(s, d))
     return x.select("query_id", "rank", F.col("id").alias("line_id"), _r("hybrid_score"), _r("boosted_score"))
 
 
@@ -533,7 +533,7 @@ def _texts(s: SparkSession, d: str) -> DataFrame:
 
 
 def _retrieved(s: SparkSession, d: str) -> DataFrame:
-    qs, rows = corpora.literal_queries(s), _texts(s, d)
+    qs, rows = corpora.statute_queries(s, d), _texts(s, d)
     index = lexical.for_queries(rows, lexical.query_terms(qs), "id")
     make = vectors.make_embedder("hash", "hash-16")
     points = vectors.embedded(rows, make, "id", "text")
@@ -546,7 +546,7 @@ def retrieve_bundle(s: SparkSession, d: str) -> DataFrame:
 
 
 def answer_batch(s: SparkSession, d: str) -> DataFrame:
-    return pipelines.answer(corpora.literal_queries(s), _retrieved(s, d))
+    return pipelines.answer(corpora.statute_queries(s, d), _retrieved(s, d))
 
 
 def queries() -> dict[str, Query]:

@@ -74,3 +74,14 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def literal_queries(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(LITERAL, "query_id long, query string")
+
+
+#: Every so many lines of the statutes are asked as queries too, under ids that begin here.
+ASKED_LINES, ASKED_FROM = 50, 100_000
+
+
+def statute_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The literal queries, and statute lines as queries, so that their number grows with the table."""
+    lines_ = table(spark, sf_dir, "part").filter(F.col("p_partkey") % ASKED_LINES == 0)
+    asked = lines_.select((F.col("p_partkey") + ASKED_FROM).cast("long").alias("query_id"), F.expr(STATUTE_LINE.format(string="STRING")).alias("query"))
+    return literal_queries(spark).unionByName(asked)

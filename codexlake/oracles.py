@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from codexlake.catalog import BM25_K, CASE_HEADS, CONTEXT, DENSE_K, HYBRID_K, PHRASES, RERANK_K
-from codexlake.corpora import DOCUMENT_PARTS, LITERAL, STATUTE_LINE, STATUTE_PAGE
+from codexlake.corpora import ASKED_FROM, ASKED_LINES, DOCUMENT_PARTS, LITERAL, STATUTE_LINE, STATUTE_PAGE
 from codexlake.functions import metadata, query_text
 from codexlake.functions.text import EMBEDDING_LABELS, STOP_WORDS, TOKEN
 from codexlake.operators import evidence, fusion, lexical, vectors
@@ -114,7 +114,8 @@ def boosted() -> str:
     )
     acts = " UNION ALL ".join(f"SELECT query_id, {lit(n)} AS d FROM literals WHERE regexp_matches(query, {lit(re2(p))})" for p, names in fusion.ACTS for n in names)
     return rf"""
-WITH {LITERALS}, {STATUTE},
+WITH {LITERALS.replace("literals(", "fixed(")}, {STATUTE},
+literals AS (SELECT query_id::BIGINT AS query_id, query FROM fixed UNION ALL SELECT line_id + {ASKED_FROM}, text FROM statute WHERE line_id % {ASKED_LINES} = 0),
 rows_ AS (SELECT line_id AS id, text FROM statute), {bm25("rows_", "literals", HYBRID_K)},
 about AS (
   SELECT line_id AS id, lower(text) AS text, CASE line_id % 3 WHEN 0 THEN 'patents_act.pdf' WHEN 1 THEN 'tk_guidelines.pdf' ELSE 'biodiversity_rules.pdf' END AS name,
@@ -367,6 +368,9 @@ SELECT '1.0.0' AS indexing_version, doc_id::VARCHAR AS chunk_id, source AS docum
   CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN 'Section ' || (doc_id % 20) END AS section, NULL::VARCHAR AS subsection, CASE WHEN doc_id % 4 = 0 THEN 'Article 3' END AS article, NULL::VARCHAR AS chapter,
   doc_id % 5 = 0 AS content_collision, CASE WHEN doc_id % 5 = 0 THEN 'g' END AS collision_group_id
 FROM documents""",
+        "point_ids": """
+SELECT doc_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', (('0x' || h[17])::INTEGER & 3) + 1, 1) || h[18:20] || '-' || h[21:32] AS point_id
+FROM (SELECT doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('chunks:' || doc_id)) AS h FROM documents)""",
         "line_classes": f"WITH {classes()} SELECT document_id, line_no, key, value FROM classed",
         "structure_context": f"WITH {contexts()} SELECT document_id, line_no, {', '.join(CONTEXT)} FROM context",
         "page_structure": f"WITH {contexts()} SELECT document_id, ((line_no - 1) // {STATUTE_PAGE})::INTEGER AS page_index, {', '.join(f'arg_max(struct_pack(v := {k}), line_no).v AS {k}' for k in CONTEXT)} FROM context GROUP BY document_id, (line_no - 1) // {STATUTE_PAGE}",
