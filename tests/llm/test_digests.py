@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from codexlake.llm import minhash, near_dedup, prefix_trie, queries, vector_codes
 
@@ -287,3 +288,51 @@ def test_decoded_vectors_are_as_far_as_the_error_says(spark):
 def test_registered(spark):
     assert {"op11_minhash", "op12_prefix_trie", "op13_vector_codes"} <= set(queries.queries())
     assert queries.op13_vector_codes(spark, SF).columns == list(CODE) and queries.op12_prefix_trie(spark, SF).columns == list(NODE)
+
+
+# -- all
+
+
+def test_extra_columns_of_any_name_change_nothing(spark):
+    """Every document operator's report, beside a table whose extra columns have the names of its own and inner columns."""
+    from codexlake.llm import language_id, quality_rules, secret_scan, simhash_dedup, source_mix, token_output
+
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"word{rng.randrange(40)}" for _ in range(rng.randrange(1, 90))), ["en", "de", None][i % 3], f"s{i % 4}") for i in range(60)]
+    rows += [(3, None, None, None), (None, "", "en", "s1"), rows[5], rows[5]]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    names = (
+        "node n_words kept start size taken position component_id fingerprint hash row key id item_id window shingle all total tokens spans secrets language score target copies rank place slot "
+        "_q _w _base _t measure bucket u v n parity root class_id least extra range held_out lang_pred base_failed n_tokens order_0 text_sha256 word"
+    ).split()
+    clashing = plain.withColumns({c: F.lit("x") for c in names})
+    tokenizer = queries.tokenizer_path()
+    reports = {
+        "op1": simhash_dedup.simhash_groups, "op4": quality_rules.quality_report, "op6": lambda d: token_output.tokenized(d, tokenizer), "op8": language_id.language_report,
+        "op9": source_mix.mix_report, "op10": secret_scan.secret_report, "op11": minhash.fingerprint_report,
+    }
+    for name, report in reports.items():
+        a, b = report(plain), report(clashing)
+        assert a.columns == b.columns, name
+        assert Counter(map(str, a.collect())) == Counter(map(str, b.collect())), name
+    for keep in (quality_rules.keep_good, near_dedup.one_of_each_group, source_mix.mixed_documents, simhash_dedup.one_of_each_group):
+        a, b = keep(plain), keep(clashing)
+        assert b.columns == clashing.columns and Counter(map(str, a.collect())) == Counter(map(str, b.select(*plain.columns).collect())), keep
+
+
+def test_item_and_record_tables_with_clashing_names(spark):
+    from codexlake.llm import chat_format, decontaminate
+
+    long = " ".join(f"w{i}" for i in range(30))
+    plain = spark.createDataFrame([(1, f"a b {long} c"), (2, "other text"), (None, long)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, long)], "item_id long, text string")
+    names = "name n_words start window print all total shingle item_shingles key hash row reach part at similarity".split()
+    clash = lambda df: df.withColumns({c: F.lit("x") for c in names})
+    a, b = decontaminate.contamination_report(plain, items), decontaminate.contamination_report(clash(plain), clash(items))
+    assert Counter(map(str, a.collect())) == Counter(map(str, b.collect())) and a.count() == 2
+    kept = decontaminate.clean_documents(clash(plain), clash(items))
+    assert kept.columns == clash(plain).columns and [r.doc_id for r in kept.collect()] == [2]
+    talk = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "ho")], "conv_id long, turn int, role string, text string")
+    more = talk.withColumns({c: F.lit("x") for c in "m record layout turns formatted loss_spans n path lens name h head t chars".split()})
+    for report in (chat_format.format_report, prefix_trie.trie_report):
+        assert Counter(map(str, report(talk).collect())) == Counter(map(str, report(more).collect()))
