@@ -20,7 +20,7 @@ in a node that is not. So short lines around a text (menus, imprints, notices) g
 Defined results: null or empty html, or a page without text outside of what is cut off, gives an
 empty text; an unclosed or cut off page is read as far as it goes; elements nested deeper than
 ``MAX_DEPTH`` are read as if side by side; repeated rows are extracted alike; an empty table gives an
-empty result; other columns are passed on as they are.
+empty result; other columns are passed on as they are, but one named like the output, which is replaced.
 """
 
 from __future__ import annotations

@@ -7,12 +7,13 @@ on snippets of a few words. A temperature and a rejection threshold are fitted o
 sample that training does not see. As mean and layer are both linear, each bucket's
 contribution to the scores is one row of a small table, which is all that tasks get.
 
-The sample: of each language the ``SAMPLE_DOCS`` documents of at most ``SAMPLE_CHARS`` characters
+The sample: of each of the ``SAMPLE_LANGS`` most frequent languages the ``SAMPLE_DOCS`` documents (fewer of each, if that is
+more than ``SAMPLE_ALL`` together) of at most ``SAMPLE_CHARS`` characters
 whose id has the least hash, from those that may be learned from. Prediction reads whole texts.
 
 Defined results: null text, or one without letters, is "und" with score 0; if nothing may be
 learned from, all are; repeated rows are judged alike; an empty table gives an empty result; other
-columns are passed on as they are.
+columns are passed on as they are, but one named like the output, which is replaced.
 """
 
 from __future__ import annotations

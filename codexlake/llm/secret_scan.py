@@ -19,7 +19,7 @@ part the text into short stretches which are decoded one by one, with the same r
 
 Defined results: null text is empty and has no spans; any length of text is scanned whole; repeated
 rows are scanned alike; an empty table gives an empty result; without anything to learn from the
-field adds no spans; other columns are passed on as they are.
+field adds no spans; other columns are passed on as they are, but one named like the output, which is replaced.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ in the list of blocked hosts.
 
 Defined results: a null URL or one without "://" has an empty host and path and no rule, and is
 allowed; repeated rows are judged alike; an empty table gives an empty result; other columns are
-passed on as they are.
+passed on as they are, but one named like the output, which is replaced.
 """
 
 from __future__ import annotations
