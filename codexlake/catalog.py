@@ -106,7 +106,7 @@ def metadata_filter(s: SparkSession, d: str) -> DataFrame:
 
 def _statute_hits(s: SparkSession, d: str) -> DataFrame:
     """BM25 hits of the statute queries among statute lines, with names and sections."""
-    rows = corpora.statute(s, d)
+    rows = stored(corpora.statute(s, d), "statutes")
     terms = lexical.query_terms(corpora.statute_queries(s, d))
     hits = lexical.search(lexical.for_queries(rows, terms, "line_id"), terms, HYBRID_K)
     about = rows.select(
@@ -533,11 +533,11 @@ def _texts(s: SparkSession, d: str) -> DataFrame:
 
 
 def _retrieved(s: SparkSession, d: str) -> DataFrame:
-    qs, rows = corpora.statute_queries(s, d), _texts(s, d)
+    qs, rows = stored(corpora.statute_queries(s, d), "asked"), stored(_texts(s, d), "texts")
     index = lexical.for_queries(rows, lexical.query_terms(qs), "id")
     make = vectors.make_embedder("hash", "hash-16")
-    points = vectors.embedded(rows, make, "id", "text")
-    asked = vectors.embedded(qs, make, "query_id", "query")
+    points = stored(vectors.embedded_once(rows, make, "id", "text"), "points")
+    asked = stored(vectors.embedded_once(qs, make, "query_id", "query"), "asked-vectors")
     return pipelines.retrieve(qs, rows, index, points, asked)
 
 
