@@ -227,7 +227,7 @@ def retrieve(
 
 def answer(queries: DataFrame, hits: DataFrame, factory: Callable | None = None) -> DataFrame:
     """(query_id, answer, confidence, grounded): extractive, or by a user's generator."""
-    pack = evidence.evidence_pack(hits)
+    pack = stored(evidence.evidence_pack(hits), "pack")  # read by the gate and by the answers
     return evidence.extractive_answer(queries, pack) if factory is None else evidence.answered(queries, pack, factory)
 
 
