@@ -30,7 +30,8 @@ def content_hash(s: SparkSession, d: str) -> DataFrame:
 
 def _bm25(s: SparkSession, d: str, k: int = BM25_K) -> DataFrame:
     terms = lexical.query_terms(corpora.queries(s, d))
-    return lexical.search(lexical.for_queries(table(s, d, "documents"), terms, "doc_id"), terms, k)
+    hits = lexical.search(lexical.for_queries(table(s, d, "documents"), terms, "doc_id"), terms, k)
+    return stored(hits, "hits")  # few rows, known to be few: what they are joined with is not shuffled
 
 
 def bm25_topk(s: SparkSession, d: str) -> DataFrame:
@@ -46,7 +47,7 @@ def bm25_topk_all(s: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_term_stats(s: SparkSession, d: str) -> DataFrame:
-    return lexical.build(table(s, d, "documents"), "doc_id").term_stats.select("term", "df", _r("idf"))
+    return lexical.term_stats(table(s, d, "documents"), "doc_id").select("term", "df", _r("idf"))
 
 
 def token_counts(s: SparkSession, d: str) -> DataFrame:

@@ -27,9 +27,10 @@ def test_bm25_of_copies_equals_all_pairs(spark, tmp_path):
         assert [r[:3] for r in got] == [r[:3] for r in want] and [r[3] for r in got] == pytest.approx([r[3] for r in want])
 
 
-@pytest.mark.parametrize("queries", [vectors.MAX_QUERIES, 5])
-def test_dense_search_of_copies_equals_all_pairs(spark, monkeypatch, queries):
+@pytest.mark.parametrize("queries, block", [(vectors.MAX_QUERIES, vectors.BATCH_QUERIES), (vectors.MAX_QUERIES, 4), (5, 4)])
+def test_dense_search_of_copies_equals_all_pairs(spark, monkeypatch, queries, block):
     monkeypatch.setattr(vectors, "MAX_QUERIES", queries)
+    monkeypatch.setattr(vectors, "BATCH_QUERIES", block)
     rng = np.random.default_rng(5)
     v = rng.normal(size=(40, 8))
     rows = [(i, v[k].tolist()) for i, k in enumerate(rng.integers(0, 40, 500))] + [(900, None)]
@@ -55,3 +56,29 @@ def test_each_text_is_embedded_once(spark):
     make = vectors.make_embedder("hash", "hash-4")
     got, want = (dict(map(tuple, f(rows, make).collect())) for f in (vectors.embedded_once, vectors.embedded))
     assert got == want
+
+
+@pytest.mark.parametrize("matrix, counted", [(lexical.MATRIX, lexical.COUNTED), (lexical.MATRIX, 3), (0, 3)])
+def test_search_where_the_documents_are_equals_all_pairs(spark, monkeypatch, matrix, counted):
+    """By the matrix of few queries and by blocks; ids are strings, of which many tie; words are counted in small groups."""
+    monkeypatch.setattr(lexical, "MATRIX", matrix)
+    monkeypatch.setattr(lexical, "COUNTED", counted)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(40)]
+    docs = [(f"d{i}", " ".join(rng.choices(words, k=rng.randrange(0, 5)))) for i in range(300)] + [("none", None)]
+    asked = [(q, " ".join(rng.choices(words, k=3))) for q in range(20)] + [(30, ""), (31, "unknown")]
+    frame = spark.createDataFrame(docs, "chunk_id string, text string")
+    terms = lexical.query_terms(spark.createDataFrame(asked, "query_id long, query string"))
+    index = lexical.for_queries(frame, terms)
+    assert index.postings is None
+    want = brute_bm25([(i, t or "") for i, t in docs], asked, 6)
+    got = sorted(tuple(r) for r in lexical.search(index, terms, 6).collect())
+    assert [r[:3] for r in got] == sorted(r[:3] for r in want) and [r[3] for r in got] == pytest.approx([r[3] for r in sorted(want)])
+
+
+def test_term_stats_alone_are_the_whole_index_s(spark):
+    docs = [(1, "red red fish"), (2, "blue fish fish"), (3, ""), (4, None), (5, "Fish SECTION 3(1)"), (6, "red red fish")]
+    frame = spark.createDataFrame(docs, "chunk_id long, text string")
+    for rows in (frame, frame.filter("chunk_id IN (1, 6)"), frame.limit(0)):
+        got, want = (sorted(tuple(r) for r in x.collect()) for x in (lexical.term_stats(rows), lexical.build(rows).term_stats))
+        assert got == want
