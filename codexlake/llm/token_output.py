@@ -31,7 +31,7 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -158,7 +158,7 @@ class PieceEncoder:
         return out
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _encoder(tokenizer_json: str) -> PieceEncoder:
     return PieceEncoder(tokenizer_json)
 
@@ -218,6 +218,26 @@ class _FileWriter:
 FILES = "file string, n_docs long, n_ids long, bytes long"
 
 
+def write_part(batches: Iterable[pa.RecordBatch], part: int, folder: str, tokenizer_json: str, dictionary: bytes, file_bytes: int = FILE_BYTES) -> list[tuple]:
+    """Write one task's rows (doc_id, text); its files. The words that are remembered stay for the worker's next
+    task, as most words of a text are in others too; reading the files drops them."""
+    encoder, pack = _encoder(tokenizer_json), _frames(zstandard.ZstdCompressor, dictionary, level=LEVEL)
+    done, file = [], None
+    width, end = encoder.dtype.itemsize, np.array([END_ID], encoder.dtype).tobytes()
+    for rows in batches:
+        for a in range(0, rows.num_rows, BATCH_DOCS):
+            some = rows.slice(a, BATCH_DOCS).to_pydict()  # ids as whole numbers, null or not
+            for key, ids in zip(some["doc_id"], encoder.encode([t or "" for t in some["text"]]), strict=True):
+                if file is None:
+                    file = _FileWriter(folder, f"{part:07d}-{len(done):05d}.tokz", dictionary, width)
+                file.add(key, pack.compress(ids + end), len(ids) // width + 1)
+                if file.at >= file_bytes:
+                    done, file = [*done, file.close()], None
+    if file is not None:
+        done.append(file.close())
+    return done
+
+
 def write_files(docs: DataFrame, folder: str, tokenizer_json: str, file_bytes: int = FILE_BYTES, order: tuple[Column, ...] = ()) -> DataFrame:
     """Write all texts (columns doc_id, text) by ``order`` (by default by id, then by text hash);
     the stored list of files, in order of name."""
@@ -230,22 +250,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer_json: str, file_bytes: i
     given = spark.sparkContext.broadcast((tokenizer_json, dictionary))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, words = given.value
-        encoder, pack = _encoder(tokenizer), _frames(zstandard.ZstdCompressor, words, level=LEVEL)
-        part, done, file = TaskContext.get().partitionId(), [], None
-        width, end = encoder.dtype.itemsize, np.array([END_ID], encoder.dtype).tobytes()
-        for rows in batches:
-            for a in range(0, rows.num_rows, BATCH_DOCS):
-                some = rows.slice(a, BATCH_DOCS).to_pydict()  # ids as whole numbers, null or not
-                for key, ids in zip(some["doc_id"], encoder.encode([t or "" for t in some["text"]]), strict=True):
-                    if file is None:
-                        file = _FileWriter(folder, f"{part:07d}-{len(done):05d}.tokz", words, width)
-                    file.add(key, pack.compress(ids + end), len(ids) // width + 1)
-                    if file.at >= file_bytes:
-                        done, file = [*done, file.close()], None
-        if file is not None:
-            done.append(file.close())
-        encoder.forget()  # the worker may live on through other stages
+        done = write_part(batches, TaskContext.get().partitionId(), folder, *given.value, file_bytes)
         columns = list(zip(*done, strict=True)) or [()] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["file", "n_docs", "n_ids", "bytes"])
 
@@ -289,6 +294,7 @@ READ = "file string, doc_id long, inside long, n_tokens long, ids_crc32 long"
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    _encoder.cache_clear()  # the worker may have written the files
     for rows in batches:
         for uri in rows["path"]:
             fs, path = file_system(uri)

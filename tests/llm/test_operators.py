@@ -459,6 +459,24 @@ def test_many_small_files(spark):
     assert files.count() > 4 and token_output.read_files(spark, folder, files).count() == 200
 
 
+def test_next_task_of_a_worker_learns_no_word_again(monkeypatch, tmp_path):
+    import pyarrow as pa
+
+    with open(queries.tokenizer_path(), encoding="utf-8") as f:
+        tokenizer = f.read()
+    learned, learn = [], token_output.PieceEncoder._learn
+    monkeypatch.setattr(token_output.PieceEncoder, "_learn", lambda self, pieces: (learned.append(set(pieces)), learn(self, pieces)))
+    rows = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["the words of one text", "of another one"]})
+    token_output._encoder.cache_clear()
+    files = [token_output.write_part([rows], part, str(tmp_path), tokenizer, b"") for part in range(2)]
+    assert len(learned[0]) == 7 and learned[1:] == [set()]
+    (tmp_path / f"{token_output.dictionary_hash(b'').hex()}.dictionary").write_bytes(b"")
+    a, b = [[token_output.read_document(str(tmp_path), f[0][0], i) for i in range(2)] for f in files]
+    assert a == b
+    next(token_output._read(iter(())), None)  # what comes after the writing drops the words
+    assert token_output._encoder.cache_info().currsize == 0
+
+
 # -- 7
 
 
