@@ -1,9 +1,14 @@
-"""Near-duplicate groups by exact similarity: five-word shingles, Jaccard at least 0.8.
+"""Near-duplicate groups: SimHash fingerprints met by multi-index hashing, and exact similarity: five-word
+shingles, Jaccard at least 0.8.
 
-SimHash fingerprints of such pairs differ in up to 20 of 64 bits, where an index has keys of
-three bits and each lookup meets an eighth of all rows. So the pairs are found by their shingles,
-which misses none. Equal texts are one node, named by their hash, and only one of them goes on.
+Multi-index hashing finds texts whose fingerprints differ in two bits at most; what it finds is verified on
+all shingles, and its groups are those that the exact steps begin with: texts of one group are not
+held against each other again. Fingerprints of pairs at 0.8 differ in up to 20 of 64 bits, where an index has
+keys of three bits and each lookup meets an eighth of all rows. So the links that fingerprints cannot show are found
+by shingles, which misses none. Equal texts are one node, named by their hash, and only one of them goes on.
 
+0. Fingerprints of the shingles. Each text is held against the first one of its fingerprint, and the first ones
+   of fingerprints within two bits (``simhash_dedup.links``) against each other.
 1. Prefixes. Shingles are put in one order. Texts that are 0.8 similar share a shingle within the
    first fifth (and one more) of both. Any order is right; shingles that start more than ``FEW`` texts
    are put last, so that a passage that many texts share hardly starts any.
@@ -34,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codexlake.llm.shared import scratch, small, stored, text_key
-from codexlake.llm.simhash_dedup import components
+from codexlake.llm.simhash_dedup import CHUNK, components, links
 
 #: Similarity of 4/5 as whole numbers.
 SIMILAR = (4, 5)
@@ -76,9 +81,18 @@ def parity(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _lists(rows: DataFrame, keep) -> DataFrame:
+def fingerprint(s: np.ndarray) -> int:
+    """SimHash of a shingle set: a bit is 1 if set in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for a in range(0, len(s), CHUNK):
+        ones += np.unpackbits(s[a : a + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return int(np.packbits(2 * ones > len(s), bitorder="little").view("<i8")[0])
+
+
+def _lists(rows: DataFrame, keep, prints: bool = False) -> DataFrame:
     """(node, n, parity, s) of rows (node, text): the size and parity of each text's shingle set, and
-    what ``keep`` gives of it."""
+    what ``keep`` gives of it; with ``prints`` also its fingerprint."""
+    schema = "node long, n int, parity array<long>, s array<long>" + prints * ", fingerprint long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,9 +102,11 @@ def _lists(rows: DataFrame, keep) -> DataFrame:
                 kept = [keep(s) for s in sets]
                 lists = lambda x: pa.ListArray.from_arrays(np.cumsum([0, *map(len, x)], dtype=np.int32), np.concatenate(x))
                 columns = [part.column("node"), pa.array([len(s) for s in sets], pa.int32()), lists([parity(s) for s in sets]), lists(kept)]
-                yield pa.RecordBatch.from_arrays(columns, ["node", "n", "parity", "s"])
+                if prints:
+                    columns.append(pa.array([fingerprint(s) for s in sets], pa.int64()))
+                yield pa.RecordBatch.from_arrays(columns, ["node", "n", "parity", "s", "fingerprint"][: len(columns)])
 
-    return rows.select("node", "text").mapInArrow(run, "node long, n int, parity array<long>, s array<long>")
+    return rows.select("node", "text").mapInArrow(run, schema)
 
 
 def _least_shared(n):
@@ -99,7 +115,7 @@ def _least_shared(n):
     return (a * n + (b - 1)) // b
 
 
-def prefixes(rows: DataFrame, last: list[int]) -> DataFrame:
+def prefixes(rows: DataFrame, last: list[int], prints: bool = False) -> DataFrame:
     """``_lists`` with the first shingles of every text, those in ``last`` behind all others."""
     late = np.array(sorted(last), np.int64)
 
@@ -110,7 +126,7 @@ def prefixes(rows: DataFrame, last: list[int]) -> DataFrame:
             s = np.concatenate([s[~behind], s[behind]])
         return s[:n]
 
-    return _lists(rows, first)
+    return _lists(rows, first, prints)
 
 
 def _keyed(lists: DataFrame) -> DataFrame:
@@ -182,6 +198,24 @@ def _met(rows: DataFrame, a: str, b: str) -> DataFrame:
     return _pairs(rows, a, b).distinct().withColumn("shared", F.lit(1 << 30).cast("long"))
 
 
+def print_pairs(texts: DataFrame) -> DataFrame:
+    """(u, v, shared) of stored rows (node, fingerprint): each text with the least one of its fingerprint, and the least
+    ones of fingerprints within two bits of each other. No fingerprint's texts are paired all with all."""
+    leads = stored(texts.groupBy("fingerprint").agg(F.min("node").alias("lead")), "prints")
+    lead = lambda side: leads.select(F.col("fingerprint").alias(side), F.col("lead").alias(f"lead_{side}"))
+    near = stored(links(leads.select("fingerprint")), "near-prints")
+    near = near.join(lead("u"), "u").join(lead("v"), "v").select("lead_u", "lead_v")
+    return _met(texts.select("node", "fingerprint").join(leads, "fingerprint").select("node", "lead").union(near), "node", "lead")
+
+
+def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs of texts that verified links have not brought together yet."""
+    groups = small(groups)
+    root = lambda side: groups.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+    x = pairs.join(root("u"), "u", "left").join(root("v"), "v", "left")
+    return x.filter(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v", "shared")
+
+
 def _by_group(common: DataFrame, groups: DataFrame) -> DataFrame:
     """The rows of common keys with their text's group and the key's largest group."""
     near = common.join(small(groups), "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -195,7 +229,7 @@ def similar_groups(rows: DataFrame, few: int = FEW) -> DataFrame:
     the least node of their group, which is not listed itself."""
     often = _keyed(prefixes(rows, [])).groupBy("key").agg(F.count("*").alias("k")).filter(F.col("k") > few)
     last = [r.key for r in often.orderBy(F.desc("k"), "key").limit(LAST).collect()]
-    lists = stored(prefixes(rows, last), "prefixes")
+    lists = stored(prefixes(rows, last, prints=True), "prefixes")
     keyed = _keyed(lists)
     keys = keyed.groupBy("key").agg(F.count("*").alias("k"), F.min("node").alias("u"), F.max("node").alias("v")).filter("u < v")
     keys = stored(keys, "shared-keys")
@@ -203,19 +237,23 @@ def similar_groups(rows: DataFrame, few: int = FEW) -> DataFrame:
     met = stored(keyed.join(many, "key").distinct(), "key-rows")
     common = met.filter(F.col("k") > few).drop("k")
     n_common = small(stored(common.groupBy("node").agg(F.count("*").alias("common")), "common-counts"))
-    about = lists.select("node", "n", "parity").dropDuplicates(["node"]).join(n_common, "node", "left")
+    about = lists.select("node", "n", "parity", "fingerprint").dropDuplicates(["node"]).join(n_common, "node", "left")
     about = stored(about.withColumn("common", F.coalesce("common", F.lit(0))), "texts")
 
-    # large groups first: each text of a common key is held against one of them, and what is then
+    # what fingerprints show; then large groups: each text of a common key is held against one of them, and what is then
     # outside the key's largest group against two of that group, others for each key
     lead = small(stored(common.groupBy("key").agg(F.min("node").alias("lead")), "common-leads"))
-    links = verified(fitting(_met(common.join(lead, "key"), "node", "lead"), about), rows)
-    near = _by_group(common, stored(components(links), "near-groups"))
+    found = verified(fitting(print_pairs(about), about), rows)
+    met_lead = _apart(_met(common.join(lead, "key"), "node", "lead"), stored(components(found), "print-groups"))
+    found = found.union(verified(fitting(met_lead, about), rows))
+    groups = stored(components(found), "near-groups")
+    near = _by_group(common, groups)
     h = F.xxhash64("key", "node")
     of_main = near.filter("root = main").groupBy("key").agg(F.min_by("node", h).alias("one"), F.max_by("node", h).alias("other"))
     outside = near.filter("root != main").join(small(stored(of_main, "common-leads")), "key").select("node", F.explode(F.array("one", "other")).alias("lead"))
-    links = stored(links.union(verified(fitting(_met(outside, "node", "lead"), about), rows)), "links")
-    near = _by_group(common, stored(components(links), "near-groups"))
+    found = stored(found.union(verified(fitting(_apart(_met(outside, "node", "lead"), groups), about), rows)), "links")
+    groups = stored(components(found), "near-groups")
+    near = _by_group(common, groups)
     near = stored(near.join(small(about.select("node", "parity")), "node"), "common-rows")
 
     # now all texts outside a key's largest group against all there; two such texts meet twice
@@ -229,7 +267,7 @@ def similar_groups(rows: DataFrame, few: int = FEW) -> DataFrame:
     all_with_all = by_key.select("a", F.explode("a").alias("x")).select("x", F.explode("a").alias("y")).filter("x < y")
     pairs = keys.filter("k = 2").select("u", "v").union(_pairs(all_with_all, "x", "y")).withColumn("shared", F.lit(1).cast("long"))
     pairs = pairs.unionByName(_met(far, "node_x", "node")).groupBy("u", "v").agg(F.sum("shared").alias("shared"))
-    return components(links.union(verified(fitting(stored(pairs, "pairs"), about), rows)))
+    return components(found.union(verified(fitting(stored(_apart(pairs, groups), "pairs"), about), rows)))
 
 
 def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -155,6 +155,29 @@ def test_pipeline_drops_texts_that_are_similar_at_0_8(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.drop_copies(spark, docs(spark, rows), SF).collect()) == brute_near(rows)
 
 
+def test_near_duplicates_meet_by_fingerprints_first(spark, monkeypatch):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(400)] for _ in range(6)]
+    rows = [(10 * i + k, " ".join(w + [f"end{k}"] * (k > 0))) for i, w in enumerate(base) for k in range(3)]
+    sets = [near_dedup.shingle_set(t) for _, t in rows]
+    for s in sets:
+        h = [int(x) & (2**64 - 1) for x in s]
+        assert near_dedup.fingerprint(s) & (2**64 - 1) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    prints = {d: near_dedup.fingerprint(s) for (d, _), s in zip(rows, sets, strict=True)}
+    near = {(a, b) for a, b in itertools.combinations(prints, 2) if bin((prints[a] ^ prints[b]) & (2**64 - 1)).count("1") <= 2}
+    assert len(near) >= 6 and all(a // 10 == b // 10 for a, b in near)
+    table = shared.stored(spark.createDataFrame(list(prints.items()), "node long, fingerprint long"), "prints-test")
+    pairs = {(r.u, r.v) for r in near_dedup.print_pairs(table).collect()}
+    assert pairs <= near and {d for p in pairs for d in p} == {d for p in near for d in p}
+    # the stage begins with them, and one text of each group stays
+    met, ask = [], near_dedup.print_pairs
+    monkeypatch.setattr(near_dedup, "print_pairs", lambda t: met.append(ask(t)) or met[-1])
+    got = corpus_pipeline.drop_copies(spark, docs(spark, rows), SF)
+    assert len(met) == 1 and sorted(r.doc_id for r in got.collect()) == brute_near(rows) == [0, 10, 20, 30, 40, 50]
+
+
 # -- 2
 
 
