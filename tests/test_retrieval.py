@@ -332,3 +332,23 @@ def test_index_search_is_exact_and_leaves_batches_out(spark, monkeypatch, kind):
     assert vectors.search(table.limit(0), asked, 6).count() == 0
     monkeypatch.setattr(vectors, "MAX_QUERIES", 0)
     assert vectors.search(table.limit(0), asked, 6).count() == 0 and vectors.search(table, asked.limit(0), 6).count() == 0
+
+
+def test_a_cache_is_made_once(spark, tmp_path):
+    log = str(tmp_path / "embedded")
+
+    def factory():
+        class Logged(vectors.HashEmbedder):
+            def encode(self, texts):
+                with open(log, "a") as f:
+                    f.write("x\n" * len(texts))
+                return super().encode(texts)
+
+        return Logged("hash-8", None, True)
+
+    rows = spark.createDataFrame([(str(i), f"text {i}") for i in range(6)], "chunk_id string, embedding_text string")
+    cache = vectors.generate(rows.filter("chunk_id < 4"), factory, "hash", "hash-8", None, True)
+    got = vectors.generate(rows, vectors.make_embedder("hash", "hash-8"), "hash", "hash-8", None, True, cache, dimension=8).collect()
+    assert sorted((r.chunk_id, r.cached) for r in got) == [(str(i), i < 4) for i in range(6)]
+    with open(log) as f:
+        assert len(f.readlines()) == 4
