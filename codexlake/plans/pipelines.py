@@ -59,7 +59,9 @@ def inventoried(files: DataFrame, size: int, overlap: int, corpus_id: str) -> Da
 
 def process(files: DataFrame, raw: DataFrame, size: int = chunking.SIZE, overlap: int = chunking.OVERLAP, corpus_id: str = "corpus", with_chunks: bool = True, cut: Callable = chunking.split_large) -> Processed:
     """``ingest`` up to the chunks, each document by itself: one that cannot be read (a row of ``raw`` with an ``error``) or
-    packed fails alone. All tables are stored as they are made, for all that reads them."""
+    packed fails alone. All tables are stored as they are made, for all that reads them, and so are
+    the raw pages, which several steps read and which may be dear to make."""
+    raw = stored(raw, "raw-pages")
     errors = raw.filter("error IS NOT NULL").groupBy("relative_path").agg(F.min("error").alias("error")) if "error" in raw.columns else raw.limit(0).select("relative_path", F.lit("").alias("error"))
     unread = stored(errors, "unread")
     raw = raw.join(unread, "relative_path", "left_anti").drop("error")
@@ -118,6 +120,7 @@ def ingest_again(files: DataFrame, raw: DataFrame, store: Snapshots, size: int =
     are not touched, the others processed, those that are gone left out; failed ones are tried again. Only buckets with a
     changed document are written, and the new snapshot becomes the current one by its last step."""
     old = store.current()
+    files = stored(files, "files")  # held against the last snapshot in several places
     now = inventoried(files, size, overlap, corpus_id)
     if old is None:
         actions = now.select("document_id", F.lit("process").alias("action"))

@@ -69,6 +69,19 @@ def test_a_long_document_is_packed_from_a_stream(spark):
     assert [(r.document_id, r.text, r.first_block, r.page_end) for r in got] == want and len(want) > 50
 
 
+def test_raw_pages_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    files, raw = corpus(spark, ["a", "b", "c"], broken=("c",))
+    x = pipelines.ingest(files, raw.mapInArrow(told, raw.schema))
+    assert x.pages.count() == 4 and made.value == 6
+
+
 def test_a_second_run_touches_what_changed(spark):
     store = new_store(spark, "document_id")
     names = [f"n{i}" for i in range(30)]
