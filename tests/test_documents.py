@@ -236,3 +236,13 @@ def test_no_task_sorts_a_whole_document(spark):
         assert max(r["count"] for r in x.groupBy("p").count().collect()) < 20_000
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_findings_of_documents_join_the_counts_once(spark):
+    docs = spark.createDataFrame([("d", "d.pdf", 3), ("e", "e.pdf", 1)], "document_id string, relative_path string, page_count int")
+    pages = spark.createDataFrame([("d", 0, "", False), ("d", 2, "x", True), ("e", 0, "x", False)], "document_id string, page_index int, text string, extraction_failed boolean")
+    chunks = spark.createDataFrame([("e", 0, 901)], "document_id string, chunk_index int, token_count int")
+    found = quality.document_findings(docs, pages, chunks)
+    want = {("d", c) for c in ("PAGE_COUNT_MISMATCH", "PAGE_SEQUENCE_GAP", "EMPTY_PAGES", "FAILED_PAGES", "NO_CHUNKS")} | {("e", "OVERSIZE_CHUNK")}
+    assert sorted((r.document_id, r.code) for r in found.collect()) == sorted(want)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 3  # pages, chunks, and the paths of long chunks
