@@ -32,6 +32,7 @@ import string
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -61,7 +62,7 @@ WORDS = 1 << 14
 #: A span that the field adds has at least so many characters, as the shortest base kind has.
 LEAST_CHARS = 12
 TOKEN = re.compile(r"[\w+/.\-]+|[^\w\s]")
-REMEMBERED = 100_000
+REMEMBERED = 200_000
 #: Words that name secrets.
 NAMES = frozenset("password passwd pass pwd passphrase secret token apikey api key bearer authorization auth credential credentials".split())
 O, B, I = 0, 1, 2  # noqa: E741
@@ -87,15 +88,22 @@ ENDS = "./-+"
 RUNS = re.compile(r"[A-Z]+|\d+|[+/_.\-]+|[^A-Z\d+/_.\-]+")
 
 
+#: The shapes of words of under 12 letters, by whether they name a secret and by length.
+SHORT_WORDS = tuple(tuple((f"length {k}", *named, "letters") for k in range(3)) for named in ((), ("names a secret",)))
+
+
 def shape(token: str) -> tuple[str, ...]:
     """Features of a token, the same for all tokens of a kind."""
     if len(token) == 1 and not token.isalnum():
         return ("mark", f"mark {token}" if token in "=:\"'" else "mark other")
     token = token.strip(ENDS) or token  # a full stop ends a sentence, not a name
+    low = token.lower()
+    if len(token) < 12 and low.isascii() and low.isalpha():  # most tokens; the rest of this function says the same of them
+        return SHORT_WORDS[low in NAMES][len(token) // 4]
     digits = sum(c.isdigit() for c in token)
     n = len(token)
     out = [f"length {min(n, 40) // 4}"]
-    if not NAMES.isdisjoint(re.split("[^a-z]+", token.lower())):
+    if not NAMES.isdisjoint(re.split("[^a-z]+", low)):
         out.append("names a secret")
     if n < 12:
         return (*out, "digits" if digits == n else "letters" if token.isalpha() else "other")
@@ -150,6 +158,14 @@ class Field:
     transitions: np.ndarray = field(default_factory=lambda: np.zeros((3, 3)))
     caution: float = 0.0
 
+    @cached_property
+    def tagger(self) -> Tagger:
+        """A worker has one field for all its tasks, and so what its tagger remembers serves the next ones."""
+        return Tagger(self)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "tagger"}
+
     def score(self, place: str, features: tuple[str, ...], word: int = 0) -> np.ndarray:
         plain = sum((self.weights[place, f] for f in features if (place, f) in self.weights), np.zeros(3))
         return plain + self.words[place][word] if word and place in self.words else plain
@@ -160,8 +176,10 @@ class Tagger:
 
     def __init__(self, model: Field):
         self.model, self.kinds, self.known = model, {}, {}
-        self.tables = {p: np.zeros((1024, 3)) for p in PLACES}
-        self.shapes: dict[tuple, dict[str, np.ndarray]] = {}
+        self.table = np.zeros((len(PLACES), 1024, 3))
+        self.shapes: dict[tuple, np.ndarray] = {}
+        none = np.zeros((WORDS, 3))
+        self.words = np.stack([model.words.get(p, none) for p in PLACES], axis=1)
         self.margin = 2 * float(model.transitions.max() - model.transitions.min())
         self.edge = self._kind(("edge",), 0)
 
@@ -171,11 +189,10 @@ class Tagger:
             k = self.kinds[features, bucket] = len(self.kinds)
             plain = self.shapes.get(features)
             if plain is None:
-                plain = self.shapes[features] = {p: self.model.score(p, features) for p in PLACES}
-            for place, rows in self.tables.items():
-                if k == len(rows):
-                    rows = self.tables[place] = np.concatenate([rows, np.zeros_like(rows)])
-                rows[k] = plain[place] + (self.model.words[place][bucket] if place in self.model.words else 0)
+                plain = self.shapes[features] = np.stack([self.model.score(p, features) for p in PLACES])
+            if k == self.table.shape[1]:
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)], axis=1)
+            self.table[:, k] = plain + self.words[bucket]
         return k
 
     def _add(self, token: str) -> int:
@@ -188,12 +205,12 @@ class Tagger:
         tokens = TOKEN.findall(text)
         if not tokens or not self.model.weights:
             return tokens, np.zeros(len(tokens), np.int8)
-        known, add = self.known.get, self._add
-        ids = [known(t) for t in tokens]
+        add = self._add
+        ids = list(map(self.known.get, tokens))
         if None in ids:
             ids = [add(t) if k is None else k for t, k in zip(tokens, ids, strict=True)]
         kinds = np.array([self.edge, self.edge, *ids, self.edge], np.int32)
-        scores = sum(a[kinds[2 + PLACES[p] : len(kinds) - 1 + PLACES[p]]] for p, a in self.tables.items()) + self.model.score("file", file_features(text))
+        scores = sum(a[kinds[2 + PLACES[p] : len(kinds) - 1 + PLACES[p]]] for p, a in zip(PLACES, self.table, strict=True)) + self.model.score("file", file_features(text))
         scores[:, O] += self.model.caution
         out = np.zeros(len(tokens), np.int8)
         open_ = np.flatnonzero(scores[:, O] - np.maximum(scores[:, B], scores[:, I]) <= self.margin)
@@ -452,7 +469,7 @@ def with_secrets(docs: DataFrame, model: Field, text: str = "text", out: str = "
     given = docs.sparkSession.sparkContext.broadcast(model)
 
     def scanned(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        tagger = Tagger(given.value)
+        tagger = given.value.tagger
         for texts in batches:
             yield pd.DataFrame([scan(t, tagger) for t in texts], columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_added"])
 

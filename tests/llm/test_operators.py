@@ -846,3 +846,17 @@ def test_query_equals_its_sql(spark, name):
     assert Counter(tuple(plain(x[k]) for k in cols) for x in df.collect()) == Counter(tuple(map(plain, x)) for x in r.fetchall())
 
 
+
+
+def test_a_secret_field_keeps_its_tagger_for_the_next_task():
+    import pickle
+
+    from codexlake.llm import secret_scan
+
+    f = secret_scan.Field()
+    assert f.tagger is f.tagger
+    assert "tagger" not in vars(pickle.loads(pickle.dumps(f)))
+    assert [secret_scan.shape(t) for t in ("is", "Token.", "-apple", "Key", "pass1", "abcdefghijk", "ölig")] == [
+        ("length 0", "letters"), ("length 1", "names a secret", "letters"), ("length 1", "letters"), ("length 0", "names a secret", "letters"),
+        ("length 1", "names a secret", "other"), ("length 2", "letters"), ("length 1", "letters"),
+    ]
