@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codexlake.llm.shared import scratch, small, stored, text_key
+from codexlake.llm.shared import BROADCAST_ROWS, scratch, small, stored, text_key
 from codexlake.llm.simhash_dedup import CHUNK, components, links
 
 #: Similarity of 4/5 as whole numbers.
@@ -52,6 +52,8 @@ LAST = 10_000
 PAIRS_A_COPY = 500
 #: Classes of shingles whose number in a text is kept as odd or even.
 PARITIES = 512
+#: Texts whose parities may be broadcast: a row is nine longs and an array, and the driver holds it several times.
+BROADCAST_PARITIES = BROADCAST_ROWS // 16
 #: Texts whose shingles are made at once.
 BATCH = 256
 #: Odd multipliers that tell the places of words in a shingle apart, and mix the sum.
@@ -166,15 +168,15 @@ def _close(x: str, y: str, both: Column) -> Column:
 def fitting(pairs: DataFrame, lists: DataFrame) -> DataFrame:
     """(u, v), stored: of pairs (u, v, shared keys that are not common) those that may be similar by
     size, shared keys and parity."""
-    about = lambda side, *names: small(lists.select(F.col("node").alias(side), *[F.col(c).alias(c + side) for c in names]))
-    sized = pairs.join(about("u", "n", "common"), "u").join(about("v", "n", "common"), "v").filter(_fit(F.col("nu"), F.col("nv")))
+    about = lambda side, limit, *names: small(lists.select(F.col("node").alias(side), *[F.col(c).alias(c + side) for c in names]), limit)
+    sized = pairs.join(about("u", BROADCAST_ROWS, "n", "common"), "u").join(about("v", BROADCAST_ROWS, "n", "common"), "v").filter(_fit(F.col("nu"), F.col("nv")))
     # all that two texts share is in both prefixes or behind the one that ends first
     a, b = SIMILAR
     least = lambda n: F.floor((a * n + (b - 1)) / b)
     both = F.col("nu") + F.col("nv")
     needed = F.ceil(a * both / (a + b)) - F.greatest(least(F.col("nu")), least(F.col("nv"))) + 1
     sized = sized.filter(F.col("shared") + F.least("commonu", "commonv") >= needed).drop("commonu", "commonv")
-    x = stored(sized, "sized-pairs").join(about("u", "parity"), "u").join(about("v", "parity"), "v")
+    x = stored(sized, "sized-pairs").join(about("u", BROADCAST_PARITIES, "parity"), "u").join(about("v", BROADCAST_PARITIES, "parity"), "v")
     return stored(x.filter(_close("parityu", "parityv", both)).select("u", "v"), "fitting")
 
 
@@ -240,12 +242,11 @@ def similar_groups(rows: DataFrame, few: int = FEW) -> DataFrame:
     about = lists.select("node", "n", "parity", "fingerprint").dropDuplicates(["node"]).join(n_common, "node", "left")
     about = stored(about.withColumn("common", F.coalesce("common", F.lit(0))), "texts")
 
-    # what fingerprints show; then large groups: each text of a common key is held against one of them, and what is then
+    # what fingerprints show, and each text of a common key with one of them, verified in one go; then large groups: what is
     # outside the key's largest group against two of that group, others for each key
     lead = small(stored(common.groupBy("key").agg(F.min("node").alias("lead")), "common-leads"))
-    found = verified(fitting(print_pairs(about), about), rows)
-    met_lead = _apart(_met(common.join(lead, "key"), "node", "lead"), stored(components(found), "print-groups"))
-    found = found.union(verified(fitting(met_lead, about), rows))
+    first = print_pairs(about).union(_met(common.join(lead, "key"), "node", "lead")).distinct()
+    found = verified(fitting(first, about), rows)
     groups = stored(components(found), "near-groups")
     near = _by_group(common, groups)
     h = F.xxhash64("key", "node")
@@ -254,7 +255,7 @@ def similar_groups(rows: DataFrame, few: int = FEW) -> DataFrame:
     found = stored(found.union(verified(fitting(_apart(_met(outside, "node", "lead"), groups), about), rows)), "links")
     groups = stored(components(found), "near-groups")
     near = _by_group(common, groups)
-    near = stored(near.join(small(about.select("node", "parity")), "node"), "common-rows")
+    near = stored(near.join(small(about.select("node", "parity"), BROADCAST_PARITIES), "node"), "common-rows")
 
     # now all texts outside a key's largest group against all there; two such texts meet twice
     x = [F.col(c).alias(f"{c}_x") for c in ("node", "root", "n", "short", "parity")]

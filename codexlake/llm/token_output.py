@@ -75,10 +75,11 @@ class PieceEncoder:
 
     MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
-    def __init__(self, tokenizer_json: str):
+    def __init__(self, tokenizer_json: str, remembered: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         from tokenizers import Tokenizer
 
+        self.remembered = remembered
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
@@ -133,7 +134,7 @@ class PieceEncoder:
             self.known[p] = self.known[core] + marks[p[len(core) :]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if self.taken > REMEMBERED_BYTES:
+        if self.taken > (REMEMBERED_BYTES if self.remembered is None else self.remembered):
             self.known, self.older, self.taken = {}, self.known, 0
         # a piece is a word, the first one of a line with the line feed before it
         cut = [("\n" + t.replace("\n", " \n")).split(" ") for t in texts]
@@ -159,8 +160,8 @@ class PieceEncoder:
 
 
 @lru_cache(maxsize=1)
-def _encoder(tokenizer_json: str) -> PieceEncoder:
-    return PieceEncoder(tokenizer_json)
+def _encoder(tokenizer_json: str, remembered: int | None = None) -> PieceEncoder:
+    return PieceEncoder(tokenizer_json, remembered)
 
 
 def file_system(uri: str):
@@ -218,10 +219,10 @@ class _FileWriter:
 FILES = "file string, n_docs long, n_ids long, bytes long"
 
 
-def write_part(batches: Iterable[pa.RecordBatch], part: int, folder: str, tokenizer_json: str, dictionary: bytes, file_bytes: int = FILE_BYTES) -> list[tuple]:
+def write_part(batches: Iterable[pa.RecordBatch], part: int, folder: str, tokenizer_json: str, dictionary: bytes, file_bytes: int = FILE_BYTES, remembered: int | None = None) -> list[tuple]:
     """Write one task's rows (doc_id, text); its files. The words that are remembered stay for the worker's next
     task, as most words of a text are in others too; reading the files drops them."""
-    encoder, pack = _encoder(tokenizer_json), _frames(zstandard.ZstdCompressor, dictionary, level=LEVEL)
+    encoder, pack = _encoder(tokenizer_json, remembered), _frames(zstandard.ZstdCompressor, dictionary, level=LEVEL)
     done, file = [], None
     width, end = encoder.dtype.itemsize, np.array([END_ID], encoder.dtype).tobytes()
     for rows in batches:
@@ -238,7 +239,7 @@ def write_part(batches: Iterable[pa.RecordBatch], part: int, folder: str, tokeni
     return done
 
 
-def write_files(docs: DataFrame, folder: str, tokenizer_json: str, file_bytes: int = FILE_BYTES, order: tuple[Column, ...] = ()) -> DataFrame:
+def write_files(docs: DataFrame, folder: str, tokenizer_json: str, file_bytes: int = FILE_BYTES, order: tuple[Column, ...] = (), remembered: int | None = None) -> DataFrame:
     """Write all texts (columns doc_id, text) by ``order`` (by default by id, then by text hash);
     the stored list of files, in order of name."""
     spark = docs.sparkSession
@@ -250,7 +251,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer_json: str, file_bytes: i
     given = spark.sparkContext.broadcast((tokenizer_json, dictionary))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done = write_part(batches, TaskContext.get().partitionId(), folder, *given.value, file_bytes)
+        done = write_part(batches, TaskContext.get().partitionId(), folder, *given.value, file_bytes, remembered)
         columns = list(zip(*done, strict=True)) or [()] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["file", "n_docs", "n_ids", "bytes"])
 
@@ -325,11 +326,12 @@ def read_files(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
     return there.mapInPandas(_read, READ).join(small(base), "file").select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def tokenized(docs: DataFrame, tokenizer_path: str, folder: str | None = None, order: tuple[Column, ...] = ()) -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer_path: str, folder: str | None = None, order: tuple[Column, ...] = (), remembered: int | None = None) -> DataFrame:
     """Write the documents' ids to ``folder`` (by default a new shared one), read them back.
-    ``order``: columns of ``docs`` that the files follow; by default the ids."""
+    ``order``: columns of ``docs`` that the files follow; by default the ids. ``remembered``: bytes of words that each
+    worker remembers, by default ``REMEMBERED_BYTES``; fewer take less memory and more time."""
     spark = docs.sparkSession
     folder = folder or new_path(spark, "token-ids")
     with open(tokenizer_path, encoding="utf-8") as f:
         tokenizer_json = f.read()
-    return read_files(spark, folder, write_files(docs, folder, tokenizer_json, order=order))
+    return read_files(spark, folder, write_files(docs, folder, tokenizer_json, order=order, remembered=remembered))

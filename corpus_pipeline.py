@@ -12,6 +12,10 @@ from codexlake.llm import decontaminate, near_dedup, quality_rules, source_mix,
 from codexlake.llm.queries import benchmark, tokenizer_path
 from codexlake.llm.shared import documents, file_order, stored
 
+#: Bytes of words that a worker of the last stage remembers: the stages before leave the executors' heaps full, so there is
+#: less memory beside them than for token files alone.
+REMEMBERED_BYTES = 16 << 20
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
@@ -38,7 +42,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     The mix sorts its rows by training position, so their order is that of the stored
     files' names and of the rows in each. Documents that are not read from files go by id."""
-    return token_output.tokenized(docs, tokenizer_path(), order=file_order(docs))
+    return token_output.tokenized(docs, tokenizer_path(), order=file_order(docs), remembered=REMEMBERED_BYTES)
 
 
 STAGES = [

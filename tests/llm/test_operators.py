@@ -178,6 +178,16 @@ def test_near_duplicates_meet_by_fingerprints_first(spark, monkeypatch):
     assert len(met) == 1 and sorted(r.doc_id for r in got.collect()) == brute_near(rows) == [0, 10, 20, 30, 40, 50]
 
 
+def test_parities_of_many_texts_are_not_broadcast(spark, monkeypatch):
+    wide, ask = [], near_dedup.small
+    monkeypatch.setattr(near_dedup, "small", lambda df, limit=shared.BROADCAST_ROWS: wide.append((set(df.columns), limit)) or ask(df, limit))
+    monkeypatch.setattr(near_dedup, "BROADCAST_PARITIES", 3)
+    rows = near_rows()
+    assert sorted(r.doc_id for r in near_dedup.one_of_each_group(docs(spark, rows)).collect()) == brute_near(rows)
+    limits = [n for names, n in wide if names & {"parity", "parityu", "parityv"}]
+    assert len(limits) >= 7 and set(limits) == {3}
+
+
 # -- 2
 
 
@@ -437,6 +447,22 @@ def test_bounded_memory_gives_the_same_ids(spark, monkeypatch):
     assert [encoder.encode([t])[0] for t in texts] == whole and len(encoder.known) < 3000
 
 
+def test_pipeline_workers_remember_fewer_words(spark, monkeypatch):
+    import corpus_pipeline
+
+    asked, make = [], token_output.write_files
+    monkeypatch.setattr(token_output, "write_files", lambda *a, **k: asked.append(k["remembered"]) or make(*a, **k))
+    rows = docs(spark, sample(spark))
+    got = corpus_pipeline.write_tokens(spark, rows, SF).orderBy("start").collect()
+    assert got == token_output.tokenized(rows, queries.tokenizer_path()).orderBy("start").collect()
+    assert asked == [corpus_pipeline.REMEMBERED_BYTES, None] and 4 * corpus_pipeline.REMEMBERED_BYTES <= token_output.REMEMBERED_BYTES
+    with open(queries.tokenizer_path(), encoding="utf-8") as f:
+        encoder = token_output.PieceEncoder(f.read(), 20_000)
+    for r in sample(spark):
+        encoder.encode([r[1] or ""])
+    assert len(encoder.known) < 3000
+
+
 def test_token_files_round_trip(spark):
     from tokenizers import Tokenizer
 
