@@ -2,8 +2,8 @@
 shingles, Jaccard at least 0.8.
 
 Multi-index hashing finds texts whose fingerprints differ in two bits at most; what it finds is verified on
-all shingles, and its groups are those that the exact steps begin with: texts of one group are not
-held against each other again. Fingerprints of pairs at 0.8 differ in up to 20 of 64 bits, where an index has
+all shingles, in one go with the first pairs of common keys, and the groups of both are those that the other exact
+steps begin with: texts of one group are not held against each other again. Fingerprints of pairs at 0.8 differ in up to 20 of 64 bits, where an index has
 keys of three bits and each lookup meets an eighth of all rows. So the links that fingerprints cannot show are found
 by shingles, which misses none. Equal texts are one node, named by their hash, and only one of them goes on.
 
