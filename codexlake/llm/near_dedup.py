@@ -10,10 +10,11 @@ by shingles, which misses none. Equal texts are one node, named by their hash, a
 0. Fingerprints of the shingles. Each text is held against the first one of its fingerprint, and the first ones
    of fingerprints within two bits (``simhash_dedup.links``) against each other.
 1. Prefixes. Shingles are put in one order. Texts that are 0.8 similar share a shingle within the
-   first fifth (and one more) of both. Any order is right; shingles that start more than ``FEW`` texts
-   are put last, so that a passage that many texts share hardly starts any.
-2. Keys. One aggregate counts each key's texts and names the least and the greatest: most keys have
-   one text and end here, most of the others two, and so a pair.
+   first fifth (and one more) of both. Any order is right; shingles that start more than a fourth of ``FEW``
+   texts are put last, so that what many texts share, a passage or words that often meet, hardly starts any.
+2. Keys. Nearly all have one text. Packed short forms, four bytes a key, tell which may have two or three
+   (``Shorts``), and only their rows are passed on. One aggregate of them counts each key's texts and names the
+   least and the greatest: most keys that are left have two, and so a pair.
 3. Keys of up to ``FEW`` texts: all with all. The texts of a common key, with more, are first held against one
    of them, then those outside the key's largest group against two of it, which takes a large group of
    near-copies together with a few checks a text; then those still outside meet all that are not of
@@ -46,8 +47,9 @@ SIMILAR = (4, 5)
 SHINGLE = 5
 #: Texts that meet under one key all with all.
 FEW = 32
-#: Keys put last in the order; they change the work, never the result.
-LAST = 10_000
+#: Keys put last in the order, of those that more than a fourth of ``FEW`` texts start with; they change the work, never the
+#: result. With more texts more keys are met by chance.
+LAST = 500_000
 #: Pairs of one text that one copy of its shingles is joined to.
 PAIRS_A_COPY = 500
 #: Classes of shingles whose number in a text is kept as odd or even.
@@ -56,6 +58,12 @@ PARITIES = 512
 BROADCAST_PARITIES = BROADCAST_ROWS // 16
 #: Texts whose shingles are made at once.
 BATCH = 256
+#: Keys of a task that are held before they are packed.
+HELD = 1 << 21
+#: Classes of keys of which the driver and each worker hold a bit or two; with fewer, more keys of one text are passed on.
+MOST_CLASSES = 1 << 27
+#: Rows of ``Shorts.packed``.
+PACKED = "part int, numbers binary, counts binary"
 #: Odd multipliers that tell the places of words in a shingle apart, and mix the sum.
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
@@ -117,28 +125,123 @@ def _least_shared(n):
     return (a * n + (b - 1)) // b
 
 
-def prefixes(rows: DataFrame, last: list[int], prints: bool = False) -> DataFrame:
-    """``_lists`` with the first shingles of every text, those in ``last`` behind all others."""
-    late = np.array(sorted(last), np.int64)
+def _first(s: np.ndarray, late: np.ndarray, mask: int) -> np.ndarray:
+    """The prefix of a text's shingles, those whose short form is in ``late`` behind all others."""
+    if len(late):
+        short = s & mask
+        behind = late[np.minimum(np.searchsorted(late, short), len(late) - 1)] == short
+        s = np.concatenate([s[~behind], s[behind]])
+    return s[: len(s) - _least_shared(len(s)) + 1]
 
-    def first(s: np.ndarray) -> np.ndarray:
-        n = len(s) - _least_shared(len(s)) + 1
-        if len(late):
-            behind = np.isin(s, late)
-            s = np.concatenate([s[~behind], s[behind]])
-        return s[:n]
 
-    return _lists(rows, first, prints)
+class Shorts:
+    """Short forms of keys, which tell keys of one text from others with few bytes: the low bits of a
+    key are its part, the 32 bits above them a number in it. Different keys seldom have the same."""
 
+    def __init__(self, parts: int):
+        self.bits = max(3, (parts - 1).bit_length())
+        self.mask = (1 << (self.bits + 32)) - 1
 
-def _keyed(lists: DataFrame) -> DataFrame:
-    """(node, n, short, key): of two similar texts the smaller one has a key of both among its ``short``
-    ones, as both need 8/9 of their mean size in common."""
-    a, b = SIMILAR
-    # outer, as Spark would else filter on the array's size first and for that make it again
-    x = lists.select("node", "n", F.posexplode_outer("s").alias("at", "key"))
-    short = F.col("at") <= F.col("n") - F.ceil(2 * a * F.col("n") / (a + b))
-    return x.select("node", "n", short.alias("short"), "key")
+    def packed(self, keys: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """(part, numbers, counts): each part's distinct numbers and how often each is there, as bytes."""
+        held: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            s = np.concatenate(held) & self.mask
+            u, k = np.unique((s & ((1 << self.bits) - 1)) << 32 | s >> self.bits, return_counts=True)
+            part, at = np.unique(u >> 32, return_index=True)
+            cut = lambda x: pa.array([y.tobytes() for y in np.split(x, at[1:])], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), cut(u.astype(np.uint32)), cut(k.astype(np.uint32))], ["part", "numbers", "counts"])
+
+        n = 0
+        for x in keys:
+            held.append(x)
+            n += len(x)
+            if n >= HELD:
+                yield out()
+                held.clear()
+                n = 0
+        if n:
+            yield out()
+
+    @staticmethod
+    def counted(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
+        """A part, its numbers and the texts of each."""
+        u, k = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint32) for c in ("numbers", "counts"))
+        u, at = np.unique(u, return_inverse=True)
+        return table.column("part")[0].as_py(), u.astype(np.int64), np.bincount(at, k, len(u)).astype(np.int64)
+
+    def often(self, packed: DataFrame, more: int) -> DataFrame:
+        """(short, k) of the short forms of more than ``more`` texts."""
+
+        def run(table: pa.Table) -> pa.Table:
+            part, u, k = self.counted(table)
+            return pa.table({"short": u[k > more] << self.bits | part, "k": k[k > more]})
+
+        return packed.groupBy("part").applyInArrow(run, "short long, k long")
+
+    def maps(self, packed: DataFrame, width: int) -> DataFrame:
+        """(part, two, three) for each part: which of ``width`` classes of its numbers have one of two texts, of three."""
+
+        def run(table: pa.Table) -> pa.Table:
+            part, u, k = self.counted(table)
+            marks = []
+            for least in (2, 3):
+                has = np.zeros(width, np.uint8)
+                has[u[k >= least] & (width - 1)] = 1
+                marks.append(pa.array([np.packbits(has, bitorder="little").tobytes()], pa.binary()))
+            return pa.Table.from_arrays([pa.array([part], pa.int32()), *marks], ["part", "two", "three"])
+
+        return packed.groupBy("part").applyInArrow(run, "part int, two binary, three binary")
+
+
+def often_shared(rows: DataFrame, few: int, shorts: Shorts) -> np.ndarray:
+    """Short forms of the keys that start many texts, up to ``LAST`` of the most frequent ones, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = (t for batch in batches for a in range(0, batch.num_rows, BATCH) for t in batch.slice(a, BATCH).column("text").to_pylist())
+        yield from shorts.packed(_first(shingle_set(t), np.zeros(0, np.int64), shorts.mask) for t in texts)
+
+    packed = rows.select("text").mapInArrow(run, PACKED)
+    often = stored(shorts.often(packed, few // 4), "frequent-keys")
+    if often.count() > LAST:
+        often = often.orderBy(F.desc("k"), "short").limit(LAST)
+    return np.sort(often.select("short").toArrow().column("short").to_numpy())
+
+
+def shared_keys(lists: DataFrame, shorts: Shorts) -> DataFrame:
+    """(node, n, short, key, many) of stored lists: the keys that more than one text has, and a few others; ``many`` if
+    more than two may have it. Of two similar texts the smaller one has a key of both among its ``short`` ones, as both
+    need 8/9 of their mean size in common. Keys of one text are nearly all, so they are told by their short forms and not
+    passed on."""
+    spark = lists.sparkSession
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from shorts.packed(batch.column("s").flatten().to_numpy() for batch in batches)
+
+    parts = 1 << shorts.bits
+    classes = min(MOST_CLASSES, max(1 << 16, 1 << (64 * lists.count()).bit_length()))
+    width = max(8, classes // parts)
+    marks = {name: np.zeros((parts, width // 8), np.uint8) for name in ("two", "three")}
+    for r in shorts.maps(lists.select("s").mapInArrow(pack, PACKED), width).toArrow().to_pylist():
+        for name, have in marks.items():
+            have[r["part"]] = np.frombuffer(r[name], np.uint8)
+    given = spark.sparkContext.broadcast([marks["two"].ravel(), marks["three"].ravel()])
+    bits, (a, b) = shorts.bits, SIMILAR
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        two, three = given.value
+        for batch in batches:
+            s, long = batch.column("s").flatten().to_numpy(), batch.column("s").value_lengths().to_numpy()
+            where = (s & (parts - 1)) * width + ((s >> bits) & (width - 1))
+            keep = np.flatnonzero(two[where >> 3] >> (where & 7) & 1)
+            row = np.repeat(np.arange(len(long)), long)[keep]
+            n = batch.column("n").to_numpy()[row].astype(np.int64)
+            short = keep - (np.cumsum(long) - long)[row] <= n - (2 * a * n + (a + b - 1)) // (a + b)
+            many = three[where[keep] >> 3] >> (where[keep] & 7) & 1 == 1
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column("node").to_numpy()[row]), pa.array(n.astype(np.int32)), pa.array(short), pa.array(s[keep]), pa.array(many)], ["node", "n", "short", "key", "many"])
+
+    return lists.select("node", "n", "s").mapInArrow(run, "node long, n int, short boolean, key long, many boolean")
 
 
 def _fit(m: Column, n: Column) -> Column:
@@ -180,15 +283,16 @@ def fitting(pairs: DataFrame, lists: DataFrame) -> DataFrame:
     return stored(x.filter(_close("parityu", "parityv", both)).select("u", "v"), "fitting")
 
 
-def verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(u, v), stored: of stored pairs those that are similar."""
-    nodes = stored(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "pair-nodes")
-    sets = _lists(rows.join(small(nodes), "node", "left_semi"), lambda s: s).select("node", "s")
-    sets = stored(sets.dropDuplicates(["node"]), "pair-sets")
-    x = _with_set(_with_set(pairs, sets, "u"), sets, "v")
-    a, b = SIMILAR
-    shared = F.size(F.array_intersect("su", "sv"))
-    return stored(x.filter(shared * (a + b) >= a * (F.size("su") + F.size("sv"))).select("u", "v"), "similar")
+def verified(pairs: DataFrame, rows: DataFrame, *, unique: bool = False) -> DataFrame:
+    """(u, v), stored: of stored pairs those that are similar. ``unique``: no text has two rows."""
+    with scratch(pairs.sparkSession):
+        nodes = stored(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "pair-nodes")
+        sets = _lists(rows.join(small(nodes), "node", "left_semi"), lambda s: s).select("node", "s")
+        sets = stored(sets if unique else sets.dropDuplicates(["node"]), "pair-sets")
+        x = _with_set(_with_set(pairs, sets, "u"), sets, "v")
+        a, b = SIMILAR
+        shared = F.size(F.array_intersect("su", "sv"))
+        return stored(x.filter(shared * (a + b) >= a * (F.size("su") + F.size("sv"))).select("u", "v"), "similar", outer=True)
 
 
 def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -226,33 +330,42 @@ def _by_group(common: DataFrame, groups: DataFrame) -> DataFrame:
     return stored(near.join(small(stored(counts, "common-main")), "key"), "common-rows")
 
 
-def similar_groups(rows: DataFrame, few: int = FEW) -> DataFrame:
+def _key_tables(rows: DataFrame, few: int, unique: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored: the texts (node, n, parity, fingerprint, common keys), the keys of two texts and more (key, k, u, v), and the
+    rows of those of more than two (key, node, n, short, k)."""
+    shorts = Shorts(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    once = lambda x, *names: x if unique else x.dropDuplicates([*names])
+    with scratch(rows.sparkSession):
+        late = often_shared(rows, few, shorts)
+        lists = stored(_lists(rows, lambda s: _first(s, late, shorts.mask), prints=True), "prefixes")
+        keyed = shared_keys(lists, shorts)
+        keys = keyed.groupBy("key").agg(F.count("*").alias("k"), F.min("node").alias("u"), F.max("node").alias("v")).filter("u < v")
+        keys = stored(keys, "shared-keys", outer=True)
+        many = small(stored(keys.filter("k > 2").select("key", "k"), "keys-of-many"))
+        met = stored(once(keyed.filter("many").drop("many").join(many, "key"), "key", "node"), "key-rows", outer=True)
+        n_common = small(stored(met.filter(F.col("k") > few).groupBy("node").agg(F.count("*").alias("common")), "common-counts"))
+        about = once(lists.select("node", "n", "parity", "fingerprint"), "node").join(n_common, "node", "left")
+        return stored(about.withColumn("common", F.coalesce("common", F.lit(0))), "texts", outer=True), keys, met
+
+
+def similar_groups(rows: DataFrame, few: int = FEW, *, unique: bool = False) -> DataFrame:
     """(node, root): of rows (node, text) all nodes whose text is similar to another, and
-    the least node of their group, which is not listed itself."""
-    often = _keyed(prefixes(rows, [])).groupBy("key").agg(F.count("*").alias("k")).filter(F.col("k") > few)
-    last = [r.key for r in often.orderBy(F.desc("k"), "key").limit(LAST).collect()]
-    lists = stored(prefixes(rows, last, prints=True), "prefixes")
-    keyed = _keyed(lists)
-    keys = keyed.groupBy("key").agg(F.count("*").alias("k"), F.min("node").alias("u"), F.max("node").alias("v")).filter("u < v")
-    keys = stored(keys, "shared-keys")
-    many = small(stored(keys.filter("k > 2").select("key", "k"), "keys-of-many"))
-    met = stored(keyed.join(many, "key").distinct(), "key-rows")
+    the least node of their group, which is not listed itself. ``unique``: no text has two rows."""
+    about, keys, met = _key_tables(rows, few, unique)
     common = met.filter(F.col("k") > few).drop("k")
-    n_common = small(stored(common.groupBy("node").agg(F.count("*").alias("common")), "common-counts"))
-    about = lists.select("node", "n", "parity", "fingerprint").dropDuplicates(["node"]).join(n_common, "node", "left")
-    about = stored(about.withColumn("common", F.coalesce("common", F.lit(0))), "texts")
+    check = lambda pairs: verified(pairs, rows, unique=unique)
 
     # what fingerprints show, and each text of a common key with one of them, verified in one go; then large groups: what is
     # outside the key's largest group against two of that group, others for each key
     lead = small(stored(common.groupBy("key").agg(F.min("node").alias("lead")), "common-leads"))
     first = print_pairs(about).union(_met(common.join(lead, "key"), "node", "lead")).distinct()
-    found = verified(fitting(first, about), rows)
+    found = check(fitting(first, about))
     groups = stored(components(found), "near-groups")
     near = _by_group(common, groups)
     h = F.xxhash64("key", "node")
     of_main = near.filter("root = main").groupBy("key").agg(F.min_by("node", h).alias("one"), F.max_by("node", h).alias("other"))
     outside = near.filter("root != main").join(small(stored(of_main, "common-leads")), "key").select("node", F.explode(F.array("one", "other")).alias("lead"))
-    found = stored(found.union(verified(fitting(_apart(_met(outside, "node", "lead"), groups), about), rows)), "links")
+    found = stored(found.union(check(fitting(_apart(_met(outside, "node", "lead"), groups), about))), "links")
     groups = stored(components(found), "near-groups")
     near = _by_group(common, groups)
     near = stored(near.join(small(about.select("node", "parity"), BROADCAST_PARITIES), "node"), "common-rows")
@@ -268,7 +381,7 @@ def similar_groups(rows: DataFrame, few: int = FEW) -> DataFrame:
     all_with_all = by_key.select("a", F.explode("a").alias("x")).select("x", F.explode("a").alias("y")).filter("x < y")
     pairs = keys.filter("k = 2").select("u", "v").union(_pairs(all_with_all, "x", "y")).withColumn("shared", F.lit(1).cast("long"))
     pairs = pairs.unionByName(_met(far, "node_x", "node")).groupBy("u", "v").agg(F.sum("shared").alias("shared"))
-    return components(found.union(verified(fitting(stored(_apart(pairs, groups), "pairs"), about), rows)))
+    return components(found.union(check(fitting(stored(_apart(pairs, groups), "pairs"), about))))
 
 
 def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -282,9 +395,11 @@ def one_of_each_group(docs: DataFrame, key: str = "doc_id", text: str = "text")
     rows = docs.select(F.col(key).alias("id"), text_key(F.col(text)).alias("node"), F.col(text).alias("text"))
     is_first = F.col("first").eqNullSafe(F.col("id"))
     marked = lambda x: x.join(copied.withColumn("copied", F.lit(True)), "node", "left")
-    rows = marked(rows).filter(F.col("copied").isNull() | is_first).select("node", "text")
+    one = F.col("copied").isNull() | is_first
+    rows = marked(rows).filter(one).select("node", "text")
+    unique = marked(ids).filter(one).count() == texts.count()
     with scratch(docs.sparkSession):
-        groups = similar_groups(rows)
+        groups = similar_groups(rows, unique=unique)
         groups = stored(groups.union(groups.select("root", "root").distinct()), "groups", lasting=True)
 
     # texts that are in a group or copied: the id that stays, if any

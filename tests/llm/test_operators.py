@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -178,6 +179,48 @@ def test_near_duplicates_meet_by_fingerprints_first(spark, monkeypatch):
     assert len(met) == 1 and sorted(r.doc_id for r in got.collect()) == brute_near(rows) == [0, 10, 20, 30, 40, 50]
 
 
+def test_near_duplicates_take_little_disk(spark, monkeypatch):
+    """Keys of one text are not passed on, and what a step has stored goes before the next ones."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(2000))) for i in range(150)]
+    rows += [(1000 + i, f"{t} more") for i, t in rows[:20]]
+    n_keys = sum(len(s := near_dedup.shingle_set(t)) - near_dedup._least_shared(len(s)) + 1 for _, t in rows)
+    made, ask, left = [], near_dedup.stored, {}
+
+    def stored(df, name, *args, **named):
+        left[name] = {n for n, f in made if os.path.exists(f)}
+        made.append((name, (out := ask(df, name, *args, **named)).inputFiles()[0].removeprefix("file://")))
+        return out
+
+    monkeypatch.setattr(near_dedup, "stored", stored)
+    table = shared.stored(docs(spark, rows), "disk-test")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: sum(e.totalShuffleWrite() for e in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.executorList(True)))
+    before = written()
+    got = sorted(r.doc_id for r in near_dedup.one_of_each_group(table).collect())
+    assert got == [i for i, _ in rows[:150]]
+    assert not {"pair-sets", "prefixes"} & left["pairs"] and "texts" in left["pairs"]
+    # two packed passes of four bytes a key, and the keys that two texts have; in rows each of the passes took more than that
+    assert written() - before < 24 * n_keys, (written() - before) / n_keys
+
+
+def test_frequent_keys_are_exact_however_many(spark, monkeypatch):
+    rng = random.Random(3)
+    sets = [np.unique(np.array([rng.randrange(-(1 << 62), 1 << 62) for _ in range(40)] + [7 * k for k in range(rng.randrange(60))], np.int64)) for _ in range(50)]
+    shorts, count = near_dedup.Shorts(5), Counter(int(x) for s in sets for x in s)
+    assert shorts.bits == 3
+    monkeypatch.setattr(near_dedup, "HELD", 300)  # several batches of a task
+    lists = shared.stored(spark.createDataFrame([(i, len(s), [int(x) for x in s]) for i, s in enumerate(sets)], "node long, n int, s array<long>").repartition(3), "lists-test")
+    packed = lists.select("s").mapInArrow(lambda batches: shorts.packed(b.column("s").flatten().to_numpy() for b in batches), near_dedup.PACKED)
+    got = {r.short: r.k for r in shorts.often(packed, 8).collect()}
+    assert got == {k & shorts.mask: n for k, n in count.items() if n > 8} and got
+    # all rows of shared keys are passed on, with the place that _keyed rows had, and few others
+    rows = near_dedup.shared_keys(lists, shorts).collect()
+    want = {(i, int(x), at <= len(s) - -(-8 * len(s) // 9)) for i, s in enumerate(sets) for at, x in enumerate(s) if count[int(x)] > 1}
+    assert want <= {(r.node, r.key, r.short) for r in rows} and len(rows) < len(want) + 200
+    assert all(r.many for r in rows if count[r.key] > 2) and all(r.n == len(sets[r.node]) for r in rows)
+
+
 def test_parities_of_many_texts_are_not_broadcast(spark, monkeypatch):
     wide, ask = [], near_dedup.small
     monkeypatch.setattr(near_dedup, "small", lambda df, limit=shared.BROADCAST_ROWS: wide.append((set(df.columns), limit)) or ask(df, limit))
